@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equilake.session import cut_lineage
+
 _CELLS_PER_E = 64
 _CELL_ORIGIN = 64 * 760  # beyond |ln| of any double
 _TIE_CELL_HEX = 3  # 4096 cells of a uniform hash
@@ -59,6 +61,7 @@ def value_positions(df: DataFrame, group: Sequence[str], value: str) -> DataFram
 
 def with_average_rank(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank (ties share the mean of their positions) of non-null values."""
+    df = cut_lineage(df)
     ranks = value_positions(df, group, value).select(*group, value, (F.col("before") + (F.col("ties") + 1) / 2).alias(out))
     return df.join(ranks, [*group, value], "left")
 
@@ -88,6 +91,7 @@ def with_quantile_bucket(df: DataFrame, group: Sequence[str], value: str, tie: s
     Groups with fewer rows than buckets are dropped, as are NULL values. Only tie groups that
     straddle a bucket edge need positions of single rows; these come from md5 cells.
     """
+    df = cut_lineage(df.filter(F.col(value).isNotNull()))
     pos = value_positions(df, group, value).filter(F.col("n") >= buckets)
     first = bucket_of(F.col("before"), F.col("n"), buckets)
     last = bucket_of(F.col("before") + F.col("ties") - 1, F.col("n"), buckets)
@@ -117,8 +121,12 @@ def rank_correlation(df: DataFrame, group: Sequence[str], x: str, y: str, out: s
     The mean of n ranks is (n + 1) / 2, so one aggregation of centred products is enough, and with
     half-integer ranks its sums are exact. NULL when either side is constant.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
-    ranked = with_average_rank(with_average_rank(pairs, group, x, "_rx"), group, y, "_ry")
+    # Read five times below: materialise once instead of recomputing the panel behind it.
+    pairs = cut_lineage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))
+    ranked = pairs
+    for value, out_rank in ((x, "_rx"), (y, "_ry")):
+        ranks = value_positions(pairs, group, value).select(*group, value, (F.col("before") + (F.col("ties") + 1) / 2).alias(out_rank))
+        ranked = ranked.join(ranks, [*group, value])
     sums = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),

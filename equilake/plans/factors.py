@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from equilake.functions.scalars import safe_div
 from equilake.operators.asof import HORIZON_DAYS, asof_price, asof_value, known_value
 from equilake.operators.indicators import with_price_factors
 from equilake.operators.ranks import rank_correlation, with_quantile_bucket
+from equilake.session import cut_lineage
 from equilake.sources.bars import price_series, rebalance_dates
 
 
@@ -230,23 +232,57 @@ def coverage(panel: DataFrame, forward: DataFrame, horizon: str, kind: str, ic_d
         quasi.alias("quasi_static"), warnings.alias("warnings"))
 
 
-def run_signal(warehouse, factor: str, horizon: str = "1m", buckets: int = 5, rebalance: str = "monthly", min_symbols: int = 5) -> dict[str, DataFrame]:
-    """Panel, IC series and all reports of one factor. Identical subplans are shared through
-    exchange reuse; persist ``panel`` and ``forward`` before using several of the parts."""
-    spec = get_factor(factor)
-    if horizon not in HORIZON_DAYS:
-        raise FactorError(f"unknown horizon {horizon!r} (valid: {', '.join(HORIZON_DAYS)})")
-    prices = universe_prices(warehouse)
-    dates = rebalance_dates(prices, rebalance)
-    panel = factor_panel(warehouse, factor, dates)
-    forward = forward_returns(prices, dates)
-    ics = ic_series(panel, forward, min_symbols)
-    primary = ics.filter(F.col("horizon") == horizon)
-    summary = ic_summary(primary, spec.direction)
-    n_dates = primary.agg(F.count(F.lit(1)).alias("n_dates"))
-    quantiles = quantile_returns(panel, forward, horizon, buckets)
-    return {
-        "dates": dates, "panel": panel, "forward": forward, "ics": ics, "ic_summary": summary, "quantiles": quantiles,
-        "spread": quantile_spread(quantiles, buckets, spec.direction), "decay": ic_decay(ics),
-        "coverage": coverage(panel, forward, horizon, spec.kind, n_dates),
-    }
+class SignalRun:
+    """Research of one factor. Panel and forward returns are materialised once, on first use, and
+    every report reads those."""
+
+    def __init__(self, warehouse, factor: str, horizon: str = "1m", buckets: int = 5, rebalance: str = "monthly", min_symbols: int = 5):
+        if horizon not in HORIZON_DAYS:
+            raise FactorError(f"unknown horizon {horizon!r} (valid: {', '.join(HORIZON_DAYS)})")
+        if buckets < 2:
+            raise FactorError("quantiles must be >= 2")
+        self.warehouse, self.spec = warehouse, get_factor(factor)
+        self.horizon, self.buckets, self.min_symbols = horizon, buckets, min_symbols
+        self.prices = universe_prices(warehouse)
+        self.dates = rebalance_dates(self.prices, rebalance)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return cut_lineage(factor_panel(self.warehouse, self.spec.name, self.dates))
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        return cut_lineage(forward_returns(self.prices, self.dates))
+
+    @cached_property
+    def ics(self) -> DataFrame:
+        return ic_series(self.panel, self.forward, self.min_symbols)
+
+    @cached_property
+    def _primary(self) -> DataFrame:
+        return self.ics.filter(F.col("horizon") == self.horizon)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return ic_summary(self._primary, self.spec.direction)
+
+    @cached_property
+    def quantiles(self) -> DataFrame:
+        return quantile_returns(self.panel, self.forward, self.horizon, self.buckets)
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        return quantile_spread(self.quantiles, self.buckets, self.spec.direction)
+
+    @cached_property
+    def decay(self) -> DataFrame:
+        return ic_decay(self.ics)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        n_dates = self._primary.agg(F.count(F.lit(1)).alias("n_dates"))
+        return coverage(self.panel, self.forward, self.horizon, self.spec.kind, n_dates)
+
+
+def run_signal(warehouse, factor: str, **options) -> SignalRun:
+    return SignalRun(warehouse, factor, **options)
