@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equilake.functions.scalars import (
     col, market_cap, net_revenue, nonzero, peg_label, raw_value, raw_value_nonzero, safe_div, stock_type,
@@ -211,7 +212,9 @@ def dcf_sensitivity(resolved: DataFrame) -> DataFrame:
     return cells.select("symbol", "growth_index", "wacc_index", "growth", "wacc", dcf_for("growth", "wacc")["fair_value"].alias("fair_value"))
 
 
-_IMPLIED = "struct<implied_growth:double,implied_above:boolean,implied_below:boolean,note:string>"
+_IMPLIED = T.StructType([
+    T.StructField("implied_growth", T.DoubleType()), T.StructField("implied_above", T.BooleanType()),
+    T.StructField("implied_below", T.BooleanType()), T.StructField("note", T.StringType())])
 
 
 def _solve_growth(base, terminal, rate, years, debt, shares, price, lo=-0.5, hi=1.0, tol=1e-4, steps=100) -> pd.DataFrame:

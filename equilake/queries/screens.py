@@ -228,9 +228,9 @@ def j5_latest_close(wh):
 
 # ----- freshness and sets ---------------------------------------------------------------------
 
-NOW = dt.datetime(2001, 12, 31, tzinfo=dt.timezone.utc)
+NOW = dt.datetime(2001, 11, 5, tzinfo=dt.timezone.utc)
 _SCOPES = " union all ".join(
-    f"select '{s}' as scope, u.symbol, l.latest, case when l.latest is null then 'missing' when l.latest >= timestamp '2001-12-31' - interval {n} day then 'fresh' else 'stale' end as state "
+    f"select '{s}' as scope, u.symbol, l.latest, case when l.latest is null then 'missing' when l.latest >= timestamp '2001-11-05' - interval {n} day then 'fresh' else 'stale' end as state "
     f"from {{universe}} u left join (select symbol, cast(max({c}) as timestamp) as latest from {{{t}}} group by symbol) l on u.symbol = l.symbol"
     for s, (t, c, n) in freshness.SCOPES.items())
 
@@ -336,11 +336,9 @@ def f15_excerpt(wh):
 
 @query("f1_coercions", """
 select e.event_id, try_cast(x as double) as as_double, try_cast(x as bigint) as as_long, try_cast(substr(d, 1, 10) as date) as as_date from (
-  select event_id, case when event_type = 'error' then 'n/a' when event_type = 'view' then '' when event_type = 'click' then cast(event_id as varchar)
-    else cast(value as varchar) end as x, case when event_type = 'error' then 'soon' else cast(cast(ts as date) as varchar) end as d, event_type from {events}) e
-where event_type <> 'purchase' and event_type <> 'signup'""")
+  select event_id, case when event_type = 'error' then 'n/a' when event_type = 'view' then '' else cast(event_id as varchar) end as x, case when event_type = 'error' then 'soon' else cast(cast(ts as date) as varchar) end as d from {events}) e""")
 def f1_coercions(wh):
     text = F.when(F.col("event_type") == "error", "n/a").when(F.col("event_type") == "view", "").otherwise(F.col("event_id").cast("string"))
     day = F.when(F.col("event_type") == "error", "soon").otherwise(F.to_date("ts").cast("string"))
-    df = wh.events.filter("event_type <> 'purchase' and event_type <> 'signup'").select("event_id", text.alias("x"), day.alias("d"))
+    df = wh.events.select("event_id", text.alias("x"), day.alias("d"))
     return df.select("event_id", fs.as_double("x").alias("as_double"), fs.as_long("x").alias("as_long"), fs.as_date("d").alias("as_date"))
