@@ -57,9 +57,9 @@ def fund_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
     At most (number of funds) × (calendar days) rows, whatever the number of decisions: small
     enough to broadcast by construction.
     """
-    asked = F.array(*[F.struct(s.alias("symbol"), F.col(d).alias("target_date"))
+    asked = F.array(*[F.named_struct(F.lit("symbol"), s, F.lit("target_date"), F.col(d))
                       for s in (F.lit(MARKET_FUND), F.col("fund")) for d in ("opened_at", "target_date")])
-    points = rows.select(F.explode(asked).alias("p")).select("p.*").distinct()
+    points = rows.select(F.explode(asked).alias("p")).select(F.col("p.symbol").alias("symbol"), F.col("p.target_date").alias("target_date"))
     return asof_price(points, prices.filter(F.col("symbol").isin(*FUNDS)), variant="ledger").select("symbol", "target_date", "value")
 
 

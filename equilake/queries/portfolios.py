@@ -170,22 +170,22 @@ def f6_cost_basis(wh):
 
 
 @query("a5_sector_exposure", f"""
-select account_id, sector, {s2('sum(market_value)', 'market_value')}, {s4('sum(market_value) / nullif(abs(max(total_mv)), 0) * 100', 'weight_pct')}, cast(count(*) as bigint) as holdings
+select account_id, sector, {s4('sum(market_value)', 'market_value')}, {s4('sum(market_value) / nullif(abs(max(total_mv)), 0) * 100', 'weight_pct')}, cast(count(*) as bigint) as holdings
 from {{vw}} group by account_id, sector""", _V)
 def a5_sector_exposure(wh):
     df = portfolio.sector_exposure(_view(wh))
-    return df.select("account_id", "sector", r2("market_value"), r4("weight_pct"), "holdings")
+    return df.select("account_id", "sector", r4("market_value"), r4("weight_pct"), "holdings")
 
 
 @query("a6_portfolio_summary", f"""
-select account_id, max(as_of_date) as as_of_date, cast(count(*) as bigint) as holdings_count, {s2('sum(market_value)', 'total_market_value')}, {s2('sum(unrealized_pnl)', 'total_unrealized_pnl')},
+select account_id, max(as_of_date) as as_of_date, cast(count(*) as bigint) as holdings_count, {s4('sum(market_value)', 'total_market_value')}, {s2('sum(unrealized_pnl)', 'total_unrealized_pnl')},
   {s4('sum(unrealized_pnl) / nullif(abs(sum(cost)), 0) * 100', 'total_unrealized_pnl_pct')}, {s2('sum(day_pnl)', 'day_pnl')}, {s4('sum(day_pnl) / nullif(abs(sum(prev_value)), 0) * 100', 'day_pnl_pct')},
   {s2("sum(case when asset_category = 'CASH' then market_value end)", 'cash')}, mode(currency) as currency, cast(count(distinct currency) as bigint) as currencies,
   cast(count(decision_id) as bigint) as decided_positions from {{vw}} group by account_id""", _V)
 def a6_portfolio_summary(wh):
     df = portfolio.portfolio_summary(_view(wh))
     return df.select(
-        "account_id", "as_of_date", "holdings_count", r2("total_market_value"), r2("total_unrealized_pnl"), r4("total_unrealized_pnl_pct"), r2("day_pnl"), r4("day_pnl_pct"),
+        "account_id", "as_of_date", "holdings_count", r4("total_market_value"), r2("total_unrealized_pnl"), r4("total_unrealized_pnl_pct"), r2("day_pnl"), r4("day_pnl_pct"),
         r2("cash"), "currency", "currencies", "decided_positions")
 
 
