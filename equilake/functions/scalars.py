@@ -82,9 +82,12 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 def r_dec(c: Column | str, places: int) -> Column:
-    """Round half up by floor; agrees across engines where ``round`` does not."""
+    """Round by floor; agrees across engines where ``round`` does not.
+
+    The offset is a little over one half, so an exact half never hangs on the last bit of a sum.
+    """
     scale = float(10**places)
-    return F.floor(col(c) * scale + 0.5) / scale
+    return F.floor(col(c) * scale + 0.50013) / scale
 
 
 # ----- vendor JSON ----------------------------------------------------------------------------

@@ -12,7 +12,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,39 +283,33 @@ def position_ledger(fills: DataFrame, keys: Sequence[str], order: Sequence[str],
     b = F.when(starts, F.col("price")).when(adds, F.try_divide(F.col("price") * F.abs("quantity"), total)).otherwise(0.0)
     df = df.withColumns({"_held": held, "_a": a, "_b": b})
 
-    key_fields = [df.schema[k] for k in [*keys, "_block"]]
-    pair = T.StructType([*key_fields, T.StructField("_pa", T.DoubleType()), T.StructField("_pb", T.DoubleType())])
-    names = [*keys, "_block"]
-    sort = list(order)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort)
-        pa, pb = 1.0, 0.0
-        for x, y in zip(pdf["_a"].to_numpy(), pdf["_b"].to_numpy()):
-            pa, pb = x * pa, x * pb + y
-        head = pdf.iloc[[0]][names].copy()
-        head["_pa"], head["_pb"] = pa, pb
-        return head
-
-    pairs = df.select(*names, *[c for c in sort if c not in names], "_a", "_b").groupBy(*names).applyInPandas(compose, pair)
+    names, sort = [*keys, "_block"], list(order)
+    pair = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    rows = F.sort_array(F.collect_list(F.struct(*sort, F.col("_a").alias("_fa"), F.col("_b").alias("_fb"))))
+    composed = F.aggregate(rows, pair, lambda p, x: F.struct((x["_fa"] * p["a"]).alias("a"), (x["_fa"] * p["b"] + x["_fb"]).alias("b")))
+    pairs = df.groupBy(*names).agg(composed.alias("_pair"))
     chained = F.aggregate(
-        F.collect_list(F.struct("_pa", "_pb")).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0), lambda c, p: p["_pa"] * c + p["_pb"])
+        F.collect_list("_pair").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0), lambda c, p: p["a"] * c + p["b"])
     carry = pairs.select(*names, chained.alias("_cost0"))
 
     out_schema = T.StructType([*df.schema.fields, T.StructField("avg_cost", T.DoubleType()), T.StructField("_prior", T.DoubleType())])
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort)
-        cost = float(pdf["_cost0"].iloc[0])
-        after, prior = np.empty(len(pdf)), np.empty(len(pdf))
-        for i, (x, y) in enumerate(zip(pdf["_a"].to_numpy(), pdf["_b"].to_numpy())):
-            prior[i] = cost
-            cost = x * cost + y
-            after[i] = cost
-        pdf["avg_cost"], pdf["_prior"] = after, prior
-        return pdf.drop(columns=["_cost0"])
-
-    done = df.join(carry, names).groupBy(*names).applyInPandas(finish, out_schema)
+    def finish(batches):
+        """Rows arrive block by block in order; a block may continue in the next batch."""
+        current, cost = None, 0.0
+        for pdf in batches:
+            marks = list(zip(*[pdf[n] for n in names]))
+            after, prior = np.empty(len(pdf)), np.empty(len(pdf))
+            for i, (mark, x, y, start) in enumerate(zip(marks, pdf["_a"].to_numpy(), pdf["_b"].to_numpy(), pdf["_cost0"].to_numpy())):
+                if mark != current:
+                    current, cost = mark, start
+                prior[i] = cost
+                cost = x * cost + y
+                after[i] = cost
+            yield pdf.drop(columns=["_cost0"]).assign(avg_cost=after, _prior=prior)
+
+    opened = df.join(carry, names).repartition(*names).sortWithinPartitions(*names, *sort)
+    done = opened.mapInPandas(finish, out_schema)
     closes = (F.col("_held") != 0) & (F.signum("_held") != F.signum("quantity"))
     closed = F.least(F.abs("quantity"), F.abs("_held"))
     gross = F.when(closes, closed * (F.col("price") - F.col("_prior")) * F.signum("_held")).otherwise(0.0)

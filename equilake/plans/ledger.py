@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from equilake.functions.scalars import MARKET_FUND, SECTOR_FUNDS, safe_return, sector_fund
 from equilake.operators.asof import HORIZON_DAYS, asof_price, asof_price_open
 from equilake.operators.ranks import group_median
+from equilake.session import cut_lineage
 
 SIDES = ("buy", "sell")
 GROUPINGS = ("confidence", "sector", "tag")
@@ -67,7 +68,8 @@ def benchmark_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds spy_open, spy_target, sector_open, sector_target and the symbol's own price at the target."""
     own = asof_price(rows.select("symbol", "target_date"), prices, variant="ledger").select("symbol", "target_date", F.col("value").alias("price"))
     out = rows.join(own, ["symbol", "target_date"], "left")
-    funds = F.broadcast(fund_prices(rows, prices))
+    # Joined four times under different names: materialise the few thousand rows once.
+    funds = F.broadcast(cut_lineage(fund_prices(rows, prices)))
     for name, fund, date in (
         ("spy_open", F.lit(MARKET_FUND), "opened_at"), ("spy_target", F.lit(MARKET_FUND), "target_date"),
         ("sector_open", F.when(F.col("fund") != MARKET_FUND, F.col("fund")), "opened_at"),
@@ -135,7 +137,8 @@ def scorecard(decisions: DataFrame, tracking: DataFrame, by: str = "confidence",
         df = df.withColumn("group", F.coalesce(F.nullif("sector_at_open", F.lit("")), F.lit("unknown")))
     else:
         df = df.withColumn("group", F.coalesce(F.col("confidence").cast("string"), F.lit("unrated")))
-    df = df.select("group", "horizon", "return_pct", "alpha_pct")
+    # Read by the averages and twice by the medians.
+    df = cut_lineage(df.select("group", "horizon", "return_pct", "alpha_pct"))
     stats = df.groupBy("group").agg(
         F.count(F.lit(1)).alias("decision_count"), F.count("horizon").alias("tracked_count"),
         F.avg("return_pct").alias("avg_return_pct"), F.avg("alpha_pct").alias("avg_alpha_pct"))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from equilake.queries.registry import ORACLES, QUERIES
 
-for _name in ("windows", "panels", "screens", "companies", "portfolios", "backtests"):
+for _name in ("windows", "panels", "screens", "companies", "portfolios", "backtests", "tables"):
     import_module(f"equilake.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

