@@ -273,7 +273,7 @@ def _orders_extra():
 select o.order_id, o.kind as order_type, f.fd as fill_date, {s6('''case when f.fd is null then null else case kind when 'MARKET' then b.open * (1 + up * 0.0005) when 'LIMIT' then case when up > 0 then least(px - 3, b.open) else greatest(px + 3, b.open) end
   when 'STOP' then case when up > 0 then greatest(px + 2, b.open) else least(px - 2, b.open) end * (1 + up * 0.0005)
   else case when up > 0 then least(px + 1.5, b.open) else greatest(px - 1.5, b.open) end end end''', 'fill_price')}
-from {{ord}} o left join {{first}} f on o.order_id = f.order_id left join {{daily_prices}} b on o.symbol = b.symbol and b.trade_date = f.fd""", _orders_extra())
+from {{ord}} o left join {{first}} f on o.order_id = f.order_id left join {{daily_prices}} b on o.symbol = b.symbol and b.trade_date = f.fd""", _orders_extra(), share=("px_walk", "px_daily"))
 def b8_match_orders(wh):
     df = orders.match_orders(_order_rows(wh), wh.daily_prices)
     return df.select("order_id", "order_type", "fill_date", F.when(F.col("fill_date").isNotNull(), r6(F.col("fill_price"))).alias("fill_price"))
@@ -294,7 +294,7 @@ _STOP = """select decision_id, symbol, opened_at, case when side = 'buy' then 1.
 select p.decision_id as position_id, h.d as hit_date, case when up * case when up > 0 then b.low else b.high end <= up * (px - up * 6) then 'stop_loss' when h.d is not null then 'take_profit' end as hit_reason
 from {{p}} p left join (select p.decision_id, min(b.trade_date) as d from {{p}} p join {{daily_prices}} b on p.symbol = b.symbol and b.trade_date > p.opened_at
   where case when up > 0 then b.low <= px - 6 or b.high >= px + 8 else b.high >= px + 6 or b.low <= px - 8 end group by p.decision_id) h on p.decision_id = h.decision_id
-left join {{daily_prices}} b on p.symbol = b.symbol and b.trade_date = h.d""", {"dec": _orders_extra()["dec"], "p": _STOP})
+left join {{daily_prices}} b on p.symbol = b.symbol and b.trade_date = h.d""", {"dec": _orders_extra()["dec"], "p": _STOP}, share=("px_walk", "px_daily"))
 def b10_stop_hits(wh):
     df = orders.stop_hits(_stop_rows(wh, stop_loss=F.col("px") - F.col("up") * 6, take_profit=F.col("px") + F.col("up") * 8), wh.daily_prices)
     return df.select("position_id", "hit_date", "hit_reason")
@@ -315,7 +315,7 @@ select p.decision_id as position_id, min(d) as hit_date from {{p}} p left join (
   select decision_id, trade_date as d from (
     select p.decision_id, p.up, b.trade_date, b.low, b.high, greatest(max(b.high) over w, p.px) as hi, least(min(b.low) over w, p.px) as lo
     from {{p}} p join {{daily_prices}} b on p.symbol = b.symbol and b.trade_date > p.opened_at window w as (partition by p.decision_id order by b.trade_date)) x
-  where case when up > 0 then low <= hi * (1 - 0.08) else high >= lo * (1 + 0.08) end) h on p.decision_id = h.decision_id group by p.decision_id""", {"dec": _orders_extra()["dec"], "p": _STOP})
+  where case when up > 0 then low <= hi * (1 - 0.08) else high >= lo * (1 + 0.08) end) h on p.decision_id = h.decision_id group by p.decision_id""", {"dec": _orders_extra()["dec"], "p": _STOP}, share=("px_walk", "px_daily"))
 def b10_trailing_stop(wh):
     df = orders.stop_hits(_stop_rows(wh, trail_pct=F.lit(0.08), entry_price=F.col("px")), wh.daily_prices)
     return df.select("position_id", "hit_date")
@@ -344,7 +344,7 @@ _A = {"ap": _AP, "ae": _AE, "ms": _MS}
 
 
 @query("b11_margin_status", f"""
-select account_id, d as trade_date, {s2('need', 'margin_required')}, {s2('equity - need', 'margin_excess')}, {s4('equity / nullif(need, 0)', 'margin_ratio')}, need > 0 and equity < need as margin_call from {{ms}}""", _A)
+select account_id, d as trade_date, {s2('need', 'margin_required')}, {s2('equity - need', 'margin_excess')}, {s4('equity / nullif(need, 0)', 'margin_ratio')}, need > 0 and equity < need as margin_call from {{ms}}""", _A, share=("holdings",))
 def b11_margin_status(wh):
     from equilake.functions.scalars import nan_to_null
 
@@ -368,7 +368,7 @@ select o.account_id, o.d as trade_date, o.symbol, not (o.c is not null and o.n *
 from {ao} o left join {ms} m on o.account_id = m.account_id and o.d = m.d
 left join (select e.account_id, e.d, e.equity - coalesce(sum(case when p.q > 0 then p.q * p.c when p.q < 0 then 'inf'::double end), 0) as excess
   from {ae} e left join (select * from {ap} where q <> 0 and c is not null) p on e.account_id = p.account_id and e.d = p.d group by e.account_id, e.d, e.equity) k
-  on o.account_id = k.account_id and o.d = k.d""", {**_A, "ao": _AO})
+  on o.account_id = k.account_id and o.d = k.d""", {**_A, "ao": _AO}, share=("holdings",))
 def b12_margin_check(wh):
     positions, equity, asked = _account_positions(wh), _account_equity(wh), _account_orders(wh)
     margin = orders.margin_check(asked, orders.margin_status(positions, equity, _KEYS), _KEYS).select(*_KEYS, "symbol", "margin_approved")
@@ -412,7 +412,7 @@ def b15_position_limit(wh):
 @query("b16_largest_position", """
 select account_id, d as trade_date, symbol, case when q > 0 then 'SHORT' else 'LONG' end as direction, abs(q) as quantity from (
   select p.*, row_number() over (partition by p.account_id, p.d order by abs(p.q * p.c) desc, p.symbol) as rn from {ap} p join {ms} m on p.account_id = m.account_id and p.d = m.d
-  where m.need > 0 and m.equity < m.need and p.q <> 0 and p.c is not null) x where rn = 1""", _A)
+  where m.need > 0 and m.equity < m.need and p.q <> 0 and p.c is not null) x where rn = 1""", _A, share=("holdings",))
 def b16_largest_position(wh):
     positions = _account_positions(wh)
     return orders.largest_position_to_close(orders.margin_status(positions, _account_equity(wh), _KEYS), positions, _KEYS)
@@ -420,7 +420,7 @@ def b16_largest_position(wh):
 
 @query("b19_check_orders", f"""
 select account_id, d as trade_date, symbol, cast(case when a > 0 and (c is null or a * c * 0.5 <= excess) then a else 0 end as bigint) as quantity from (
-  select l.*, {_ALLOWED.replace('equity', 'l.equity')} as a, m.equity - m.need as excess from {{li}} l left join {{ms}} m on l.account_id = m.account_id and l.d = m.d) x""", {**_A, "ao": _AO, "li": _LIMITED})
+  select l.*, {_ALLOWED.replace('equity', 'l.equity')} as a, m.equity - m.need as excess from {{li}} l left join {{ms}} m on l.account_id = m.account_id and l.d = m.d) x""", {**_A, "ao": _AO, "li": _LIMITED}, share=("holdings",))
 def b19_check_orders(wh):
     equity = _account_equity(wh)
     asked = _account_orders(wh).join(equity, _KEYS, "left").withColumn("tripped", F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from equilake.functions.scores import PIOTROSKI_LEGS
 from equilake.plans import research, valuation
-from equilake.queries.registry import query, r2, r4, r6, s2, s4, s6
+from equilake.queries.registry import BASE, query, r2, r4, r6, s2, s4, s6
 
 AS_OF = dt.date(1999, 6, 30)
 
@@ -99,7 +99,7 @@ def v5_earnings_growth(wh):
     return valuation.earnings_growth(wh.income_statement).select("symbol", r6("earnings_growth"))
 
 
-@query("v6_v9_inputs", f"""select symbol, {s2('shares', 'shares')}, {s2('debt', 'net_debt')}, {s2('ebitda', 'ebitda')}, {s2('rev', 'revenue_net')}, {s6('wacc', 'wacc')} from {{vin}}""", _X)
+@query("v6_v9_inputs", f"""select symbol, {s2('shares', 'shares')}, {s2('debt', 'net_debt')}, {s2('ebitda', 'ebitda')}, {s2('rev', 'revenue_net')}, {s6('wacc', 'wacc')} from {{vin}}""", _X, share=BASE)
 def v6_v9_inputs(wh):
     df = _resolved(wh)
     return df.select("symbol", r2("shares_out", "shares"), r2("debt", "net_debt"), r2("ebitda"), r2("revenue_net"), r6("a_wacc", "wacc"))
@@ -107,7 +107,7 @@ def v6_v9_inputs(wh):
 
 @query("v10_dcf", f"""
 select symbol, {s4(_fair(_G), 'fair_value')}, case when fg is not null then 'forward_consensus' when hg is not null then 'historical_fcf_cagr' else 'default_fallback' end as growth_source
-from {{vin}}""", _X)
+from {{vin}}""", _X, share=BASE)
 def v10_dcf(wh):
     df = _resolved(wh).withColumn("d", valuation.dcf_for())
     return df.select("symbol", r4("d.fair_value", "fair_value"), "growth_source")
@@ -117,7 +117,7 @@ def v10_dcf(wh):
 select symbol, cast(gi as int) as growth_index, cast(wi as int) as wacc_index, {s4(_fair('gx', 'wx'), 'fair_value')} from (
   select *, gi, wi, case gi when 0 then greatest(g - 0.04, -0.10) when 1 then greatest(g - 0.02, -0.10) when 2 then g when 3 then g + 0.02 else g + 0.04 end as gx,
     case wi when 0 then greatest(wacc - 0.02, 0.02) when 1 then greatest(wacc - 0.01, 0.02) when 2 then wacc when 3 then wacc + 0.01 else wacc + 0.02 end as wx
-  from (select *, {_G} as g from {{vin}}) v cross join range(5) a(gi) cross join range(5) b(wi)) x where base > 0 and wacc > 0.025""", _X)
+  from (select *, {_G} as g from {{vin}}) v cross join range(5) a(gi) cross join range(5) b(wi)) x where base > 0 and wacc > 0.025""", _X, share=BASE)
 def v11_dcf_sensitivity(wh):
     df = valuation.dcf_sensitivity(_resolved(wh))
     return df.select("symbol", "growth_index", "wacc_index", r4("fair_value"))
@@ -131,7 +131,7 @@ from {{ends}} v left join (select symbol, g from {{bis}} where g is not null) b
       union all
       select symbol, case when v < price then mid else a end, case when v < price then b else mid end, it + 1, case when abs(v - price) < 1e-4 * greatest(1.0, abs(price)) then mid end
       from (select x.*, {_fair('mid')} as v from (select r.symbol, r.a, r.b, r.it, (r.a + r.b) / 2 as mid, e.price, e.base, e.wacc, e.debt, e.shares
-            from {{bis}} r join {{ends}} e on r.symbol = e.symbol where r.g is null and r.it < 100) x) y"""}, recursive=True)
+            from {{bis}} r join {{ends}} e on r.symbol = e.symbol where r.g is null and r.it < 100) x) y"""}, recursive=True, share=BASE)
 def v12_implied_growth(wh):
     df = valuation.implied_growth(_resolved(wh))
     return df.select("symbol", r6("implied_growth"), "implied_above", "implied_below")
@@ -139,26 +139,26 @@ def v12_implied_growth(wh):
 
 @query("v13_scenario_dcf", f"""
 select symbol, {s4('lo', 'bear_value')}, {s4('mid', 'base_value')}, {s4('hi', 'bull_value')}, {s4('0.25 * lo + 0.5 * mid + 0.25 * hi', 'scenario_value')} from (
-  select symbol, {_fair('(g - 0.04)')} as lo, {_fair('g')} as mid, {_fair('(g + 0.04)')} as hi from (select *, {_G} as g from {{vin}}) v where base > 0) x""", _X)
+  select symbol, {_fair('(g - 0.04)')} as lo, {_fair('g')} as mid, {_fair('(g + 0.04)')} as hi from (select *, {_G} as g from {{vin}}) v where base > 0) x""", _X, share=BASE)
 def v13_scenario_dcf(wh):
     df = valuation.scenario_dcf(_resolved(wh))
     return df.select("symbol", *[r4(c) for c in ("bear_value", "base_value", "bull_value", "scenario_value")])
 
 
-@query("v14_peg", f"select symbol, {s6('g', 'growth_rate')}, {s4('peg', 'peg_ratio')}, {s4('fv', 'fair_value')} from {{pegs}}", {**_X, "pegs": _PEG})
+@query("v14_peg", f"select symbol, {s6('g', 'growth_rate')}, {s4('peg', 'peg_ratio')}, {s4('fv', 'fair_value')} from {{pegs}}", {**_X, "pegs": _PEG}, share=BASE)
 def v14_peg(wh):
     return valuation.peg(_inputs(wh)).select("symbol", r6("growth_rate"), r4("peg_ratio"), r4("fair_value"))
 
 
 @query("v15_multiples", f"""select symbol, {s4('pp', 'pe_price')}, {s4('ev', 'ev_price')}, {s4('ps', 'ps_price')}, {s4('fv', 'fair_value')},
-  {s6('fv / coalesce(nullif(price, 0), cap) - 1', 'upside')} from {{mult}}""", {**_X, "med": _MED, "mult": _MULT})
+  {s6('fv / coalesce(nullif(price, 0), cap) - 1', 'upside')} from {{mult}}""", {**_X, "med": _MED, "mult": _MULT}, share=BASE)
 def v15_multiples(wh):
     medians = valuation.peer_medians(wh.profiles, wh.financial_ratios, ["pe_ratio", "ev_to_ebitda", "price_to_sales"])
     df = valuation.multiples(_inputs(wh), medians)
     return df.select("symbol", *[r4(c) for c in ("pe_price", "ev_price", "ps_price", "fair_value")], r6("upside"))
 
 
-@query("a2_peer_median", f"select sector, {s6('pe', 'median')} from {{med}}", {"med": _MED})
+@query("a2_peer_median", f"select sector, {s6('pe', 'median')} from {{med}}", {"med": _MED}, share=BASE)
 def a2_peer_median(wh):
     return valuation.peer_median(wh.profiles, wh.financial_ratios, "pe_ratio").withColumn("median", r6("median"))
 
@@ -167,14 +167,14 @@ def a2_peer_median(wh):
 select symbol, price as current_price, {s4('dv', 'dcf_value')}, {s4('pv', 'peg_value')}, {s4('mv', 'multiples_value')}, {s4('m', 'fair_value_mean')}, {s4('m / nullif(price, 0) - 1', 'upside_mean')}
 from (select *, (coalesce(dv, 0) + coalesce(pv, 0) + coalesce(mv, 0)) / nullif((case when dv is null then 0 else 1 end) + (case when pv is null then 0 else 1 end)
         + (case when mv is null then 0 else 1 end), 0) as m
-      from (select v.symbol, v.price, {_fair(_G)} as dv, p.fv as pv, u.fv as mv from {{vin}} v left join {{pegs}} p on v.symbol = p.symbol left join {{mult}} u on v.symbol = u.symbol) x) y""", _ALL)
+      from (select v.symbol, v.price, {_fair(_G)} as dv, p.fv as pv, u.fv as mv from {{vin}} v left join {{pegs}} p on v.symbol = p.symbol left join {{mult}} u on v.symbol = u.symbol) x) y""", _ALL, share=BASE)
 def v16_value_companies(wh):
     df = valuation.value_companies(wh, AS_OF)
     return df.select("symbol", "current_price", *[r4(c) for c in ("dcf_value", "peg_value", "multiples_value", "fair_value_mean", "upside_mean")])
 
 
 @query("v16_overrides", f"""
-select v.symbol, {s4(_fair('0.07').replace('wacc', 'w'), 'dcf_value')} from (select v.*, case when p.beta > 1.5 then 0.12 else v.wacc end as w from {{vin}} v join {{profiles}} p on v.symbol = p.symbol) v""", _X)
+select v.symbol, {s4(_fair('0.07').replace('wacc', 'w'), 'dcf_value')} from (select v.*, case when p.beta > 1.5 then 0.12 else v.wacc end as w from {{vin}} v join {{profiles}} p on v.symbol = p.symbol) v""", _X, share=BASE)
 def v16_overrides(wh):
     overrides = wh.profiles.select("symbol", F.lit(0.07).alias("growth_rate"), F.when(F.col("beta") > 1.5, 0.12).alias("wacc"))
     return valuation.value_companies(wh, AS_OF, overrides, ["dcf"]).select("symbol", r4("dcf_value"))
@@ -196,7 +196,7 @@ _SKIP_TURNOVER = [leg for leg in PIOTROSKI_LEGS if leg not in ("delta_turnover",
 
 @query("f7_piotroski", f"""
 select c.symbol, {', '.join(f"cast({sql} as int) as {n}" for n, sql in _LEGS.items() if n in _SKIP_TURNOVER)}, {s4('c.sh', 'shares_now')}, {s4('p.sh', 'shares_before')}
-from {{yr}} c join {{yr}} p on c.symbol = p.symbol and c.rn = 1 and p.rn = 2 where not c.bank""", {"yr": _YEARS})
+from {{yr}} c join {{yr}} p on c.symbol = p.symbol and c.rn = 1 and p.rn = 2 where not c.bank""", {"yr": _YEARS}, share=BASE)
 def f7_piotroski(wh):
     """The turnover leg compares two ratios that are exactly 1/3 here and is checked by unit test."""
     from equilake.operators.latest import top_n_per_key
@@ -211,7 +211,7 @@ def f7_piotroski(wh):
 
 @query("f8_altman", f"""
 select symbol, {s6('z', 'z_score')}, case when z > 2.6 then 'safe' when z < 1.1 then 'distress' when z is not null then 'grey' end as zone from (
-  select symbol, 6.56 * (ca - cl) / nullif(ta, 0) + 3.26 * re / nullif(ta, 0) + 6.72 * oi / nullif(ta, 0) + 1.05 * eq / nullif(tl, 0) as z from {{yr}} where rn = 1 and not bank) x""", {"yr": _YEARS})
+  select symbol, 6.56 * (ca - cl) / nullif(ta, 0) + 3.26 * re / nullif(ta, 0) + 6.72 * oi / nullif(ta, 0) + 1.05 * eq / nullif(tl, 0) as z from {{yr}} where rn = 1 and not bank) x""", {"yr": _YEARS}, share=BASE)
 def f8_altman(wh):
     df = research.scores_section(wh).filter("template = 'general'")
     return df.select("symbol", r6("altman_z.z_score", "z_score"), F.col("altman_z.zone").alias("zone"))
@@ -221,7 +221,7 @@ def f8_altman(wh):
 select c.symbol, {s6('r.return_on_invested_capital - (0.045 + coalesce(2.0 / 3.0 * p.beta + 1.0 / 3.0, 1.0) * 0.055)', 'roic_wacc_spread')},
   {s6('k.free_cash_flow / nullif(c.ni, 0)', 'fcf_conversion')}, {s6('(c.ni - c.cfo) / nullif(c.ta, 0)', 'accruals_ratio')}
 from {{yr}} c join {{profiles}} p on c.symbol = p.symbol join {_newest('financial_ratios')} r on c.symbol = r.symbol join {_newest('cash_flow')} k on c.symbol = k.symbol
-where c.rn = 1 and not c.bank""", {"yr": _YEARS})
+where c.rn = 1 and not c.bank""", {"yr": _YEARS}, share=BASE)
 def f9_quality_general(wh):
     df = research.quality_section(wh).filter("template = 'general'")
     return df.select("symbol", r6("roic_wacc_spread"), r6("fcf_conversion"), r6("accruals_ratio"))
@@ -232,7 +232,7 @@ select c.symbol, {s6('c.ni / nullif(c.ta, 0)', 'roa')}, {s6('c.ni / nullif(c.eq,
   {s6("cast(json_extract_string(i.raw, '$.netInterestIncome') as double) / nullif((c.ta + p.ta) / 2, 0)", 'net_interest_margin')},
   {s6("cast(json_extract_string(i.raw, '$.operatingExpenses') as double) / nullif(cast(json_extract_string(i.raw, '$.netInterestIncome') as double) + c.rev - cast(json_extract_string(i.raw, '$.interestIncome') as double), 0)", 'efficiency_ratio')},
   {s6('c.eq / nullif(c.ta, 0)', 'equity_to_assets')}
-from {{yr}} c join {{yr}} p on c.symbol = p.symbol and p.rn = 2 join {_newest('income_statement')} i on c.symbol = i.symbol where c.rn = 1 and c.bank""", {"yr": _YEARS})
+from {{yr}} c join {{yr}} p on c.symbol = p.symbol and p.rn = 2 join {_newest('income_statement')} i on c.symbol = i.symbol where c.rn = 1 and c.bank""", {"yr": _YEARS}, share=BASE)
 def f10_quality_bank(wh):
     df = research.quality_section(wh).filter("template = 'bank'")
     return df.select("symbol", *[r6(c) for c in ("roa", "roe", "net_interest_margin", "efficiency_ratio", "equity_to_assets")])
@@ -242,13 +242,13 @@ def f10_quality_bank(wh):
 select symbol, cast(count(*) as bigint) as n, {s6('max_by(gm, fiscal_date) - min_by(gm, fiscal_date)', 'gross_margin_change')} from (
   select i.symbol, i.fiscal_date, i.gross_profit / nullif(i.revenue, 0) as gm, row_number() over (partition by i.symbol order by i.fiscal_date desc) as rn
   from {{income_statement}} i join {{profiles}} p on i.symbol = p.symbol where i.period = 'FY' and p.industry <> 'Banks - Regional') x
-where rn <= 6 and gm is not null group by symbol having count(*) >= 2""")
+where rn <= 6 and gm is not null group by symbol having count(*) >= 2""", share=BASE)
 def r2_quality_trends(wh):
     df = research.quality_section(wh).filter("gross_margin_trend is not null")
     return df.select("symbol", F.col("gross_margin_trend.n").alias("n"), r6("gross_margin_trend.change", "gross_margin_change"))
 
 
-@query("r2_scores_section")
+@query("r2_scores_section", share=BASE)
 def r2_scores_section(wh):
     return research.scores_section(wh)
 
@@ -275,7 +275,7 @@ def a4_insider_recent(wh):
 select i.symbol, i.period, i.fiscal_date, e.symbol is not null as estimate_available, {s6('(coalesce(i.eps_diluted, i.eps) - e.eps_avg) / nullif(abs(e.eps_avg), 0) * 100', 'eps_surprise_pct')},
   {s6("(i.revenue - case when p.industry = 'Banks - Regional' then cast(json_extract_string(i.raw, '$.interestExpense') as double) else 0 end - e.revenue_avg) / nullif(abs(e.revenue_avg), 0) * 100", 'revenue_surprise_pct')}
 from (select *, row_number() over (partition by symbol order by fiscal_date desc, period) as rn from {{income_statement}}) i
-join {{profiles}} p on i.symbol = p.symbol left join {{analyst_estimates}} e on i.symbol = e.symbol and i.period = e.period and i.fiscal_date = e.fiscal_date where rn <= 4""")
+join {{profiles}} p on i.symbol = p.symbol left join {{analyst_estimates}} e on i.symbol = e.symbol and i.period = e.period and i.fiscal_date = e.fiscal_date where rn <= 4""", share=BASE)
 def j6_earnings_surprise(wh):
     df = research.earnings_surprise(wh.income_statement, wh.analyst_estimates, wh.profiles)
     return df.select("symbol", "period", "fiscal_date", "estimate_available", r6("eps_surprise_pct"), r6("revenue_surprise_pct"))
@@ -285,7 +285,7 @@ def j6_earnings_surprise(wh):
 select i.symbol, cast(count(*) as bigint) as periods_found, cast(count(e.symbol) as bigint) as estimates_matched, cast(max(d.c) as int) as thesis_count
 from (select *, row_number() over (partition by symbol order by fiscal_date desc, period) as rn from {income_statement}) i
 left join {analyst_estimates} e on i.symbol = e.symbol and i.period = e.period and i.fiscal_date = e.fiscal_date
-left join (select symbol, least(count(*), 5) as c from {decision_base} group by symbol) d on i.symbol = d.symbol where rn <= 4 group by i.symbol""")
+left join (select symbol, least(count(*), 5) as c from {decision_base} group by symbol) d on i.symbol = d.symbol where rn <= 4 group by i.symbol""", share=BASE)
 def r3_earnings_read(wh):
     from equilake.queries.portfolios import decisions
 
@@ -332,7 +332,7 @@ left join (select symbol, cast(least(count(*), 10) as int) as c from {news_items
 left join (select symbol, cast(least(count(*), 5) as int) as c from {income_statement} group by symbol) s on u.symbol = s.symbol
 left join (select symbol, cast(count(distinct model_type) as int) as c from {valuation_snapshots} group by symbol) v on u.symbol = v.symbol
 left join (select symbol, max(year) as year from {transcripts} group by symbol) t on u.symbol = t.symbol
-left join {profiles} p on u.symbol = p.symbol""")
+left join {profiles} p on u.symbol = p.symbol""", share=BASE)
 def r1_research_bundles(wh):
     df = research.research_bundles(wh, AS_OF)
     return df.select(

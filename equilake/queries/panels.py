@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from equilake.operators.asof import asof_price, asof_price_open
 from equilake.operators.ranks import group_median, rank_correlation, with_quantile_bucket
 from equilake.plans import factors
-from equilake.queries.registry import query, r6, s6
+from equilake.queries.registry import BASE, query, r6, s6
 from equilake.sources.bars import price_series, rebalance_dates, scan_bars
 
 _UP = "select * from {daily_prices} where symbol in (select symbol from {universe})"
@@ -104,7 +104,7 @@ def j2_asof_price_open(wh):
     return asof_price_open(wh.decision_base.select("symbol", F.col("opened_at").alias("target_date")), wh.daily_prices)
 
 
-@query("j3_pit_factor", f"select symbol, d as rebalance_date, {s6('factor', 'factor')} from {{fac}}", _FUND)
+@query("j3_pit_factor", f"select symbol, d as rebalance_date, {s6('factor', 'factor')} from {{fac}}", _FUND, share=BASE)
 def j3_pit_factor(wh):
     dates = rebalance_dates(factors.universe_prices(wh))
     targets = factors.universe_dates(wh.universe, dates)
@@ -129,7 +129,7 @@ def r7_factor_panel_momentum(wh):
     return factors.factor_panel(wh, "momentum_12_1", dates).withColumn("factor", r6("factor"))
 
 
-@query("r7_factor_panel_roe", f"select d as rebalance_date, symbol, {s6('factor', 'factor')} from {{fac}}", _FUND)
+@query("r7_factor_panel_roe", f"select d as rebalance_date, symbol, {s6('factor', 'factor')} from {{fac}}", _FUND, share=BASE)
 def r7_factor_panel_roe(wh):
     dates = rebalance_dates(factors.universe_prices(wh))
     return factors.factor_panel(wh, "roe", dates).withColumn("factor", r6("factor"))
@@ -140,7 +140,7 @@ def r8_ic_series_momentum(wh):
     return factors.run_signal(wh, "momentum_12_1").ics.withColumn("ic", r6("ic"))
 
 
-@query("r8_ic_series_roe", f"select d as rebalance_date, horizon, n, {s6('ic', 'ic')} from {{ics}}", {**_FUND, **_RET, **_STATS})
+@query("r8_ic_series_roe", f"select d as rebalance_date, horizon, n, {s6('ic', 'ic')} from {{ics}}", {**_FUND, **_RET, **_STATS}, share=BASE)
 def r8_ic_series_roe(wh):
     return factors.run_signal(wh, "roe").ics.withColumn("ic", r6("ic"))
 
@@ -187,7 +187,7 @@ from (select cast(count(*) as bigint) as n_rebalance_dates, avg(c) as avg_ranked
             on r.d = p.d group by r.d) q) a,
      (select cast(count(*) as bigint) as n_dates_with_ic from {{ics}} where horizon = '1m') b,
      (select cast(count(*) as bigint) as universe_size, cast(sum(c) as bigint) as distinct_observations
-      from (select symbol, count(distinct factor) as c from {{fac}} group by symbol) z) c""", {**_FUND, **_RET, **_STATS})
+      from (select symbol, count(distinct factor) as c from {{fac}} group by symbol) z) c""", {**_FUND, **_RET, **_STATS}, share=BASE)
 def a11_coverage(wh):
     df = factors.run_signal(wh, "roe").coverage
     return df.select("kind", "n_rebalance_dates", "n_dates_with_ic", r6("avg_ranked"), "min_ranked", "max_ranked", "universe_size", "distinct_observations", "quasi_static")
@@ -197,7 +197,7 @@ def a11_coverage(wh):
 select i.mean_ic, i.n_dates, q.spread from
   (select {s6('avg(ic)', 'mean_ic')}, cast(count(*) as bigint) as n_dates from {{ics}} where horizon = '1m') i,
   (select {s6('max(case when bucket = 5 then mean_return end) - max(case when bucket = 1 then mean_return end)', 'spread')} from {{qr}}) q""",
-       {**_FUND, **_RET, **_STATS, **_QUANT})
+       {**_FUND, **_RET, **_STATS, **_QUANT}, share=BASE)
 def r9_run_signal(wh):
     run = factors.run_signal(wh, "roe")
     spread = run.spread.select(r6("long_short_spread", "spread"))

@@ -51,13 +51,13 @@ _TRK = """select *, r - coalesce(sr, mr) as alpha from (
 _X = {"dec": _DEC, "lk": _LK, "t0": _T0, "t1": _T1, "t2": _T2, "t3": _T3, "t4": _T4, "trk": _TRK}
 
 
-@query("r5_record_decisions", "select decision_id, symbol, side, opened_at, price_at_open, sector_at_open from {dec}", {"dec": _DEC})
+@query("r5_record_decisions", "select decision_id, symbol, side, opened_at, price_at_open, sector_at_open from {dec}", {"dec": _DEC}, share=("px_walk", "px_daily"))
 def r5_record_decisions(wh):
     return decisions(wh).select("decision_id", "symbol", "side", "opened_at", "price_at_open", "sector_at_open")
 
 
 @query("r6_track_decisions", f"""
-select decision_id, horizon, td as tracked_at, price, {s6('r', 'return_pct')}, {s6('mr', 'spy_return_pct')}, etf as sector_etf, {s6('sr', 'sector_return_pct')}, {s6('alpha', 'alpha_pct')} from {{trk}}""", _X)
+select decision_id, horizon, td as tracked_at, price, {s6('r', 'return_pct')}, {s6('mr', 'spy_return_pct')}, etf as sector_etf, {s6('sr', 'sector_return_pct')}, {s6('alpha', 'alpha_pct')} from {{trk}}""", _X, share=("px_walk", "px_daily"))
 def r6_track_decisions(wh):
     df = tracking(wh)
     return df.select(
@@ -72,14 +72,14 @@ def r6_track_summary(wh):
     return ledger.track_summary(wh.decision_base, TODAY)
 
 
-@query("j12_benchmark_prices", "select decision_id, horizon, price, spy_open, spy_target, sector_open, sector_target from {t4}", _X)
+@query("j12_benchmark_prices", "select decision_id, horizon, price, spy_open, spy_target, sector_open, sector_target from {t4}", _X, share=("px_walk", "px_daily"))
 def j12_benchmark_prices(wh):
     rows = ledger.lookups(decisions(wh), TODAY)
     return ledger.benchmark_prices(rows, wh.all_prices).select("decision_id", "horizon", "price", "spy_open", "spy_target", "sector_open", "sector_target")
 
 
 @query("j9_decisions_with_tracking", f"""
-select d.decision_id, d.side, t.horizon, {s6('t.r', 'return_pct')} from {{dec}} d left join (select * from {{trk}} where horizon = '3m') t on d.decision_id = t.decision_id""", _X)
+select d.decision_id, d.side, t.horizon, {s6('t.r', 'return_pct')} from {{dec}} d left join (select * from {{trk}} where horizon = '3m') t on d.decision_id = t.decision_id""", _X, share=("px_walk", "px_daily"))
 def j9_decisions_with_tracking(wh):
     decided = decisions(wh)
     df = ledger.decisions_with_tracking(decided, tracking(wh, decided), "3m")
@@ -87,7 +87,7 @@ def j9_decisions_with_tracking(wh):
 
 
 @query("j14_decision_detail", "select d.decision_id, cast(count(t.horizon) as int) as rows_tracked, string_agg(t.horizon, ',' order by t.td) as horizons "
-       "from {dec} d left join {trk} t on d.decision_id = t.decision_id group by d.decision_id", _X)
+       "from {dec} d left join {trk} t on d.decision_id = t.decision_id group by d.decision_id", _X, share=("px_walk", "px_daily"))
 def j14_decision_detail(wh):
     decided = decisions(wh)
     df = ledger.decision_detail(decided, tracking(wh, decided))
@@ -106,25 +106,25 @@ def _rounded(card):
     return card.select("group", "decision_count", "tracked_count", r6("avg_return_pct"), r6("avg_alpha_pct"), r6("median_alpha_pct"))
 
 
-@query("a3_scorecard_confidence", _card("coalesce(cast(d.confidence as varchar), 'unrated')", "{dec}"), _X)
+@query("a3_scorecard_confidence", _card("coalesce(cast(d.confidence as varchar), 'unrated')", "{dec}"), _X, share=("px_walk", "px_daily"))
 def a3_scorecard_confidence(wh):
     decided = decisions(wh)
     return _rounded(ledger.scorecard(decided, tracking(wh, decided), "confidence"))
 
 
-@query("a3_scorecard_sector", _card("coalesce(d.sector_at_open, 'unknown')", "{dec}"), _X)
+@query("a3_scorecard_sector", _card("coalesce(d.sector_at_open, 'unknown')", "{dec}"), _X, share=("px_walk", "px_daily"))
 def a3_scorecard_sector(wh):
     decided = decisions(wh)
     return _rounded(ledger.scorecard(decided, tracking(wh, decided), "sector"))
 
 
-@query("a3_scorecard_tag", _card("d.tag", "(select *, unnest(case when tag_list = '' then ['untagged'] else string_split(tag_list, ',') end) as tag from {dec})"), _X)
+@query("a3_scorecard_tag", _card("d.tag", "(select *, unnest(case when tag_list = '' then ['untagged'] else string_split(tag_list, ',') end) as tag from {dec})"), _X, share=("px_walk", "px_daily"))
 def a3_scorecard_tag(wh):
     decided = decisions(wh)
     return _rounded(ledger.scorecard(decided, tracking(wh, decided), "tag"))
 
 
-@query("l4_rank_scorecard", _card("coalesce(d.sector_at_open, 'unknown')", "{dec}"), _X)
+@query("l4_rank_scorecard", _card("coalesce(d.sector_at_open, 'unknown')", "{dec}"), _X, share=("px_walk", "px_daily"))
 def l4_rank_scorecard(wh):
     decided = decisions(wh)
     return _rounded(ledger.rank_scorecard(ledger.scorecard(decided, tracking(wh, decided), "sector")))
@@ -164,7 +164,7 @@ def j15_preferred_valuation(wh):
 
 @query("j10_holdings_view", f"""
 select account_id, symbol, as_of_date, sector, {s4('weight_pct', 'weight_pct')}, {s2('cost', 'cost')}, {s2('unrealized_pnl', 'unrealized_pnl')}, {s4('unrealized_pnl_pct', 'unrealized_pnl_pct')},
-  latest_close, prev_close, {s4('day_change_pct', 'day_change_pct')}, {s2('day_pnl', 'day_pnl')}, model_type, decision_id from {{vw}}""", _V)
+  latest_close, prev_close, {s4('day_change_pct', 'day_change_pct')}, {s2('day_pnl', 'day_pnl')}, model_type, decision_id from {{vw}}""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def j10_holdings_view(wh):
     df = _view(wh)
     return df.select(
@@ -172,14 +172,14 @@ def j10_holdings_view(wh):
         r4("day_change_pct"), r2("day_pnl"), F.col("valuation.model_type").alias("model_type"), F.col("decision.decision_id").alias("decision_id"))
 
 
-@query("f6_cost_basis", f"select account_id, symbol, {s2('cost', 'cost')}, {s2('prev_value', 'prev_value')} from {{vw}}", _V)
+@query("f6_cost_basis", f"select account_id, symbol, {s2('cost', 'cost')}, {s2('prev_value', 'prev_value')} from {{vw}}", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def f6_cost_basis(wh):
     return _view(wh).select("account_id", "symbol", r2("cost"), r2("prev_value"))
 
 
 @query("a5_sector_exposure", f"""
 select account_id, sector, {s4('sum(market_value)', 'market_value')}, {s4('sum(market_value) / nullif(abs(max(total_mv)), 0) * 100', 'weight_pct')}, cast(count(*) as bigint) as holdings
-from {{vw}} group by account_id, sector""", _V)
+from {{vw}} group by account_id, sector""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def a5_sector_exposure(wh):
     df = portfolio.sector_exposure(_view(wh))
     return df.select("account_id", "sector", r4("market_value"), r4("weight_pct"), "holdings")
@@ -189,7 +189,7 @@ def a5_sector_exposure(wh):
 select account_id, max(as_of_date) as as_of_date, cast(count(*) as bigint) as holdings_count, {s4('sum(market_value)', 'total_market_value')}, {s2('sum(unrealized_pnl)', 'total_unrealized_pnl')},
   {s4('sum(unrealized_pnl) / nullif(abs(sum(cost)), 0) * 100', 'total_unrealized_pnl_pct')}, {s2('sum(day_pnl)', 'day_pnl')}, {s4('sum(day_pnl) / nullif(abs(sum(prev_value)), 0) * 100', 'day_pnl_pct')},
   {s2("sum(case when asset_category = 'CASH' then market_value end)", 'cash')}, mode(currency) as currency, cast(count(distinct currency) as bigint) as currencies,
-  cast(count(decision_id) as bigint) as decided_positions from {{vw}} group by account_id""", _V)
+  cast(count(decision_id) as bigint) as decided_positions from {{vw}} group by account_id""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def a6_portfolio_summary(wh):
     df = portfolio.portfolio_summary(_view(wh))
     return df.select(
@@ -200,7 +200,7 @@ def a6_portfolio_summary(wh):
 @query("l3_movers", f"""
 select account_id, symbol, list, cast(rank as int) as rank, {s4('day_change_pct', 'day_change_pct')} from (
   select *, 'top' as list, row_number() over (partition by account_id order by day_change_pct desc, symbol) as rank from {{vw}} where day_change_pct is not null
-  union all select *, 'bottom', row_number() over (partition by account_id order by day_change_pct, symbol desc) from {{vw}} where day_change_pct is not null) x where rank <= 3""", _V)
+  union all select *, 'bottom', row_number() over (partition by account_id order by day_change_pct, symbol desc) from {{vw}} where day_change_pct is not null) x where rank <= 3""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def l3_movers(wh):
     return portfolio.movers(_view(wh)).select("account_id", "symbol", "list", F.col("rank").cast("int").alias("rank"), r4("day_change_pct"))
 
@@ -209,7 +209,7 @@ def l3_movers(wh):
 select account_id, cast(sum(stale) as bigint) as stale_notes, cast(max(mixed) as bigint) as account_notes from (
   select account_id, case when date '2001-11-05' - price_date > 3 then 1 else 0 end as stale,
     (case when count(distinct currency) over (partition by account_id) > 1 then 1 else 0 end) + (case when max(case when asset_category = 'CASH' then 1 else 0 end) over (partition by account_id) = 1 then 1 else 1 end) as mixed
-  from {vw}) x group by account_id""", _V)
+  from {vw}) x group by account_id""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def r4_morning_call(wh):
     call = portfolio.morning_call(wh, decisions(wh), TODAY)
     notes = call["notes"].groupBy("account_id").agg(

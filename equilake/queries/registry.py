@@ -15,12 +15,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, recursive: bool = False):
-    """Register ``fn(warehouse) -> DataFrame``; ``sql`` may refer to bridge tables as ``{name}``."""
+# Bridge tables that most others are derived from.
+BASE = ("px_walk", "fin")
+
+
+def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None, recursive: bool = False, share: tuple[str, ...] = ()):
+    """Register ``fn(warehouse) -> DataFrame``; ``sql`` may refer to bridge tables as ``{name}``.
+
+    ``share`` names bridge tables that the query reads along several paths.
+    """
 
     def decorate(fn):
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return fn(Warehouse.from_star_schema(spark, root))
+            return fn(Warehouse.from_star_schema(spark, root).share(*share))
 
         run.__doc__ = fn.__doc__
         if name in QUERIES:

@@ -13,7 +13,7 @@ from equilake.operators.screen import diff_runs, fundamental_screen, run_screen,
 from equilake.operators.state import combine_year, latest_close, latest_holdings, symbol_state
 from equilake.operators.upsert import membership_diff
 from equilake.plans.valuation import peer_median
-from equilake.queries.registry import query, r2, r6, s2, s6
+from equilake.queries.registry import BASE, query, r2, r6, s2, s6
 
 _STATE = """
 select u.symbol, p.sector, p.industry, p.country, p.beta,
@@ -31,12 +31,12 @@ def _state(wh):
     return symbol_state(wh.universe, wh.profiles, wh.financial_ratios, wh.daily_prices)
 
 
-@query("j5_symbol_state", "select * from {state}", _S)
+@query("j5_symbol_state", "select * from {state}", _S, share=BASE)
 def j5_symbol_state(wh):
     return _state(wh)
 
 
-@query("p1_screen_value", "select symbol from {state} where pe < 60 and roe > 0.005 and (sector in ('Technology', 'Energy', 'Healthcare') or beta >= 1)", _S)
+@query("p1_screen_value", "select symbol from {state} where pe < 60 and roe > 0.005 and (sector in ('Technology', 'Energy', 'Healthcare') or beta >= 1)", _S, share=BASE)
 def p1_screen_value(wh):
     pred = p.cmp(p.fld("pe"), "<", 60) & p.cmp(p.fld("roe"), ">", 0.005) & (
         p.is_in(p.fld("sector"), ["Technology", "Energy", "Healthcare"]) | p.cmp(p.fld("beta"), ">=", 1))
@@ -44,13 +44,13 @@ def p1_screen_value(wh):
 
 
 @query("p1_screen_missing", """
-select symbol from {state} where not coalesce(pe < 60, false) and (sector is null or sector not in ('Utilities', 'Energy')) and not coalesce(beta > 1.2, false)""", _S)
+select symbol from {state} where not coalesce(pe < 60, false) and (sector is null or sector not in ('Utilities', 'Energy')) and not coalesce(beta > 1.2, false)""", _S, share=BASE)
 def p1_screen_missing(wh):
     pred = ~p.cmp(p.fld("pe"), "<", 60) & p.not_in(p.fld("sector"), ["Utilities", "Energy"]) & ~p.cmp(p.fld("beta"), ">", 1.2)
     return fundamental_screen(_state(wh), pred).select("symbol")
 
 
-@query("p1_screen_chain", "select symbol from {state} where 20 < pe and pe < 90 and contains(sector, 'Financial') and pb <= ps * 3 and beta <> 0", _S)
+@query("p1_screen_chain", "select symbol from {state} where 20 < pe and pe < 90 and contains(sector, 'Financial') and pb <= ps * 3 and beta <> 0", _S, share=BASE)
 def p1_screen_chain(wh):
     pred = p.chain(20, "<", p.fld("pe"), "<", 90) & p.is_in("Financial", p.fld("sector")) & p.cmp(
         p.field("pb"), "<=", p.field("ps") * 3) & p.truthy("beta")
@@ -125,7 +125,7 @@ def p8_technical_screen(wh):
 @query("p9_run_screen", """
 select s.symbol from {state} s join (select symbol from {b} group by symbol
   having max(n) >= 200 and max(case when age = 1 then close end) > avg(case when age <= 200 then close end)) t on s.symbol = t.symbol where s.roe > 0""",
-       {"state": _STATE, "b": _AGE})
+       {"state": _STATE, "b": _AGE}, share=BASE)
 def p9_run_screen(wh):
     return run_screen(wh, p.cmp(p.fld("roe"), ">", 0), [("above_sma", [200])])
 
@@ -137,7 +137,7 @@ join (select symbol from {{b}} group by symbol having max(n) >= 252 and max(case
 join (select p.sector, median(r.pe) as pe from {{profiles}} p join (
         select symbol, max_by(pe_ratio, fiscal_date) as pe from {{financial_ratios}} where period = 'FY' and pe_ratio is not null group by symbol) r
       on p.symbol = r.symbol where p.sector is not null group by p.sector) m on s.sector = m.sector
-where s.pe <= m.pe""", {"state": _STATE, "b": _AGE})
+where s.pe <= m.pe""", {"state": _STATE, "b": _AGE}, share=BASE)
 def p9_flagship_screen(wh):
     technical = run_screen(wh, None, [("above_sma", [200]), ("near_52w_high", [5])])
     medians = peer_median(wh.profiles, wh.financial_ratios, "pe_ratio").withColumnRenamed("median", "sector_pe")
@@ -195,7 +195,7 @@ select coalesce(i.symbol, b.symbol, c.symbol) as symbol, cast(coalesce(i.year, b
 from {{i}} i full join {{b}} b on i.symbol = b.symbol and i.year = b.year
 full join {{c}} c on coalesce(i.symbol, b.symbol) = c.symbol and coalesce(i.year, b.year) = c.year""", {
     "i": _ANNUAL.format(cols="revenue, net_income, eps_diluted", table="income_statement"),
-    "b": _ANNUAL.format(cols="total_assets", table="balance_sheet"), "c": _ANNUAL.format(cols="free_cash_flow", table="cash_flow")})
+    "b": _ANNUAL.format(cols="total_assets", table="balance_sheet"), "c": _ANNUAL.format(cols="free_cash_flow", table="cash_flow")}, share=BASE)
 def j7_combine_year(wh):
     df = combine_year(wh.income_statement, wh.balance_sheet, wh.cash_flow)
     return df.select("symbol", "year", r2("revenue"), r2("total_assets"), r2("free_cash_flow"), r6("shares"))
@@ -235,7 +235,7 @@ _SCOPES = " union all ".join(
     for s, (t, c, n) in freshness.SCOPES.items())
 
 
-@query("a1_freshness_states", "select scope, symbol, cast(latest as date) as latest, state from {st}", {"st": _SCOPES})
+@query("a1_freshness_states", "select scope, symbol, cast(latest as date) as latest, state from {st}", {"st": _SCOPES}, share=BASE)
 def a1_freshness_states(wh):
     return freshness.freshness_states(wh, NOW).withColumn("latest", F.to_date("latest"))
 
@@ -243,7 +243,7 @@ def a1_freshness_states(wh):
 @query("a1_freshness_report", """
 select scope, cast(count(*) as bigint) as total, cast(sum(case when state = 'fresh' then 1 else 0 end) as bigint) as fresh,
   cast(sum(case when state = 'stale' then 1 else 0 end) as bigint) as stale, cast(sum(case when state = 'missing' then 1 else 0 end) as bigint) as missing
-from {st} group by scope""", {"st": _SCOPES})
+from {st} group by scope""", {"st": _SCOPES}, share=BASE)
 def a1_freshness_report(wh):
     return freshness.freshness_report(freshness.freshness_states(wh, NOW))
 
@@ -269,7 +269,7 @@ _RUNS = """select 'a' as run_id, symbol from {state} where roe > 0.01 union all
 @query("o1_diff_runs", """
 select coalesce(a.symbol, b.symbol) as symbol, case when a.symbol is null then 'added' when b.symbol is null then 'removed' else 'kept' end as status
 from (select symbol from {runs} where run_id = 'a') a full join (select symbol from {runs} where run_id = 'b') b on a.symbol = b.symbol""",
-       {"state": _STATE, "runs": _RUNS})
+       {"state": _STATE, "runs": _RUNS}, share=BASE)
 def o1_diff_runs(wh):
     state = _state(wh)
     runs = state.filter("roe > 0.01").select(F.lit("a").alias("run_id"), "symbol").unionByName(

@@ -24,7 +24,7 @@ def _sym(key: str) -> str:
 
 
 def _cents(col: str) -> str:
-    return f"cast(round({col} * 100) as bigint)"
+    return f"cast(floor({col} * 100 + 0.5) as bigint)"
 
 
 _SECTORS = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilake.session import pin_session
+from equilake.session import pin_session, store
 from equilake.sources import bridge
 
 
@@ -32,6 +32,15 @@ class Warehouse:
     def _load(self, name: str) -> DataFrame:
         raise KeyError(f"no table {name!r}")
 
+    def share(self, *names: str) -> Warehouse:
+        """Store tables that several others are derived from, so that each is computed once.
+
+        Call it before the tables that depend on them are used.
+        """
+        for name in names:
+            self._tables[name] = store(self[name], name)
+        return self
+
     def with_tables(self, **tables: DataFrame) -> Warehouse:
         """The same warehouse with some tables replaced."""
         clone = object.__new__(type(self))
