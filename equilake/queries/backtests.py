@@ -38,9 +38,12 @@ _POS = f"""select *, pos - coalesce(lag(pos) {_R}), 0) as q from (
     select *, coalesce(last_value(case when entry then 1 when exit then 0 end ignore nulls) {_R} rows between unbounded preceding and current row), 0) as dec from {{sig}}) a) b"""
 _FILL = """select *, greatest(1.0, least(abs(q) * 0.005, price * abs(q) * 0.005)) as fee from (
   select *, open * (1 + sign(q) * 0.0005) as price from {pos} where q <> 0) x"""
+# Cash moves only on fills and is carried forward exactly in between.
 _EQ = f"""select p.symbol, p.run_id, p.trade_date, p.pos, p.close,
-  100000 - sum(coalesce(f.q * f.price + f.fee, 0)) over (partition by p.symbol, p.run_id order by p.trade_date) + p.pos * p.close as equity
-  from {{pos}} p left join {{fill}} f on p.symbol = f.symbol and p.run_id = f.run_id and p.trade_date = f.trade_date"""
+  100000 - coalesce(last_value(f.spent ignore nulls) over (partition by p.symbol, p.run_id order by p.trade_date rows between unbounded preceding and current row), 0)
+    + p.pos * p.close as equity
+  from {{pos}} p left join (select *, sum(q * price + fee) {_R}) as spent from {{fill}}) f
+    on p.symbol = f.symbol and p.run_id = f.run_id and p.trade_date = f.trade_date"""
 _TRIP = f"""select symbol, run_id, et as entry_time, trade_date as exit_time, ep as entry_price, price as exit_price, -q * (price - ep) - fee - ef as net_pnl, trade_date - et as days
   from (select *, lag(trade_date) {_R}) as et, lag(price) {_R}) as ep, lag(fee) {_R}) as ef from {{fill}}) x where q < 0"""
 _RET = f"""select *, equity / nullif(lag(equity) {_R}), 0) - 1 as ret, max(equity) {_R}) as pk from {{eq}}"""
