@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from equilake.llm.decontaminate import contained_items
+from equilake.llm.language_id import identify
 from equilake.llm.minhash_dedup import near_duplicates
+from equilake.llm.token_shards import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +28,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine; EQUILAKE_TOKENIZERS names another folder."""
+    folder = os.environ.get("EQUILAKE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
@@ -30,3 +45,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 @query("op1_minhash_dedup")
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return identify(table(spark, root, "documents")).select("doc_id", F.col("lang").alias("declared"), "language", "posterior", "accepted")
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return contained_items(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op10_token_shards")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return round_trip(table(spark, root, "documents"), vocabulary("byte_bpe_50k.json"))

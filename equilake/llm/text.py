@@ -152,3 +152,80 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     """Sorted distinct shingle hashes of each text, and the rows' offsets among them."""
     raw, offsets = byte_view(column)
     return distinct(*shingles(*words(raw, offsets), size))
+
+
+def unit_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units of each row (white space, then a word), and the rows' offsets among them.
+
+    The units cover every byte. They are cut where ASCII white space follows a character that is neither
+    white space of any script nor a control character, so that no pre-token of a byte-level or of a
+    SentencePiece tokenizer crosses a cut.
+    """
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    space = ~_WORD_BYTE[raw]
+    cut = np.zeros(len(raw), dtype=bool)
+    cut[1:] = space[1:] & (raw[:-1] > 32)
+    p2 = np.concatenate(([0], raw))[:-2] if len(raw) > 1 else raw[:0]
+    p3 = np.concatenate(([0, 0], raw))[:-3] if len(raw) > 1 else raw[:0]
+    wide = ((p2 == 0xC2) & ((raw[:-1] == 0xA0) | (raw[:-1] == 0x85))) | ((p3 >= 0xE1) & (p3 <= 0xE3) & np.isin(p2, [0x80, 0x81, 0x9A]))
+    cut[1:] &= ~wide
+    full = np.flatnonzero(np.diff(offsets))
+    cut[offsets[full]] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.concatenate((starts[1:], [len(raw)])), np.searchsorted(starts, offsets).astype(np.int64)
+
+
+class UnitCache:
+    """What a function of a unit has given so far, kept by 64-bit hash for a worker's life.
+
+    encode(list of byte strings) returns (flat values, lengths). The cache is emptied when it holds `most` units; that
+    changes only the speed.
+    """
+
+    def __init__(self, encode, most: int = 1_500_000):
+        self.encode, self.most = encode, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.lengths, self.begins = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.values: np.ndarray | None = None
+
+    def slots(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the units among the distinct ones, cache slots of the distinct ones)."""
+        import pandas as pd
+
+        codes, unique = pd.factorize(hash_spans(raw, starts, ends))
+        if len(self.keys) + len(unique) > self.most:
+            self._clear()
+        at = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == unique[inside]
+        if not known.all():
+            first = np.empty(len(unique), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            new = np.flatnonzero(~known)
+            data = raw.tobytes()
+            flat, lengths = self.encode([data[starts[i] : ends[i]] for i in first[new]])
+            slot = len(self.lengths) + np.arange(len(new))
+            base = 0 if self.values is None else len(self.values)
+            self.begins = np.concatenate((self.begins, base + np.cumsum(lengths) - lengths))
+            self.lengths = np.concatenate((self.lengths, lengths))
+            self.values = flat if self.values is None else np.concatenate((self.values, flat))
+            order = np.argsort(unique[new])
+            place = np.searchsorted(self.keys, unique[new][order])
+            self.keys = np.insert(self.keys, place, unique[new][order])
+            self.where = np.insert(self.where, place, slot[order])
+            at = np.searchsorted(self.keys, unique)
+        return codes, self.where[at]
+
+    def gather(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all units in order, and how many each unit has."""
+        if not len(starts):
+            return (self.values[:0] if self.values is not None else np.zeros(0, np.int32)), np.zeros(0, np.int64)
+        codes, slot = self.slots(raw, starts, ends)
+        lengths, begins = self.lengths[slot][codes], self.begins[slot][codes]
+        skip = begins - (np.cumsum(lengths) - lengths)
+        return self.values[np.repeat(skip, lengths) + np.arange(int(lengths.sum()))], lengths
