@@ -154,16 +154,16 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.
     return distinct(*shingles(*words(raw, offsets), size))
 
 
-def unit_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unit_spans(raw: np.ndarray, offsets: np.ndarray, blanks_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the units of each row (white space, then a word), and the rows' offsets among them.
 
     The units cover every byte. They are cut where ASCII white space follows a character that is neither
     white space of any script nor a control character, so that no pre-token of a byte-level or of a
-    SentencePiece tokenizer crosses a cut.
+    SentencePiece tokenizer crosses a cut. blanks_only: cut before blanks only, for pieces that hold other white space.
     """
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = ~_WORD_BYTE[raw]
+    space = raw == 32 if blanks_only else ~_WORD_BYTE[raw]
     cut = np.zeros(len(raw), dtype=bool)
     cut[1:] = space[1:] & (raw[:-1] > 32)
     p2 = np.concatenate(([0], raw))[:-2] if len(raw) > 1 else raw[:0]
