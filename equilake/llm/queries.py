@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from equilake.llm.decontaminate import contained_items
 from equilake.llm.language_id import identify
 from equilake.llm.minhash_dedup import near_duplicates
+from equilake.llm.nbest_pieces import segment
+from equilake.llm.surrogates import replace_entities
 from equilake.llm.token_shards import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +49,16 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return replace_entities(table(spark, root, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
+
+
+@query("op7_nbest_pieces")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return segment(table(spark, root, "documents"), vocabulary("piece_bpe_32k.model")).select("doc_id", "pieces", "n_pieces", "score", "scores", "changes", "exact")
+
+
 @query("op8_language_id")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return identify(table(spark, root, "documents")).select("doc_id", F.col("lang").alias("declared"), "language", "posterior", "accepted")
