@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilake.llm.decontaminate import contained_items
+from equilake.llm.host_rules import judge
 from equilake.llm.language_id import identify
 from equilake.llm.minhash_dedup import near_duplicates
 from equilake.llm.nbest_pieces import segment
+from equilake.llm.secret_scan import scan
 from equilake.llm.surrogates import replace_entities
 from equilake.llm.token_shards import round_trip
 
@@ -49,6 +51,42 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return scan(table(spark, root, "documents"))
+
+
+_HOST_RULES = r"""
+with docs as (
+  select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents),
+places as (select r, unnest(range(1, len(w) - 1)) as p, w from docs where len(w) >= 3),
+windows as (select r, p, count(*) over (partition by r, w[p], w[p + 1], w[p + 2]) as n from places),
+covered as (select r, count(distinct q) as n from (select r, unnest([p, p + 1, p + 2]) as q from windows where n > 1) group by r),
+m as (
+  select d.doc_id, d.host, cast(len(d.w) as bigint) as n_words, cast(len(list_aggregate(list_concat([''], d.w), 'string_agg', '')) as bigint) as word_chars,
+    cast(len(d.t) - len(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(d.l) as bigint) as n_lines,
+    cast(len(d.l) - len(list_distinct(d.l)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words
+  from docs d left join covered c on c.r = d.r),
+f as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    n_words < 50 or 100 * n_repeat_words > 50 * n_words or n_symbols > 0.1 * n_words or n_dup_lines > 0.3 * n_lines as failed from m),
+hosts as (select host, cast(count(*) as double) as n, cast(sum(case when failed then 1 else 0 end) as double) as k from f group by host),
+moments as (select sum(k) / sum(n) as m, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) as v from hosts),
+prior as (select m, case when v > 0 and m * (1 - m) > v then m * (1 - m) / v - 1 else 20.0 end as s from moments),
+verdicts as (select host, (k + m * s) / (n + s) > 0.5 as host_rejected from hosts, prior)
+select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, not base_failed and not host_rejected as kept
+from f join verdicts v on v.host = f.host
+"""
+
+
+@query("op6_host_rules", _HOST_RULES)
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return judge(table(spark, root, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+
+
 @query("op4_pii_surrogates")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     return replace_entities(table(spark, root, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
