@@ -15,6 +15,7 @@ from equilake.llm.minhash_dedup import near_duplicates
 from equilake.llm.nbest_pieces import segment
 from equilake.llm.secret_scan import scan
 from equilake.llm.surrogates import replace_entities
+from equilake.llm.template_extract import extract
 from equilake.llm.token_shards import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,11 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
     return scan(table(spark, root, "documents"))
 
 
+@query("op3_template_extract")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return extract(table(spark, root, "pages"))
+
+
 _HOST_RULES = r"""
 with docs as (
   select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
