@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from equilake.llm.decontaminate import contained_items
 from equilake.llm.host_rules import judge
+from equilake.llm.interpolated_lm import score
 from equilake.llm.language_id import identify
 from equilake.llm.minhash_dedup import near_duplicates
 from equilake.llm.nbest_pieces import segment
@@ -62,6 +63,11 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     return extract(table(spark, root, "pages"))
 
 
+@query("op5_interpolated_lm")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return score(table(spark, root, "documents"))
+
+
 _HOST_RULES = r"""
 with docs as (
   select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
