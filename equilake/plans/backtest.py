@@ -236,6 +236,21 @@ def equity_curve(positions: DataFrame, cash: float = 100_000.0) -> DataFrame:
     return df.withColumn("equity", F.col("cash") + F.col("market_value"))
 
 
+def portfolio_curve(equity: DataFrame, keys: Sequence[str] = ("run_id",), cash: float = 100_000.0) -> DataFrame:
+    """keys, trade_date, equity of one account that trades all symbols of a run, ``cash`` a symbol.
+
+    On a date without a bar a symbol counts with its last equity (before its first bar, with its cash). That is the sum of
+    all changes up to the date, so nothing is filled in: a row a bar is combined by date, then summed along the calendar.
+    """
+    w = Window.partitionBy(*keys, "symbol").orderBy("trade_date")
+    before = F.lag("equity").over(w)
+    steps = equity.select(*keys, "trade_date", (F.col("equity") - F.coalesce(before, F.lit(cash))).alias("_step"), before.isNull().cast("bigint").alias("_first"))
+    days = steps.groupBy(*keys, "trade_date").agg(F.sum("_step").alias("_step"), F.sum("_first").alias("_first"))
+    every = Window.partitionBy(*keys)
+    sofar = every.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select(*keys, "trade_date", (F.sum("_first").over(every) * F.lit(cash) + F.sum("_step").over(sofar)).alias("equity"))
+
+
 def round_trips(positions: DataFrame) -> DataFrame:
     """Closed long trades of the long/flat runs: each exit fill with the entry fill before it."""
     w = Window.partitionBy(*RUN).orderBy("trade_date")

@@ -111,17 +111,22 @@ def relative_metrics(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str
 
 
 def exposure_turnover(positions: DataFrame, equity: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long and short exposure and turnover per (keys, date).
+    """Long and short exposure and turnover per (keys, date) of ``equity``.
 
-    ``positions``: keys, symbol, trade_date, market_value (signed, zero when flat) on every bar;
-    ``equity``: keys, trade_date, equity. Turnover is half the absolute change in holdings over equity.
+    ``positions``: keys, symbol, trade_date, market_value (signed, zero when flat) on the symbol's bars;
+    ``equity``: keys, trade_date, equity. A symbol without a bar on a date counts with the value of its last bar, so what is summed
+    are changes of value, day by day: nothing is filled in per symbol. Turnover is half the absolute change in holdings over equity.
     """
     w = Window.partitionBy(*keys, "symbol").orderBy("trade_date")
-    df = positions.withColumn("_move", F.abs(F.col("market_value") - F.coalesce(F.lag("market_value").over(w), F.lit(0.0))))
-    per_day = df.groupBy(*keys, "trade_date").agg(
-        F.sum(F.greatest(F.col("market_value"), F.lit(0.0))).alias("long_value"), F.sum(F.least(F.col("market_value"), F.lit(0.0))).alias("short_value"),
-        F.sum("_move").alias("moved"))
-    out = per_day.join(equity.select(*keys, "trade_date", "equity"), [*keys, "trade_date"]).filter("equity > 0")
+    last = F.coalesce(F.lag("market_value").over(w), F.lit(0.0))
+    long_, short = (lambda x: F.greatest(x, F.lit(0.0))), (lambda x: F.least(x, F.lit(0.0)))
+    df = positions.withColumns({"_move": F.abs(F.col("market_value") - last), "_long": long_(F.col("market_value")) - long_(last), "_short": short(F.col("market_value")) - short(last)})
+    changes = df.groupBy(*keys, "trade_date").agg(F.sum("_long").alias("_long"), F.sum("_short").alias("_short"), F.sum("_move").alias("moved"))
+    # One row a day and key: bounded by the calendar.
+    days = equity.select(*keys, "trade_date", "equity").join(changes, [*keys, "trade_date"], "full")
+    sofar = Window.partitionBy(*keys).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    out = days.withColumns({"long_value": F.sum("_long").over(sofar), "short_value": F.sum("_short").over(sofar), "moved": F.coalesce("moved", F.lit(0.0))}).filter("equity > 0")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("long_value", "short_value")})
     return out.select(
         *keys, "trade_date", F.try_divide("long_value", "equity").alias("long_exposure"), F.try_divide("short_value", "equity").alias("short_exposure"),
         F.try_divide("moved", F.col("equity") * 2).alias("turnover"))

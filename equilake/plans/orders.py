@@ -142,12 +142,21 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     later = later.withColumn("carried", up * F.greatest(before, F.col("carried0")))
     drop_pct = F.when(_is_long(), F.col("fall_pct")).otherwise(F.col("rise_pct"))
     drop_pts = F.when(_is_long(), F.col("fall_pts")).otherwise(F.col("rise_pts"))
-    inside = F.when(F.col("trail_pct").isNotNull(), drop_pct >= F.col("trail_pct") - 1e-12).otherwise(drop_pts >= F.col("trail_points") - 1e-9)
-    possible = (
+
+    def inside(slack: float) -> Column:
+        """The fall inside the month reaches the trail, give or take a rounding."""
+        by_pct = drop_pct >= F.col("trail_pct") + slack
+        return F.coalesce(trailing & F.when(F.col("trail_pct").isNotNull(), by_pct).otherwise(drop_pts >= F.col("trail_points") + slack * F.greatest(F.abs(month_best), F.lit(1.0))), F.lit(False))
+
+    # A month is certain to hold a hit, or near enough to look at its bars. Every near month up to the first
+    # certain one is looked at, and the earliest bar that passes the one test of a bar counts.
+    certain = (
         beyond(F.col("stop_loss"), month_worst) | F.coalesce(up * month_best >= up * F.col("take_profit"), F.lit(False))
-        | F.coalesce(trailing & (beyond(trail_level(F.col("carried")), month_worst) | inside), F.lit(False)))
-    candidate = later.filter(possible).groupBy("position_id").agg(F.min_by(F.struct("block", "carried"), "block").alias("c"))
-    month_scan = open_.join(candidate, "position_id").withColumns({"block": F.col("c.block"), "carried": F.col("c.carried")}).drop("c").join(priced, ["symbol", "block"])
+        | F.coalesce(trailing & beyond(trail_level(F.col("carried")), month_worst), F.lit(False)) | inside(1e-9))
+    near = later.withColumns({"certain": certain, "near": certain | inside(-1e-9)}).filter("near")
+    sure = near.filter("certain").groupBy("position_id").agg(F.min("block").alias("first_certain"))
+    candidate = near.join(sure, "position_id", "left").filter("block <= coalesce(first_certain, block)").select("position_id", "block", "carried")
+    month_scan = open_.join(candidate, "position_id").join(priced, ["symbol", "block"])
     month_hit = test(month_scan, F.col("carried"))
     hits = own_hit.unionByName(month_hit)
     out = positions.join(hits, "position_id", "left")

@@ -158,16 +158,28 @@ def a14_relative_metrics(wh):
     return df.select("symbol", "run_id", r6("benchmark_return"), r6("alpha"), r6("beta"), r4("information_ratio"), r6("tracking_error"))
 
 
+# Every symbol of a run on every date of the run, with its last known value and equity.
+_DENSE = """select d.run_id, s.symbol, d.trade_date, coalesce(last_value(e.equity ignore nulls) over w, 100000) as equity, coalesce(last_value(e.pos * e.close ignore nulls) over w, 0) as mv
+  from (select distinct run_id, trade_date from {eq}) d join (select distinct run_id, symbol from {eq}) s on d.run_id = s.run_id
+  left join {eq} e on e.run_id = d.run_id and e.symbol = s.symbol and e.trade_date = d.trade_date
+  window w as (partition by d.run_id, s.symbol order by d.trade_date rows between unbounded preceding and current row)"""
+_D = {**_E, "dense": _DENSE}
+
+
 @query("a15_exposure_turnover", f"""
 select run_id, trade_date, {s6('sum(greatest(mv, 0)) / sum(equity)', 'long_exposure')}, {s6('sum(least(mv, 0)) / sum(equity)', 'short_exposure')}, {s6('sum(abs(mv - coalesce(pmv, 0))) / (2 * sum(equity))', 'turnover')}
-from (select *, pos * close as mv, lag(pos * close) {_R}) as pmv from {{eq}}) x group by run_id, trade_date""", _E)
+from (select *, lag(mv) over (partition by run_id, symbol order by trade_date) as pmv from {{dense}}) x group by run_id, trade_date""", _D)
 def a15_exposure_turnover(wh):
     eq = _equity(wh)
-    total = eq.groupBy("run_id", "trade_date").agg(F.sum("equity").alias("equity"))
-    df = metrics.exposure_turnover(eq.select("run_id", "symbol", "trade_date", "market_value"), total, ["run_id"])
+    df = metrics.exposure_turnover(eq.select("run_id", "symbol", "trade_date", "market_value"), bt.portfolio_curve(eq), ["run_id"])
     return df.select("run_id", "trade_date", r6("long_exposure"), r6("short_exposure"), r6("turnover"))
 
 
+@query("b17_portfolio", f"select run_id, trade_date, {s2('sum(equity)', 'equity')} from {{dense}} group by run_id, trade_date", _D)
+def b17_portfolio(wh):
+    return bt.portfolio_curve(_equity(wh)).select("run_id", "trade_date", r2("equity"))
+
+
 @query("b17_run_backtests", f"select symbol, run_id, {s6('e1 / e0 - 1', 'total_return')}, {s6('sharpe', 'sharpe')}, {s6('mdd', 'max_drawdown')} from {{perf}}", {**_M, "perf": _PERF})
 def b17_run_backtests(wh):
     out = bt.run_backtests(scan_bars(wh.daily_prices), RUNS)
@@ -324,6 +336,27 @@ def b10_trailing_stop(wh):
     return df.select("position_id", "hit_date")
 
 
+_CENTS = "select symbol, trade_date, floor(high * 100 + 0.5) / 100 as high, floor(low * 100 + 0.5) / 100 as low from {daily_prices}"
+
+
+@query("b10_trailing_edges", """
+select p.decision_id as position_id, min(d) as hit_date from {p} p left join (
+  select decision_id, trade_date as d from (
+    select p.decision_id, p.up, p.pct, b.trade_date, b.low, b.high, greatest(max(b.high) over w, p.px) as hi, least(min(b.low) over w, p.px) as lo
+    from {p} p join {cents} b on p.symbol = b.symbol and b.trade_date > p.opened_at window w as (partition by p.decision_id order by b.trade_date)) x
+  where case when up > 0 then low <= case when pct then hi * (1 - 0.1) else hi - 5.0 end else high >= case when pct then lo * (1 + 0.1) else lo + 5.0 end end) h on p.decision_id = h.decision_id
+group by p.decision_id""", {
+    "dec": _orders_extra()["dec"], "cents": _CENTS,
+    "p": "select decision_id, symbol, opened_at, case when side = 'buy' then 1.0 else -1.0 end as up, floor(price_at_open * 100 + 0.5) / 100 as px, extract(day from opened_at) % 2 = 0 as pct from {dec}"}, share=("px_walk", "px_daily"))
+def b10_trailing_edges(wh):
+    """Cent prices, where trails are met exactly; both sides; by share and by points."""
+    cents = lambda c: F.floor(F.col(c) * 100 + 0.5) / 100
+    rows = _stop_rows(wh, entry_price=F.floor(F.col("px") * 100 + 0.5) / 100)
+    even = F.dayofmonth("entry_date") % 2 == 0
+    rows = rows.withColumns({"trail_pct": F.when(even, 0.1), "trail_points": F.when(~even, 5.0)})
+    return orders.stop_hits(rows, wh.daily_prices.withColumns({"high": cents("high"), "low": cents("low")})).select("position_id", "hit_date")
+
+
 # ----- margin and limits over the accounts' holdings ------------------------------------------
 
 _KEYS = ["account_id", "trade_date"]

@@ -160,3 +160,39 @@ def test_scorecard_arguments(spark):
         scorecard(None, None, "mood")
     with pytest.raises(LedgerError):
         scorecard(None, None, "tag", "2y")
+
+
+def test_trailing_stops_equal_a_loop_on_cent_prices(spark):
+    rng = random.Random(20)
+    days = [D0 + dt.timedelta(days=k) for k in range(400)]
+    rows, positions, want = [], [], {}
+    for k in range(1000):
+        symbol, up, price = f"S{k:04d}", 1 if k % 2 else -1, 100.0
+        by_pct = k % 4 < 2
+        extreme, hit = 100.0, None
+        positions.append((k, symbol, days[0], "LONG" if up > 0 else "SHORT", 100, 0.1 if by_pct else None, None if by_pct else 5.0, 100.0))
+        for day in days[:: 7 if k % 3 else 3]:
+            price = round(max(5.0, price + rng.choice((-1.25, -0.5, -0.1, 0.0, 0.1, 0.5, 1.3))), 2)
+            high, low = round(price + 0.2, 2), round(price - 0.2, 2)
+            rows.append((symbol, day, high, low))
+            if day > days[0] and hit is None:
+                best, worst = (high, low) if up > 0 else (low, high)
+                extreme = max(extreme, best) if up > 0 else min(extreme, best)
+                level = extreme * (1 - up * 0.1) if by_pct else extreme - up * 5.0
+                if up * worst <= up * level:
+                    hit = day
+        want[k] = hit
+    bars_ = spark.createDataFrame(rows, "symbol string, trade_date date, high double, low double")
+    held = spark.createDataFrame(positions, "position_id int, symbol string, entry_date date, direction string, quantity int, trail_pct double, trail_points double, entry_price double")
+    got = {r.position_id: r.hit_date for r in orders.stop_hits(held, bars_).collect()}
+    assert got == want and sum(d is not None for d in want.values()) > 400
+
+
+def test_exposure_counts_the_last_value_on_days_without_a_bar(spark):
+    days = [D0 + dt.timedelta(days=k) for k in range(3)]
+    held = spark.createDataFrame([("r", "A", d, 100.0) for d in days] + [("r", "B", days[0], 100.0), ("r", "B", days[2], 100.0)], "run_id string, symbol string, trade_date date, market_value double")
+    equity = spark.createDataFrame([("r", d, 1000.0) for d in days], "run_id string, trade_date date, equity double")
+    out = metrics.exposure_turnover(held, equity, ["run_id"]).orderBy("trade_date").collect()
+    assert [r.long_exposure for r in out] == pytest.approx([0.2] * 3) and [r.turnover for r in out] == pytest.approx([0.1, 0.0, 0.0])
+    curve = bt.portfolio_curve(held.withColumn("equity", F.col("market_value") + 900.0), cash=1000.0).orderBy("trade_date").collect()
+    assert [r.equity for r in curve] == [2000.0] * 3
