@@ -22,7 +22,9 @@ def as_double(c: Column | str) -> Column:
 
 
 def as_long(c: Column | str) -> Column:
-    return F.trim(col(c).cast("string")).try_cast("bigint")
+    """Whole number or NULL; a number written with a fraction or an exponent is cut towards zero."""
+    value = as_double(c)
+    return F.coalesce(F.trim(col(c).cast("string")).try_cast("bigint"), F.when(F.abs(value) < F.lit(2.0**63), value.cast("bigint")))
 
 
 def as_date(c: Column | str) -> Column:

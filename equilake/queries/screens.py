@@ -335,10 +335,17 @@ def f15_excerpt(wh):
 
 
 @query("f1_coercions", """
-select e.event_id, try_cast(x as double) as as_double, try_cast(x as bigint) as as_long, try_cast(substr(d, 1, 10) as date) as as_date from (
-  select event_id, case when event_type = 'error' then 'n/a' when event_type = 'view' then '' else cast(event_id as varchar) end as x, case when event_type = 'error' then 'soon' else cast(cast(ts as date) as varchar) end as d from {events}) e""")
+select e.event_id, try_cast(x as double) as as_double, cast(trunc(try_cast(x as double)) as bigint) as as_long, try_cast(substr(d, 1, 10) as date) as as_date,
+  try_cast(t as timestamp) as as_timestamp from (
+  select event_id, case when event_type = 'error' then 'n/a' when event_type = 'view' then '' when event_id % 5 = 1 then concat(cast(event_id as varchar), '.75') when event_id % 5 = 2 then concat('-', cast(event_id as varchar), '.0')
+      when event_id % 5 = 3 then concat(cast(event_id as varchar), 'e2') else cast(event_id as varchar) end as x,
+    case when event_type = 'error' then 'soon' else cast(cast(ts as date) as varchar) end as d,
+    case when event_type = 'error' then 'soon' when event_id % 2 = 0 then cast(cast(ts as date) as varchar) else concat(cast(cast(ts as date) as varchar), ' 12:34:56') end as t from {events}) e""")
 def f1_coercions(wh):
-    text = F.when(F.col("event_type") == "error", "n/a").when(F.col("event_type") == "view", "").otherwise(F.col("event_id").cast("string"))
-    day = F.when(F.col("event_type") == "error", "soon").otherwise(F.to_date("ts").cast("string"))
-    df = wh.events.select("event_id", text.alias("x"), day.alias("d"))
-    return df.select("event_id", fs.as_double("x").alias("as_double"), fs.as_long("x").alias("as_long"), fs.as_date("d").alias("as_date"))
+    number, day = F.col("event_id").cast("string"), F.to_date("ts").cast("string")
+    error, turn = F.col("event_type") == "error", F.col("event_id") % 5
+    text = F.when(error, "n/a").when(F.col("event_type") == "view", "").when(turn == 1, F.concat(number, F.lit(".75"))).when(turn == 2, F.concat(F.lit("-"), number, F.lit(".0")))
+    text = text.when(turn == 3, F.concat(number, F.lit("e2"))).otherwise(number)
+    time = F.when(error, "soon").when(F.col("event_id") % 2 == 0, day).otherwise(F.concat(day, F.lit(" 12:34:56")))
+    df = wh.events.select("event_id", text.alias("x"), F.when(error, "soon").otherwise(day).alias("d"), time.alias("t"))
+    return df.select("event_id", fs.as_double("x").alias("as_double"), fs.as_long("x").alias("as_long"), fs.as_date("d").alias("as_date"), fs.as_timestamp("t").alias("as_timestamp"))

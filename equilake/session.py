@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,15 +47,26 @@ def pin_session(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate data.
 
-    Only where the session names none (single-machine tests) is a scratch folder used.
+    Only a session on one machine (master local) may name none; a scratch folder is used then and removed at exit.
+    Elsewhere executors could not see each other's files, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+        if not configured:
+            if not one_machine(context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            configured = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def one_machine(master: str) -> bool:
+    """Driver and executors are one process (local, local[n], but not local-cluster)."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a derived table that is read several times."""
     shared_folder(df.sparkSession)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equilake.functions.scalars import as_date, as_double
+from equilake.functions.scalars import as_date, as_double, as_long
 
 HOLDING_REQUIRED = ("account_id", "symbol", "quantity", "as_of_date")
 HOLDING_NUMERIC = ("avg_cost", "mark_price", "market_value")
@@ -18,6 +18,29 @@ class SourceError(ValueError):
     """A file that cannot be read at all (a missing header, for instance)."""
 
 
+def _by_name(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """The rows of delimited files as a map from each file's own header names (trimmed, lower case) to texts.
+
+    Files of one folder may have their columns in any order. A file's header is its first line; headers are a row per file,
+    joined by the file name, which AQE broadcasts where they are few. Quoted values may not hold a line break.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("n", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    # The first line is the one of the file's first block with the least number.
+    heads = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("n", "value")).alias("head"))
+
+    def split(c: Column) -> Column:
+        # Separators outside quotes; doubled quotes stand for one.
+        parts = F.split(c, ("\\|" if sep == "|" else sep) + r"(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1)
+        return F.transform(parts, lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+
+    rows = lines.join(heads, "file").filter(F.col("n") > F.col("head.n"))
+    names = F.transform(split(F.regexp_replace("head.value", "^\ufeff", "")), lambda x: F.lower(F.trim(x)))
+    values = split(F.col("value"))
+    keyed = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda e: e["k"].isNotNull() & (e["k"] != ""))
+    return rows.select("file_name", names.alias("names"), F.map_from_entries(F.transform(keyed, lambda e: F.struct(e["k"], e["v"]))).alias("cells"))
+
+
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
     """One ticker per line; blanks and # comments dropped, upper-cased, distinct."""
     line = F.trim("value")
@@ -28,13 +51,10 @@ def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ohlcv_csv(spark: SparkSession, directory: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """One ``<SYMBOL>.csv`` per symbol with Date,Open,High,Low,Close,Volume."""
-    df = spark.read.option("header", True).schema(
-        "Date date, Open double, High double, Low double, Close double, Volume double").csv(f"{directory}/*.csv")
-    bars = df.select(
-        F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)).alias("symbol"),
-        F.col("Date").alias("trade_date"), F.col("Open").alias("open"), F.col("High").alias("high"),
-        F.col("Low").alias("low"), F.col("Close").alias("close"), F.col("Volume").cast("bigint").alias("volume"),
-    )
+    cell = lambda name: F.try_element_at("cells", F.lit(name))
+    bars = _by_name(spark, f"{directory}/*.csv").select(
+        F.upper(F.regexp_extract("file_name", r"^(.*)\.csv$", 1)).alias("symbol"), as_date(cell("date")).alias("trade_date"),
+        *[as_double(cell(c)).alias(c) for c in ("open", "high", "low", "close")], as_long(cell("volume")).alias("volume"))
     if start is not None:
         bars = bars.filter(F.col("trade_date") >= F.lit(start))
     if end is not None:
@@ -48,16 +68,16 @@ def _blank(c: Column) -> Column:
 
 def read_holdings_csv(spark: SparkSession, path: str, account: str | None = None, as_of: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) holdings. ``account`` and ``as_of`` fill rows that carry no value."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    raw = raw.withColumnsRenamed({c: c.strip().lower() for c in raw.columns})
-    absent = [c for c in HOLDING_REQUIRED if c not in raw.columns]
+    raw = _by_name(spark, path)
     allowed = {"account_id"} if account else set()
     allowed |= {"as_of_date"} if as_of else set()
-    if set(absent) - allowed:
-        raise SourceError(f"missing required columns: {sorted(absent)}")
+    needed = F.array(*[F.lit(c) for c in HOLDING_REQUIRED if c not in allowed])
+    lacking = raw.select(F.array_except(needed, "names").alias("absent")).filter(F.size("absent") > 0).first()
+    if lacking:
+        raise SourceError(f"columns not in a file's header: {sorted(lacking.absent)}")
 
     def text(name: str) -> Column:
-        return _blank(F.col(name)) if name in raw.columns else F.lit(None).cast("string")
+        return _blank(F.try_element_at("cells", F.lit(name)))
 
     quantity = as_double(text("quantity"))
     as_of_date = F.coalesce(as_date(text("as_of_date")), F.lit(as_of).cast("date"))
@@ -72,7 +92,7 @@ def read_holdings_csv(spark: SparkSession, path: str, account: str | None = None
         quantity.alias("quantity"), *[as_double(text(c)).alias(c) for c in HOLDING_NUMERIC],
         F.coalesce(text("side"), F.when(quantity >= 0, "Long").otherwise("Short")).alias("side"),
         text("currency").alias("currency"), text("description").alias("description"), F.lit("csv").alias("source"),
-        F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("raw"), reason.alias("reason"),
+        F.to_json("cells").alias("raw"), reason.alias("reason"),
     )
     return typed.filter("reason is null").drop("reason"), typed.filter("reason is not null").select("raw", "reason")
 
@@ -99,17 +119,15 @@ def read_broker_xml(spark: SparkSession, path: str, row: str = "OpenPosition") -
 
 def read_short_interest(spark: SparkSession, path: str) -> DataFrame:
     """Pipe-delimited settlement files; the settlement date is the yyyyMMdd in the file name."""
-    raw = spark.read.option("header", True).option("sep", "|").csv(path)
-    by_name = {c.strip(): c for c in raw.columns}
+    raw = _by_name(spark, path, "|")
 
     def text(*names: str) -> Column:
-        found = [_blank(F.col(f"`{by_name[n]}`")) for n in names if n in by_name]
-        return F.coalesce(*found) if found else F.lit(None).cast("string")
+        return F.coalesce(*[_blank(F.try_element_at("cells", F.lit(n.lower()))) for n in names])
 
     def number(name: str) -> Column:
         return as_double(F.regexp_replace(text(name), ",", ""))
 
-    settlement = as_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1))
+    settlement = as_date(F.regexp_extract("file_name", r"(\d{8})", 1))
     return raw.select(
         F.upper(text("symbolCode", "Symbol")).alias("symbol"), settlement.alias("settlement_date"),
         number("currentShortPositionQuantity").alias("short_interest"),

@@ -96,3 +96,8 @@ def test_rebalance_and_settlement_calendars(spark):
     assert got == [dt.date(2024, 6, 14), dt.date(2024, 5, 31), dt.date(2024, 5, 15)]
     labels = [r.quarter_label for r in sb.recent_quarters(day, 3).orderBy("age").collect()]
     assert labels == ["2024Q2", "2024Q1", "2023Q4"]
+
+
+def test_whole_numbers_written_as_floats_are_cut(spark):
+    df = spark.createDataFrame([("123.0",), ("1234567.8",), ("1e6",), ("-2.9",), ("9223372036854775807",), ("1e30",), ("x",)], "v string")
+    assert [r[0] for r in df.select(fs.as_long("v")).collect()] == [123, 1234567, 1000000, -2, 9223372036854775807, None, None]

@@ -108,3 +108,30 @@ def test_signal_monitor(spark):
     quotes = spark.createDataFrame([("A", m(0), 50.0), ("A", m(3), 9.0), ("A", m(4), 12.5)], "symbol string, ts timestamp, price double")
     got = {r.signal_id: (r.status, r.closed_at) for r in jobs.resolve_signals(signals, quotes).collect()}
     assert got == {1: ("target_hit", m(4)), 2: ("stopped_out", m(3)), 3: ("expired", m(2)), 4: ("open", None), 5: ("closed", m(0))}
+
+
+def test_readers_map_each_file_by_its_own_header(spark, tmp_path):
+    from equilake.sources.files import read_holdings_csv, read_ohlcv_csv, read_short_interest
+
+    short, bars_, held = tmp_path / "short", tmp_path / "bars", tmp_path / "held"
+    for d in (short, bars_, held):
+        d.mkdir()
+    (short / "x20240115.csv").write_text("symbolCode|currentShortPositionQuantity|issueName\nA|1,000|Alpha\n")
+    (short / "x20240131.csv").write_text("issueName|currentShortPositionQuantity|symbolCode\nBeta|300|B\n")
+    got = {r.symbol: (r.short_interest, r.security_name, str(r.settlement_date)) for r in read_short_interest(spark, str(short)).collect()}
+    assert got == {"A": (1000.0, "Alpha", "2024-01-15"), "B": (300.0, "Beta", "2024-01-31")}
+    (bars_ / "aa.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,4,0.5,2,10\n")
+    (bars_ / "bb.csv").write_text("Date,Close,Open,High,Low,Volume\n2024-01-02,2,1,4,0.5,10.0\n")
+    got = [(r.open, r.high, r.low, r.close, r.volume) for r in read_ohlcv_csv(spark, str(bars_)).orderBy("symbol").collect()]
+    assert got == [(1.0, 4.0, 0.5, 2.0, 10)] * 2
+    (held / "1.csv").write_text('account_id,symbol,quantity,as_of_date,description\nU1,A,5,2024-01-02,"a, ""b"""\n')
+    (held / "2.csv").write_text("as_of_date,quantity,symbol,account_id\n2024-01-02,7,B,U1\n")
+    good, bad = read_holdings_csv(spark, str(held))
+    assert {r.symbol: (r.quantity, r.description) for r in good.collect()} == {"A": (5.0, 'a, "b"'), "B": (7.0, None)} and bad.count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from equilake.session import one_machine
+
+    assert one_machine("local[8]") and one_machine("local")
+    assert not one_machine("local-cluster[3,2,1000]") and not one_machine("yarn") and not one_machine("spark://h:7077")
