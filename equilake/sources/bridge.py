@@ -389,15 +389,14 @@ from (select symbol, last_day(trade_date) as settlement_date, cast(sum(volume) a
       from {daily_prices} where volume > 0 group by symbol, last_day(trade_date)) s
 """
 
+# Every document is the call of one (symbol, year, quarter): a symbol's documents are its calls, newest first.
 TABLES["transcripts"] = f"""
-select symbol, year, quarter, call_date, content, known_at from (
-  select {_sym('(doc_id % (select count(*) from {supplier}))')} as symbol,
-         cast(1998 + doc_id % 4 as int) as year, cast(1 + doc_id % 4 as int) as quarter,
-         last_day(make_date(cast(1998 + doc_id % 4 as int), cast(3 + 3 * (doc_id % 4) as int), 1)) as call_date,
-         text as content, timestamp '2001-12-20 00:00:00' as known_at,
-         row_number() over (partition by doc_id % (select count(*) from {{supplier}}), doc_id % 4 order by doc_id desc) as rn
-  from {{documents}}) t
-where rn = 1
+select symbol, cast(2001 - floor(n / 4) as int) as year, cast(4 - n % 4 as int) as quarter,
+       last_day(make_date(cast(2001 - floor(n / 4) as int), cast(12 - 3 * (n % 4) as int), 1)) as call_date,
+       content, timestamp '2001-12-20 00:00:00' as known_at
+from (select {_sym('(doc_id % (select count(*) from {supplier}))')} as symbol,
+             cast(floor(doc_id / (select count(*) from {{supplier}})) as bigint) as n, text as content
+      from {{documents}}) t
 """
 
 TABLES["valuation_snapshots"] = """
