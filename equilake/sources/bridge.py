@@ -281,7 +281,7 @@ select symbol, fiscal_date, period,
        cast(ni as double) / 10000 as net_income_avg,
        cast(2 + k % 9 as int) as num_analysts_revenue, cast(3 + k % 5 as int) as num_analysts_eps,
        '{{}}' as raw, cast(fiscal_date - 30 as timestamp) as known_at
-from {fin} where ni > 0
+from {fin}
 """
 
 # ----- portfolio ------------------------------------------------------------------------------
@@ -407,8 +407,7 @@ from (select symbol, fiscal_date, k, px, eps_, 'multiples' as model_type, cast(4
       union all
       select symbol, fiscal_date, k, px, eps_, 'peg' as model_type, cast(35 as double) as factor from {ratio_base} where period = 'FY'
       union all
-      select symbol, fiscal_date, k, px, eps_, 'dcf' as model_type, cast(45 as double) as factor from {ratio_base}
-      where period = 'FY' and ni > 0) v
+      select symbol, fiscal_date, k, px, eps_, 'dcf' as model_type, cast(45 as double) as factor from {ratio_base} where period = 'FY') v
 """
 
 
