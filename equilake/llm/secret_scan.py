@@ -4,7 +4,7 @@ Base kinds (fixed patterns): assign, access, hex. Every value found is hashed, a
 repositories and distinct owners, in two steps (owner and repository, then value), so that a value copied a million times is combined
 before it moves. A value with WIDELY or more owners is a copied example; a value of fewer owners that is random enough (LIVE_LENGTH
 characters and LIVE_BITS bits a character) is live-looking; the rest is unsure. A live-looking value is then searched in all texts as a bare token (a
-run of BARE_LENGTH or more of the characters of a value, one digit at least) outside the base spans: those spans are added with the kind bare.
+run of BARE_LENGTH or more of the characters of a value, one digit at least, without points at its ends) outside the base spans: those spans are added with the kind bare.
 
 Defined cases: null and empty texts have no spans and the hash of an empty string. Null owners are one owner. Repeated rows are kept, and count
 once as a repository where their id is the same. Rows are told apart by their stored position.
@@ -59,8 +59,11 @@ def bare_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     """Tokens with a digit that touch no base span."""
     out = []
     for m in BARE.finditer(text):
-        if any(c in m.group() for c in "0123456789") and all(m.end() <= s or e <= m.start() for s, _, e, _ in base):
-            out.append((m.start(), 3, m.end(), m.group()))
+        value = m.group().strip(".")
+        start = m.start() + len(m.group()) - len(m.group().lstrip("."))
+        end = start + len(value)
+        if any(c in value for c in "0123456789") and all(end <= s or e <= start for s, _, e, _ in base):
+            out.append((start, 3, end, value))
     return out
 
 
@@ -110,7 +113,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s in found:
                     n[s[1], i] += 1
                 base.append(_joined(found))
-                spans.append([{"start": s, "rank": r, "end": e, "value": hashlib.sha256(v.encode()).hexdigest(), "strong": len(v) >= LIVE_LENGTH and bits(v) >= LIVE_BITS} for s, r, e, v in found + extra])
+                spans.append([{"start": s, "rank": r, "end": e, "value": hashlib.sha256(v.strip(".").encode()).hexdigest(), "strong": len(v) >= LIVE_LENGTH and bits(v) >= LIVE_BITS} for s, r, e, v in found + extra])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("repository"), part.column("owner"), *(pa.array(k) for k in n), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base), pa.array(spans, type=pa.list_(_SPAN))],
                 names=["doc_id", "repository", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "spans"])

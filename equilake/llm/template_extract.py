@@ -10,7 +10,7 @@ do not overlap another class without being nested in it; valid classes are neste
 The article is the slot between the template's <article> or <main> tags; without these, the enclosing element whose slots hold most text
 outside links. Inside it every block is kept, repeated or not; removed are the parts that are not article by their element (menus, headers and footers of the page, sidebars,
 forms, scripts, styles, ...) or by the names in their class, id or role (adverts, cookie notices, comments, ...). Outside an article element,
-runs of text that the template fixes are left out as well.
+blocks all of whose text the template fixes are left out as well.
 
 Blocks: text between block-level tags, references decoded, white space made one blank, trimmed, joined by line feeds.
 
@@ -190,17 +190,18 @@ def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
     valid = valid_classes(run, template) if template else {}
     fixed = {k for at in valid.values() for k in at}
     begin, end, inside = _slot(run, fixed)
-    blocks, parts, skip = [], [], 0
+    blocks, parts, skip, own = [], [], 0, False
     for k in range(begin, end):
         t = run[k]
         if t.kind == "text":
-            if not skip and (inside or k not in fixed):
+            if not skip:
                 parts.append(t.name)
+                own |= inside or k not in fixed
             continue
         if t.name in BLOCKS:
-            if parts and (block := _clean(parts)):
+            if own and (block := _clean(parts)):
                 blocks.append(block)
-            parts = []
+            parts, own = [], False
         elif t.name == "br":
             parts.append(" ")
         if skip:
@@ -208,7 +209,7 @@ def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
             skip -= t.kind == "close"
         elif t.kind == "open" and t.name not in VOID and (t.name in RAW or _chrome(t, inside)):
             skip = 1
-    if parts and (block := _clean(parts)):
+    if own and (block := _clean(parts)):
         blocks.append(block)
     return "\n".join(blocks)
 
