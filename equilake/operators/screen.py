@@ -122,8 +122,9 @@ def diff_runs(runs: DataFrame, from_id: str, to_id: str) -> DataFrame:
     from equilake.operators.latest import UnknownId
     from equilake.operators.upsert import membership_diff
 
+    present = {r.run_id for r in runs.filter(F.col("run_id").isin(from_id, to_id)).select("run_id").distinct().collect()}
     for run in (from_id, to_id):
-        if runs.filter(F.col("run_id") == run).limit(1).isEmpty():
-            raise UnknownId(f"unknown run_id: {run}")
+        if run not in present:
+            raise UnknownId(f"no stored run has the id {run}")
     members = runs.filter(F.col("symbol").isNotNull())
     return membership_diff(members.filter(F.col("run_id") == from_id), members.filter(F.col("run_id") == to_id))

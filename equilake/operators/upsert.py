@@ -18,10 +18,19 @@ from equilake.functions.scalars import nan_to_null, spec_hash
 from equilake.operators.latest import top_n_per_key
 
 
-def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored rows plus incoming rows with unseen keys; the first of duplicate incoming keys wins
-    arbitrarily, as any of them is as good."""
-    fresh = incoming.join(target.select(*keys).distinct(), list(keys), "left_anti").dropDuplicates(list(keys))
+def total_order(df: DataFrame, order: Sequence[Column] = ()) -> list[Column]:
+    """``order`` completed by the whole row as text, so that a winner never depends on the order of tasks."""
+    return [*order, F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))]
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """One row a key: the first by ``order``, then by the row's text."""
+    return top_n_per_key(df, list(keys), total_order(df, order), 1)
+
+
+def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Stored rows plus incoming rows with unseen keys; of duplicate incoming keys the first by ``order`` is added."""
+    fresh = first_per_key(incoming.join(target.select(*keys).distinct(), list(keys), "left_anti"), keys, order)
     return target.unionByName(fresh.select(*target.columns))
 
 
@@ -39,7 +48,7 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: S
     shuffle, so many versions of one key cost one row per task.
     """
     both = target.withColumn("_src", F.lit(1)).unionByName(incoming.select(*target.columns).withColumn("_src", F.lit(0)))
-    return top_n_per_key(both, keys, [F.col("_src"), *order], 1).drop("_src")
+    return first_per_key(both, keys, [F.col("_src"), *order]).drop("_src")
 
 
 def heal_prices(target: DataFrame, incoming: DataFrame, heal_days: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +59,7 @@ def heal_prices(target: DataFrame, incoming: DataFrame, heal_days: int = 7) -> t
     known_at; older stored bars are immutable.
     """
     floor = target.groupBy("symbol").agg(F.date_sub(F.max("trade_date"), heal_days).alias("heal_floor"))
-    new = incoming.dropDuplicates(["symbol", "trade_date"])
+    new = first_per_key(incoming, ["symbol", "trade_date"])
     old_cols = [F.col(c).alias(f"old_{c}") for c in target.columns if c not in ("symbol", "trade_date")]
     stored = target.select("symbol", "trade_date", *old_cols, F.lit(True).alias("_old"))
     merged = (

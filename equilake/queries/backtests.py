@@ -421,7 +421,19 @@ def b13_size_positions(wh):
         "symbol", "trade_date", orders.size_fixed_fraction(equity, price).alias("fraction"), orders.size_fixed_fraction(equity, price, 0.02, 0.05).alias("risk"))
 
 
-@query("b13_size_atr")
+_ATR20 = {
+    "num": "select symbol, trade_date, close, high, low, row_number() over (partition by symbol order by trade_date) as i, lag(close) over (partition by symbol order by trade_date) as pc from {daily_prices}",
+    "tr": "select symbol, i, trade_date, close, case when pc is null then high - low else greatest(high - low, abs(high - pc), abs(low - pc)) end as tr from {num}",
+    "atr20": """
+select symbol, cast(20 as bigint) as i, avg(tr) as a from {tr} where i <= 20 group by symbol having count(*) = 20
+union all
+select b.symbol, b.i, (r.a * 19 + b.tr) / 20 from {atr20} r join {tr} b on b.symbol = r.symbol and b.i = r.i + 1""",
+}
+
+
+@query("b13_size_atr", """
+select t.symbol, t.trade_date, cast(case when close > 0 then case when a > 0 then greatest(least(trunc(1000.0 / (a * 2)), trunc(25000.0 / close)), 0) else trunc(1000.0 / close) end else 0 end as bigint) as shares
+from {tr} t left join {atr20} a on t.symbol = a.symbol and t.i = a.i""", _ATR20, recursive=True)
 def b13_size_atr(wh):
     df = with_recurrences(wh.daily_prices, [Recurrence("atr20", "atr", n=20)], keep=("close",))
     return df.select("symbol", "trade_date", orders.size_atr(F.lit(100000.0), F.col("close"), F.col("atr20")).alias("shares"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from equilake.operators import upsert as up
@@ -192,9 +193,13 @@ def k5_insert_news(wh):
     return out.groupBy("symbol", F.to_date("published_at").alias("day"), "url").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k6_append_run")
+@query("k6_append_run", "select symbol, 'screen' as kind, '1m' as horizon, sha256(concat('roe > 0', '|', 'above_sma[200]')) as expr_hash, true as one_run, true as dated from {universe}")
 def k6_append_run(wh):
-    return up.append_run(wh.universe.select("symbol"), "screen", {"horizon": "1m"}, "roe > 0", "above_sma[200]")
+    """The id and the time of a run are drawn, so only their being one each is compared."""
+    df = up.append_run(wh.universe.select("symbol"), "screen", {"horizon": "1m"}, "roe > 0", "above_sma[200]")
+    every = Window.partitionBy("kind")
+    one = (F.min("run_id").over(every) == F.max("run_id").over(every)) & (F.length("run_id") == 36)
+    return df.select("symbol", "kind", F.col("params")["horizon"].alias("horizon"), "expr_hash", one.alias("one_run"), (F.to_date("ran_at") == F.col("run_date")).alias("dated"))
 
 
 @query("k7_clean_doubles", "select symbol, fiscal_date, period, case when net_income > 0 and eps_diluted is not null then eps_diluted end as v from {income_statement}")

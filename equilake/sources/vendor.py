@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equilake.functions.scalars import (
     as_date, as_double, as_long, as_timestamp, raw_text, raw_text_nonblank, raw_value, raw_value_nonzero,
 )
+from equilake.operators.upsert import first_per_key
 
 
 def _flag(key: str) -> Column:
@@ -114,7 +115,8 @@ def map_ratios(ratios: DataFrame, metrics: DataFrame) -> DataFrame:
     fill = metrics.select(
         "symbol", F.coalesce(raw_text_nonblank("raw", "period"), F.col("period")).alias("period"),
         as_date(raw_text("raw", "date")).alias("fiscal_date"), *[raw_value("raw", k).alias(f"m_{n}") for n, k in METRIC_KEYS.items()],
-    ).dropDuplicates(["symbol", "period", "fiscal_date"])
+    )
+    fill = first_per_key(fill, ["symbol", "period", "fiscal_date"])
     joined = base.join(fill, ["symbol", "period", "fiscal_date"], "left")
     return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"m_{n}")) for n in METRIC_KEYS}).drop(*[f"m_{n}" for n in METRIC_KEYS])
 

@@ -75,7 +75,7 @@ def simulate(flags, opens, closes, size, cash=100_000.0):
 
 @pytest.mark.parametrize("name", ["sma_crossover", "macd_crossover", "bollinger_reversion", "rsi_reversion", "donchian_breakout", "buy_and_hold"])
 def test_set_based_run_equals_an_event_loop(spark, name):
-    rng = random.Random(hash(name) % 1000)
+    rng = random.Random(f"event loop {name}")
     closes = [100.0]
     for _ in range(250):
         closes.append(max(5.0, closes[-1] + rng.uniform(-3, 3)))
