@@ -24,31 +24,34 @@ def preferred_valuation(snapshots: DataFrame) -> DataFrame:
     return top_n_per_key(newest, ["symbol"], order, 1)
 
 
-def symbol_facts(warehouse, decisions: DataFrame) -> DataFrame:
-    """Everything a holding row needs about its symbol, one row per symbol.
+def symbol_facts(warehouse, decisions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Everything a holding row needs about its symbol, one row for each of ``symbols`` (distinct).
 
-    Built before it meets the holdings, so these are shuffled once rather than once per table.
+    Every source is cut to those symbols before it is sorted or combined, so asking for one account reads the market
+    once and shuffles little of it.
     """
-    profile = warehouse["profiles"].select("symbol", "sector")
-    prices = previous_close(warehouse["daily_prices"])
-    ratios = latest_row(warehouse["financial_ratios"].filter("period = 'FY'"), ["symbol"], ["fiscal_date"]).select(
+    def asked(name: str) -> DataFrame:
+        return warehouse[name].join(symbols, "symbol", "left_semi")
+
+    prices = previous_close(asked("daily_prices"))
+    ratios = latest_row(asked("financial_ratios").filter("period = 'FY'"), ["symbol"], ["fiscal_date"]).select(
         "symbol", "pe_ratio", "peg_ratio", "return_on_equity", "net_margin")
-    value = preferred_valuation(warehouse["valuation_snapshots"]).select(
+    value = preferred_valuation(asked("valuation_snapshots")).select(
         "symbol", F.struct("model_type", "as_of", "fair_value_per_share", "upside_pct").alias("valuation"))
-    news = warehouse["news_items"].groupBy("symbol").agg(
+    news = asked("news_items").groupBy("symbol").agg(
         F.max(F.struct("published_at", "url", "headline")).alias("latest_news"))
-    decided = decisions.groupBy("symbol").agg(F.max(
+    decided = decisions.join(symbols, "symbol", "left_semi").groupBy("symbol").agg(F.max(
         F.struct("created_at", "decision_id", "side", "opened_at", "price_at_open", "confidence")).alias("decision"))
-    out = profile
-    for part in (prices, ratios, value, news, decided):
-        out = out.join(part, "symbol", "full_outer")
+    out = symbols
+    for part in (warehouse["profiles"].select("symbol", "sector"), prices, ratios, value, news, decided):
+        out = out.join(part, "symbol", "left")
     return out
 
 
 def holdings_view(warehouse, decisions: DataFrame, account: str | None = None, as_of: dt.date | None = None) -> DataFrame:
     """One row per current holding with market data, P&L and research context."""
     held = latest_holdings(warehouse["holdings"], account, as_of)
-    df = held.join(symbol_facts(warehouse, decisions), "symbol", "left")
+    df = held.join(symbol_facts(warehouse, decisions, held.select("symbol").distinct()), "symbol", "left")
     df = df.withColumn("unrealized", unrealized())
     df = df.withColumns({
         "cost": cost_basis(), "day_change_pct": pct_change("latest_close", "prev_close"), "day_pnl": day_pnl(), "prev_value": prev_value()})

@@ -302,18 +302,22 @@ def scenario_dcf(resolved: DataFrame, scenarios: Mapping[str, tuple[float, float
 # ----- relative value -------------------------------------------------------------------------
 
 
-def peg(inputs: DataFrame) -> DataFrame:
-    """P/E over growth in percent; fair P/E equals growth. Forward consensus first, then past earnings."""
+def peg_values() -> dict[str, Column]:
+    """Growth, ratio and fair value from the columns of the valuation inputs. Fair P/E equals growth in percent."""
     growth = F.coalesce("forward_growth", "earnings_growth")
-    rate = growth * 100
     usable = F.col("pe_ratio").isNotNull() & (growth > 0)
-    ratio = F.when(usable, safe_div("pe_ratio", rate))
-    fair = F.when(usable, rate * F.col("eps_diluted"))
+    rate = F.when(usable, growth * 100)
+    return {"growth": growth, "ratio": safe_div("pe_ratio", rate), "rate": rate, "fair": rate * F.col("eps_diluted")}
+
+
+def peg(inputs: DataFrame) -> DataFrame:
+    """P/E over growth in percent; fair P/E equals growth. Forward consensus first, then past earnings."""
+    v = peg_values()
     source = F.when(F.col("forward_growth").isNotNull(), "forward_consensus").when(F.col("earnings_growth").isNotNull(), "historical_cagr")
     return inputs.select(
-        "symbol", F.col("pe_ratio").alias("pe"), growth.alias("growth_rate"), source.alias("growth_source"), ratio.alias("peg_ratio"),
-        F.when(usable, rate).alias("fair_pe"), fair.alias("fair_value"), peg_label(ratio).alias("interpretation"),
-        (safe_div(fair, "current_price") - 1).alias("upside"))
+        "symbol", F.col("pe_ratio").alias("pe"), v["growth"].alias("growth_rate"), source.alias("growth_source"), v["ratio"].alias("peg_ratio"),
+        v["rate"].alias("fair_pe"), v["fair"].alias("fair_value"), peg_label(v["ratio"]).alias("interpretation"),
+        (safe_div(v["fair"], "current_price") - 1).alias("upside"))
 
 
 def peer_medians(profiles: DataFrame, ratios: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -333,8 +337,8 @@ def peer_median(profiles: DataFrame, ratios: DataFrame, column: str) -> DataFram
     return peer_medians(profiles, ratios, [column]).select("sector", "median")
 
 
-def multiples(inputs: DataFrame, medians: DataFrame) -> DataFrame:
-    """Price implied by the sector's median P/E, EV/EBITDA and P/S, and the mean of the positive ones."""
+def with_multiples(inputs: DataFrame, medians: DataFrame) -> DataFrame:
+    """Adds the prices implied by the sector's median P/E, EV/EBITDA and P/S, and the mean of the positive ones as multiples_value."""
     names = {"pe_ratio": "m_pe", "ev_to_ebitda": "m_ev", "price_to_sales": "m_ps"}
     wide = medians.groupBy("sector").agg(*[F.max(F.when(F.col("metric") == k, F.col("median"))).alias(v) for k, v in names.items()])
     df = inputs.join(wide, "sector", "left")
@@ -345,8 +349,14 @@ def multiples(inputs: DataFrame, medians: DataFrame) -> DataFrame:
         "ps_price": safe_div(F.col("m_ps") * F.col("revenue_net"), nonzero("shares_out"))})
     prices = F.filter(F.array("pe_price", "ev_price", "ps_price"), lambda x: x > 0)
     mean = F.when(F.size(prices) > 0, F.aggregate(prices, F.lit(0.0), lambda a, x: a + x) / F.size(prices))
+    return df.withColumn("multiples_value", mean).drop(*names.values())
+
+
+def multiples(inputs: DataFrame, medians: DataFrame) -> DataFrame:
+    """Price implied by the sector's median P/E, EV/EBITDA and P/S, and the mean of the positive ones."""
     reference = F.coalesce(nonzero("current_price"), F.col("quoted_cap"))
-    return df.select(
+    mean = F.col("multiples_value")
+    return with_multiples(inputs, medians).select(
         "symbol", "sector", "pe_price", "ev_price", "ps_price", mean.alias("fair_value"),
         F.when(reference > 0, safe_div(mean, reference) - 1).alias("upside"))
 
@@ -362,8 +372,8 @@ def value_companies(warehouse, as_of: dt.date, overrides: DataFrame | None = Non
     unknown = [m for m in models if m not in MODELS]
     if unknown:
         raise ValuationError(f"unknown model(s) {unknown}; valid: {MODELS}")
-    inputs = valuation_inputs(warehouse, as_of)
-    df = with_assumptions(inputs, overrides)
+    # The inputs are planned once; every model adds columns to the same rows.
+    df = with_assumptions(valuation_inputs(warehouse, as_of), overrides)
     fair: dict[str, str] = {}
     if "dcf" in models:
         df = df.withColumn("dcf_value", dcf_for()["fair_value"])
@@ -372,11 +382,12 @@ def value_companies(warehouse, as_of: dt.date, overrides: DataFrame | None = Non
         columns = scenario_columns()
         df = df.withColumns({n: F.when(F.col("a_base") > 0, c) for n, c in columns.items()})
     if "peg" in models:
-        df = df.join(peg(inputs).select("symbol", "peg_ratio", F.col("fair_value").alias("peg_value")), "symbol", "left")
+        values = peg_values()
+        df = df.withColumns({"peg_ratio": values["ratio"], "peg_value": values["fair"]})
         fair["peg"] = "peg_value"
     if "multiples" in models:
         medians = peer_medians(warehouse["profiles"], warehouse["financial_ratios"], ["pe_ratio", "ev_to_ebitda", "price_to_sales"])
-        df = df.join(multiples(inputs, medians).select("symbol", F.col("fair_value").alias("multiples_value")), "symbol", "left")
+        df = with_multiples(df, medians)
         fair["multiples"] = "multiples_value"
     mean = F.lit(None).cast("double")
     if fair:
