@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from equilake.llm import text as T
 from equilake.session import store
@@ -68,6 +68,7 @@ _PATTERNS = [
 ]
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _TITLE_PARTS = sorted({t for v in TITLES.values() for t in v}, key=len)
+_TITLE_BYTES = [t.encode() for t in _TITLE_PARTS]
 _FLAG = np.zeros(256, dtype=bool)
 _FLAG[48:58] = True
 _FLAG[ord("@")] = True
@@ -243,28 +244,38 @@ def pour(kind: str, mention: str, canonical: str) -> str:
 
 # -- Spark -------------------------------------------------------------------------------------------------------------
 
-_SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType()), StructField("canonical", StringType())]))
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("canonical", pa.string())]))
+_SPAN_FIELD = "array<struct<start:int,end:int,kind:string,canonical:string>>"
 
 
-def _find_column(column: pd.Series) -> list[list[dict]]:
-    """Finds for each text; texts without a digit, an at sign or a title are passed over by their bytes."""
-    arrow = pa.array(column, type=pa.large_string(), from_pandas=True)
-    raw, offsets = T.byte_view(arrow)
+def _finds(column: pa.Array) -> list[list[tuple[int, int, str, str]]]:
+    """Finds for each text of a slice; texts without a digit, an at sign or a title are passed over by their bytes."""
+    raw, offsets = T.byte_view(column)
     upto = np.concatenate(([0], np.cumsum(_FLAG[raw])))
     marked = upto[offsets[1:]] > upto[offsets[:-1]]
-    return [
-        [dict(zip(("start", "end", "kind", "canonical"), s, strict=True)) for s in find(x)] if x and (m or any(t in x for t in _TITLE_PARTS)) else []
-        for x, m in zip(column, marked, strict=True)]
-
-
-@F.pandas_udf(_SPANS)
-def entity_spans(column: pd.Series) -> pd.Series:
-    return pd.Series(_find_column(column), dtype=object)
-
-
-@F.pandas_udf(BooleanType())
-def has_entity(column: pd.Series) -> pd.Series:
-    return pd.Series([bool(x) for x in _find_column(column)], dtype=bool)
+    data = raw.tobytes()
+    titled = np.zeros(len(marked), dtype=bool)
+    for title in _TITLE_BYTES:
+        at = data.find(title)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            titled[row] = True
+            at = data.find(title, max(at + 1, int(offsets[row + 1]) - len(title) + 1))
+    return [find(column[i].as_py()) if m else [] for i, m in enumerate(marked | titled)]
+
+
+def _with_entities(batches: Iterator[pa.RecordBatch], text: str, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """wanted: the rows that hold an entity, with their spans; else the other rows as they are."""
+    for batch in batches:
+        for first, last in T.slices(batch.column(text)):
+            part = batch.slice(first, last - first)
+            spans = _finds(part.column(text))
+            keep = np.flatnonzero([bool(s) == wanted for s in spans])
+            out = part.take(pa.array(keep))
+            if wanted:
+                lists = pa.array([[dict(zip(("start", "end", "kind", "canonical"), s, strict=True)) for s in spans[i]] for i in keep], type=_SPAN_TYPE)
+                out = pa.RecordBatch.from_arrays([*out.columns, lists], names=[*out.schema.names, "__spans"])
+            yield out
 
 
 @F.pandas_udf(StringType())
@@ -309,18 +320,18 @@ def distinct_surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def replace_entities(docs: DataFrame, text: str = "text", key: bytes = KEY, count: str | None = None) -> DataFrame:
     """docs with surrogates in the text column. count: add the number of replaced mentions under this name."""
-    columns = [c for c in docs.columns if c != count]
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    plain = F.col(f"`{text}`").cast("string")
-    spans = "__spans"
-    found = store(docs.withColumn(spans, entity_spans(plain)).where(F.size(spans) > 0).withColumn("__row", F.monotonically_increasing_id()), "entity_rows")
-    mentions = found.select("__row", F.explode(spans).alias("s")).select("__row", "s.start", "s.end", "s.kind", "s.canonical")
+    columns = [c for c in docs.columns if c not in (count, "__spans", "__row", "__edits")]
+    docs = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    found = docs.mapInArrow(lambda batches: _with_entities(batches, text, True), f"{fields}, __spans {_SPAN_FIELD}")
+    found = store(found.withColumn("__row", F.monotonically_increasing_id()), "entity_rows")
+    mentions = found.select("__row", F.explode("__spans").alias("s")).select("__row", "s.start", "s.end", "s.kind", "s.canonical")
     chosen = distinct_surrogates(mentions.select("kind", "canonical").distinct(), key)
     # A row's list is as long as its own mentions.
     edits = mentions.join(chosen, ["kind", "canonical"]).groupBy("__row").agg(F.collect_list(F.struct("start", "end", "kind", "surrogate")).alias("__edits"))
-    changed = found.join(edits, "__row").withColumn(text, rewrite(F.col(f"`{text}`").cast("string"), "__edits"))
+    changed = found.join(edits, "__row").withColumn(text, rewrite(F.col(f"`{text}`"), "__edits"))
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.char_length(f"`{text}`").cast(docs.schema["n_chars"].dataType))
     numbers = [F.size("__edits").cast("bigint").alias(count)] if count else []
-    untouched = docs.where(~has_entity(plain)).select(*[F.col(f"`{c}`") for c in columns], *([F.lit(0).cast("bigint").alias(count)] if count else []))
+    untouched = docs.mapInArrow(lambda batches: _with_entities(batches, text, False), fields).select(*[F.col(f"`{c}`") for c in columns], *([F.lit(0).cast("bigint").alias(count)] if count else []))
     return untouched.union(changed.select(*[F.col(f"`{c}`") for c in columns], *numbers))
