@@ -2,9 +2,9 @@
 
 "First later bar on which a condition holds" is answered in two steps instead of pairing every
 order with every later bar: monthly extremes of a symbol find the first month that can hold the
-answer, and only the order's own month and that month are read bar by bar. An order meets at most
-one row per month of history plus two months of bars, and nothing is cut off: an order that
-fills years later is still found.
+answer, and only the order's own month and that month are looked into. A month of a symbol is one row that
+holds its bars, so an order meets at most one row per month of history, also a stop-limit order, for which every
+month that spans both prices is looked into. Nothing is cut off: an order that fills years later is still found.
 """
 
 from __future__ import annotations
@@ -62,9 +62,11 @@ def match_orders(orders: DataFrame, bars: DataFrame, fee: Fee | None = None, sli
     several = later.filter("order_type = 'STOP_LIMIT'").select("order_id", "block")
     candidates = (
         first.select("order_id", F.col("first_block").alias("block")).unionByName(several).unionByName(df.select("order_id", F.col("own").alias("block"))).distinct())
-    scan = df.drop("own").join(candidates, "order_id").join(priced, ["symbol", "block"]).filter(
-        (F.col("trade_date") > F.col("order_date")) & (F.col("trade_date") <= F.col("last_day")) & _fills(F.col("high"), F.col("low")))
-    hit = scan.groupBy("order_id").agg(F.min_by(F.struct("trade_date", "open", "volume"), "trade_date").alias("bar"))
+    # A month of a symbol is one row with at most 31 bars, so testing many months makes no row per bar.
+    packed = priced.groupBy("symbol", "block").agg(F.collect_list(F.struct("trade_date", "open", "volume", "high", "low")).alias("bars"))
+    inside = F.filter("bars", lambda b: (b["trade_date"] > F.col("order_date")) & (b["trade_date"] <= F.col("last_day")) & _fills(b["high"], b["low"]))
+    scan = df.drop("own").join(candidates, "order_id").join(packed, ["symbol", "block"]).withColumn("inside", inside).filter(F.size("inside") > 0)
+    hit = scan.groupBy("order_id").agg(F.min(F.array_min("inside")).alias("bar"))
     out = df.drop("own", "last_day").join(hit, "order_id", "left")
     limit = F.when(_is_long(), F.least("limit_price", "bar.open")).otherwise(F.greatest("limit_price", "bar.open"))
     stop = F.when(_is_long(), F.greatest("stop_price", "bar.open")).otherwise(F.least("stop_price", "bar.open"))
