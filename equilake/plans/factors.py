@@ -14,7 +14,7 @@ from equilake.functions.scalars import safe_div
 from equilake.operators.asof import HORIZON_DAYS, asof_price, asof_value, known_value
 from equilake.operators.indicators import with_price_factors
 from equilake.operators.ranks import rank_correlation, with_quantile_bucket
-from equilake.session import cut_lineage
+from equilake.session import store
 from equilake.sources.bars import price_series, rebalance_dates
 
 
@@ -248,11 +248,19 @@ class SignalRun:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return cut_lineage(factor_panel(self.warehouse, self.spec.name, self.dates))
+        return store(factor_panel(self.warehouse, self.spec.name, self.dates), "panel")
 
     @cached_property
     def forward(self) -> DataFrame:
-        return cut_lineage(forward_returns(self.prices, self.dates))
+        """All horizons; only the IC series and its decay need them."""
+        return store(forward_returns(self.prices, self.dates), "forward")
+
+    @cached_property
+    def own_forward(self) -> DataFrame:
+        """The returns of the run's horizon, computed alone unless all are there already."""
+        if "forward" in self.__dict__:
+            return self.forward.filter(F.col("horizon") == self.horizon)
+        return store(forward_returns(self.prices, self.dates, {self.horizon: HORIZON_DAYS[self.horizon]}), "forward")
 
     @cached_property
     def ics(self) -> DataFrame:
@@ -260,7 +268,7 @@ class SignalRun:
 
     @cached_property
     def _primary(self) -> DataFrame:
-        return self.ics.filter(F.col("horizon") == self.horizon)
+        return ic_series(self.panel, self.own_forward, self.min_symbols)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -268,7 +276,7 @@ class SignalRun:
 
     @cached_property
     def quantiles(self) -> DataFrame:
-        return quantile_returns(self.panel, self.forward, self.horizon, self.buckets)
+        return quantile_returns(self.panel, self.own_forward, self.horizon, self.buckets)
 
     @cached_property
     def spread(self) -> DataFrame:
@@ -281,7 +289,7 @@ class SignalRun:
     @cached_property
     def coverage(self) -> DataFrame:
         n_dates = self._primary.agg(F.count(F.lit(1)).alias("n_dates"))
-        return coverage(self.panel, self.forward, self.horizon, self.spec.kind, n_dates)
+        return coverage(self.panel, self.own_forward, self.horizon, self.spec.kind, n_dates)
 
 
 def run_signal(warehouse, factor: str, **options) -> SignalRun:
