@@ -87,8 +87,8 @@ def relative_metrics(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str
     one row per trading day, so it is small enough to broadcast whatever the number of runs.
     """
     w = Window.orderBy("trade_date")
-    # One series: its rows are the days of the calendar.
-    bench = benchmark.select("trade_date", F.col("close").alias("b")).withColumns({
+    # One row a day, whatever table the caller gives: as many rows as the calendar has days, which bounds the window and the broadcast.
+    bench = benchmark.groupBy("trade_date").agg(F.max("close").alias("b")).withColumns({
         "bar_no": F.row_number().over(w), "bret": F.try_divide("b", F.lag("b").over(w)) - 1})
     ends = bench.agg(F.min_by("b", "trade_date").alias("b0"), F.max_by("b", "trade_date").alias("b1"))
     df = with_returns(equity, keys)

@@ -10,7 +10,8 @@ month that spans both prices is looked into. Nothing is cut off: an order that f
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,23 +199,40 @@ class RiskError(ValueError):
     """Unknown margin or sizing model."""
 
 
-def _rates(model: str) -> tuple[float, float | None, float, float | None]:
-    if model not in MARGIN_RATES:
-        raise RiskError(f"unknown margin model {model!r} (valid: {', '.join(sorted(MARGIN_RATES))})")
-    return MARGIN_RATES[model]
+@dataclass(frozen=True)
+class MarginModel:
+    """Requirements of a position as expressions of its absolute value and of whether it is long."""
+
+    initial: Callable[[Column, Column], Column]
+    maintenance: Callable[[Column, Column], Column]
+    shorts: bool = True
+
+
+def fixed_rates(initial_long: float, initial_short: float | None, long: float, short: float | None) -> MarginModel:
+    """A share of the value by side; None for a side the account may not hold."""
+    def rate(up: float | None, down: float | None) -> Callable[[Column, Column], Column]:
+        one = lambda x: F.lit(float("inf") if x is None else x)
+        return lambda value, is_long: value * F.when(is_long, one(up)).otherwise(one(down))
 
+    return MarginModel(rate(initial_long, initial_short), rate(long, short), initial_short is not None)
 
-def _rate(value: float | None) -> Column:
-    return F.lit(float("inf") if value is None else value)
+
+def margin_model(model: str | MarginModel) -> MarginModel:
+    """A model of one's own, or a named one."""
+    if isinstance(model, MarginModel):
+        return model
+    if model not in MARGIN_RATES:
+        raise RiskError(f"no margin model is called {model!r}; there are {', '.join(sorted(MARGIN_RATES))}")
+    return fixed_rates(*MARGIN_RATES[model])
 
 
-def requirement(model: str, value: Column, is_long: Column, initial: bool) -> Column:
-    """Requirement of an absolute position value; infinite for what the account may not hold."""
-    il, ish, ml, ms = _rates(model)
-    return F.abs(value) * F.when(is_long, _rate(il if initial else ml)).otherwise(_rate(ish if initial else ms))
+def requirement(model: str | MarginModel, value: Column, is_long: Column, initial: bool) -> Column:
+    """Requirement of a position value; infinite for what the account may not hold."""
+    chosen = margin_model(model)
+    return (chosen.initial if initial else chosen.maintenance)(F.abs(value), is_long)
 
 
-def margin_status(positions: DataFrame, equity: DataFrame, keys: Sequence[str], model: str = "reg_t") -> DataFrame:
+def margin_status(positions: DataFrame, equity: DataFrame, keys: Sequence[str], model: str | MarginModel = "reg_t") -> DataFrame:
     """Maintenance requirement, excess, ratio and margin call per (keys) row of ``equity``.
 
     ``positions``: keys, symbol, quantity (signed), close. Accounts without positions are included.
@@ -229,7 +247,7 @@ def margin_status(positions: DataFrame, equity: DataFrame, keys: Sequence[str],
         (needed & (F.col("equity") < F.col("margin_required"))).alias("margin_call"))
 
 
-def margin_check(orders: DataFrame, status: DataFrame, keys: Sequence[str], model: str = "reg_t") -> DataFrame:
+def margin_check(orders: DataFrame, status: DataFrame, keys: Sequence[str], model: str | MarginModel = "reg_t") -> DataFrame:
     """Approves orders whose initial requirement fits the excess.
 
     ``orders``: keys, direction, quantity, close (NULL: no bar, passes), held (signed quantity now).
@@ -240,7 +258,7 @@ def margin_check(orders: DataFrame, status: DataFrame, keys: Sequence[str], mode
     short = ~_is_long()
     reduces = F.coalesce(F.col("held") > 0, F.lit(False))
     fits = F.col("close").isNull() | (need <= F.col("margin_excess"))
-    if model == "cash":
+    if not margin_model(model).shorts:
         reason = F.when(short & reduces, F.lit(None)).when(short, "short selling not allowed").when(~fits, "insufficient margin")
     else:
         reason = F.when(~fits, "insufficient margin")
@@ -323,13 +341,23 @@ def position_limit(orders: DataFrame, max_share: float = 0.25) -> DataFrame:
     return orders.withColumns({"allowed_quantity": allowed.cast("bigint"), "limit_reason": reason})
 
 
-def check_orders(orders: DataFrame, status: DataFrame, keys: Sequence[str], model: str = "reg_t", max_share: float = 0.25, slices: int = 1) -> DataFrame:
-    """The order pipeline: breaker, position limit (may shrink), margin on the shrunk order, slicing.
+# A rule of one's own: the quantity it allows and, for a rejection, the reason, from the columns of the orders.
+RiskRule = Callable[[], tuple[Column, Column]]
+
+
+def check_orders(
+    orders: DataFrame, status: DataFrame, keys: Sequence[str], model: str | MarginModel = "reg_t", max_share: float = 0.25, slices: int = 1, rules: Sequence[RiskRule] = (),
+) -> DataFrame:
+    """The order pipeline: breaker, position limit (may shrink), rules in order (may shrink), margin on the shrunk order, slicing.
 
     Every input order comes back, rejected ones with their reason and one row of quantity zero.
     """
     df = position_limit(breaker_check(orders), max_share).withColumn("asked_quantity", F.col("quantity"))
-    df = margin_check(df.withColumn("quantity", F.col("allowed_quantity")), status, keys, model)
-    reason = F.coalesce("breaker_reason", "limit_reason", "margin_reason")
+    df = df.withColumns({"quantity": F.col("allowed_quantity"), "limit_reason": F.coalesce("breaker_reason", "limit_reason")})
+    for rule in rules:
+        allowed, refused = rule()
+        df = df.withColumns({"quantity": F.least("quantity", allowed.cast("bigint")), "limit_reason": F.coalesce("limit_reason", refused)})
+    df = margin_check(df, status, keys, model)
+    reason = F.coalesce("limit_reason", "margin_reason")
     df = df.withColumns({"reason": reason, "quantity": F.when(reason.isNull(), F.col("quantity")).otherwise(0)})
     return slice_orders(df, slices).drop("allowed_quantity", "breaker_reason", "limit_reason", "margin_reason", "margin_approved")

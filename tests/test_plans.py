@@ -196,3 +196,18 @@ def test_exposure_counts_the_last_value_on_days_without_a_bar(spark):
     assert [r.long_exposure for r in out] == pytest.approx([0.2] * 3) and [r.turnover for r in out] == pytest.approx([0.1, 0.0, 0.0])
     curve = bt.portfolio_curve(held.withColumn("equity", F.col("market_value") + 900.0), cash=1000.0).orderBy("trade_date").collect()
     assert [r.equity for r in curve] == [2000.0] * 3
+
+
+def test_own_margin_model_and_rule(spark):
+    double = orders.MarginModel(lambda v, long: v * F.when(long, 1.0).otherwise(2.0), lambda v, long: v * 0.5, shorts=False)
+    held = spark.createDataFrame([("a", "X", 10.0, 10.0)], "account string, symbol string, quantity double, close double")
+    equity = spark.createDataFrame([("a", 1000.0)], "account string, equity double")
+    status = orders.margin_status(held, equity, ["account"], double)
+    assert status.first().margin_required == 50.0
+    asked = spark.createDataFrame(
+        [("a", "LONG", 20, 10.0, 0, 1000.0, False), ("a", "SHORT", 5, 10.0, 0, 1000.0, False)], "account string, direction string, quantity bigint, close double, held bigint, equity double, tripped boolean")
+    few = lambda: (F.lit(15), F.when(F.col("quantity") < 6, "too small"))
+    out = orders.check_orders(asked, status, ["account"], double, rules=[few]).orderBy("direction").collect()
+    assert [(r.slice_quantity, r.reason) for r in out] == [(15, None), (0, "too small")]
+    with pytest.raises(orders.RiskError):
+        orders.margin_model("none such")
