@@ -48,7 +48,34 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
-@query("op1_minhash_dedup")
+#: Distinct 5-word shingles (s) of the rows (r) of a table, as SQL.
+_SHINGLES = r"""
+{0}_words as (
+  select row_number() over () as r, {1}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from {2}),
+{0} as (
+  select distinct r, {1}, s from (
+    select r, {1}, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from {0}_words) x)"""
+
+_NEAR_DUPLICATES = f"""
+with recursive {_SHINGLES.format("sh", "doc_id", "documents")},
+sizes as (select doc_id, count(*) as n from sh group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+one_way as (select p.a, p.b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b where 100 * p.c >= 75 * (x.n + y.n - p.c)),
+links as (select a, b from one_way union all select b, a from one_way),
+walk as (select a as node, a as reach from links union select w.node, l.b from walk w join links l on l.a = w.reach),
+least as (select node, min(reach) as component from walk group by node)
+select d.doc_id, cast(coalesce(s.n, 0) as bigint) as n_shingles, coalesce(l.component, d.doc_id) as component_id, coalesce(l.component, d.doc_id) = d.doc_id as kept
+from documents d left join sizes s on s.doc_id = d.doc_id left join least l on l.node = d.doc_id"""
+
+_CONTAINED = f"""
+with {_SHINGLES.format("ds", "doc_id", "documents")}, {_SHINGLES.format("bs", "item_id", "benchmark")},
+n as (select r, count(*) as n from bs group by r),
+shared as (select b.r, b.item_id, d.r as dr, d.doc_id, count(*) as c from bs b join ds d on d.s = b.s group by b.r, b.item_id, d.r, d.doc_id)
+select distinct item_id, doc_id, cast(n.n as bigint) as n_item_shingles, cast(c as bigint) as n_shared from shared join n on n.r = shared.r where 100 * c >= 75 * n.n"""
+
+
+@query("op1_minhash_dedup", _NEAR_DUPLICATES)
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(table(spark, root, "documents"))
 
@@ -111,10 +138,10 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op8_language_id")
 def op8(spark: SparkSession, root: str) -> DataFrame:
-    return identify(table(spark, root, "documents")).select("doc_id", F.col("lang").alias("declared"), "language", "posterior", "accepted")
+    return identify(table(spark, root, "documents")).select("doc_id", F.col("lang").alias("declared"), "language", "posterior", F.col("accepted").alias("kept"))
 
 
-@query("op9_decontamination")
+@query("op9_decontamination", _CONTAINED)
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return contained_items(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
