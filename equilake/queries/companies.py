@@ -183,30 +183,25 @@ def v16_overrides(wh):
 # ----- research -------------------------------------------------------------------------------
 
 _YEARS = f"""select f.symbol, f.y, f.rn, f.ni / 10000.0 as ni, f.rev / 100.0 as rev, (40 * f.rev - 10 * f.r) / 10000.0 as gp, (20 * f.rev - 10 * f.r) / 10000.0 as oi,
-  3 * f.rev / 100.0 as ta, (f.rev + f.r) / 100.0 as tl, (2 * f.rev - f.r) / 100.0 as eq, f.r / 100.0 as ltd, f.o / 100.0 as ca, f.n / 100.0 as cl,
+  (300 + (f.k + f.y) % 9) * f.rev / 10000.0 as ta, (f.rev + f.r) / 100.0 as tl, (2 * f.rev - f.r) / 100.0 as eq, f.r / 100.0 as ltd, f.o / 100.0 as ca, f.n / 100.0 as cl,
   case when f.k % 19 = 0 then null else (2 * f.rev - f.r) / 200.0 end as re, (f.ni + 5 * f.rev) / 10000.0 as cfo,
-  case when f.k % 29 = 0 then null else (f.ni / 10000.0) / nullif(f.ni / 10000.0 / f.shares, 0) end as sh, p.industry = 'Banks - Regional' as bank
+  case when f.k % 29 = 0 then null else (cast(f.ni as double) / 10000) / nullif(cast(f.ni as double) / 10000 / nullif(f.shares, 0), 0) end as sh, p.industry = 'Banks - Regional' as bank
 from (select *, row_number() over (partition by symbol order by fiscal_date desc) as rn from {{fin}} where period = 'FY') f join {{profiles}} p on f.symbol = p.symbol where rn <= 2"""
 _LEGS = {
     "roa_positive": "c.ni / nullif(c.ta, 0) > 0", "cfo_positive": "c.cfo > 0", "delta_roa": "c.ni / nullif(c.ta, 0) > p.ni / nullif(p.ta, 0)", "accruals": "c.cfo > c.ni",
     "delta_leverage": "c.ltd / nullif(c.ta, 0) < p.ltd / nullif(p.ta, 0)", "delta_liquidity": "c.ca / nullif(c.cl, 0) > p.ca / nullif(p.cl, 0)",
     "no_dilution": "c.sh <= p.sh", "delta_margin": "c.gp / nullif(c.rev, 0) > p.gp / nullif(p.rev, 0)", "delta_turnover": "c.rev / nullif(c.ta, 0) > p.rev / nullif(p.ta, 0)"}
-_SKIP_TURNOVER = [leg for leg in PIOTROSKI_LEGS if leg not in ("delta_turnover", "no_dilution")]
+_SCORE = " + ".join(f"coalesce(cast({n} as int), 0)" for n in PIOTROSKI_LEGS)
 
 
 @query("f7_piotroski", f"""
-select c.symbol, {', '.join(f"cast({sql} as int) as {n}" for n, sql in _LEGS.items() if n in _SKIP_TURNOVER)}, {s4('c.sh', 'shares_now')}, {s4('p.sh', 'shares_before')}
-from {{yr}} c join {{yr}} p on c.symbol = p.symbol and c.rn = 1 and p.rn = 2 where not c.bank""", {"yr": _YEARS}, share=BASE)
+select *, {_SCORE} as score from (
+  select c.symbol, {', '.join(f"cast({_LEGS[n]} as int) as {n}" for n in PIOTROSKI_LEGS)}
+  from {{yr}} c join {{yr}} p on c.symbol = p.symbol and c.rn = 1 and p.rn = 2 where not c.bank) x""", {"yr": _YEARS}, share=BASE)
 def f7_piotroski(wh):
-    """The turnover leg compares two ratios that are exactly 1/3 here and is checked by unit test."""
-    from equilake.operators.latest import top_n_per_key
-    from equilake.operators.state import combine_year
-
-    scores = research.scores_section(wh).filter("piotroski_f is not null").select("symbol", F.col("piotroski_f.components").alias("c"))
-    years = top_n_per_key(combine_year(wh.income_statement, wh.balance_sheet, wh.cash_flow), ["symbol"], [F.desc("year")], 2, rank="rn")
-    shares = years.groupBy("symbol").agg(F.max(F.when(F.col("rn") == 1, F.col("shares"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("shares"))).alias("s2"))
-    return scores.join(shares, "symbol").select(
-        "symbol", *[F.col(f"c.{n}").alias(n) for n in _SKIP_TURNOVER], r4("s1", "shares_now"), r4("s2", "shares_before"))
+    """All nine legs and the score (a missing leg counts nothing)."""
+    scores = research.scores_section(wh).filter("piotroski_f is not null").select("symbol", F.col("piotroski_f.components").alias("c"), F.col("piotroski_f.score").cast("int").alias("score"))
+    return scores.select("symbol", *[F.col(f"c.{n}").alias(n) for n in PIOTROSKI_LEGS], "score")
 
 
 @query("f8_altman", f"""

@@ -208,7 +208,7 @@ from {fin}
 
 TABLES["balance_sheet"] = """
 select symbol, period, fiscal_date, cast(y as int) as calendar_year, 'USD' as reported_currency,
-       cast(3 * rev as double) / 100 as total_assets,
+       cast((300 + (k + y) % 9) * rev as double) / 10000 as total_assets,
        cast(rev + r as double) / 100 as total_liabilities,
        cast(2 * rev - r as double) / 100 as total_equity,
        cast(4 * o as double) / 1000 as cash_and_equivalents,
@@ -256,7 +256,7 @@ select symbol, period, fiscal_date,
        cast(o as double) / nullif(cast(n as double), 0) as current_ratio,
        debt / nullif(equity, 0) as debt_to_equity,
        cast(ni as double) / 10000 / nullif(equity, 0) as return_on_equity,
-       cast(ni as double) / 10000 / nullif(cast(3 * rev as double) / 100, 0) as return_on_assets,
+       cast(ni as double) / 10000 / nullif(cast((300 + (k + y) % 9) * rev as double) / 10000, 0) as return_on_assets,
        opinc / nullif(equity + debt, 0) as return_on_invested_capital,
        cast(40 * rev - 10 * r as double) / nullif(cast(100 * rev as double), 0) as gross_margin,
        cast(20 * rev - 10 * r as double) / nullif(cast(100 * rev as double), 0) as operating_margin,
