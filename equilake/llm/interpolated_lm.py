@@ -12,7 +12,7 @@ Words and pairs are few when frequent and many when rare, so they are counted in
 * All other occurrences are rows (key, context, document), dealt out by key. A key has at most 2 * PAIR_SHARE or WORD_SHARE of the tokens, so no task gets a
   hot key. A task sorts its rows, counts groups, and gives for each document and event the bucket and the estimates,
   in steps of 1 / STEPS of a decade (0.2 %); the model uses the estimates so rounded.
-The events of the deleted fold are summed by bucket and rounded estimates; that table is bounded by the roundings, and EM runs on it.
+The events of the deleted fold are summed by bucket and estimates, in steps of 1 / EM_STEPS; that table is bounded by the roundings, and EM runs on it.
 
 Defined cases: null and empty texts are the end token alone. A null doc_id counts as the text "" for the fold. Rows with the same doc_id and text share
 their rare events and divide them; rows with the same doc_id and other texts are told apart by a hash. If no row is for training, all counts are 0.
@@ -34,14 +34,13 @@ from equilake.session import store
 WORD_SHARE = 1e-6
 PAIR_SHARE = 2e-6
 CHUNK_TOKENS = 4_000_000
-STEPS = 500
+STEPS, EM_STEPS = 500, 50
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 ROUNDS = 60
 
 FIT, DEL, OUT = 0, 1, 2
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
-_RARE = -1
-_NEVER = -32000
+_NEVER = 8191
 _PAIR = T.stream(2, 31)
 RARE_BUCKET = 63
 
@@ -106,7 +105,6 @@ class Frequent:
     def __init__(self, words: np.ndarray, pairs: np.ndarray):
         self.words = np.unique(np.concatenate((words.astype(np.uint64), np.array([_START, _END], np.uint64))))
         self.pairs = np.unique(pairs.astype(np.uint64))
-        self.start, self.end = int(np.searchsorted(self.words, _START)), int(np.searchsorted(self.words, _END))
 
     @staticmethod
     def _at(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -133,67 +131,67 @@ class Frequent:
 
 
 def _dense(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Exact counts of the frequent words (as tokens), contexts and dense events in a task's rows, by fold: kind, index, fit, deleted."""
+    """Exact counts of the frequent words (as tokens), contexts and dense events in a task's rows, by fold: kind, index, fit, deleted, and of an event its context and word."""
     f: Frequent = shared.value
     sizes = (len(f.words), len(f.words) + 1, len(f.pairs) + len(f.words))
     totals = [np.zeros((2, n), dtype=np.int64) for n in sizes]
     tokens = np.zeros(2, dtype=np.int64)
+    of_context, of_word = np.full(sizes[2], len(f.words)), np.zeros(sizes[2], np.int64)
     for batch in batches:
         fold = batch.column("fold").to_numpy()
         for first, last in T.slices(batch.column("text")):
             token, context, row = _tokens(batch.column("text").slice(first, last - first))
             w, v, dense = f.place(token, context)
             of = fold[first:last][row]
+            full = dense >= 0
+            of_context[dense[full]], of_word[dense[full]] = np.where(v[full] < 0, len(f.words), v[full]), w[full]
             for k in (FIT, DEL):
                 here = of == k
                 tokens[k] += int(here.sum())
                 totals[0][k] += np.bincount(w[here & (w >= 0)], minlength=sizes[0])
                 totals[1][k] += np.bincount(np.where(v < 0, sizes[0], v)[here], minlength=sizes[1])
                 totals[2][k] += np.bincount(dense[here & (dense >= 0)], minlength=sizes[2])
-    kinds, places, counts = [np.full(1, 3)], [np.zeros(1, np.int64)], [tokens[:, None]]
+    kinds, places, counts, sides = [np.full(1, 3)], [np.zeros(1, np.int64)], [tokens[:, None]], [np.zeros((2, 1), np.int64)]
     for kind, total in enumerate(totals):
         used = np.flatnonzero(total.any(axis=0))
         kinds.append(np.full(len(used), kind))
         places.append(used)
         counts.append(total[:, used])
-    n = np.concatenate(counts, axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(places), pa.int64()), pa.array(n[FIT]), pa.array(n[DEL])], names=["kind", "place", "fit", "deleted"])
+        sides.append(np.stack((of_context[used], of_word[used])) if kind == 2 else np.zeros((2, len(used)), np.int64))
+    n, (contexts, words) = np.concatenate(counts, axis=1), np.concatenate(sides, axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int32()), pa.array(np.concatenate(places), pa.int64()), pa.array(n[FIT]), pa.array(n[DEL]), pa.array(contexts), pa.array(words)], names=["kind", "place", "fit", "deleted", "context", "word"])
 
 
 class Model:
-    """Dense counts by fold, totals, and, once learned, the number of words and the weights by bucket."""
+    """Dense counts by fold, and the context and word of each dense event."""
 
     def __init__(self, frequent: Frequent):
         self.frequent = frequent
         n, m = len(frequent.words), len(frequent.pairs)
         self.word, self.context, self.event = np.zeros((2, n), np.int64), np.zeros((2, n + 1), np.int64), np.zeros((2, m + n), np.int64)
         self.tokens = np.zeros(2, np.int64)
-        # Word and context of each dense pair, filled when the pairs are met; of the rare context below.
-        self.words = 0
-        self.weights: np.ndarray | None = None
-
-    def train(self, x: np.ndarray) -> np.ndarray:
-        return x.sum(axis=0)
+        self.of_context, self.of_word = np.full(m + n, n), np.zeros(m + n, np.int64)
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))).astype(np.int64), 0)
 
 
-def _steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """log10(a / b) in STEPS to a decade; _NEVER where a or b is 0."""
+def _steps(a: np.ndarray, b: np.ndarray, steps: int) -> np.ndarray:
+    """-log10(a / b) in so many steps to a decade; _NEVER where a or b is 0."""
     ok = (a > 0) & (b > 0)
-    return np.where(ok, np.rint(STEPS * np.log10(np.where(ok, a, 1) / np.where(ok, b, 1))), _NEVER).astype(np.int64)
+    return np.where(ok, np.minimum(np.rint(-steps * np.log10(np.where(ok, a, 1) / np.where(ok, b, 1))), _NEVER - 1), _NEVER).astype(np.int64)
 
 
 def _cell(bucket: np.ndarray, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (bucket << 32) | ((two + 32768) << 16) | (one + 32768)
+    """Bucket and both estimates in 32 bits; 13 bits hold 16 decades in 500 steps."""
+    return ((bucket << 26) | (two << 13) | one).astype(np.uint32)
 
 
-def _uncell(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    two, one = ((cell >> 16) & 0xFFFF) - 32768, (cell & 0xFFFF) - 32768
-    p = lambda x: np.where(x == _NEVER, 0.0, 10.0 ** (x / STEPS))
-    return cell >> 32, p(two), p(one)
+def _uncell(cell: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell = cell.astype(np.int64)
+    p = lambda x: np.where(x == _NEVER, 0.0, 10.0 ** (-x / steps))
+    return cell >> 26, p((cell >> 13) & 8191), p(cell & 8191)
 
 
 def _events(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -217,7 +215,8 @@ def _group(values: np.ndarray) -> np.ndarray:
 
 
 def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """For the rows of a task, which hold whole keys: d, cell, deleted_cell (of the deleted fold's events), c (count of a rare word, else -1), new (1 for the first row of a rare word of the training rows)."""
+    """For the rows of a task, which hold whole keys: a row for each d with the cells of its events and their counts (of a rare word, else -1); then
+    rows without d: the deleted fold's events by coarser cell, and the number of rare words of the training rows."""
     model: Model = shared.value
     parts = [(b.column("key").to_numpy(), b.column("c").to_numpy(), b.column("d").to_numpy()) for b in batches]
     if not parts:
@@ -225,11 +224,8 @@ def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
     key, cf, d = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     fold, c = cf & 3, cf >> 2
-    order = np.lexsort((c, key))
-    key, c, fold, d = key[order], c[order], fold[order], d[order]
-    word_rows = c != -2
     # Pairs and words never share a group: a group is (key, pair or not), then the context inside it.
-    kind = word_rows.astype(np.int64)
+    kind = (c != -2).astype(np.int64)
     order = np.lexsort((c, key, kind))
     key, c, fold, d, kind = key[order], c[order], fold[order], d[order], kind[order]
     is_fit, is_del = (fold == FIT).astype(np.int64), (fold == DEL).astype(np.int64)
@@ -249,41 +245,33 @@ def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
     one = [np.where(kind == 1, one[k], model.word[k][w]) for k in (FIT, DEL)]
     rare = v == n
 
-    def cells(c12: np.ndarray, c1: np.ndarray, c2: np.ndarray, total: int) -> np.ndarray:
-        return _cell(np.where(rare, RARE_BUCKET, _bucket(c1)), _steps(c12, c1), _steps(c2, np.full(len(c2), total)))
+    def cells(c12: np.ndarray, c1: np.ndarray, c2: np.ndarray, total: int, steps: int, here=slice(None)) -> np.ndarray:
+        c1, c2 = c1[here], c2[here]
+        return _cell(np.where(rare[here], RARE_BUCKET, _bucket(c1)), _steps(c12[here], c1, steps), _steps(c2, np.full(len(c2), total), steps))
 
-    cell = cells(pair[0] + pair[1], ctx[0] + ctx[1], one[0] + one[1], int(model.tokens.sum()))
-    gone = np.where(fold == DEL, cells(pair[0], ctx[0], one[0], int(model.tokens[FIT])), -1)
-    count = np.where(kind == 1, one[0] + one[1], -1)
-    new = np.zeros(len(key), dtype=np.int32)
-    new[outer] = (kind[outer] == 1) & (count[outer] > 0)
+    cell = cells(pair[0] + pair[1], ctx[0] + ctx[1], one[0] + one[1], int(model.tokens.sum()), STEPS).view(np.int32)
+    gone, n_gone = np.unique(cells(pair[0], ctx[0], one[0], int(model.tokens[FIT]), EM_STEPS, fold == DEL), return_counts=True)
+    count = np.where(kind == 1, one[0] + one[1], -1).astype(np.int32)
+    new = int(((kind[outer] == 1) & (count[outer] > 0)).sum())
     by = np.argsort(d, kind="stable")
-    for at in range(0, len(by), 100_000):
-        k = by[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(d[k]), pa.array(cell[k]), pa.array(gone[k]), pa.array(count[k].astype(np.int32)), pa.array(new[k])], names=["d", "cell", "gone", "c", "new"])
-
-
-def _pair_places(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(pair index, context index, word index) of the frequent pairs a task meets."""
-    f: Frequent = shared.value
-    seen = np.zeros(len(f.pairs), dtype=bool)
-    for batch in batches:
-        for first, last in T.slices(batch.column("text")):
-            token, context, _ = _tokens(batch.column("text").slice(first, last - first))
-            w, v, dense = f.place(token, context)
-            here = np.flatnonzero((dense >= 0) & (dense < len(f.pairs)))
-            here = here[~seen[dense[here]]]
-            if len(here):
-                _, at = np.unique(dense[here], return_index=True)
-                here = here[at]
-                seen[dense[here]] = True
-                yield pa.RecordBatch.from_arrays([pa.array(dense[here]), pa.array(v[here]), pa.array(w[here])], names=["place", "context", "word"])
+    d, cell, count = d[by], cell[by], count[by]
+    starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    names = ["d", "cells", "counts", "gone", "n"]
+    for at in range(0, len(starts), 20_000):
+        k = starts[at : at + 20_000]
+        stop = starts[at + 20_000] if at + 20_000 < len(starts) else len(d)
+        offsets = pa.array(np.append(k, stop) - k[0], pa.int32())
+        none = pa.nulls(len(k), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(d[k]), pa.ListArray.from_arrays(offsets, pa.array(cell[k[0] : stop])), pa.ListArray.from_arrays(offsets, pa.array(count[k[0] : stop])), none, none], names=names)
+    m = len(gone) + 1
+    lists = pa.nulls(m, pa.list_(pa.int32()))
+    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), lists, lists, pa.array([*gone.tolist(), None], pa.int64()), pa.array([*n_gone.tolist(), new], pa.int64())], names=names)
 
 
 def learn_weights(cell: np.ndarray, weight: np.ndarray, words: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights (bucket x [pair, word, uniform]) by expectation-maximisation on weighted events."""
     out = np.full((64, 3), 1 / 3)
-    bucket, two, one = _uncell(cell)
+    bucket, two, one = _uncell(cell, EM_STEPS)
     p = np.stack([two, one, np.full(len(cell), 1.0 / (words + 1))])
     for _ in range(rounds):
         share = out[bucket].T * p
@@ -323,32 +311,33 @@ def score(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequent)
 
     model = Model(frequent)
-    counts = train.select("text", "fold").mapInArrow(lambda b: _dense(b, shared), "kind int, place bigint, fit bigint, deleted bigint").groupBy("kind", "place").agg(F.sum("fit").alias("fit"), F.sum("deleted").alias("deleted")).toPandas()
-    for kind, target in enumerate((model.word, model.context, model.event, None)):
+    counts = train.select("text", "fold").mapInArrow(lambda b: _dense(b, shared), "kind int, place bigint, fit bigint, deleted bigint, context bigint, word bigint")
+    counts = counts.groupBy("kind", "place").agg(F.sum("fit").alias("fit"), F.sum("deleted").alias("deleted"), F.max("context").alias("context"), F.max("word").alias("word")).toPandas()
+    for kind, target in enumerate((model.word, model.context, model.event)):
         part = counts[counts.kind == kind]
-        if target is None:
-            model.tokens[:] = [part.fit.sum(), part.deleted.sum()]
-        else:
-            target[FIT, part.place], target[DEL, part.place] = part.fit, part.deleted
-    places = train.select("text").mapInArrow(lambda b: _pair_places(b, shared), "place bigint, context bigint, word bigint").groupBy("place").agg(F.first("context").alias("context"), F.first("word").alias("word")).toPandas()
-    n, m = len(frequent.words), len(frequent.pairs)
-    of_context, of_word = np.full(m + n, n), np.concatenate((np.zeros(m, np.int64), np.arange(n)))
-    of_context[places.place], of_word[places.place] = places.context, places.word
+        target[FIT, part.place], target[DEL, part.place] = part.fit, part.deleted
+    part = counts[counts.kind == 3]
+    model.tokens[:] = [part.fit.sum(), part.deleted.sum()]
+    part = counts[counts.kind == 2]
+    model.of_context[part.place], model.of_word[part.place] = part.context, part.word
+    del counts, part, kept
+    n = len(frequent.words)
 
     counted = spark.sparkContext.broadcast(model)
     events = rows.select("text", "fold", "d").mapInArrow(lambda b: _events(b, shared), "key bigint, c int, d bigint").repartition("key")
-    events = store(events.mapInArrow(lambda b: _estimates(b, counted), "d bigint, cell bigint, gone bigint, c int, new int"), "events")
+    events = store(events.mapInArrow(lambda b: _estimates(b, counted), "d bigint, cells array<int>, counts array<int>, gone bigint, n bigint"), "events")
 
-    def dense_cells(folds: list[int]) -> np.ndarray:
+    def dense_cells(folds: list[int], steps: int) -> np.ndarray:
         pick = lambda x: x[folds].sum(axis=0)
-        c1 = pick(model.context)[of_context]
-        return _cell(np.where(of_context == n, RARE_BUCKET, _bucket(c1)), _steps(pick(model.event), c1), _steps(pick(model.word)[of_word], np.full(m + n, int(model.tokens[folds].sum()))))
+        c1, c2 = pick(model.context)[model.of_context], pick(model.word)[model.of_word]
+        return _cell(np.where(model.of_context == n, RARE_BUCKET, _bucket(c1)), _steps(pick(model.event), c1, steps), _steps(c2, np.full(len(c2), int(model.tokens[folds].sum())), steps))
 
     # Cells are bounded by the buckets and the roundings.
-    gone = events.where("gone >= 0").groupBy("gone").agg(F.count("*").alias("n")).toPandas()
-    words = int(events.agg(F.sum("new")).first()[0] or 0) + int((model.word.sum(axis=0) > 0).sum())
+    gone = events.where("d is null").groupBy("gone").agg(F.sum("n").alias("n")).toPandas()
+    words = int(gone.n[gone.gone.isna()].sum()) + int((model.word.sum(axis=0) > 0).sum())
+    gone = gone[gone.gone.notna()]
     used = model.event[DEL] > 0
-    cell, weight = np.concatenate((gone.gone.to_numpy(np.int64), dense_cells([FIT])[used])), np.concatenate((gone.n.to_numpy(np.float64), model.event[DEL][used].astype(float)))
+    cell, weight = np.concatenate((gone.gone.to_numpy(np.int64).astype(np.uint32), dense_cells([FIT], EM_STEPS)[used])), np.concatenate((gone.n.to_numpy(np.float64), model.event[DEL][used].astype(float)))
     weights = learn_weights(cell, weight, words)
     tokens = int(model.tokens.sum())
 
@@ -358,22 +347,22 @@ def score(docs: DataFrame) -> DataFrame:
         return np.log10(l[:, 0] * two + l[:, 1] * one + l[:, 2] / (words + 1))
 
     word = model.word.sum(axis=0)
-    dense = spark.sparkContext.broadcast((frequent, log_p(dense_cells([FIT, DEL])), np.log10((word + 1) / (tokens + words + 1)), (word > 0).astype(np.float64)))
+    dense = spark.sparkContext.broadcast((frequent, log_p(dense_cells([FIT, DEL], STEPS)), np.log10((word + 1) / (tokens + words + 1)), (word > 0).astype(np.float64)))
     per_row = store(rows.select("doc_id", "text", "fold", "d").mapInArrow(lambda b: _documents(b, dense), "doc_id bigint, d bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"), "scored_rows")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by d of the events of a batch."""
+        """Sums of the events of each row."""
         for batch in batches:
-            codes, d = pd.factorize(batch.column("d").to_numpy())
-            cells, at = np.unique(batch.column("cell").to_numpy(), return_inverse=True)
-            c = batch.column("c").to_numpy()
-            word = c >= 0
-            k = len(d)
+            n = np.diff(batch.column("cells").offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), n)
+            cells, at = np.unique(batch.column("cells").flatten().to_numpy().view(np.uint32), return_inverse=True)
+            c = batch.column("counts").flatten().to_numpy()
+            word, k = c >= 0, batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(np.bincount(codes[c > 0], minlength=k)), pa.array(np.bincount(codes[word], np.log10((c[word] + 1) / (tokens + words + 1)), minlength=k)), pa.array(np.bincount(codes, log_p(cells)[at], minlength=k))],
+                [batch.column("d"), pa.array(np.bincount(row[c > 0], minlength=k)), pa.array(np.bincount(row[word], np.log10((c[word] + 1) / (tokens + words + 1)), minlength=k)), pa.array(np.bincount(row, log_p(cells)[at], minlength=k))],
                 names=["d", "known", "base", "score"])
 
-    rest = events.select("d", "cell", "c").mapInArrow(rare, "d bigint, known bigint, base double, score double").groupBy("d").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("score").alias("rare_score"))
+    rest = events.where("d is not null").select("d", "cells", "counts").mapInArrow(rare, "d bigint, known bigint, base double, score double").groupBy("d").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("score").alias("rare_score"))
     times = per_row.groupBy("d").agg(F.count("*").alias("rows"))
     joined = per_row.join(times, "d").join(rest, "d", "left")
     add = lambda own, other: F.col(own) + F.coalesce(F.col(other) / F.col("rows"), F.lit(0.0))
