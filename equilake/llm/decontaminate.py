@@ -67,15 +67,14 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], bitmap, least: int) -> Iterator[pa.RecordBatch]:
-    flags = None
+    bits = np.frombuffer(bitmap.value, np.uint8)
     for batch in batches:
-        if flags is None:
-            flags = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little").view(bool)
         for first, last in T.slices(batch.column("text")):
             part = batch.slice(first, last - first)
             raw, offsets = T.byte_view(part.column("text"))
             values, at = T.shingles(*T.words(raw, offsets))
-            hit = np.flatnonzero(flags[_slot(values)])
+            slot = _slot(values)
+            hit = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
             row = np.searchsorted(at, hit, "right") - 1
             pairs = np.unique(np.stack([row.astype(np.uint64), values[hit]], axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.uint64)
             counts = np.bincount(pairs[:, 0].astype(np.int64), minlength=last - first)

@@ -277,7 +277,7 @@ class Segmenter:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.scores, self.losses = np.zeros(0), np.zeros(0)
-        self.cache = T.UnitCache(self._encode, most=1_000_000)
+        self.cache = T.UnitCache(self._encode, most=800_000)
         self.lists: dict[bytes, list[tuple[float, list[int]]]] = {}
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,7 +288,7 @@ class Segmenter:
         return ids, counts
 
     def n_best(self, unit: bytes, n: int) -> list[tuple[float, list[int]]]:
-        if len(self.lists) > 200_000:
+        if len(self.lists) > 20_000:
             self.lists.clear()
         if unit not in self.lists:
             self.lists[unit] = a_star(self.pieces, unit, n)
