@@ -10,7 +10,7 @@ Words and pairs are few when frequent and many when rare, so they are counted in
   in the whole is frequent in some chunk) and counted in a second pass as dense arrays, combined before they move. These arrays
   are all that is broadcast; their size is bounded by those two numbers.
 * All other occurrences are rows (key, context, document), dealt out by key. A key has at most 2 * PAIR_SHARE or WORD_SHARE of the tokens, so no task gets a
-  hot key. A task sorts its rows, counts groups, and gives for each document and event the bucket and the estimates,
+  hot key. A task sorts its rows, counts groups, and gives for each bucket and estimates the documents of the events,
   in steps of 1 / STEPS of a decade (0.2 %); the model uses the estimates so rounded.
 The events of the deleted fold are summed by bucket and estimates, in steps of 1 / EM_STEPS; that table is bounded by the roundings, and EM runs on it.
 
@@ -34,6 +34,7 @@ from equilake.session import store
 WORD_SHARE = 1e-6
 PAIR_SHARE = 2e-6
 CHUNK_TOKENS = 4_000_000
+EVENTS = 200_000
 STEPS, EM_STEPS = 500, 50
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 ROUNDS = 60
@@ -215,8 +216,8 @@ def _group(values: np.ndarray) -> np.ndarray:
 
 
 def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """For the rows of a task, which hold whole keys: a row for each d with the cells of its events and their counts (of a rare word, else -1); then
-    rows without d: the deleted fold's events by coarser cell, and the number of rare words of the training rows."""
+    """For the rows of a task, which hold whole keys: a row for each cell and count (of a rare word, else -1) with the d of its events; then
+    rows without cell: the deleted fold's events by coarser cell, and the number of rare words of the training rows."""
     model: Model = shared.value
     parts = [(b.column("key").to_numpy(), b.column("c").to_numpy(), b.column("d").to_numpy()) for b in batches]
     if not parts:
@@ -253,19 +254,25 @@ def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
     gone, n_gone = np.unique(cells(pair[0], ctx[0], one[0], int(model.tokens[FIT]), EM_STEPS, fold == DEL), return_counts=True)
     count = np.where(kind == 1, one[0] + one[1], -1).astype(np.int32)
     new = int(((kind[outer] == 1) & (count[outer] > 0)).sum())
-    by = np.argsort(d, kind="stable")
-    d, cell, count = d[by], cell[by], count[by]
-    starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-    names = ["d", "cells", "counts", "gone", "n"]
-    for at in range(0, len(starts), 20_000):
-        k = starts[at : at + 20_000]
-        stop = starts[at + 20_000] if at + 20_000 < len(starts) else len(d)
-        offsets = pa.array(np.append(k, stop) - k[0], pa.int32())
+    both = (cell.astype(np.int64) << 32) | (count.astype(np.int64) & 0xFFFFFFFF)
+    by = np.lexsort((d, both))
+    both, d, cell, count = both[by], d[by], cell[by], count[by]
+    starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    names = ["cell", "c", "d", "gone", "n"]
+    # Batches of about EVENTS events; a long list goes on in a further row.
+    starts = np.unique(np.concatenate((starts, np.arange(0, len(d), EVENTS))))
+    cuts = np.append(starts, len(d))
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + EVENTS, "right")) - 1)
+        k = starts[at:end]
+        offsets = pa.array(cuts[at : end + 1] - cuts[at], pa.int32())
         none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(d[k]), pa.ListArray.from_arrays(offsets, pa.array(cell[k[0] : stop])), pa.ListArray.from_arrays(offsets, pa.array(count[k[0] : stop])), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(cell[k]), pa.array(count[k]), pa.ListArray.from_arrays(offsets, pa.array(d[cuts[at] : cuts[end]])), none, none], names=names)
+        at = end
     m = len(gone) + 1
-    lists = pa.nulls(m, pa.list_(pa.int32()))
-    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), lists, lists, pa.array([*gone.tolist(), None], pa.int64()), pa.array([*n_gone.tolist(), new], pa.int64())], names=names)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.array([*gone.tolist(), None], pa.int64()), pa.array([*n_gone.tolist(), new], pa.int64())], names=names)
 
 
 def learn_weights(cell: np.ndarray, weight: np.ndarray, words: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -325,7 +332,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     counted = spark.sparkContext.broadcast(model)
     events = rows.select("text", "fold", "d").mapInArrow(lambda b: _events(b, shared), "key bigint, c int, d bigint").repartition("key")
-    events = store(events.mapInArrow(lambda b: _estimates(b, counted), "d bigint, cells array<int>, counts array<int>, gone bigint, n bigint"), "events")
+    events = store(events.mapInArrow(lambda b: _estimates(b, counted), "cell int, c int, d array<bigint>, gone bigint, n bigint"), "events")
 
     def dense_cells(folds: list[int], steps: int) -> np.ndarray:
         pick = lambda x: x[folds].sum(axis=0)
@@ -333,7 +340,7 @@ def score(docs: DataFrame) -> DataFrame:
         return _cell(np.where(model.of_context == n, RARE_BUCKET, _bucket(c1)), _steps(pick(model.event), c1, steps), _steps(c2, np.full(len(c2), int(model.tokens[folds].sum())), steps))
 
     # Cells are bounded by the buckets and the roundings.
-    gone = events.where("d is null").groupBy("gone").agg(F.sum("n").alias("n")).toPandas()
+    gone = events.where("cell is null").groupBy("gone").agg(F.sum("n").alias("n")).toPandas()
     words = int(gone.n[gone.gone.isna()].sum()) + int((model.word.sum(axis=0) > 0).sum())
     gone = gone[gone.gone.notna()]
     used = model.event[DEL] > 0
@@ -350,19 +357,15 @@ def score(docs: DataFrame) -> DataFrame:
     dense = spark.sparkContext.broadcast((frequent, log_p(dense_cells([FIT, DEL], STEPS)), np.log10((word + 1) / (tokens + words + 1)), (word > 0).astype(np.float64)))
     per_row = store(rows.select("doc_id", "text", "fold", "d").mapInArrow(lambda b: _documents(b, dense), "doc_id bigint, d bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"), "scored_rows")
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the events of each row."""
-        for batch in batches:
-            n = np.diff(batch.column("cells").offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), n)
-            cells, at = np.unique(batch.column("cells").flatten().to_numpy().view(np.uint32), return_inverse=True)
-            c = batch.column("counts").flatten().to_numpy()
-            word, k = c >= 0, batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), pa.array(np.bincount(row[c > 0], minlength=k)), pa.array(np.bincount(row[word], np.log10((c[word] + 1) / (tokens + words + 1)), minlength=k)), pa.array(np.bincount(row, log_p(cells)[at], minlength=k))],
-                names=["d", "known", "base", "score"])
-
-    rest = events.where("d is not null").select("d", "cells", "counts").mapInArrow(rare, "d bigint, known bigint, base double, score double").groupBy("d").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("score").alias("rare_score"))
+    # The other events: the same estimates as columns, spread to their rows and summed by row.
+    weight = [F.array(*[F.lit(float(x)) for x in weights[:, k]]) for k in range(3)]
+    bucket = F.shiftrightunsigned("cell", 26)
+    two, one = F.shiftright("cell", 13).bitwiseAND(F.lit(8191)), F.col("cell").bitwiseAND(F.lit(8191))
+    p = lambda x: F.when(x == _NEVER, 0.0).otherwise(F.pow(F.lit(10.0), -x / F.lit(float(STEPS))))
+    log = F.log10(F.get(weight[0], bucket) * p(two) + F.get(weight[1], bucket) * p(one) + F.get(weight[2], bucket) / F.lit(words + 1.0))
+    base = F.when(F.col("c") >= 0, F.log10((F.col("c") + 1) / F.lit(tokens + words + 1.0))).otherwise(0.0)
+    rest = events.where("cell is not null").select((F.col("c") > 0).cast("bigint").alias("known"), base.alias("base"), log.alias("score"), F.explode("d").alias("d"))
+    rest = rest.groupBy("d").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("score").alias("rare_score"))
     times = per_row.groupBy("d").agg(F.count("*").alias("rows"))
     joined = per_row.join(times, "d").join(rest, "d", "left")
     add = lambda own, other: F.col(own) + F.coalesce(F.col(other) / F.col("rows"), F.lit(0.0))
