@@ -2,16 +2,17 @@
 
 p(w | v) = l2(b) c(v, w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's count (powers of two). The weights of
 each bucket are learned by expectation-maximisation: counts without the deleted fold predict the events of that fold. The final counts are those of all
-training rows. Words with fewer than WORD_SHARE of the training tokens share one context (the rare context, with a bucket of its own); as predicted words
-they keep their own counts. A text starts in a start context and ends with an end token.
+training rows. Every word is a context of its own, however rare. A text starts in a start context and ends with an end token.
 
-Words and pairs are few when frequent and many when rare, so they are counted in two ways, both exact:
+Words and pairs are few when frequent and many when rare, so they are counted in two ways, both exact; which words go which way changes no score:
 * At most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs can have such a share of all tokens. They are found by the partition method (what is frequent
   in the whole is frequent in some chunk) and counted in a second pass as dense arrays, combined before they move. These arrays
   are all that is broadcast; their size is bounded by those two numbers.
-* All other occurrences are rows (key, context, document), dealt out by key. A key has at most 2 * PAIR_SHARE or WORD_SHARE of the tokens, so no task gets a
-  hot key. A task sorts its rows, counts groups, and gives for each bucket and estimates the documents of the events,
-  in steps of 1 / STEPS of a decade (0.2 %); the model uses the estimates so rounded.
+* All other occurrences are rows (key, other side, document), dealt out by the rare word (the predicted one if both are), or by the pair if both words are
+  frequent. A key has at most 2 * PAIR_SHARE or 4 * WORD_SHARE of the tokens, so no task gets a hot key. A task sorts its rows, counts groups, and gives for each bucket
+  and estimates the documents of the events, in steps of 1 / STEPS of a decade (0.2 %); the model uses the estimates so rounded.
+* A word is followed by a token wherever it stands, so its count as a context is its count as a word. Where both words are rare, the pairs and their counts are dealt out
+  once more, by context, and meet the context's count there.
 The events of the deleted fold are summed by bucket and estimates, in steps of 1 / EM_STEPS; that table is bounded by the roundings, and EM runs on it.
 
 Defined cases: null and empty texts are the end token alone. A null doc_id counts as the text "" for the fold. Rows with the same doc_id and text share
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,9 @@ FIT, DEL, OUT = 0, 1, 2
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _NEVER = 8191
 _PAIR = T.stream(2, 31)
-RARE_BUCKET = 63
+#: Kinds of events: both words frequent; rare word in a frequent context; both rare; frequent word in a rare context.
+_FREQUENT, _WORD, _BOTH, _CONTEXT = 0, 1, 2, 3
+SORTED_ROWS = 500_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -115,10 +119,7 @@ class Frequent:
         return np.where(sorted_[at] == values, at, -1)
 
     def place(self, token: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word index or -1, context index or -1, index of the dense event or -1).
-
-        Dense events are the frequent pairs, then the rare context with each frequent word.
-        """
+        """(word index or -1, context index or -1, index of the frequent pair or -1)."""
         both = np.concatenate((token, context))
         codes, unique = pd.factorize(both)
         at = self._at(self.words, unique)[codes]
@@ -126,18 +127,16 @@ class Frequent:
         dense = np.full(len(token), -1)
         known = np.flatnonzero((w >= 0) & (v >= 0))
         dense[known] = self._at(self.pairs, _pair(context[known], token[known]))
-        rare = np.flatnonzero((w >= 0) & (v < 0))
-        dense[rare] = len(self.pairs) + w[rare]
         return w, v, dense
 
 
 def _dense(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Exact counts of the frequent words (as tokens), contexts and dense events in a task's rows, by fold: kind, index, fit, deleted, and of an event its context and word."""
     f: Frequent = shared.value
-    sizes = (len(f.words), len(f.words) + 1, len(f.pairs) + len(f.words))
+    sizes = (len(f.words), len(f.words), len(f.pairs))
     totals = [np.zeros((2, n), dtype=np.int64) for n in sizes]
     tokens = np.zeros(2, dtype=np.int64)
-    of_context, of_word = np.full(sizes[2], len(f.words)), np.zeros(sizes[2], np.int64)
+    of_context, of_word = np.zeros(sizes[2], np.int64), np.zeros(sizes[2], np.int64)
     for batch in batches:
         fold = batch.column("fold").to_numpy()
         for first, last in T.slices(batch.column("text")):
@@ -145,12 +144,12 @@ def _dense(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             w, v, dense = f.place(token, context)
             of = fold[first:last][row]
             full = dense >= 0
-            of_context[dense[full]], of_word[dense[full]] = np.where(v[full] < 0, len(f.words), v[full]), w[full]
+            of_context[dense[full]], of_word[dense[full]] = v[full], w[full]
             for k in (FIT, DEL):
                 here = of == k
                 tokens[k] += int(here.sum())
                 totals[0][k] += np.bincount(w[here & (w >= 0)], minlength=sizes[0])
-                totals[1][k] += np.bincount(np.where(v < 0, sizes[0], v)[here], minlength=sizes[1])
+                totals[1][k] += np.bincount(v[here & (v >= 0)], minlength=sizes[1])
                 totals[2][k] += np.bincount(dense[here & (dense >= 0)], minlength=sizes[2])
     kinds, places, counts, sides = [np.full(1, 3)], [np.zeros(1, np.int64)], [tokens[:, None]], [np.zeros((2, 1), np.int64)]
     for kind, total in enumerate(totals):
@@ -169,9 +168,9 @@ class Model:
     def __init__(self, frequent: Frequent):
         self.frequent = frequent
         n, m = len(frequent.words), len(frequent.pairs)
-        self.word, self.context, self.event = np.zeros((2, n), np.int64), np.zeros((2, n + 1), np.int64), np.zeros((2, m + n), np.int64)
+        self.word, self.context, self.event = np.zeros((2, n), np.int64), np.zeros((2, n), np.int64), np.zeros((2, m), np.int64)
         self.tokens = np.zeros(2, np.int64)
-        self.of_context, self.of_word = np.full(m + n, n), np.zeros(m + n, np.int64)
+        self.of_context, self.of_word = np.zeros(m, np.int64), np.zeros(m, np.int64)
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
@@ -196,18 +195,20 @@ def _uncell(cell: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarra
 
 
 def _events(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Occurrences that are not dense: (key, context and fold, d). A frequent word's key is its pair of indexes, with the context -2."""
+    """Occurrences that are not dense: (key, x, d). The key is the rare word (both indexes if none is); x holds the other side (an index, or 60 bits
+    of a rare context's hash), the kind and the fold."""
     f: Frequent = shared.value
     for batch in batches:
-        fold, d = batch.column("fold").to_numpy(), batch.column("d").to_numpy()
+        fold, d = batch.column("fold").to_numpy().astype(np.int64), batch.column("d").to_numpy()
         for first, last in T.slices(batch.column("text")):
             token, context, row = _tokens(batch.column("text").slice(first, last - first))
             w, v, dense = f.place(token, context)
             here = np.flatnonzero(dense < 0)
-            w, v, row = w[here], v[here], row[here] + first
-            key = np.where(w >= 0, (v << 32) | w, token[here].view(np.int64))
-            c = np.where(w >= 0, -2, v).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((c * 4 + fold[row]).astype(np.int32)), pa.array(d[row])], names=["key", "c", "d"])
+            w, v, row, token, context = w[here], v[here], row[here] + first, token[here].view(np.int64), context[here].view(np.int64)
+            kind = np.where(w >= 0, np.where(v >= 0, _FREQUENT, _CONTEXT), np.where(v >= 0, _WORD, _BOTH))
+            key = np.choose(kind, ((v << 32) | w, token, token, context))
+            other = np.choose(kind, (np.zeros_like(v), v << 4, context & ~15, w << 4))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other | (kind << 2) | fold[row]), pa.array(d[row])], names=["key", "x", "d"])
 
 
 def _group(values: np.ndarray) -> np.ndarray:
@@ -215,64 +216,126 @@ def _group(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (values[:, 1:] != values[:, :-1]).any(axis=0))))
 
 
-def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """For the rows of a task, which hold whole keys: a row for each cell and count (of a rare word, else -1) with the d of its events; then
-    rows without cell: the deleted fold's events by coarser cell, and the number of rare words of the training rows."""
-    model: Model = shared.value
-    parts = [(b.column("key").to_numpy(), b.column("c").to_numpy(), b.column("d").to_numpy()) for b in batches]
-    if not parts:
-        return
-    key, cf, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    fold, c = cf & 3, cf >> 2
-    # Pairs and words never share a group: a group is (key, pair or not), then the context inside it.
-    kind = (c != -2).astype(np.int64)
-    order = np.lexsort((c, key, kind))
-    key, c, fold, d, kind = key[order], c[order], fold[order], d[order], kind[order]
-    is_fit, is_del = (fold == FIT).astype(np.int64), (fold == DEL).astype(np.int64)
-
-    def sums(starts: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.repeat(np.add.reduceat(x, starts), np.diff(np.append(starts, len(x))))
-
-    inner = _group(np.stack([key, c.astype(np.int64), kind]))
-    outer = _group(np.stack([key, kind]))
-    pair = [sums(inner, is_fit), sums(inner, is_del)]
-    one = [sums(outer, is_fit), sums(outer, is_del)]
-    n = len(model.frequent.words)
-    v = np.where(kind == 1, c, key >> 32).astype(np.int64)
-    v = np.where(v < 0, n, v)
-    w = np.where(kind == 1, 0, key & 0xFFFFFFFF)
-    ctx = [model.context[k][v] for k in (FIT, DEL)]
-    one = [np.where(kind == 1, one[k], model.word[k][w]) for k in (FIT, DEL)]
-    rare = v == n
-
-    def cells(c12: np.ndarray, c1: np.ndarray, c2: np.ndarray, total: int, steps: int, here=slice(None)) -> np.ndarray:
-        c1, c2 = c1[here], c2[here]
-        return _cell(np.where(rare[here], RARE_BUCKET, _bucket(c1)), _steps(c12[here], c1, steps), _steps(c2, np.full(len(c2), total), steps))
-
-    cell = cells(pair[0] + pair[1], ctx[0] + ctx[1], one[0] + one[1], int(model.tokens.sum()), STEPS).view(np.int32)
-    gone, n_gone = np.unique(cells(pair[0], ctx[0], one[0], int(model.tokens[FIT]), EM_STEPS, fold == DEL), return_counts=True)
-    count = np.where(kind == 1, one[0] + one[1], -1).astype(np.int32)
-    new = int(((kind[outer] == 1) & (count[outer] > 0)).sum())
+_NAMES = ["cell", "c", "d", "gone", "n", "v", "fit", "deleted", "c_fit"]
+_EVENT_FIELDS = "cell int, c int, d array<bigint>, gone bigint, n bigint, v bigint, fit bigint, deleted bigint, c_fit bigint"
+_EVENT_TYPES = [pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * 6]
+
+
+def _event_rows(n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    """n rows of the events table; columns that are not named are null."""
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in zip(_NAMES, _EVENT_TYPES, strict=True)], names=_NAMES)
+
+
+def _cell_rows(cell: np.ndarray, count: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each cell and count with the d of its events, in batches of about EVENTS events; a long list goes on in a further row."""
     both = (cell.astype(np.int64) << 32) | (count.astype(np.int64) & 0xFFFFFFFF)
     by = np.lexsort((d, both))
     both, d, cell, count = both[by], d[by], cell[by], count[by]
-    starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    names = ["cell", "c", "d", "gone", "n"]
-    # Batches of about EVENTS events; a long list goes on in a further row.
+    starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
     starts = np.unique(np.concatenate((starts, np.arange(0, len(d), EVENTS))))
     cuts = np.append(starts, len(d))
     at = 0
     while at < len(starts):
         end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + EVENTS, "right")) - 1)
         k = starts[at:end]
-        offsets = pa.array(cuts[at : end + 1] - cuts[at], pa.int32())
-        none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cell[k]), pa.array(count[k]), pa.ListArray.from_arrays(offsets, pa.array(d[cuts[at] : cuts[end]])), none, none], names=names)
+        yield _event_rows(len(k), cell=pa.array(cell[k]), c=pa.array(count[k]), d=pa.ListArray.from_arrays(pa.array(cuts[at : end + 1] - cuts[at], pa.int32()), pa.array(d[cuts[at] : cuts[end]])))
         at = end
-    m = len(gone) + 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.array([*gone.tolist(), None], pa.int64()), pa.array([*n_gone.tolist(), new], pa.int64())], names=names)
+
+
+def _gone_rows(cell: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """The deleted fold's events by their coarser cell."""
+    gone, place = np.unique(cell, return_inverse=True)
+    return _event_rows(len(gone), gone=pa.array(gone.astype(np.int64)), n=pa.array(np.bincount(place, weight, minlength=len(gone)).astype(np.int64)))
+
+
+def _cells(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int, steps: int) -> np.ndarray:
+    return _cell(_bucket(context), _steps(pair, context, steps), _steps(word, np.full(len(word), tokens), steps))
+
+
+def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """For the rows of a task, which hold whole keys: a row for each cell and count (of a rare word, else -1) with the d of its events; the deleted fold's events by
+    coarser cell; a row for each pair of rare words (v: the context), with its counts, those of its word and its events; a row for each rare word (v) with
+    its counts; and the number of rare words of the training rows (n alone)."""
+    model: Model = shared.value
+    parts = [(b.column("key").to_numpy(), b.column("x").to_numpy(), b.column("d").to_numpy()) for b in batches]
+    if not parts:
+        return
+    all_keys, all_x, all_d = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    # Sorted in pieces of whole keys, so that the arrays of a piece stay small.
+    pieces = -(-len(all_keys) // SORTED_ROWS)
+    piece = (T.mix(all_keys.view(np.uint64)) >> np.uint64(40)) % np.uint64(max(pieces, 1))
+    done, gone, new = [], [], 0
+    tokens, tokens_fit = int(model.tokens.sum()), int(model.tokens[FIT])
+    for p in range(pieces):
+        here = np.flatnonzero(piece == p)
+        if not len(here):
+            continue
+        key, x, d = all_keys[here], all_x[here], all_d[here]
+        # A key of indexes is never grouped with a hash.
+        order = np.lexsort((x, key, (x & 12) == 0))
+        key, x, d = key[order], x[order], d[order]
+        fold, kind, side = x & 3, (x >> 2) & 3, x >> 4
+        plain = kind == _FREQUENT
+        is_fit, is_del = (fold == FIT).astype(np.int64), (fold == DEL).astype(np.int64)
+        as_word = (kind == _WORD) | (kind == _BOTH)
+        inner, outer = _group(np.stack([key, x >> 2])), _group(np.stack([key, plain.astype(np.int64)]))
+
+        def sums(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(n))))
+
+        pair = [sums(inner, n) for n in (is_fit, is_del)]
+        own = [sums(outer, n * as_word) for n in (is_fit, is_del)]
+        w, v = np.where(plain, key & 0xFFFFFFFF, np.where(kind == _CONTEXT, side, 0)), np.where(plain, key >> 32, np.where(kind == _WORD, side, 0))
+        one = [np.where(as_word, own[k], model.word[k][w]) for k in (FIT, DEL)]
+        context = [np.where(kind == _CONTEXT, own[k], model.context[k][v]) for k in (FIT, DEL)]
+        count = np.where(as_word, one[0] + one[1], -1).astype(np.int32)
+        known = np.flatnonzero(kind != _BOTH)
+        cell = _cells(pair[0][known] + pair[1][known], context[0][known] + context[1][known], one[0][known] + one[1][known], tokens, STEPS)
+        done.append((cell.view(np.int32), count[known], d[known]))
+        held = np.flatnonzero((kind != _BOTH) & (fold == DEL))
+        gone.append(_cells(pair[0][held], context[0][held], one[0][held], tokens_fit, EM_STEPS))
+        words = outer[(own[0][outer] + own[1][outer]) > 0]
+        new += len(words)
+        if len(words):
+            yield _event_rows(len(words), v=pa.array(key[words] & ~15), fit=pa.array(own[0][words]), deleted=pa.array(own[1][words]))
+        rare = np.flatnonzero(kind == _BOTH)
+        if len(rare):
+            starts = np.flatnonzero(np.isin(rare, inner, assume_unique=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rare)), pa.int32()), pa.array(d[rare]))
+            k = rare[starts]
+            yield _event_rows(len(k), c=pa.array(count[k]), d=lists, v=pa.array(x[k] & ~15), fit=pa.array(pair[0][k]), deleted=pa.array(pair[1][k]), c_fit=pa.array(one[0][k]))
+    del all_keys, all_x, all_d, piece
+    yield from _cell_rows(*(np.concatenate(x) for x in zip(*done, strict=True)))
+    cells = np.concatenate(gone)
+    yield _gone_rows(cells, np.ones(len(cells)))
+    yield _event_rows(1, n=pa.array([new]))
+
+
+def _rare_contexts(batches: Iterator[pa.RecordBatch], tokens: int, tokens_fit: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rare words meet the counts of their context: cells with the d of their events, and the deleted fold's events by coarser cell.
+    A task holds all rows of its contexts."""
+    words, pairs, lists = [], [], []
+    for b in batches:
+        is_word = b.column("c").is_null()
+        part = b.filter(is_word)
+        words.append(np.stack([part.column(c).to_numpy() for c in ("v", "fit", "deleted")]))
+        part = b.filter(pa.compute.invert(is_word))
+        pairs.append(np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("v", "fit", "deleted", "c", "c_fit")]))
+        lists.append((pa.compute.list_value_length(part.column("d")).to_numpy(zero_copy_only=False).astype(np.int64), part.column("d").flatten().to_numpy()))
+    if not pairs:
+        return
+    (word, fit, deleted), (v, pair_fit, pair_del, count, count_fit) = np.concatenate(words, axis=1), np.concatenate(pairs, axis=1)
+    sizes, d = (np.concatenate(x) for x in zip(*lists, strict=True))
+    del words, pairs, lists
+    order = np.argsort(word)
+    word, fit, deleted = word[order], fit[order], deleted[order]
+    at = Frequent._at(word, v)
+    context = [np.where(at >= 0, x[at], 0) if len(x) else np.zeros(len(v), np.int64) for x in (fit, deleted)]
+    cell = _cells(pair_fit + pair_del, context[0] + context[1], count, tokens, STEPS).view(np.int32)
+    yield from _cell_rows(np.repeat(cell, sizes), np.repeat(count, sizes).astype(np.int32), d)
+    held = np.flatnonzero(pair_del)
+    yield _gone_rows(_cells(pair_fit[held], context[0][held], count_fit[held], tokens_fit, EM_STEPS), pair_del[held])
 
 
 def learn_weights(cell: np.ndarray, weight: np.ndarray, words: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -301,10 +364,21 @@ def _documents(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
             hot, full = w >= 0, dense >= 0
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("d"), pa.array(part.column("fold").to_numpy() == OUT), pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row[hot], word_known[w[hot]], minlength=n).astype(np.int64)),
-                 pa.array(np.bincount(row[hot], word_log[w[hot]], minlength=n)), pa.array(np.bincount(row[full], dense_log[dense[full]], minlength=n))],
+                 pa.array(np.bincount(row[hot], word_log[w[hot]], minlength=n).astype(np.float64)), pa.array(np.bincount(row[full], dense_log[dense[full]], minlength=n).astype(np.float64))],
                 names=["doc_id", "d", "held_out", "n_tokens", "known", "base", "score"])
 
 
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """store(), with the shuffle files behind the table removed once it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return store(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -328,16 +402,17 @@ def score(docs: DataFrame) -> DataFrame:
     part = counts[counts.kind == 2]
     model.of_context[part.place], model.of_word[part.place] = part.context, part.word
     del counts, part, kept
-    n = len(frequent.words)
 
     counted = spark.sparkContext.broadcast(model)
-    events = rows.select("text", "fold", "d").mapInArrow(lambda b: _events(b, shared), "key bigint, c int, d bigint").repartition("key")
-    events = store(events.mapInArrow(lambda b: _estimates(b, counted), "cell int, c int, d array<bigint>, gone bigint, n bigint"), "events")
+    tokens, tokens_fit = int(model.tokens.sum()), int(model.tokens[FIT])
+    events = rows.select("text", "fold", "d").mapInArrow(lambda b: _events(b, shared), "key bigint, x bigint, d bigint").repartition("key")
+    first = _freed(events.mapInArrow(lambda b: _estimates(b, counted), _EVENT_FIELDS), "events")
+    again = first.where("v is not null").repartition("v").mapInArrow(lambda b: _rare_contexts(b, tokens, tokens_fit), _EVENT_FIELDS)
+    events = first.where("v is null").select("cell", "c", "d", "gone", "n").union(_freed(again.select("cell", "c", "d", "gone", "n"), "context_events"))
 
     def dense_cells(folds: list[int], steps: int) -> np.ndarray:
         pick = lambda x: x[folds].sum(axis=0)
-        c1, c2 = pick(model.context)[model.of_context], pick(model.word)[model.of_word]
-        return _cell(np.where(model.of_context == n, RARE_BUCKET, _bucket(c1)), _steps(pick(model.event), c1, steps), _steps(c2, np.full(len(c2), int(model.tokens[folds].sum())), steps))
+        return _cells(pick(model.event), pick(model.context)[model.of_context], pick(model.word)[model.of_word], int(model.tokens[folds].sum()), steps)
 
     # Cells are bounded by the buckets and the roundings.
     gone = events.where("cell is null").groupBy("gone").agg(F.sum("n").alias("n")).toPandas()
@@ -346,7 +421,6 @@ def score(docs: DataFrame) -> DataFrame:
     used = model.event[DEL] > 0
     cell, weight = np.concatenate((gone.gone.to_numpy(np.int64).astype(np.uint32), dense_cells([FIT], EM_STEPS)[used])), np.concatenate((gone.n.to_numpy(np.float64), model.event[DEL][used].astype(float)))
     weights = learn_weights(cell, weight, words)
-    tokens = int(model.tokens.sum())
 
     def log_p(cell: np.ndarray) -> np.ndarray:
         bucket, two, one = _uncell(cell)

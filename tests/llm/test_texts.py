@@ -128,6 +128,30 @@ def test_rare_words_and_repeated_rows_score_alike(documents, monkeypatch):
     assert len(got) == 120 and len({(r.doc_id, round(r.base_score, 6), r.n_known) for r in got}) == 60
 
 
+def test_every_context_keeps_its_counts(documents, odd, monkeypatch):
+    """Scores do not depend on which words count as frequent, and equal the model's definition by plain counts."""
+    docs = documents.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).limit(60)
+    learned = []
+    learn = interpolated_lm.learn_weights
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda *a: learned.append(learn(*a)) or learned[-1])
+    plain = {r.doc_id: r.score for r in interpolated_lm.score(docs).collect()}
+    for share in (5e-4, 0.2):
+        monkeypatch.setattr(interpolated_lm, "WORD_SHARE", share)
+        monkeypatch.setattr(interpolated_lm, "PAIR_SHARE", share)
+        assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in interpolated_lm.score(docs).collect()} == plain
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+    rows = [(r.doc_id, ["", *words(r.text), None]) for r in docs.collect()]
+    train = [t for d, t in rows if fold(d) != 2]
+    one, context, two = (Counter(itertools.chain.from_iterable(f(t) for t in train)) for f in (lambda t: t[1:], lambda t: t[:-1], lambda t: zip(t, t[1:], strict=False)))
+    n = sum(one.values())
+    for d, t in rows:
+        want = 0.0
+        for v, w in zip(t, t[1:], strict=False):
+            l2, l1, l0 = learned[0][int(math.log2(context[v])) if context[v] else 0]
+            want += math.log10((l2 * two[v, w] / context[v] if context[v] else 0) + l1 * one[w] / n + l0 / (len(one) + 1))
+        assert plain[d] == pytest.approx(want, rel=2e-3)
+
+
 def test_weights_of_known_mixtures():
     cell = interpolated_lm._cell(np.array([3, 3]), np.array([10, 8191]), np.array([100, 100]))
     w = interpolated_lm.learn_weights(cell, np.array([900.0, 100.0]), 1000)
