@@ -187,9 +187,43 @@ def _pick(key: bytes, label: str, n: int) -> list[int]:
     return [b % n for b in word]
 
 
-def _address_class(x: int) -> int:
-    a = ipaddress.IPv4Address(x)
-    return ((x >> 24 == 0) << 4) | (a.is_private << 3) | (a.is_loopback << 2) | (a.is_multicast << 1) | (a.is_reserved or a.is_link_local or a.is_unspecified)
+# Ranges of special addresses by class; all other addresses are public. No class is so small that its surrogates run out.
+_SPECIAL = {
+    "this": ["0.0.0.0-0.255.255.255"], "loopback": ["127.0.0.0-127.255.255.255"], "multicast": ["224.0.0.0-239.255.255.255"],
+    "reserved": ["169.254.0.0-169.254.255.255", "240.0.0.0-255.255.255.255"],
+    "private": ["10.0.0.0-10.255.255.255", "172.16.0.0-172.31.255.255", "192.0.0.0-192.0.0.8", "192.0.0.11-192.0.0.255", "192.0.2.0-192.0.2.255", "192.168.0.0-192.168.255.255", "198.18.0.0-198.19.255.255",
+                "198.51.100.0-198.51.100.255", "203.0.113.0-203.0.113.255"],
+}
+
+
+def _address_ranges() -> dict[str, list[tuple[int, int]]]:
+    """First and last address of the ranges of each class; together they are all of IPv4."""
+    out = {c: [tuple(int(ipaddress.IPv4Address(x)) for x in r.split("-")) for r in ranges] for c, ranges in _SPECIAL.items()}
+    edges = [(-1, -1), *sorted(r for ranges in out.values() for r in ranges), (1 << 32, 1 << 32)]
+    out["public"] = [(a[1] + 1, b[0] - 1) for a, b in zip(edges, edges[1:], strict=False) if a[1] + 1 < b[0]]
+    return out
+
+
+_ADDRESSES = _address_ranges()
+
+
+def _address_class(x: int) -> str:
+    return next(c for c, ranges in _ADDRESSES.items() if any(a <= x <= b for a, b in ranges))
+
+
+def _permute_address(x: int, key: bytes, label: str) -> int:
+    """A keyed permutation of the addresses of x's class, drawn among the class's own addresses."""
+    name = _address_class(x)
+    at, size = 0, 0
+    for a, b in _ADDRESSES[name]:
+        at += min(max(x - a, 0), b - a + 1)
+        size += b - a + 1
+    at = permute(at, size, key, f"{label}|{name}")
+    for a, b in _ADDRESSES[name]:
+        if at <= b - a:
+            return a + at
+        at -= b - a + 1
+    raise AssertionError("outside the class")
 
 
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
@@ -203,12 +237,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
         body = permute_text(canonical[4:], key, label + canonical[:2])
         return f"{canonical[:2]}{98 - _iban_rest(canonical[:2], body):02d}{body}"
     if kind == "ip":
-        x = int(ipaddress.IPv4Address(canonical))
-        want = _address_class(x)
-        x = permute(x, 1 << 32, key, label)
-        while _address_class(x) != want:
-            x = permute(x, 1 << 32, key, label)
-        return str(ipaddress.IPv4Address(x))
+        return str(ipaddress.IPv4Address(_permute_address(int(ipaddress.IPv4Address(canonical)), key, label)))
     if kind == "card":
         body = canonical[0] + permute_text(canonical[1:-1], key, label + canonical[0])
         return body + str(luhn(body))

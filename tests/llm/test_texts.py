@@ -81,6 +81,19 @@ def test_collisions_are_drawn_again(spark):
     assert len({r.surrogate for r in got}) == 62 and not {r.surrogate for r in got} & {r.canonical for r in names.collect()}
 
 
+def test_every_address_has_a_surrogate_of_its_class(spark):
+    import ipaddress
+
+    for text in ("0.0.0.0", "0.0.0.1", "127.0.0.1", "10.1.2.3", "192.0.0.9", "169.254.1.1", "255.255.255.255", "239.0.0.1", "8.8.8.8", "203.0.113.255"):
+        a, b = (ipaddress.IPv4Address(x) for x in (text, surrogates.surrogate("ip", text, 0)))
+        assert a != b and (a.is_private, a.is_loopback, a.is_multicast, a.is_link_local or a.is_reserved) == (b.is_private, b.is_loopback, b.is_multicast, b.is_link_local or b.is_reserved)
+    ranges = sorted(r for x in surrogates._ADDRESSES.values() for r in x)
+    assert ranges[0][0] == 0 and ranges[-1][1] == 2**32 - 1 and all(a[1] + 1 == b[0] for a, b in itertools.pairwise(ranges))
+    docs = spark.createDataFrame([(1, "listen on 0.0.0.0 now")], "doc_id bigint, text string")
+    out = surrogates.replace_entities(docs, count="n").first()
+    assert out.n == 1 and re.fullmatch(r"listen on 0\.\d+\.\d+\.\d+ now", out.text) and "0.0.0.0" not in out.text
+
+
 def test_permutations_are_bijections():
     for size in (2, 10, 97, 1000):
         assert sorted(surrogates.permute(x, size, b"k", "t") for x in range(size)) == list(range(size))
