@@ -113,6 +113,22 @@ def test_language_keeps_clean_documents(spark, documents, odd, nothing):
     assert language_id.identify(web, declared="said", host=None, url="url").where("language = said and accepted").count() == 40
 
 
+def test_rare_and_many_languages_are_all_scored(spark):
+    """A language with few documents on a large table, and more languages than one group holds."""
+    def sentence(k, i):
+        word = lambda j: "".join(chr(97 + (k * 31 + (i * 5 + j) % 7 * (k + 3) + m * m * (k % 11 + 2)) % 26) for m in range(6))
+        return " ".join(word(j) for j in range(12)) + f" {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}"
+
+    schema = "text string, lang string, source string"
+    small = [(sentence(1, i), "aa", "x") for i in range(30)]
+    docs = spark.createDataFrame([*small, *[(sentence(2, i) + f" {i}", "bb", "x") for i in range(3000)], *[(sentence(2, 1), "bb", "x")] * 1500], schema)
+    got = language_id.identify(docs, fit_rows=100).where("lang = 'aa'").collect()
+    assert len(got) == 30 and all(r.language == "aa" and r.accepted for r in got)
+    many = spark.createDataFrame([(sentence(k, i), f"l{k:03d}", f"h{k % 3}") for k in range(70) for i in range(20 if k else 4)], schema)
+    out = language_id.identify(many).where("accepted").collect()
+    assert {r.lang for r in out} == {f"l{k:03d}" for k in range(70)} and len({r.language for r in out}) > language_id.GROUP
+
+
 def test_scores_equal_plain_counts(documents, odd, nothing):
     docs = documents.select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = [(r.doc_id, words(r.text) + [None]) for r in docs.collect()]
