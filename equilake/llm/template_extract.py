@@ -5,17 +5,19 @@ pages of a host, two tokens are in one equivalence class when they occur equally
 as its number of pages and the exclusive-or of a hash of (page, count), which combines map-side, so a host with a third of all pages
 moves no more rows than others. Classes of tokens that occur in SUPPORT of the host's pages, MIN_CLASS tokens at least, are
 large and frequent: they make up the host's template. In a page a class is valid if its tokens come in the same order in each of its repetitions and
-do not overlap another class without being nested in it; valid classes are nested, and what lies between their tokens are the slots.
+do not overlap another class without being nested in it; valid classes are nested, and what lies between their tokens are the slots. Vectors are over the
+distinct page contents of a host, so that copies of a page are one page there; a class that holds most of a page's text is no template of that page.
 
 The article is the slot between the template's <article> or <main> tags; without these, the enclosing element whose slots hold most text
 outside links. Inside it every block is kept, repeated or not; removed are the parts that are not article by their element (menus, headers and footers of the page, sidebars,
-forms, scripts, styles, ...) or by the names in their class, id or role (adverts, cookie notices, comments, ...). Outside an article element,
+forms, scripts, styles, ...) or by the names in their class, id or role (adverts, cookie notices, comments, ...); a form or a name removes nothing that holds most of the
+page's paragraph text. Outside an article element,
 blocks all of whose text the template fixes are left out as well.
 
 Blocks: text between block-level tags, references decoded, white space made one blank, trimmed, joined by line feeds.
 
 Defined cases: a null or empty page has the text "" and 0 characters. A host with fewer than MIN_PAGES pages has no template and is read by its elements
-alone. Repeated pages are kept and counted. Pages with a null or odd url form one host by what stands before the first slash. Unclosed
+alone. Repeated pages are kept; the template counts each content once. Pages with a null or odd url form one host by what stands before the first slash. Unclosed
 elements end with their parent. An empty table gives an empty result.
 """
 
@@ -137,12 +139,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(vector), pa.array(places, pa.int64())], names=["host", "token", "vector", "place"])
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """pages (host, mark, html) with one row for each mark of a host. Only contents that occur twice or more are shuffled."""
+    copies = store(pages.groupBy("host", "mark").agg(F.count("*").alias("n")).where("n > 1").select("host", "mark"), "page_copies")
+    n = copies.count()
+    if not n:
+        return pages
+    if n <= MOST_BROADCAST:
+        copies = F.broadcast(copies)
+    once = pages.join(copies, ["host", "mark"], "left_semi").dropDuplicates(["host", "mark"])
+    return pages.join(copies, ["host", "mark"], "left_anti").unionByName(once)
+
+
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """(host, template): the tokens of each host's large and frequent classes as (token, class), in the order of their mean place.
 
-    pages: host, mark (a number for each page), html. A host's template is no larger than two of its pages (at support 0.5).
+    pages: host, mark (a number for each content), html; copies count once. A host's template is no larger than two of its pages (at support 0.5).
     """
-    seen = pages.select("host", "mark", "html").mapInArrow(_count, "host string, token bigint, vector bigint, place bigint")
+    pages = distinct_pages(pages.select("host", "mark", "html"))
+    seen = pages.mapInArrow(_count, "host string, token bigint, vector bigint, place bigint")
     found = seen.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("n"), F.avg("place").alias("place"))
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {MIN_PAGES}")
     frequent = store(found.join(sizes, "host").where(F.col("n") >= support * F.col("pages")), "page_tokens")
@@ -188,8 +203,10 @@ def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
         return ""
     run = tokens(page)
     valid = valid_classes(run, template) if template else {}
-    fixed = {k for at in valid.values() for k in at}
-    begin, end, inside = _slot(run, fixed)
+    weight = _weights(run)
+    fixed = {k for at in valid.values() if 2 * sum(weight[k] for k in at) <= sum(weight) for k in at}
+    paragraphs = _paragraphs(run)
+    begin, end, inside = _slot(run, fixed, paragraphs)
     blocks, parts, skip, own = [], [], 0, False
     for k in range(begin, end):
         t = run[k]
@@ -207,20 +224,51 @@ def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
         if skip:
             skip += t.kind == "open" and t.name not in VOID
             skip -= t.kind == "close"
-        elif t.kind == "open" and t.name not in VOID and (t.name in RAW or _chrome(t, inside)):
+        elif t.kind == "open" and t.name not in VOID and (t.name in RAW or _chrome(run, k, inside, paragraphs)):
             skip = 1
     if own and (block := _clean(parts)):
         blocks.append(block)
     return "\n".join(blocks)
 
 
-def _chrome(t: Token, inside: bool) -> bool:
+def _weights(run: list[Token]) -> list[int]:
+    """Characters of each run of text outside links and menus, headers and footers."""
+    out, stack = [], []
+    for t in run:
+        while stack and stack[-1] >= t.depth:
+            stack.pop()
+        if t.kind == "open" and (t.name == "a" or t.name in CHROME and t.name != "form"):
+            stack.append(t.depth)
+        out.append(len(t.name.strip()) if t.kind == "text" and not stack else 0)
+    return out
+
+
+def _paragraphs(run: list[Token]) -> list[int]:
+    """Characters of paragraph text outside links before each token, and in all."""
+    out, total, stack = [], 0, []
+    for t in run:
+        out.append(total)
+        while stack and stack[-1][0] >= t.depth:
+            stack.pop()
+        if t.kind == "open" and t.name in ("p", "pre", "blockquote", "a"):
+            stack.append((t.depth, t.name == "a"))
+        elif t.kind == "text" and stack and not any(link for _, link in stack):
+            total += len(t.name.strip())
+    return [*out, total]
+
+
+def _chrome(run: list[Token], k: int, inside: bool, paragraphs: list[int]) -> bool:
+    t = run[k]
     if t.name in ("header", "figcaption") and inside:
         return False
-    return t.name in CHROME or bool(t.names and NOISE.search(t.names))
+    if t.name in CHROME and t.name != "form":
+        return True
+    if t.name != "form" and not (t.names and NOISE.search(t.names)):
+        return False
+    return 2 * (paragraphs[_end(run, k)] - paragraphs[k]) <= paragraphs[-1]
 
 
-def _slot(run: list[Token], fixed: set[int]) -> tuple[int, int, bool]:
+def _slot(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[int, int, bool]:
     """(first, last, whether it is an article element) of the tokens that hold the article."""
     heads = [k for k, t in enumerate(run) if t.kind == "open" and t.name in ("article", "main")]
     if heads:
@@ -234,7 +282,7 @@ def _slot(run: list[Token], fixed: set[int]) -> tuple[int, int, bool]:
     stack, skip, link = [-1], 0, 0
     for k, t in enumerate(run):
         if t.kind == "open" and t.name not in VOID:
-            skip += bool(skip) or t.name in RAW or _chrome(t, False)
+            skip += bool(skip) or t.name in RAW or _chrome(run, k, False, paragraphs)
             link += t.name == "a"
             stack.append(k)
         elif t.kind == "close" and len(stack) > 1:
@@ -274,7 +322,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)", 1))
     rows = rows.withColumn("host", host)
-    made = store(templates(rows.withColumn("mark", F.xxhash64("page_id", "url", "html"))), "templates")
+    made = store(templates(rows.withColumn("mark", F.xxhash64("html"))), "templates")
     if (made.select(F.sum(F.size("template"))).first()[0] or 0) <= MOST_BROADCAST:
         made = F.broadcast(made)
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))

@@ -237,6 +237,20 @@ def test_pages_equal_their_articles(spark):
         assert got[r.page_id].text == article(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
 
 
+def test_copies_and_wrappers_keep_their_text(spark):
+    shell = "<html><body><div><a href='/'>Home</a></div><div><h1>{0}</h1><p>Story {0} is told in many words here.</p><p>And {0} goes on for a while.</p></div><div><a href='/x'>Terms</a></div></body></html>"
+    want = "{0}\nStory {0} is told in many words here.\nAnd {0} goes on for a while."
+    rows = [(k, f"http://c.example/{k}", shell.format("one" if k < 5 else f"n{k}")) for k in range(8)]
+    rows += [(k, f"http://all.example/{k}", shell.format("same")) for k in range(10, 16)] + [(20, "http://r.example/", shell.format("again"))] * 4
+    rows += [(30 + k, f"http://w{k}.example/", shell.format("wrap").replace("<body>", f"<body {name}>")) for k, name in enumerate(("class='has-sidebar'", "class='page no-menu'", "id=login"))]
+    rows += [(40, "http://f.example/", shell.format("form").replace("<body>", "<body><form id=aspnet>").replace("</body>", "</form></body>"))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    names = {**{k: "one" if k < 5 else f"n{k}" for k in range(8)}, **{k: "same" for k in range(10, 16)}, 20: "again", 30: "wrap", 31: "wrap", 32: "wrap", 40: "form"}
+    got = template_extract.extract(pages).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id: r.text for r in got} == {k: want.format(x) for k, x in names.items()}
+
+
 def test_odd_pages(spark):
     shell = "<html><body><div class='menu'><a href='/'>Home</a></div><div id=wrap><div>{}</div></div><div class='footer'>All rights</div></body></html>"
     rows = [(k, f"http://h.example/{k}", shell.format(f"<p>First {k} words of a story.<p>Then &amp; more<br>of {k}")) for k in range(8)]
