@@ -8,11 +8,10 @@ large and frequent: they make up the host's template. In a page a class is valid
 do not overlap another class without being nested in it; valid classes are nested, and what lies between their tokens are the slots. Vectors are over the
 distinct page contents of a host, so that copies of a page are one page there; a class that holds most of a page's text is no template of that page.
 
-The article is the slot between the template's <article> or <main> tags; without these, the enclosing element whose slots hold most text
-outside links. Inside it every block is kept, repeated or not; removed are the parts that are not article by their element (menus, headers and footers of the page, sidebars,
+The article is what the template's <article> or <main> tags enclose (of several alike, all; else the one with most text); without these, the enclosing element whose slots
+hold most text outside links. Inside it, blocks all of whose text the template fixes are left out; removed are also the parts that are not article by their element (menus, headers and footers of the page, sidebars,
 forms, scripts, styles, ...) or by the names in their class, id or role (adverts, cookie notices, comments, ...); a form or a name removes nothing that holds most of the
-page's paragraph text. Outside an article element,
-blocks all of whose text the template fixes are left out as well.
+page's paragraph text.
 
 Blocks: text between block-level tags, references decoded, white space made one blank, trimmed, joined by line feeds.
 
@@ -206,14 +205,19 @@ def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
     weight = _weights(run)
     fixed = {k for at in valid.values() if 2 * sum(weight[k] for k in at) <= sum(weight) for k in at}
     paragraphs = _paragraphs(run)
-    begin, end, inside = _slot(run, fixed, paragraphs)
+    slots, inside = _slots(run, fixed, paragraphs)
+    return "\n".join(block for begin, end in slots for block in _blocks(run, begin, end, inside, fixed, paragraphs))
+
+
+def _blocks(run: list[Token], begin: int, end: int, inside: bool, fixed: set[int], paragraphs: list[int]) -> list[str]:
+    """The blocks of a slot; those that the template fixes as a whole are left out."""
     blocks, parts, skip, own = [], [], 0, False
     for k in range(begin, end):
         t = run[k]
         if t.kind == "text":
             if not skip:
                 parts.append(t.name)
-                own |= inside or k not in fixed
+                own |= k not in fixed
             continue
         if t.name in BLOCKS:
             if own and (block := _clean(parts)):
@@ -228,7 +232,7 @@ def main_text(page: str | None, template: dict[int, int] | None = None) -> str:
             skip = 1
     if own and (block := _clean(parts)):
         blocks.append(block)
-    return "\n".join(blocks)
+    return blocks
 
 
 def _weights(run: list[Token]) -> list[int]:
@@ -268,15 +272,16 @@ def _chrome(run: list[Token], k: int, inside: bool, paragraphs: list[int]) -> bo
     return 2 * (paragraphs[_end(run, k)] - paragraphs[k]) <= paragraphs[-1]
 
 
-def _slot(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[int, int, bool]:
-    """(first, last, whether it is an article element) of the tokens that hold the article."""
+def _slots(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[list[tuple[int, int]], bool]:
+    """(first, last) of the tokens that hold the article, in order, and whether they are article elements."""
     heads = [k for k, t in enumerate(run) if t.kind == "open" and t.name in ("article", "main")]
     if heads:
-        # The template's own element before one that only this page has; of several the one with most text.
+        # The template's own element before one that only this page has; of several the one with most text, and those under the same path and names.
         known = [k for k in heads if k in fixed] or heads
         spans = [(k, _end(run, k)) for k in known]
         begin, end = max(spans, key=lambda s: (sum(len(t.name) for t in run[s[0] : s[1]] if t.kind == "text"), -s[0]))
-        return begin + 1, end, True
+        alike = [(k + 1, e) for k, e in spans if run[k].key == run[begin].key and run[k].depth == run[begin].depth]
+        return alike, True
     # Text in paragraphs counts for the element around them, text in links against it.
     mass: dict[int, int] = defaultdict(int)
     stack, skip, link = [-1], 0, 0
@@ -294,7 +299,7 @@ def _slot(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[int
             target = stack[max(block - 1, 0)] if run[stack[block]].name in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") else stack[block]
             mass[target] += -len(t.name) if link else len(t.name)
     best = max(mass, key=lambda k: (mass[k], -k), default=-1)
-    return (best + 1, _end(run, best), False) if best >= 0 else (0, len(run), False)
+    return [(best + 1, _end(run, best)) if best >= 0 else (0, len(run))], False
 
 
 def _end(run: list[Token], k: int) -> int:

@@ -251,6 +251,13 @@ def test_copies_and_wrappers_keep_their_text(spark):
     assert {r.page_id: r.text for r in got} == {k: want.format(x) for k, x in names.items()}
 
 
+def test_template_decides_inside_articles(spark):
+    shell = "<body><div>Top</div><article><h1>Title {0}</h1><p>Text {0} of the page.</p><p>Share this <b>with</b> friends.</p></article><article><p>Second {0} text.</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", shell.format(k)) for k in range(6)]
+    got = template_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Title {k}\nText {k} of the page.\nSecond {k} text." for k in range(6)}
+
+
 def test_odd_pages(spark):
     shell = "<html><body><div class='menu'><a href='/'>Home</a></div><div id=wrap><div>{}</div></div><div class='footer'>All rights</div></body></html>"
     rows = [(k, f"http://h.example/{k}", shell.format(f"<p>First {k} words of a story.<p>Then &amp; more<br>of {k}")) for k in range(8)]
