@@ -51,14 +51,17 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: S
     return first_per_key(both, keys, [F.col("_src"), *order]).drop("_src")
 
 
-def heal_prices(target: DataFrame, incoming: DataFrame, heal_days: int = 7) -> tuple[DataFrame, DataFrame]:
+def heal_prices(target: DataFrame, incoming: DataFrame, heal_days: int = 7, newest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Next daily_prices state and the action taken for each incoming bar.
 
     New dates are inserted; stored bars within ``heal_days`` of the symbol's newest stored bar are
     corrected, keeping a stored adj_close when the incoming one is missing and always keeping
-    known_at; older stored bars are immutable.
+    known_at; older stored bars are immutable. ``newest`` (symbol, newest) says the newest stored dates where
+    ``target`` is a part of the table only.
     """
-    floor = target.groupBy("symbol").agg(F.date_sub(F.max("trade_date"), heal_days).alias("heal_floor"))
+    if newest is None:
+        newest = target.groupBy("symbol").agg(F.max("trade_date").alias("newest"))
+    floor = newest.select("symbol", F.date_sub("newest", heal_days).alias("heal_floor"))
     new = first_per_key(incoming, ["symbol", "trade_date"])
     old_cols = [F.col(c).alias(f"old_{c}") for c in target.columns if c not in ("symbol", "trade_date")]
     stored = target.select("symbol", "trade_date", *old_cols, F.lit(True).alias("_old"))

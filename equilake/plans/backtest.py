@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from equilake.operators import indicators as ind
+from equilake.operators.prefix import affine_scan, lag_scan, numbered, sum_scan
 
 RUN = ("symbol", "run_id")
 
@@ -49,23 +48,18 @@ TIERS = ((300_000.0, 0.0035), (3_000_000.0, 0.0020), (20_000_000.0, 0.0015), (No
 
 
 def tiered_fees(fills: DataFrame, keys: Sequence[str], order: Sequence[str], month: Column, tiers=TIERS, minimum: float = 0.35, max_share: float = 0.01) -> DataFrame:
-    """Adds ``commission`` by cumulative volume of the month, tested before the fill is added.
+    """Adds ``month_volume`` and ``commission`` by cumulative volume of the month, tested before the fill is added.
 
-    Earlier volume comes from two prefix sums, days of the month and fills of the day, so an
-    account-month is never sorted in one task.
+    ``order`` is a total order of the fills of ``keys``. Volumes are a prefix scan, so an account may hold half of all fills, also of one day.
     """
-    df = fills.withColumn("_month", month)
-    per_day = df.groupBy(*keys, "_month", "trade_date").agg(F.sum("quantity").alias("_day"))
-    days = Window.partitionBy(*keys, "_month").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
-    before_day = per_day.select(*keys, "_month", "trade_date", F.coalesce(F.sum("_day").over(days), F.lit(0.0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_month", "trade_date").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_earlier", F.coalesce(F.sum("quantity").over(inside), F.lit(0.0))).join(before_day, [*keys, "_month", "trade_date"])
-    volume = F.col("_before") + F.col("_earlier")
+    rows, most = numbered(fills.withColumn("_month", month), [*keys, "_month"], list(order))
+    rows = sum_scan(rows, [*keys, "_month"], most, {"_upto": "quantity"})
+    volume = F.col("_upto") - F.col("quantity")
     rate = F.lit(tiers[-1][1])
     for threshold, tier_rate in reversed([t for t in tiers if t[0] is not None]):
         rate = F.when(volume <= threshold, tier_rate).otherwise(rate)
     fee = F.greatest(F.lit(minimum), F.least(F.col("quantity") * rate, F.col("price") * F.col("quantity") * max_share))
-    return df.withColumns({"month_volume": volume, "commission": fee}).drop("_month", "_before", "_earlier")
+    return rows.withColumns({"month_volume": volume, "commission": fee}).drop("_month", "_upto", "place")
 
 
 def slippage_zero() -> Slippage:
@@ -236,8 +230,8 @@ def equity_curve(positions: DataFrame, cash: float = 100_000.0) -> DataFrame:
     return df.withColumn("equity", F.col("cash") + F.col("market_value"))
 
 
-def portfolio_curve(equity: DataFrame, keys: Sequence[str] = ("run_id",), cash: float = 100_000.0) -> DataFrame:
-    """keys, trade_date, equity of one account that trades all symbols of a run, ``cash`` a symbol.
+def portfolio_curve(equity: DataFrame, keys: Sequence[str] = ("run_id",), cash: float = 100_000.0, one_account: bool = False) -> DataFrame:
+    """keys, trade_date, equity of all symbols of a run together: an account of ``cash`` for each symbol, or ``one_account`` of ``cash`` for all.
 
     On a date without a bar a symbol counts with its last equity (before its first bar, with its cash). That is the sum of
     all changes up to the date, so nothing is filled in: a row a bar is combined by date, then summed along the calendar.
@@ -248,7 +242,8 @@ def portfolio_curve(equity: DataFrame, keys: Sequence[str] = ("run_id",), cash:
     days = steps.groupBy(*keys, "trade_date").agg(F.sum("_step").alias("_step"), F.sum("_first").alias("_first"))
     every = Window.partitionBy(*keys)
     sofar = every.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select(*keys, "trade_date", (F.sum("_first").over(every) * F.lit(cash) + F.sum("_step").over(sofar)).alias("equity"))
+    start = F.lit(cash) if one_account else F.sum("_first").over(every) * F.lit(cash)
+    return days.select(*keys, "trade_date", (start + F.sum("_step").over(sofar)).alias("equity"))
 
 
 def round_trips(positions: DataFrame) -> DataFrame:
@@ -270,76 +265,59 @@ def round_trips(positions: DataFrame) -> DataFrame:
 # ----- average cost from any fills ------------------------------------------------------------
 
 
-def position_ledger(fills: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
+def position_ledger(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Quantity, average cost and realised P&L (net of fees) after every signed fill.
 
-    Input: ``keys``, ``order`` columns (a total order within the keys whose first part is monotone in
-    ``block``), ``quantity`` (signed), ``price``, ``commission``.
+    Input: ``keys`` (not null), ``order`` columns (a total order within the keys), ``quantity`` (signed), ``price``, ``commission``.
 
-    Average cost is a linear recurrence c' = a c + b whose a and b depend only on the running
-    quantity. So a long history is cut into blocks (a month, say): each block folds to one pair
-    (a, b), the pairs are chained across blocks, and every block is finished independently with
-    its opening cost. No task ever holds more than one block of fills or one pair per block.
+    Positions are a running sum. Average cost is a linear recurrence c' = a c + b whose a and b depend only on the positions
+    around a fill, so both are prefix scans over blocks of fills: a key may hold half of all fills, and nothing leaves the JVM.
     """
     keys = list(keys)
-    df = fills.withColumn("_block", block)
-    per_block = df.groupBy(*keys, "_block").agg(F.sum("quantity").alias("_q"))
-    chain = Window.partitionBy(*keys).orderBy("_block")
-    opening = per_block.withColumn("_open", F.coalesce(F.sum("_q").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    df = df.join(opening.select(*keys, "_block", "_open"), [*keys, "_block"])
-    df = df.withColumn("position", F.col("_open") + F.sum("quantity").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows, most = numbered(fills, keys, list(order))
+    df = sum_scan(rows, keys, most, {"position": "quantity"})
     held = F.col("position") - F.col("quantity")
-    adds = (held != 0) & (F.signum(held) == F.signum(F.col("quantity")))
-    flips = (held != 0) & (F.abs("quantity") > F.abs(held)) & (F.signum(held) != F.signum(F.col("quantity")))
-    starts = (held == 0) | flips
-    total = F.abs(held) + F.abs("quantity")
-    a = F.when(starts, 0.0).when(adds, F.try_divide(F.abs(held), total)).otherwise(1.0)
-    b = F.when(starts, F.col("price")).when(adds, F.try_divide(F.col("price") * F.abs("quantity"), total)).otherwise(0.0)
-    df = df.withColumns({"_held": held, "_a": a, "_b": b})
-
-    names, sort = [*keys, "_block"], list(order)
-    pair = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    rows = F.sort_array(F.collect_list(F.struct(*sort, F.col("_a").alias("_fa"), F.col("_b").alias("_fb"))))
-    composed = F.aggregate(rows, pair, lambda p, x: F.struct((x["_fa"] * p["a"]).alias("a"), (x["_fa"] * p["b"] + x["_fb"]).alias("b")))
-    pairs = df.groupBy(*names).agg(composed.alias("_pair"))
-    chained = F.aggregate(
-        F.collect_list("_pair").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0), lambda c, p: p["a"] * c + p["b"])
-    carry = pairs.select(*names, chained.alias("_cost0"))
-
-    out_schema = T.StructType([*df.schema.fields, T.StructField("avg_cost", T.DoubleType()), T.StructField("_prior", T.DoubleType())])
-
-    def finish(batches):
-        """Rows arrive block by block in order; a block may continue in the next batch."""
-        current, cost = None, 0.0
-        for pdf in batches:
-            marks = list(zip(*[pdf[n] for n in names]))
-            after, prior = np.empty(len(pdf)), np.empty(len(pdf))
-            for i, (mark, x, y, start) in enumerate(zip(marks, pdf["_a"].to_numpy(), pdf["_b"].to_numpy(), pdf["_cost0"].to_numpy())):
-                if mark != current:
-                    current, cost = mark, start
-                prior[i] = cost
-                cost = x * cost + y
-                after[i] = cost
-            yield pdf.drop(columns=["_cost0"]).assign(avg_cost=after, _prior=prior)
-
-    opened = df.join(carry, names).repartition(*names).sortWithinPartitions(*names, *sort)
-    done = opened.mapInPandas(finish, out_schema)
-    closes = (F.col("_held") != 0) & (F.signum("_held") != F.signum("quantity"))
+    same = F.signum(held) == F.signum(F.col("quantity"))
+    df = df.withColumns({"_held": held, "_adds": (held != 0) & same, "_starts": (held == 0) | (~same & (F.abs("quantity") > F.abs(held)))})
+    total = F.abs("_held") + F.abs("quantity")
+    a = F.when(F.col("_starts"), 0.0).when(F.col("_adds"), F.try_divide(F.abs("_held"), total)).otherwise(1.0)
+    b = F.when(F.col("_starts"), F.col("price")).when(F.col("_adds"), F.try_divide(F.col("price") * F.abs("quantity"), total)).otherwise(0.0)
+    df = affine_scan(df.withColumns({"_a": a, "_b0": b}), keys, most, "_a", "_b0")
+    # Every key starts from no position, so its first map is constant and B is the cost.
+    df = lag_scan(df.withColumnRenamed("B", "avg_cost"), keys, most, "avg_cost", "_prior")
+    closes = (F.col("_held") != 0) & ~F.col("_adds") & (F.col("quantity") != 0)
     closed = F.least(F.abs("quantity"), F.abs("_held"))
     gross = F.when(closes, closed * (F.col("price") - F.col("_prior")) * F.signum("_held")).otherwise(0.0)
-    return done.withColumns({
+    return df.withColumns({
         "closed_qty": F.when(closes, closed).otherwise(0.0), "entry_cost": F.when(closes, F.col("_prior")), "realized_pnl": gross - F.col("commission"),
-    }).drop("_block", "_open", "_held", "_a", "_b", "_prior")
+    }).drop("_held", "_adds", "_starts", "_a", "_b0", "A", "_prior")
 
 
 def closing_trades(ledger: DataFrame, keys: Sequence[str], date: str = "trade_date") -> DataFrame:
-    """Round trips from a position ledger: one row per fill that closed something, fully or in part."""
+    """Round trips from a position ledger: a row for each fill that closes something, fully or in part.
+
+    entry_time is the fill that opened the position (or turned it round). The fees of the opening and of all additions since the last closing fill, with the
+    closing fill's own, are the trip's commission; what is left of a position starts with none. quantity is what was closed, held what was open.
+    """
+    keys = list(keys)
     held = F.col("position") - F.col("quantity")
+    closes = F.col("closed_qty") > 0
+    starts = (F.col("quantity") != 0) & (F.signum("position") != F.signum(held)) & (F.col("position") != 0)
+    rows = ledger.withColumns({"_closes": closes.cast("bigint"), "_starts": starts.cast("bigint")})
+    most = rows.agg(F.max("place")).first()[0]
+    rows = sum_scan(rows, keys, (most or 0) + 1, {"_trip": "_closes", "_leg": "_starts"})
+    rows = rows.withColumns({"_trip": F.col("_trip") - F.col("_closes"), "_before": F.col("_leg") - F.col("_starts")})
+    # A trip's fees are summed by its number and a position's opening is found by its number: groups, not windows.
+    fees = rows.groupBy(*keys, "_trip").agg(F.sum("commission").alias("_fees"))
+    opened = rows.where("_starts = 1").select(*keys, F.col("_leg").alias("_before"), F.col(date).alias("entry_time"))
+    done = rows.where("_closes = 1").join(fees, [*keys, "_trip"]).join(opened, [*keys, "_before"], "left")
+    long = held > 0
     pnl = F.col("closed_qty") * (F.col("price") - F.col("entry_cost")) * F.signum(held)
-    return ledger.filter("closed_qty > 0").select(
-        *keys, F.col(date).alias("exit_time"), F.when(held > 0, "LONG").otherwise("SHORT").alias("direction"), F.col("closed_qty").alias("quantity"),
-        F.col("entry_cost").alias("entry_price"), F.col("price").alias("exit_price"), pnl.alias("pnl"), "commission", (pnl - F.col("commission")).alias("net_pnl"))
+    back = F.when(F.col("entry_cost") == 0, 0.0).otherwise(F.when(long, F.try_divide("price", "entry_cost")).otherwise(F.try_divide("entry_cost", "price")) - 1)
+    return done.select(
+        *keys, "entry_time", F.col(date).alias("exit_time"), F.when(long, "LONG").otherwise("SHORT").alias("direction"), F.col("closed_qty").alias("quantity"), F.abs(held).alias("held"),
+        F.col("entry_cost").alias("entry_price"), F.col("price").alias("exit_price"), pnl.alias("pnl"), F.col("_fees").alias("commission"), (pnl - F.col("_fees")).alias("net_pnl"),
+        back.alias("return_pct"), F.datediff(date, "entry_time").alias("holding_days"))
 
 
 # ----- the whole run --------------------------------------------------------------------------
@@ -361,6 +339,26 @@ def run_backtests(
     return {"positions": positions, "equity": equity, "trades": trades, "metrics": perf, "trade_summary": metrics.trade_summary(trades, RUN)}
 
 
+def run_accounts(
+    bars: DataFrame, runs: Sequence[Run], cash: float = 100_000.0, fee: Fee | None = None, slippage: Slippage | None = None, benchmark: DataFrame | None = None, risk_free: float = 0.0,
+) -> dict[str, DataFrame]:
+    """Every run as one account that trades all symbols out of one cash balance: its curve, exposure and turnover, trades and metrics by run_id.
+
+    Orders have a fixed size and are not refused for want of cash, so cash may go below zero; a symbol's flows do not depend on another's.
+    """
+    from equilake.plans import metrics
+
+    positions = positions_from_signals(strategy_signals(bars, runs), fee, slippage)
+    single = equity_curve(positions, cash)
+    equity = portfolio_curve(single, ("run_id",), cash, one_account=True)
+    trades = round_trips(positions)
+    perf = metrics.performance_metrics(equity, ("run_id",), risk_free)
+    if benchmark is not None:
+        perf = perf.join(metrics.relative_metrics(equity, benchmark, ("run_id",), risk_free), "run_id", "left")
+    exposure = metrics.exposure_turnover(single.select("run_id", "symbol", "trade_date", "market_value"), equity, ["run_id"])
+    return {"equity": equity, "exposure": exposure, "trades": trades, "metrics": perf, "trade_summary": metrics.trade_summary(trades, ("run_id",))}
+
+
 def compare_runs(runs: DataFrame, n: int = 20) -> DataFrame:
-    """Newest stored runs with their headline metrics."""
+    """The n newest stored runs (run_id, created_at, metrics ...), newest first, then by run_id."""
     return runs.orderBy(F.desc("created_at"), F.asc("run_id")).limit(n)

@@ -15,7 +15,7 @@ _BARS = """select symbol, trade_date, open * f as open, high * f as high, low *
   select *, case when adj_close is not null then adj_close / close else 1 end as f, coalesce(adj_close, close) as c from {daily_prices}) x"""
 RUNS = [
     bt.Run("sma", "sma_crossover", {"fast": 10, "slow": 30}), bt.Run("bollinger", "bollinger_reversion"), bt.Run("bollinger_wide", "bollinger_reversion", {"exit_at_middle": False}),
-    bt.Run("rsi", "rsi_reversion"), bt.Run("donchian", "donchian_breakout"), bt.Run("hold", "buy_and_hold"),
+    bt.Run("rsi", "rsi_reversion"), bt.Run("donchian", "donchian_breakout"), bt.Run("hold", "buy_and_hold"), bt.Run("macd", "macd_crossover"),
 ]
 _IND = f"""select *, row_number() {_W}) as i, count(*) {_W}) as n,
   avg(close) {_W} rows between 9 preceding and current row) as f10, avg(close) {_W} rows between 29 preceding and current row) as s30,
@@ -31,6 +31,7 @@ _SIG = f"""select symbol, trade_date, open, close, volume, run_id, coalesce(e, f
   union all select symbol, trade_date, open, close, volume, 'bollinger_wide', i >= 20 and close < m20 - 2 * d20, i >= 20 and close > m20 + 2 * d20 from {{ind}}
   union all select symbol, trade_date, open, close, volume, 'rsi', i >= 15 and {_RSI} < 30, i >= 15 and {_RSI} > 70 from {{ind}}
   union all select symbol, trade_date, open, close, volume, 'donchian', i >= 21 and close > u20, i >= 21 and close < l10 from {{ind}}
+  union all select symbol, trade_date, open, close, volume, 'macd', pm <= ps and m > s, pm >= ps and m < s from (select *, lag(m) {_W}) as pm, lag(s) {_W}) as ps from {{win}}) a
   union all select symbol, trade_date, open, close, volume, 'hold', i = 1, false from {{ind}}) u"""
 _R = "over (partition by symbol, run_id order by trade_date"
 _POS = f"""select *, pos - coalesce(lag(pos) {_R}), 0) as q from (
@@ -47,7 +48,19 @@ _EQ = f"""select p.symbol, p.run_id, p.trade_date, p.pos, p.close,
 _TRIP = f"""select symbol, run_id, et as entry_time, trade_date as exit_time, ep as entry_price, price as exit_price, -q * (price - ep) - fee - ef as net_pnl, trade_date - et as days
   from (select *, lag(trade_date) {_R}) as et, lag(price) {_R}) as ep, lag(fee) {_R}) as ef from {{fill}}) x where q < 0"""
 _RET = f"""select *, equity / nullif(lag(equity) {_R}), 0) - 1 as ret, max(equity) {_R}) as pk from {{eq}}"""
-_P = {"bars": _BARS, "ind": _IND, "sig": _SIG, "pos": _POS, "fill": _FILL}
+def _macd_window() -> str:
+    from equilake.operators.indicators import finite_macd_weights
+
+    line, sig = finite_macd_weights(12, 26, 9)
+
+    def dot(weights):
+        return f"case when len(c) = 35 then list_dot_product(c, [{', '.join(repr(float(x)) + '::double' for x in weights)}]) end"
+
+    return f"""select symbol, trade_date, open, close, volume, {dot(line)} as m, {dot(sig)} as s from (
+      select *, list(close) {_W} rows between 34 preceding and current row) as c from {{bars}}) x"""
+
+
+_P = {"bars": _BARS, "ind": _IND, "win": _macd_window(), "sig": _SIG, "pos": _POS, "fill": _FILL}
 _E = {**_P, "eq": _EQ}
 _M = {**_E, "ret": _RET}
 
@@ -69,22 +82,9 @@ def b1_strategy_signals(wh):
     return _signals(wh).filter("entry or exit").select("symbol", "trade_date", "run_id", "entry", "exit")
 
 
-def _finite_macd_sql() -> dict[str, str]:
-    from equilake.operators.indicators import finite_macd_weights
-
-    line, sig = finite_macd_weights(12, 26, 9)
-
-    def dot(weights):
-        return f"list_dot_product(c, [{', '.join(repr(float(x)) + '::double' for x in weights)}])"
-
-    win = f"""select symbol, trade_date, {dot(line)} as m, {dot(sig)} as s from (
-      select symbol, trade_date, list(close) {_W} rows between 34 preceding and current row) as c from {{bars}}) x where len(c) = 35"""
-    return {"bars": _BARS, "win": win}
-
-
 @query("b1_macd_signals", f"""
 select symbol, trade_date, pm <= ps and m > s as entry, pm >= ps and m < s as exit from (select *, lag(m) {_W}) as pm, lag(s) {_W}) as ps from {{win}}) x
-where (pm <= ps and m > s) or (pm >= ps and m < s)""", _finite_macd_sql())
+where (pm <= ps and m > s) or (pm >= ps and m < s)""", {"bars": _BARS, "win": _macd_window()})
 def b1_macd_signals(wh):
     df = bt.strategy_signals(scan_bars(wh.daily_prices), [bt.Run("macd", "macd_crossover")])
     return df.filter("entry or exit").select("symbol", "trade_date", "entry", "exit")
@@ -144,6 +144,20 @@ def a13_psr_score(wh):
     return metrics.performance_metrics(_equity(wh), bt.RUN).select("symbol", "run_id", r4("psr_score"))
 
 
+# The distribution function by its series, with the factorials as log gamma.
+_CDF = """case when z is null then 0 when abs(z) >= 6 * sqrt(2) then (1 + sign(z)) / 2 when z = 0 then 0.5 else (1 + sign(z) * 2 / sqrt(pi()) * exp(-z * z / 2)
+  * list_sum(list_transform(range(0, 151), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(abs(z) / sqrt(2)) + lgamma(n + 1) - lgamma(2 * n + 2))))) / 2 end"""
+
+
+@query("a13_psr", f"""
+select symbol, run_id, {s6(_CDF, 'psr')} from (
+select p.symbol, p.run_id, case when p.n > 2 and p.sd > 0 then sharpe * sqrt(p.n - 1) / sqrt(greatest(1e-10, 1 - m3 / pow(sd, 3) * sharpe + (m4 / pow(sd, 4) - 1) / 4 * sharpe * sharpe)) end as z
+from {{perf}} p join (select r.symbol, r.run_id, avg(pow(r.ret - q.mean, 3)) as m3, avg(pow(r.ret - q.mean, 4)) as m4 from {{ret}} r join {{perf}} q on r.symbol = q.symbol and r.run_id = q.run_id
+  group by r.symbol, r.run_id) m on p.symbol = m.symbol and p.run_id = m.run_id) x""", {**_M, "perf": _PERF})
+def a13_psr(wh):
+    return metrics.performance_metrics(_equity(wh), bt.RUN).select("symbol", "run_id", r6("psr"))
+
+
 @query("a14_relative_metrics", f"""
 select symbol, run_id, {s6('b1 / b0 - 1', 'benchmark_return')}, {s6('e1 / e0 - 1 - (b1 / b0 - 1)', 'alpha')}, {s6('cov / nullif(v, 0)', 'beta')}, {s4('g / nullif(gs, 0) * sqrt(252)', 'information_ratio')},
   {s6('gs * sqrt(252)', 'tracking_error')} from (
@@ -180,6 +194,26 @@ def b17_portfolio(wh):
     return bt.portfolio_curve(_equity(wh)).select("run_id", "trade_date", r2("equity"))
 
 
+# One account a run: the same steps on one balance.
+_ACC = "select run_id, trade_date, 100000 + sum(equity - 100000) as equity from {dense} group by run_id, trade_date"
+_ACCRET = """select *, equity / nullif(lag(equity) over (partition by run_id order by trade_date), 0) - 1 as ret, max(equity) over (partition by run_id order by trade_date) as pk from {acc}"""
+_ACCPERF = """select *, case when days <= 0 then 0 when e1 / e0 > 0 then pow(e1 / e0, 365.0 / days) - 1 else -1 end as cagr, case when sd > 1e-300 then mean / sd * sqrt(252) else 0 end as sharpe,
+  case when dn > 0 and dsd > 0 then mean / dsd * sqrt(252) else 0 end as sortino from (
+  select run_id, count(ret) as n, min_by(equity, trade_date) as e0, max_by(equity, trade_date) as e1, max(trade_date) - min(trade_date) as days, min((equity - pk) / pk) as mdd, avg(ret) as mean, stddev_pop(ret) as sd,
+    count(*) filter (where ret < 0) as dn, stddev_pop(ret) filter (where ret < 0) as dsd from {accret} group by run_id having count(*) >= 2) x"""
+
+
+@query("b17_accounts", f"""
+select p.run_id, {s2('e1', 'final_equity')}, {s6('e1 / e0 - 1', 'total_return')}, {s6('cagr', 'cagr')}, {s6('mdd', 'max_drawdown')}, {s6('sharpe', 'sharpe')}, {s6('sortino', 'sortino')}, {s6('sd * sqrt(252)', 'volatility')},
+  t.n as total_trades, {s2('t.pnl', 'total_pnl')}
+from {{accperf}} p left join (select run_id, cast(count(*) as bigint) as n, sum(net_pnl) as pnl from {{trip}} group by run_id) t on p.run_id = t.run_id""",
+       {**_D, "acc": _ACC, "accret": _ACCRET, "accperf": _ACCPERF, "trip": _TRIP})
+def b17_accounts(wh):
+    out = bt.run_accounts(scan_bars(wh.daily_prices), RUNS)
+    df = out["metrics"].join(out["trade_summary"].select("run_id", "total_trades", "total_pnl"), "run_id", "left")
+    return df.select("run_id", r2("final_equity"), *[r6(c) for c in ("total_return", "cagr", "max_drawdown", "sharpe", "sortino", "volatility")], "total_trades", r2("total_pnl"))
+
+
 @query("b17_run_backtests", f"select symbol, run_id, {s6('e1 / e0 - 1', 'total_return')}, {s6('sharpe', 'sharpe')}, {s6('mdd', 'max_drawdown')} from {{perf}}", {**_M, "perf": _PERF})
 def b17_run_backtests(wh):
     out = bt.run_backtests(scan_bars(wh.daily_prices), RUNS)
@@ -210,6 +244,10 @@ def _trade_fills(wh):
         "account_id", "symbol", "trade_date", "ib_exec_id", "quantity", (F.col("cents") / 100.0 / F.abs("quantity")).alias("price"), (-F.col("commission")).alias("commission"))
 
 
+def _ledger(wh):
+    return bt.position_ledger(_trade_fills(wh), ["account_id", "symbol"], ["trade_date", "ib_exec_id"])
+
+
 @query("b4_position_ledger", f"""
 select account_id, symbol, ib_exec_id, position, {s4('avg_cost', 'avg_cost')} from {{fold}}""", {
     "fl": """select account_id, symbol, ib_exec_id, quantity as q, cents / 100.0 / abs(quantity) as p,
@@ -221,14 +259,39 @@ select account_id, symbol, ib_exec_id, position, {s4('avg_cost', 'avg_cost')} fr
              when abs(f.q) > abs(r.position) then f.p else r.avg_cost end
       from {fold} r join {fl} f on f.account_id = r.account_id and f.symbol = r.symbol and f.i = r.i + 1"""}, recursive=True)
 def b4_position_ledger(wh):
-    df = bt.position_ledger(_trade_fills(wh), ["account_id", "symbol"], ["trade_date", "ib_exec_id"], F.trunc("trade_date", "year"))
-    return df.select("account_id", "symbol", "ib_exec_id", "position", r4("avg_cost"))
+    return _ledger(wh).select("account_id", "symbol", "ib_exec_id", "position", r4("avg_cost"))
 
 
-@query("b5_closing_trades")
+# The same fold with the opening date of the position and the fees since its last closing fill; `c` is set on closing fills.
+_TRIPS = {
+    "fl": """select account_id, symbol, trade_date as d, quantity as q, cents / 100.0 / abs(quantity) as p, -commission as fee,
+      row_number() over (partition by account_id, symbol order by trade_date, ib_exec_id) as i from {trades}""",
+    "fold": """select account_id, symbol, i, d, p, q, q as position, p as cost, d as opened, fee as pool, false as c, p as e, q as h, d as t, fee as paid from {fl} where i = 1
+      union all
+      select account_id, symbol, i, d, p, q, h + q, case when start then p when sign(h) = sign(q) then (e * abs(h) + p * abs(q)) / (abs(h) + abs(q)) else e end, case when start then d else t end,
+        case when c then 0 else paid end, c, e, h, t, paid from (
+        select f.account_id, f.symbol, f.i, f.d, f.p, f.q, r.position as h, r.cost as e, r.opened as t, r.pool + f.fee as paid, r.position <> 0 and sign(r.position) <> sign(f.q) as c,
+          r.position = 0 or (sign(r.position) <> sign(f.q) and abs(f.q) > abs(r.position)) as start
+        from {fold} r join {fl} f on f.account_id = r.account_id and f.symbol = r.symbol and f.i = r.i + 1) x""",
+    "closed": """select account_id, symbol, t as entry_time, d as exit_time, case when h > 0 then 'LONG' else 'SHORT' end as direction, least(abs(q), abs(h)) as quantity, abs(h) as held, e as entry_price, p as exit_price,
+      least(abs(q), abs(h)) * (p - e) * sign(h) as pnl, paid as commission, least(abs(q), abs(h)) * (p - e) * sign(h) - paid as net_pnl, case when e = 0 then 0 when h > 0 then p / e - 1 else e / p - 1 end as return_pct, d - t as days
+      from {fold} where c"""}
+
+
+@query("b5_closing_trades", f"""
+select account_id, symbol, entry_time, exit_time, direction, quantity, held, {s4('entry_price', 'entry_price')}, {s4('exit_price', 'exit_price')}, {s4('pnl', 'pnl')}, {s4('commission', 'commission')}, {s4('net_pnl', 'net_pnl')},
+  {s6('return_pct', 'return_pct')}, cast(days as int) as holding_days from {{closed}}""", _TRIPS, recursive=True)
 def b5_closing_trades(wh):
-    df = bt.position_ledger(_trade_fills(wh), ["account_id", "symbol"], ["trade_date", "ib_exec_id"], F.trunc("trade_date", "year"))
-    return bt.closing_trades(df, ["account_id", "symbol"])
+    df = bt.closing_trades(_ledger(wh), ["account_id", "symbol"])
+    return df.select("account_id", "symbol", "entry_time", "exit_time", "direction", "quantity", "held", *[r4(c) for c in ("entry_price", "exit_price", "pnl", "commission", "net_pnl")], r6("return_pct"), "holding_days")
+
+
+@query("a12_closing_summary", f"""
+select account_id, cast(count(*) as bigint) as total_trades, cast(count(*) filter (where net_pnl > 0) as bigint) as winning_trades, {s6('count(*) filter (where net_pnl > 0) * 1.0 / count(*)', 'win_rate')},
+  {s4('max(net_pnl)', 'largest_win')}, {s4('min(net_pnl)', 'largest_loss')}, {s6('avg(days)', 'avg_holding_days')}, {s2('sum(net_pnl)', 'total_pnl')} from {{closed}} group by account_id""", _TRIPS, recursive=True)
+def a12_closing_summary(wh):
+    df = metrics.trade_summary(bt.closing_trades(_ledger(wh), ["account_id", "symbol"]), ["account_id"])
+    return df.select("account_id", "total_trades", "winning_trades", r6("win_rate"), r4("largest_win"), r4("largest_loss"), r6("avg_holding_days"), r2("total_pnl"))
 
 
 @query("b6_fees", f"""
@@ -244,7 +307,7 @@ select ib_exec_id, v as month_volume, {s6('greatest(0.35, least(aq * case when v
     rows between unbounded preceding and 1 preceding), 0) as v from {{trades}}) x""")
 def b6_tiered_fees(wh):
     fills = wh.trades.select("account_id", "ib_exec_id", "trade_date", F.abs("quantity").alias("quantity"), "price")
-    df = bt.tiered_fees(fills, ["account_id"], ["ib_exec_id"], F.trunc("trade_date", "month"), tiers=((300.0, 0.0035), (900.0, 0.0020), (None, 0.0015)))
+    df = bt.tiered_fees(fills, ["account_id"], ["trade_date", "ib_exec_id"], F.trunc("trade_date", "month"), tiers=((300.0, 0.0035), (900.0, 0.0020), (None, 0.0015)))
     return df.select("ib_exec_id", "month_volume", r6("commission"))
 
 
@@ -466,18 +529,47 @@ def b16_largest_position(wh):
     return orders.largest_position_to_close(orders.margin_status(positions, _account_equity(wh), _KEYS), positions, _KEYS)
 
 
+_TRIPPED = """select account_id, d, max(dd) over (partition by account_id order by d) >= 0.001 as tripped from (
+  select account_id, d, coalesce((max(equity) over (partition by account_id order by d) - equity) / nullif(max(equity) over (partition by account_id order by d), 0), 0) as dd from {ae}) x"""
+_PASSES = "(c is null or (equity > 0 and (after <= abs(held) or after <= most)))"
+
+
 @query("b19_check_orders", f"""
-select account_id, d as trade_date, symbol, cast(case when a > 0 and (c is null or a * c * 0.5 <= excess) then a else 0 end as bigint) as quantity from (
-  select l.*, {_ALLOWED.replace('equity', 'l.equity')} as a, m.equity - m.need as excess from {{li}} l left join {{ms}} m on l.account_id = m.account_id and l.d = m.d) x""", {**_A, "ao": _AO, "li": _LIMITED}, share=("holdings",))
+select account_id, d as trade_date, symbol, reason, cast(s as int) as slice_no, cast(case when q <= 3 then q else floor(q / 3) + case when s <= q % 3 then 1 else 0 end end as bigint) as slice_quantity
+from (select *, case when reason is null then a else 0 end as q from (
+  select x.*, coalesce(case when tripped and not ((held > 0 and up < 0) or (held < 0 and up > 0)) then 'drawdown breaker' end,
+      case when {_PASSES} then null when equity <= 0 then 'zero equity' when greatest(most - abs(held), 0) <= 0 then 'at position limit' end,
+      case when not (c is null or a * c * 0.5 <= excess) then 'insufficient margin' end) as reason
+  from (select l.*, {_ALLOWED.replace('equity', 'l.equity')} as a, m.equity - m.need as excess, t.tripped from {{li}} l
+    left join {{ms}} m on l.account_id = m.account_id and l.d = m.d left join {{tr}} t on l.account_id = t.account_id and l.d = t.d) x) y) z
+cross join range(1, 4) r(s) where s <= case when q <= 3 then 1 else 3 end""", {**_A, "ao": _AO, "li": _LIMITED, "tr": _TRIPPED}, share=("holdings",))
 def b19_check_orders(wh):
+    """Breakers that have tripped, shrunk orders, refusals with their reasons, and three slices."""
     equity = _account_equity(wh)
-    asked = _account_orders(wh).join(equity, _KEYS, "left").withColumn("tripped", F.lit(False))
-    df = orders.check_orders(asked, orders.margin_status(_account_positions(wh), equity, _KEYS), _KEYS)
-    return df.select(*_KEYS, "symbol", F.col("quantity").cast("bigint").alias("quantity"))
+    tripped = orders.drawdown_breaker(equity, ["account_id"], 0.001).select(*_KEYS, "tripped")
+    asked = _account_orders(wh).join(equity, _KEYS, "left").join(tripped, _KEYS, "left")
+    df = orders.check_orders(asked, orders.margin_status(_account_positions(wh), equity, _KEYS), _KEYS, slices=3)
+    return df.select(*_KEYS, "symbol", "reason", F.col("slice_no").cast("int").alias("slice_no"), "slice_quantity")
+
+
+@query("b14_liquidation", """
+select p.account_id, p.d as trade_date, p.symbol, case when q > 0 then 'SHORT' else 'LONG' end as direction, abs(q) as quantity
+from {ap} p join (select account_id, min(d) as d from {tr} where tripped group by account_id) f on p.account_id = f.account_id and p.d = f.d where q <> 0""", {**_A, "tr": _TRIPPED}, share=("holdings",))
+def b14_liquidation(wh):
+    breaker = orders.drawdown_breaker(_account_equity(wh), ["account_id"], 0.001)
+    return orders.liquidation_orders(breaker, _account_positions(wh), ["account_id"])
+
+
+# Every run as it would be stored, stamped with the day of its last exit.
+_STORED = """select p.symbol || '/' || p.run_id as run_id, t.d as created_at, e1 / e0 - 1 as total_return, sharpe, mdd, t.n as trades from {perf} p
+  join (select symbol, run_id, max(exit_time) as d, count(*) as n from {trip} group by symbol, run_id) t on p.symbol = t.symbol and p.run_id = t.run_id"""
 
 
 @query("b18_compare_runs", f"""
-select symbol, run_id, {s6('total_return', 'total_return')} from (select symbol, run_id, e1 / e0 - 1 as total_return from {{perf}}) x order by floor(total_return * 1e6 + 0.50013) desc, symbol, run_id limit 20""", {**_M, "perf": _PERF})
+select run_id, created_at, {s6('total_return', 'total_return')}, {s6('sharpe', 'sharpe')}, {s6('mdd', 'max_drawdown')}, cast(trades as bigint) as total_trades
+from {{stored}} order by created_at desc, run_id limit 20""", {**_M, "perf": _PERF, "trip": _TRIP, "stored": _STORED})
 def b18_compare_runs(wh):
-    df = metrics.performance_metrics(_equity(wh), bt.RUN).select("symbol", "run_id", r6("total_return"))
-    return df.orderBy(F.desc("total_return"), "symbol", "run_id").limit(20)
+    out = bt.run_backtests(scan_bars(wh.daily_prices), RUNS)
+    ended = out["trades"].groupBy(*bt.RUN).agg(F.max("exit_time").alias("created_at"), F.count(F.lit(1)).alias("total_trades"))
+    stored = out["metrics"].join(ended, list(bt.RUN)).withColumn("run_id", F.concat_ws("/", "symbol", "run_id"))
+    return bt.compare_runs(stored.select("run_id", "created_at", r6("total_return"), r6("sharpe"), r6("max_drawdown"), "total_trades"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from equilake.functions.scores import PIOTROSKI_LEGS
 from equilake.plans import research, valuation
 from equilake.queries.registry import BASE, query, r2, r4, r6, s2, s4, s6
+from equilake.queries.windows import _MACD, _RSI
 
 AS_OF = dt.date(1999, 6, 30)
 
@@ -243,9 +244,18 @@ def r2_quality_trends(wh):
     return df.select("symbol", F.col("gross_margin_trend.n").alias("n"), r6("gross_margin_trend.change", "gross_margin_change"))
 
 
-@query("r2_scores_section", share=BASE)
+@query("r2_scores_section", f"""
+select p.symbol, case when coalesce(c.bank, p.industry = 'Banks - Regional', false) then 'bank' else 'general' end as template, case when not c.bank then c.y end as fiscal_year, case when not c.bank then q.y end as prior_fiscal_year,
+  case when not c.bank and q.y is not null then cast({' + '.join(f"coalesce(cast({_LEGS[n].replace('p.', 'q.')} as int), 0)" for n in PIOTROSKI_LEGS)} as int) end as piotroski,
+  case when not c.bank then {s6('6.56 * (c.ca - c.cl) / nullif(c.ta, 0) + 3.26 * c.re / nullif(c.ta, 0) + 6.72 * c.oi / nullif(c.ta, 0) + 1.05 * c.eq / nullif(c.tl, 0)')} end as altman,
+  case when coalesce(c.bank, p.industry = 'Banks - Regional', false) then 'piotroski_f,altman_z' end as not_applicable
+from {{profiles}} p left join {{yr}} c on p.symbol = c.symbol and c.rn = 1 left join {{yr}} q on p.symbol = q.symbol and q.rn = 2
+where c.symbol is not null or coalesce(p.industry = 'Banks - Regional', false)""", {"yr": _YEARS}, share=BASE)
 def r2_scores_section(wh):
-    return research.scores_section(wh)
+    df = research.scores_section(wh)
+    return df.select(
+        "symbol", "template", F.col("fiscal_year").cast("int").alias("fiscal_year"), F.col("prior_fiscal_year").cast("int").alias("prior_fiscal_year"), F.col("piotroski_f.score").cast("int").alias("piotroski"),
+        r6("altman_z.z_score", "altman"), F.array_join("not_applicable", ",").alias("not_applicable"))
 
 
 @query("a4_insider_summary", """
@@ -288,28 +298,63 @@ def r3_earnings_read(wh):
     return df.select("symbol", "periods_found", "estimates_matched", "thesis_count")
 
 
+# The last 252 bars of a symbol with all indicators from the first of them; recurrences walk the bars by number.
+_SNAP_W = "over (partition by symbol order by i"
+_SNAP_WALK = {
+    "last": """select symbol, trade_date, coalesce(adj_close, close) as px, coalesce(cast(volume as double), 0) as vol, adj_close is not null as adj, age, n, n - age + 1 as i from (
+      select *, row_number() over (partition by symbol order by trade_date desc) as age, least(count(*) over (partition by symbol), 252) as n from {daily_prices}) a where age <= 252 and n >= 50""",
+    "num": f"select symbol, trade_date, px as close, i, lag(px) {_SNAP_W}) as pc from {{last}}",
+    **{k: v for k, v in {**_MACD, **_RSI}.items() if k != "num"},
+    "snap": f"""select *, lag(s20) {_SNAP_W}) as p20, lag(s50) {_SNAP_W}) as p50, lag(s200) {_SNAP_W}) as p200, lag(line) {_SNAP_W}) as pline, lag(sig) {_SNAP_W}) as psig, min(trade_date) over (partition by symbol, pk) as pkd,
+        max(px) over (partition by symbol) as hi, min(px) over (partition by symbol) as lo, (px - pk) / pk as dd from (
+      select b.*, l.v as line, s.e as sig, case when w.l = 0 then case when w.g > 0 then 100 else 50 end else 100 - 100 / (1 + w.g / nullif(w.l, 0)) end as rsi from (
+        select *, case when i >= 20 then avg(px) {_SNAP_W} rows 19 preceding) end as s20, case when i >= 50 then avg(px) {_SNAP_W} rows 49 preceding) end as s50,
+          case when i >= 200 then avg(px) {_SNAP_W} rows 199 preceding) end as s200, case when i >= 20 then avg(vol) {_SNAP_W} rows 19 preceding) end as av, max(px) {_SNAP_W}) as pk from {{last}}) b
+      left join {{line}} l on b.symbol = l.symbol and b.i = l.i + 25 left join {{ema9}} s on b.symbol = s.symbol and b.i = s.i + 25 left join {{wilder}} w on b.symbol = w.symbol and b.i = w.i) x"""}
+_UP, _DOWN = "p{0} <= p{1} and s{0} > s{1}", "p{0} >= p{1} and s{0} < s{1}"
+_SNAPSHOT = {**_SNAP_WALK, "shot": f"""select symbol, max(n) as n, min(trade_date) as oldest, max(trade_date) as latest, bool_or(adj) as adj, max(px) filter (where age = 1) as px, max(px) filter (where age = 127) as p6, max(px) filter (where age = n) as p12,
+    max(hi) as hi, min(trade_date) filter (where px = hi) as hid, max(lo) as lo, min(trade_date) filter (where px = lo) as lod, min(dd) as dd, arg_min(pkd, (dd, trade_date)) as ddp, arg_min(trade_date, (dd, trade_date)) as ddt,
+    max(s20) filter (where age = 1) as s20, max(s50) filter (where age = 1) as s50, max(s200) filter (where age = 1) as s200, max(rsi) filter (where age = 1) as rsi, max(line) filter (where age = 1) as line, max(sig) filter (where age = 1) as sig,
+    max(av) filter (where age = 1) as av, max(vol) filter (where age = 1) as vol, max(trade_date) filter (where {_UP.format(50, 200)}) as golden, max(trade_date) filter (where {_DOWN.format(50, 200)}) as death,
+    max(trade_date) filter (where age <= 60 and {_UP.format(20, 50)}) as up2050, max(trade_date) filter (where age <= 60 and {_DOWN.format(20, 50)}) as down2050, max(trade_date) filter (where age <= 60 and pline <= psig and line > sig) as gm,
+    max(trade_date) filter (where age <= 60 and pline >= psig and line < sig) as dm, coalesce(string_agg(cast(trade_date as varchar), ' ' order by trade_date) filter (where age <= 60 and rsi < 30), '') as sold,
+    coalesce(string_agg(cast(trade_date as varchar), ' ' order by trade_date) filter (where age <= 60 and rsi > 70), '') as bought,
+    coalesce(string_agg(cast(trade_date as varchar) || ':' || cast(cast(vol as bigint) as varchar), ' ' order by trade_date) filter (where age <= 30 and i > 20 and av <> 0 and vol > 2 * av), '') as spikes from {{snap}} group by symbol"""}
+_ZONE = "case when rsi is null then 'unknown' when rsi < 30 then 'oversold' when rsi > 70 then 'overbought' else 'neutral' end"
+_LABELS = f"""case when s20 > s50 and s50 > s200 then 'up' when s20 < s50 and s50 < s200 then 'down' else 'mixed' end as trend_bias, {_ZONE} as momentum_bias,
+  case when line > sig and line - sig > 0 then 'bullish' when line < sig and line - sig < 0 then 'bearish' else 'neutral' end as macd_bias,
+  case when (px / nullif(hi, 0) - 1) * 100 > -5 then 'near_high' when (px / nullif(lo, 0) - 1) * 100 < 5 then 'near_low' else 'none' end as near_52w_extreme"""
+_VS = {f"price_vs_sma{k}_pct": f"(px / nullif(s{k}, 0) - 1) * 100" for k in (20, 50, 200)}
+_UP_WINS = "up2050 is not null and (down2050 is null or up2050 >= down2050)"
+
+
 @query("w16_technical_snapshot", f"""
-select symbol, cast(n as int) as bars, {s4('px', 'latest_close')}, {s4('hi', 'high_52w')}, hd as high_52w_date, {s4('lo', 'low_52w')}, ld as low_52w_date,
-  {s4('(px / nullif(p126, 0) - 1) * 100', 'return_6m_pct')}, {s6('s20', 'sma20')}, {s6('s200', 'sma200')}, {s4('dd * 100', 'max_drawdown_pct')},
-  case when s20 > s50 and s50 > s200 then 'up' when s20 < s50 and s50 < s200 then 'down' else 'mixed' end as trend_bias,
-  case when (px / hi - 1) * 100 > -5 then 'near_high' when (px / lo - 1) * 100 < 5 then 'near_low' else 'none' end as near_52w_extreme
-from (select symbol, max(n) as n, max(case when age = 1 then px end) as px, max(px) as hi, min(case when px = mx then trade_date end) as hd, min(px) as lo,
-        min(case when px = mn then trade_date end) as ld, max(case when age = 127 then px end) as p126, avg(case when age <= 20 then px end) as s20,
-        avg(case when age <= 50 then px end) as s50, avg(case when age <= 200 then px end) as s200, min((px - pk) / pk) as dd
-      from (select *, max(px) over (partition by symbol) as mx, min(px) over (partition by symbol) as mn, max(px) over (partition by symbol order by trade_date) as pk
-            from (select symbol, trade_date, coalesce(adj_close, close) as px, row_number() over (partition by symbol order by trade_date desc) as age,
-                         least(count(*) over (partition by symbol), 252) as n from {{daily_prices}}) a where age <= 252) b group by symbol) c""")
+select symbol, cast(n as int) as bars, oldest as oldest_trade_date, latest as latest_trade_date, adj as adj_close_used, {s4('px', 'latest_close')}, {s4('(px / nullif(p6, 0) - 1) * 100', 'return_6m_pct')}, {s4('(px / nullif(p12, 0) - 1) * 100', 'return_1y_pct')},
+  {s4('hi', 'high_52w')}, hid as high_52w_date, {s4('lo', 'low_52w')}, lod as low_52w_date, {s4('(px / hi - 1) * 100', 'pct_below_52w_high')}, {s4('(px / lo - 1) * 100', 'pct_above_52w_low')},
+  {s4('case when dd * 100 < -1e-9 then dd * 100 else 0 end', 'max_drawdown_pct')}, case when dd * 100 < -1e-9 then ddp end as max_drawdown_peak_date, case when dd * 100 < -1e-9 then ddt end as max_drawdown_trough_date,
+  {', '.join(s6(f's{k}', f'sma{k}') for k in (20, 50, 200))}, {', '.join(s4(v, k) for k, v in _VS.items())}, golden as last_golden_cross_50_200, death as last_death_cross_50_200,
+  case when {_UP_WINS} then up2050 else down2050 end as last_cross_date, case when {_UP_WINS} then 'up' when down2050 is not null then 'down' end as last_cross_direction,
+  {s4('rsi', 'rsi14_latest')}, {_ZONE} as rsi14_zone, sold as oversold_days, bought as overbought_days, {s6('line', 'line')}, {s6('sig', 'signal')}, {s6('line - sig', 'histogram')}, gm as last_golden_cross_60d, dm as last_death_cross_60d,
+  {s4('av', 'avg_volume_20d')}, cast(vol as bigint) as latest_volume, {s4('vol / nullif(av, 0)', 'latest_vs_avg')}, spikes as spike_days, {_LABELS} from {{shot}}""", _SNAPSHOT, recursive=True)
 def w16_technical_snapshot(wh):
-    df = research.technical_snapshot(wh.daily_prices)
+    """Every field of every section; lists of days as text."""
+    df = research.technical_snapshot(wh.daily_prices).filter("not insufficient_data")
+    days = lambda c: F.array_join(F.transform(c, lambda d: d.cast("string")), " ")
+    spikes = F.array_join(F.transform("volume.spike_days", lambda d: F.concat_ws(":", d["trade_date"].cast("string"), d["volume"].cast("string"))), " ")
     return df.select(
-        "symbol", "bars", r4("price_action.latest_close", "latest_close"), r4("price_action.high_52w", "high_52w"), "price_action.high_52w_date",
-        r4("price_action.low_52w", "low_52w"), "price_action.low_52w_date", r4("price_action.return_6m_pct", "return_6m_pct"), r6("trend.sma20", "sma20"),
-        r6("trend.sma200", "sma200"), r4("price_action.max_drawdown_pct", "max_drawdown_pct"), "signal_summary.trend_bias", "signal_summary.near_52w_extreme")
+        "symbol", "bars", "oldest_trade_date", "latest_trade_date", "adj_close_used",
+        *[r4(f"price_action.{c}", c) for c in ("latest_close", "return_6m_pct", "return_1y_pct", "high_52w", "low_52w", "pct_below_52w_high", "pct_above_52w_low", "max_drawdown_pct")],
+        *[f"price_action.{c}" for c in ("high_52w_date", "low_52w_date", "max_drawdown_peak_date", "max_drawdown_trough_date")],
+        *[r6(f"trend.sma{k}", f"sma{k}") for k in (20, 50, 200)], *[r4(f"trend.{k}", k) for k in _VS], "trend.last_golden_cross_50_200", "trend.last_death_cross_50_200",
+        F.col("trend.last_cross_20_50.date").alias("last_cross_date"), F.col("trend.last_cross_20_50.direction").alias("last_cross_direction"),
+        r4("momentum.rsi14_latest", "rsi14_latest"), "momentum.rsi14_zone", days("momentum.oversold_days").alias("oversold_days"), days("momentum.overbought_days").alias("overbought_days"),
+        *[r6(f"macd.{c}", c) for c in ("line", "signal", "histogram")], "macd.last_golden_cross_60d", "macd.last_death_cross_60d",
+        r4("volume.avg_volume_20d", "avg_volume_20d"), "volume.latest_volume", r4("volume.latest_vs_avg", "latest_vs_avg"), spikes.alias("spike_days"), "signal_summary.*")
 
 
-@query("f11_bias_labels")
+@query("f11_bias_labels", f"select symbol, {_LABELS} from {{shot}}", _SNAPSHOT, recursive=True)
 def f11_bias_labels(wh):
-    return research.technical_snapshot(wh.daily_prices).select("symbol", "signal_summary.*")
+    return research.technical_snapshot(wh.daily_prices).filter("not insufficient_data").select("symbol", "signal_summary.*")
 
 
 @query("w17_ratio_history", """

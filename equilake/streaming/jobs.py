@@ -14,10 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from equilake.operators.upsert import heal_prices, insert_news, write_snapshot
-
-SnapshotStore = dict[str, str]
-
+from equilake.operators.upsert import heal_prices, insert_news
+from equilake.streaming.months import MonthTable
 
 def bars_from_ticks(ticks: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
     """OHLCV bars of (symbol, ts, price, volume) ticks; works on a batch and on a stream.
@@ -53,31 +51,41 @@ def stream_dedupe(events: DataFrame, keys: list[str], time: str, delay: str) ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_freshness(events: DataFrame, time: str = "ts") -> DataFrame:
-    """Newest clock value per (scope, symbol); run in update mode, one small row of state per key."""
+def freshness(events: DataFrame, time: str = "ts") -> DataFrame:
+    """Newest clock value per (scope, symbol) of a table."""
     return events.groupBy("scope", "symbol").agg(F.max(time).alias("latest"))
 
 
-def _snapshot_loop(stream: DataFrame, store: SnapshotStore, name: str, root: str, checkpoint: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Apply ``step(current, batch)`` per micro-batch and switch ``store[name]`` to the new snapshot.
+def stream_freshness(events: DataFrame, time: str = "ts", forget: str | None = None) -> DataFrame:
+    """Newest clock value per (scope, symbol); run in update mode, one small row of state per key.
 
-    The steps are idempotent per key, so a batch replayed after a failure changes nothing.
+    ``forget`` bounds the state: rows are kept by days (of event time), and a day is dropped when the watermark, so far behind the newest
+    event, has passed it. A reader takes the newest of a key's rows.
     """
+    if forget is None:
+        return freshness(events, time)
+    days = events.withWatermark(time, forget).groupBy("scope", "symbol", F.window(time, "1 day").alias("day"))
+    return days.agg(F.max(time).alias("latest")).select("scope", "symbol", "latest")
+
 
-    def apply(batch: DataFrame, _epoch: int) -> None:
-        current = batch.sparkSession.read.parquet(store[name])
-        store[name] = write_snapshot(step(current, batch), root, name)
+def _month_loop(stream: DataFrame, table: MonthTable, checkpoint: str, step: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], name: str) -> StreamingQuery:
+    """``table.apply`` per micro-batch. A batch replayed after a failure finds its epoch in the manifest and changes nothing."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        table.apply(batch, step, name, epoch)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_heal_prices(bars: DataFrame, store: SnapshotStore, root: str, checkpoint: str, heal_days: int = 7) -> StreamingQuery:
-    """Incremental bars with the trailing correction window of ``heal_prices``."""
-    return _snapshot_loop(bars, store, "daily_prices", root, checkpoint, lambda cur, new: heal_prices(cur, new, heal_days)[0])
+def stream_heal_prices(bars: DataFrame, table: MonthTable, checkpoint: str, heal_days: int = 7, name: str = "bars") -> StreamingQuery:
+    """Incremental bars with the trailing correction window of ``heal_prices``; only the months of the arriving bars are read and rewritten.
+    ``name`` goes with the checkpoint: a new checkpoint needs a new name."""
+    return _month_loop(bars, table, checkpoint, lambda stored, new, newest: heal_prices(stored, new, heal_days, newest)[0], name)
 
 
-def stream_news(news: DataFrame, store: SnapshotStore, root: str, checkpoint: str) -> StreamingQuery:
-    return _snapshot_loop(news, store, "news_items", root, checkpoint, insert_news)
+def stream_news(news: DataFrame, table: MonthTable, checkpoint: str, name: str = "news") -> StreamingQuery:
+    """Headlines not yet stored; a headline's key holds its instant, so its month is the only one that can have it."""
+    return _month_loop(news, table, checkpoint, lambda stored, new, _newest: insert_news(stored, new), name)
 
 
 # ----- signal monitor -------------------------------------------------------------------------
@@ -127,8 +135,3 @@ def resolve_signals(signals: DataFrame, quotes: DataFrame, now: dt.datetime | No
         .when(expired, "expired").otherwise("open"))
     closed = F.when(F.col("status") != "open", F.col("closed_at")).when(F.col("h").isNotNull(), F.col("h.ts")).when(expired, F.col("expires_at"))
     return out.withColumns({"_s": status, "_c": closed}).drop("h", "clock", "status", "closed_at").withColumnsRenamed({"_s": "status", "_c": "closed_at"}).select(*signals.columns)
-
-
-def stream_signal_monitor(quotes: DataFrame, store: SnapshotStore, root: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the stored signals up to date with a stream of quotes."""
-    return _snapshot_loop(quotes, store, "trading_signals", root, checkpoint, lambda cur, new: resolve_signals(cur, new))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from equilake.operators import prefix
 from equilake.plans import backtest as bt
 from equilake.plans import metrics, orders, portfolio, valuation
 from equilake.plans.ledger import LedgerError, scorecard
@@ -106,16 +107,64 @@ def fold(fills):
     return out
 
 
-def test_position_ledger_across_blocks(spark):
+def trips(fills):
+    """Closed trips by a plain loop: (opening, closing, closed, held, entry price, exit price, fees, pnl) of (index, signed quantity, price, fee)."""
+    q = cost = fees = 0.0
+    opened, out = None, []
+    for i, s, p, f in fills:
+        if q == 0:
+            opened, cost, fees = i, p, fees + f
+        elif (q > 0) == (s > 0):
+            cost, fees = (cost * abs(q) + p * abs(s)) / (abs(q) + abs(s)), fees + f
+        else:
+            closed = min(abs(q), abs(s))
+            out.append((opened, i, closed, abs(q), cost, p, fees + f, closed * (p - cost) * (1 if q > 0 else -1)))
+            fees = 0.0
+            if abs(s) > abs(q):
+                opened, cost = i, p
+        q += s
+    return out
+
+
+@pytest.mark.parametrize("bits", [None, 3])
+def test_ledger_and_trips_of_a_hot_key(spark, monkeypatch, bits):
+    """Half of all fills belong to one key; with small blocks every scan has several levels."""
+    if bits:
+        monkeypatch.setattr(prefix, "SUM_BITS", bits)
+        monkeypatch.setattr(prefix, "MAP_BITS", 2)
     rng = random.Random(11)
-    fills = [(float(rng.choice([-30, -20, -10, 10, 20, 30])), rng.uniform(50, 150), 1.0) for _ in range(200)]
-    rows = [("U", "X", D0 + dt.timedelta(days=i // 3), i, s, p, f) for i, (s, p, f) in enumerate(fills)]
-    df = spark.createDataFrame(rows, "account_id string, symbol string, trade_date date, n int, quantity double, price double, commission double")
-    got = bt.position_ledger(df, ["account_id", "symbol"], ["trade_date", "n"], F.trunc("trade_date", "month")).orderBy("n").collect()
-    for r, (q, cost, pnl) in zip(got, fold(fills)):
+    fills = {k: [(i, float(rng.choice([-30, -20, -10, 10, 20, 30])), rng.uniform(50, 150), rng.choice([0.5, 1.0])) for i in range(n)] for k, n in (("X", 300), ("Y", 170), ("Z", 1), *[(f"S{i}", 8) for i in range(15)])}
+    rows = [("U", k, D0 + dt.timedelta(days=i), i, s, p, f) for k, x in fills.items() for i, s, p, f in x]
+    df = spark.createDataFrame(rows, "account_id string, symbol string, trade_date date, n int, quantity double, price double, commission double").repartition(7)
+    ledger = bt.position_ledger(df, ["account_id", "symbol"], ["trade_date", "n"])
+    got = sorted(ledger.collect(), key=lambda r: (r.symbol, r.n))
+    want = [x for k in sorted(fills) for x in fold([(s, p, f) for _, s, p, f in fills[k]])]
+    assert len(got) == len(want)
+    for r, (q, cost, pnl) in zip(got, want):
         assert r.position == q and r.realized_pnl == pytest.approx(pnl, abs=1e-6)
         if q != 0:
             assert r.avg_cost == pytest.approx(cost, abs=1e-6)
+    done = sorted(bt.closing_trades(ledger, ["account_id", "symbol"]).collect(), key=lambda r: (r.symbol, r.exit_time))
+    expected = [(k, *t) for k in sorted(fills) for t in trips(fills[k])]
+    assert len(done) == len(expected)
+    for r, (k, opened, closed_at, closed, held, entry, exit_, fees, pnl) in zip(done, expected):
+        assert (r.symbol, r.entry_time, r.exit_time, r.quantity, r.held) == (k, D0 + dt.timedelta(opened), D0 + dt.timedelta(closed_at), closed, held)
+        assert (r.entry_price, r.exit_price, r.commission, r.pnl) == pytest.approx((entry, exit_, fees, pnl)) and r.holding_days == closed_at - opened
+        assert r.return_pct == pytest.approx((exit_ / entry if r.direction == "LONG" else entry / exit_) - 1)
+
+
+def test_tiered_fees_of_a_hot_account_day(spark, monkeypatch):
+    """An account with half of all fills in one day: its volume is summed over blocks of four fills."""
+    monkeypatch.setattr(prefix, "SUM_BITS", 2)
+    rows = [("U", D0, i, 10.0, 50.0) for i in range(100)] + [("V", D0 + dt.timedelta(days=i), i, 10.0, 50.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "account_id string, trade_date date, n int, quantity double, price double").repartition(5)
+    got = {(r.account_id, r.n): r.month_volume for r in bt.tiered_fees(df, ["account_id"], ["trade_date", "n"], F.trunc("trade_date", "month")).collect()}
+    assert all(got["U", i] == 10.0 * i for i in range(100))
+    seen = {}
+    for i in range(100):
+        month = (D0 + dt.timedelta(days=i)).replace(day=1)
+        assert got["V", i] == seen.get(month, 0.0)
+        seen[month] = seen.get(month, 0.0) + 10.0
 
 
 def test_orders_gap_through_limit_and_stop(spark):

@@ -3,10 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from equilake.operators.upsert import heal_prices
 from equilake.sources import files, vendor
 from equilake.streaming import jobs
-from test_operators import D0, prices
 
 
 def write(tmp_path, name, text):
@@ -56,18 +54,6 @@ def test_short_interest_file(spark, tmp_path):
     assert [(r.symbol, r.settlement_date, r.short_interest, r.days_to_cover) for r in got] == [("ABC", dt.date(2024, 1, 15), 1234.0, None)]
 
 
-def test_stream_heal_equals_batch(spark, tmp_path):
-    stored = prices(spark, [("A", D0, 1.0, 1.0, 1), ("A", D0 + dt.timedelta(5), 2.0, 2.0, 1)])
-    incoming = prices(spark, [("A", D0 + dt.timedelta(5), 3.0, None, 2), ("A", D0 + dt.timedelta(6), 4.0, 4.0, 2)])
-    stored.write.parquet(str(tmp_path / "start"))
-    incoming.write.parquet(str(tmp_path / "in"))
-    store = {"daily_prices": str(tmp_path / "start")}
-    stream = spark.readStream.schema(incoming.schema).parquet(str(tmp_path / "in"))
-    jobs.stream_heal_prices(stream, store, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    want = heal_prices(stored, incoming)[0]
-    assert sorted(spark.read.parquet(store["daily_prices"]).collect()) == sorted(want.collect())
-
-
 def ticks(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1, 10)
     rows = [("A", t0 + dt.timedelta(minutes=m), 10.0 + (m * 7) % 13, 1) for m in range(0, 300, 9)]
