@@ -38,7 +38,7 @@ def scope_state(universe: DataFrame, table: DataFrame, scope: str, now: dt.datet
 def freshness_states(warehouse, now: dt.datetime, scopes=tuple(SCOPES)) -> DataFrame:
     unknown = [s for s in scopes if s not in SCOPES]
     if unknown:
-        raise ValueError(f"unknown scope: {unknown}")
+        raise ValueError(f"there is no table behind the scope {unknown}")
     parts = [scope_state(warehouse["universe"], warehouse[SCOPES[s][0]], s, now) for s in scopes]
     return reduce(DataFrame.unionByName, parts)
 

@@ -9,7 +9,11 @@ one task. Instead:
    prefix-summed per group (a few thousand cells at most);
 3. the exact position inside a cell comes from a window over (group, cell).
 
-The cell depends on the value alone: a re-run after a lost executor gives the same answer.
+Where values crowd (more than CROWDED distinct ones in a cell), a range shuffle by value takes the place of the cells: it cuts wherever the values
+are, so half of all rows may lie within a millionth. Both ways give the same positions.
+
+The cell depends on the value alone: a re-run after a lost executor gives the same answer. What is read several times is written
+once as Parquet, with the columns that are needed.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equilake.session import cut_lineage
+from equilake.operators.prefix import numbered, sum_scan
+from equilake.session import store
 
+CROWDED = 1 << 16
 _CELLS_PER_E = 64
 _CELL_ORIGIN = 64 * 760  # beyond |ln| of any double
 _TIE_CELL_HEX = 3  # 4096 cells of a uniform hash
@@ -45,11 +51,18 @@ def _prefix(df: DataFrame, group: Sequence[str], cell: str, count: str) -> DataF
 
 def value_positions(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct (group, value) with ``ties``, ``before`` (rows with a smaller value) and group size ``n``."""
-    distinct = (
+    group = list(group)
+    distinct = store(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"))
-        .withColumn("_cell", order_cell(F.col(value)))
-    )
+        .withColumn("_cell", order_cell(F.col(value))), "values")
+    fullest = distinct.groupBy(*group, "_cell").count().agg(F.max("count")).first()[0] or 0
+    if fullest > CROWDED:
+        named = distinct.drop("_cell").dropna(subset=group)
+        rows, most = numbered(named, group, [value])
+        rows = sum_scan(rows, group, most, {"_upto": "ties"})
+        sizes = named.groupBy(*group).agg(F.sum("ties").alias("n"))
+        return rows.join(sizes, group).select(*group, value, "ties", (F.col("_upto") - F.col("ties")).alias("before"), "n")
     cells = _prefix(distinct, group, "_cell", "ties")
     inside = Window.partitionBy(*group, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -61,7 +74,7 @@ def value_positions(df: DataFrame, group: Sequence[str], value: str) -> DataFram
 
 def with_average_rank(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank (ties share the mean of their positions) of non-null values."""
-    df = cut_lineage(df)
+    df = store(df, "ranked")
     ranks = value_positions(df, group, value).select(*group, value, (F.col("before") + (F.col("ties") + 1) / 2).alias(out))
     return df.join(ranks, [*group, value], "left")
 
@@ -91,7 +104,7 @@ def with_quantile_bucket(df: DataFrame, group: Sequence[str], value: str, tie: s
     Groups with fewer rows than buckets are dropped, as are NULL values. Only tie groups that
     straddle a bucket edge need positions of single rows; these come from md5 cells.
     """
-    df = cut_lineage(df.filter(F.col(value).isNotNull()))
+    df = store(df.filter(F.col(value).isNotNull()), "bucketed")
     pos = value_positions(df, group, value).filter(F.col("n") >= buckets)
     first = bucket_of(F.col("before"), F.col("n"), buckets)
     last = bucket_of(F.col("before") + F.col("ties") - 1, F.col("n"), buckets)
@@ -121,8 +134,8 @@ def rank_correlation(df: DataFrame, group: Sequence[str], x: str, y: str, out: s
     The mean of n ranks is (n + 1) / 2, so one aggregation of centred products is enough, and with
     half-integer ranks its sums are exact. NULL when either side is constant.
     """
-    # Read five times below: materialise once instead of recomputing the panel behind it.
-    pairs = cut_lineage(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y))
+    # Read by both sides' ranks and by the products: written once instead of computing the panel behind it again.
+    pairs = store(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y), "pairs")
     ranked = pairs
     for value, out_rank in ((x, "_rx"), (y, "_ry")):
         ranks = value_positions(pairs, group, value).select(*group, value, (F.col("before") + (F.col("ties") + 1) / 2).alias(out_rank))

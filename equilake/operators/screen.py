@@ -115,16 +115,19 @@ def run_screen(warehouse, predicate: Column | None = None, technical: Sequence[P
 
 
 def diff_runs(runs: DataFrame, from_id: str, to_id: str) -> DataFrame:
-    """Symbols of two stored runs with status added, removed or kept; an unknown run is an error.
+    """Symbols of two stored runs with status added, removed or kept; an unknown run is an error when the result is read.
 
-    ``runs`` holds one row per (run_id, symbol); a run that matched nothing is one row with a NULL symbol.
+    ``runs`` holds one row per (run_id, symbol); a run that matched nothing is one row with a NULL symbol. Nothing runs while the plan is made: one
+    aggregation by symbol tells who is in which run, and one row made from it tells whether both runs exist.
     """
-    from equilake.operators.latest import UnknownId
-    from equilake.operators.upsert import membership_diff
-
-    present = {r.run_id for r in runs.filter(F.col("run_id").isin(from_id, to_id)).select("run_id").distinct().collect()}
-    for run in (from_id, to_id):
-        if run not in present:
-            raise UnknownId(f"no stored run has the id {run}")
-    members = runs.filter(F.col("symbol").isNotNull())
-    return membership_diff(members.filter(F.col("run_id") == from_id), members.filter(F.col("run_id") == to_id))
+    asked = runs.filter(F.col("run_id").isin(from_id, to_id))
+    held = asked.groupBy("symbol").agg(F.max(F.col("run_id") == from_id).alias("a"), F.max(F.col("run_id") == to_id).alias("b"))
+    found = held.agg(F.max("a").alias("has_a"), F.max("b").alias("has_b"))
+
+    def missing(flag: str, run: str) -> Column:
+        return F.when(~F.coalesce(flag, F.lit(False)), F.raise_error(F.lit(f"no stored run has the id {run}")).cast("boolean"))
+
+    checked = found.select(F.coalesce(missing("has_a", from_id), missing("has_b", to_id), F.lit(True)).alias("known")).filter("known")
+    status = F.when(~F.col("a"), "added").when(~F.col("b"), "removed").otherwise("kept")
+    rows = held.filter("symbol is not null").select("symbol", status.alias("status"))
+    return checked.join(rows, F.lit(True), "left").filter("symbol is not null").select("symbol", "status")

@@ -85,7 +85,7 @@ FEES: dict[str, Callable[[], Fee]] = {"zero": fee_zero, "per-share": fee_per_sha
 
 def get_fee(name: str) -> Fee:
     if name not in FEES:
-        raise BacktestError(f"unknown fee model {name!r} (valid: {', '.join(sorted(FEES))})")
+        raise BacktestError(f"no fee model is called {name!r}; there are {', '.join(sorted(FEES))}")
     return FEES[name]()
 
 
@@ -106,7 +106,7 @@ def register_strategy(name: str, fn: Strategy) -> Strategy:
 
 def strategy(name: str) -> Strategy:
     if name not in _STRATEGIES:
-        raise BacktestError(f"unknown strategy {name!r} (valid: {', '.join(sorted(_STRATEGIES))})")
+        raise BacktestError(f"no strategy is called {name!r}; there are {', '.join(sorted(_STRATEGIES))}")
     return _STRATEGIES[name]
 
 

@@ -53,7 +53,7 @@ def register_factor(name: str, kind: str, builder: Callable[..., DataFrame], dir
 
 def get_factor(name: str) -> Factor:
     if name not in _REGISTRY:
-        raise FactorError(f"unknown factor {name!r} (valid: {', '.join(sorted(_REGISTRY))})")
+        raise FactorError(f"no factor is called {name!r}; there are {', '.join(sorted(_REGISTRY))}")
     return _REGISTRY[name]
 
 
@@ -188,7 +188,7 @@ def _usable(panel: DataFrame, forward: DataFrame, horizon: str) -> DataFrame:
 def quantile_returns(panel: DataFrame, forward: DataFrame, horizon: str, buckets: int = 5) -> DataFrame:
     """Per bucket (1 = lowest factor): mean over dates of the per-date mean return, and row count."""
     if buckets < 2:
-        raise FactorError("quantiles must be >= 2")
+        raise FactorError("two buckets are the least that can be compared")
     placed = with_quantile_bucket(_usable(panel, forward, horizon), ["rebalance_date"], "factor", "symbol", buckets)
     per_date = placed.groupBy("rebalance_date", "bucket").agg(F.avg("fwd_return").alias("r"), F.count(F.lit(1)).alias("c"))
     return per_date.groupBy("bucket").agg(F.avg("r").alias("mean_return"), F.sum("c").alias("count"))
@@ -238,9 +238,9 @@ class SignalRun:
 
     def __init__(self, warehouse, factor: str, horizon: str = "1m", buckets: int = 5, rebalance: str = "monthly", min_symbols: int = 5):
         if horizon not in HORIZON_DAYS:
-            raise FactorError(f"unknown horizon {horizon!r} (valid: {', '.join(HORIZON_DAYS)})")
+            raise FactorError(f"returns are computed {', '.join(HORIZON_DAYS)} ahead, not {horizon!r}")
         if buckets < 2:
-            raise FactorError("quantiles must be >= 2")
+            raise FactorError("two buckets are the least that can be compared")
         self.warehouse, self.spec = warehouse, get_factor(factor)
         self.horizon, self.buckets, self.min_symbols = horizon, buckets, min_symbols
         self.prices = universe_prices(warehouse)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from equilake.functions.scalars import MARKET_FUND, SECTOR_FUNDS, safe_return, sector_fund
 from equilake.operators.asof import HORIZON_DAYS, asof_price, asof_price_open
 from equilake.operators.ranks import group_median
-from equilake.session import cut_lineage
+from equilake.session import store
 
 SIDES = ("buy", "sell")
 GROUPINGS = ("confidence", "sector", "tag")
@@ -27,7 +27,7 @@ def record_decisions(decisions: DataFrame, prices: DataFrame, profiles: DataFram
     ``decisions`` carries decision_id, symbol, side, opened_at and whatever else the caller keeps.
     """
     checked = decisions.withColumn("reason", F.when(F.coalesce(F.col("side").isin(*SIDES), F.lit(False)), F.lit(None)).otherwise(
-        F.lit(f"side must be one of {SIDES}")))
+        F.lit(f"a decision takes one of the sides {', '.join(SIDES)}")))
     valid = checked.filter("reason is null").drop("reason")
     opens = asof_price_open(valid.select("symbol", F.col("opened_at").alias("target_date")), prices)
     opens = opens.select("symbol", F.col("target_date").alias("opened_at"), F.col("value").alias("price_at_open"))
@@ -52,29 +52,23 @@ def lookups(decisions: DataFrame, as_of: dt.date, elapsed: bool = True) -> DataF
     return rows.filter(due if elapsed else ~due)
 
 
-def fund_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """As-of closes of the benchmark funds at every date asked for.
+def benchmark_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """Adds spy_open, spy_target, sector_open, sector_target and the symbol's own price at the target.
 
-    At most (number of funds) × (calendar days) rows, whatever the number of decisions: small
-    enough to broadcast by construction.
+    All five lookups of all rows are one set of (symbol, date) points, answered by one pass over the bars. The answers for the funds are at most
+    (number of funds) × (calendar days) rows, whatever the number of decisions: small enough to broadcast by construction.
     """
-    asked = F.array(*[F.named_struct(F.lit("symbol"), s, F.lit("target_date"), F.col(d))
-                      for s in (F.lit(MARKET_FUND), F.col("fund")) for d in ("opened_at", "target_date")])
-    points = rows.select(F.explode(asked).alias("p")).select(F.col("p.symbol").alias("symbol"), F.col("p.target_date").alias("target_date"))
-    return asof_price(points, prices.filter(F.col("symbol").isin(*FUNDS)), variant="ledger").select("symbol", "target_date", "value")
-
-
-def benchmark_prices(rows: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds spy_open, spy_target, sector_open, sector_target and the symbol's own price at the target."""
-    own = asof_price(rows.select("symbol", "target_date"), prices, variant="ledger").select("symbol", "target_date", F.col("value").alias("price"))
-    out = rows.join(own, ["symbol", "target_date"], "left")
-    # Joined four times under different names: materialise the few thousand rows once.
-    funds = F.broadcast(cut_lineage(fund_prices(rows, prices)))
-    for name, fund, date in (
-        ("spy_open", F.lit(MARKET_FUND), "opened_at"), ("spy_target", F.lit(MARKET_FUND), "target_date"),
-        ("sector_open", F.when(F.col("fund") != MARKET_FUND, F.col("fund")), "opened_at"),
-        ("sector_target", F.when(F.col("fund") != MARKET_FUND, F.col("fund")), "target_date"),
-    ):
+    def point(symbol: Column, date: str) -> Column:
+        return F.struct(symbol.alias("symbol"), F.col(date).alias("target_date"))
+
+    market = F.lit(MARKET_FUND)
+    points = F.array(point(F.col("symbol"), "target_date"), *[point(s, d) for s in (market, F.col("fund")) for d in ("opened_at", "target_date")])
+    asked = rows.select(F.explode(points).alias("p")).select("p.symbol", "p.target_date").filter("symbol is not null")
+    found = store(asof_price(asked, prices, variant="ledger").select("symbol", "target_date", "value"), "lookups")
+    out = rows.join(found.select("symbol", "target_date", F.col("value").alias("price")), ["symbol", "target_date"], "left")
+    funds = F.broadcast(found.filter(F.col("symbol").isin(*FUNDS)))
+    own_fund = F.when(F.col("fund") != MARKET_FUND, F.col("fund"))
+    for name, fund, date in (("spy_open", market, "opened_at"), ("spy_target", market, "target_date"), ("sector_open", own_fund, "opened_at"), ("sector_target", own_fund, "target_date")):
         side = funds.select(F.col("symbol").alias("_f"), F.col("target_date").alias("_d"), F.col("value").alias(name))
         out = out.join(side, (fund == F.col("_f")) & (F.col(date) == F.col("_d")), "left").drop("_f", "_d")
     return out
@@ -126,9 +120,9 @@ def scorecard(decisions: DataFrame, tracking: DataFrame, by: str = "confidence",
     A decision with several tags counts once in each.
     """
     if by not in GROUPINGS:
-        raise LedgerError(f"group must be in {GROUPINGS}, got {by!r}")
+        raise LedgerError(f"a scorecard groups by {', '.join(GROUPINGS)}, not {by!r}")
     if horizon not in HORIZON_DAYS:
-        raise LedgerError(f"horizon must be in {tuple(HORIZON_DAYS)}, got {horizon!r}")
+        raise LedgerError(f"decisions are tracked over {', '.join(HORIZON_DAYS)}, not {horizon!r}")
     df = decisions_with_tracking(decisions, tracking, horizon)
     if by == "tag":
         tags = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("untagged")))
@@ -138,7 +132,7 @@ def scorecard(decisions: DataFrame, tracking: DataFrame, by: str = "confidence",
     else:
         df = df.withColumn("group", F.coalesce(F.col("confidence").cast("string"), F.lit("unrated")))
     # Read by the averages and twice by the medians.
-    df = cut_lineage(df.select("group", "horizon", "return_pct", "alpha_pct"))
+    df = store(df.select("group", "horizon", "return_pct", "alpha_pct"), "scorecard")
     stats = df.groupBy("group").agg(
         F.count(F.lit(1)).alias("decision_count"), F.count("horizon").alias("tracked_count"),
         F.avg("return_pct").alias("avg_return_pct"), F.avg("alpha_pct").alias("avg_alpha_pct"))

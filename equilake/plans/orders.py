@@ -1,10 +1,11 @@
 """Order matching, stops, margin, sizing and risk limits as table jobs.
 
 "First later bar on which a condition holds" is answered in two steps instead of pairing every
-order with every later bar: monthly extremes of a symbol find the first month that can hold the
-answer, and only the order's own month and that month are looked into. A month of a symbol is one row that
-holds its bars, so an order meets at most one row per month of history, also a stop-limit order, for which every
-month that spans both prices is looked into. Nothing is cut off: an order that fills years later is still found.
+order with every later bar. Orders go down a pyramid of extremes: a row a symbol that holds its years, a row a year that holds
+its months, a row a month that holds its bars. On each level the order's own unit and the first later one that can hold the answer are
+opened, so an order meets one row, then two, then two or three, whatever the length of the history. Only a stop-limit order opens every unit that spans both
+its prices, since the two may be met on different days. Nothing is cut off: an order that fills years later is still found.
+Stops are decided on monthly extremes in the same spirit.
 """
 
 from __future__ import annotations
@@ -51,24 +52,27 @@ def match_orders(orders: DataFrame, bars: DataFrame, fee: Fee | None = None, sli
     open, with slippage; a stop-limit has to trigger again on the bar that fills it.
     """
     fee, slippage = fee or fee_per_share(), slippage or slippage_fixed()
+    extremes = [F.max("high").alias("high"), F.min("low").alias("low")]
     priced = bars.select("symbol", "trade_date", "open", "high", "low", "volume", _block("trade_date").alias("block"))
-    months = priced.groupBy("symbol", "block").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    months = priced.groupBy("symbol", "block").agg(*extremes, F.collect_list(F.struct("trade_date", "open", "volume", "high", "low")).alias("bars"))
+    spans = months.select("symbol", F.col("block"), F.trunc("block", "year").alias("year"), "high", "low")
+    years = spans.groupBy("symbol", "year").agg(*extremes, F.collect_list(F.struct(F.col("block").alias("unit"), "high", "low")).alias("months"))
+    symbols = years.groupBy("symbol").agg(F.collect_list(F.struct(F.col("year").alias("unit"), "high", "low")).alias("years"))
     last_day = F.date_add("order_date", expiry_days) if expiry_days is not None else F.lit(dt.date(9999, 12, 31))
-    df = orders.withColumns({"own": _block("order_date"), "last_day": last_day})
-
-    later = df.select("order_id", "symbol", "direction", "order_type", "limit_price", "stop_price", "own", "last_day").join(months, "symbol").filter(
-        (F.col("block") > F.col("own")) & (F.col("block") <= F.col("last_day")) & _fills(F.col("high"), F.col("low")))
-    # A month's high and low may come from different days, so for a stop-limit every such month stays.
-    first = later.groupBy("order_id").agg(F.min("block").alias("first_block"))
-    several = later.filter("order_type = 'STOP_LIMIT'").select("order_id", "block")
-    candidates = (
-        first.select("order_id", F.col("first_block").alias("block")).unionByName(several).unionByName(df.select("order_id", F.col("own").alias("block"))).distinct())
-    # A month of a symbol is one row with at most 31 bars, so testing many months makes no row per bar.
-    packed = priced.groupBy("symbol", "block").agg(F.collect_list(F.struct("trade_date", "open", "volume", "high", "low")).alias("bars"))
+    df = orders.withColumns({"own": _block("order_date"), "own_year": F.trunc("order_date", "year"), "last_day": last_day})
+
+    def opened(units: str, own: str) -> Column:
+        """The own unit and the later ones to open: the first that can fill the order, or every one for a stop-limit."""
+        fit = F.filter(units, lambda u: (u["unit"] > F.col(own)) & (u["unit"] <= F.col("last_day")) & _fills(u["high"], u["low"]))
+        later = F.transform(fit, lambda u: u["unit"])
+        return F.array_distinct(F.array_compact(F.concat(F.array(F.col(own)), F.when(F.col("order_type") == "STOP_LIMIT", later).otherwise(F.array(F.array_min(later))))))
+
+    in_years = df.join(symbols, "symbol").withColumn("year", F.explode(opened("years", "own_year"))).drop("years")
+    in_months = in_years.join(years.select("symbol", "year", "months"), ["symbol", "year"]).withColumn("block", F.explode(opened("months", "own"))).drop("months", "year", "own_year")
     inside = F.filter("bars", lambda b: (b["trade_date"] > F.col("order_date")) & (b["trade_date"] <= F.col("last_day")) & _fills(b["high"], b["low"]))
-    scan = df.drop("own").join(candidates, "order_id").join(packed, ["symbol", "block"]).withColumn("inside", inside).filter(F.size("inside") > 0)
+    scan = in_months.dropDuplicates(["order_id", "block"]).join(months.select("symbol", "block", "bars"), ["symbol", "block"]).withColumn("inside", inside).filter(F.size("inside") > 0)
     hit = scan.groupBy("order_id").agg(F.min(F.array_min("inside")).alias("bar"))
-    out = df.drop("own", "last_day").join(hit, "order_id", "left")
+    out = orders.join(hit, "order_id", "left")
     limit = F.when(_is_long(), F.least("limit_price", "bar.open")).otherwise(F.greatest("limit_price", "bar.open"))
     stop = F.when(_is_long(), F.greatest("stop_price", "bar.open")).otherwise(F.least("stop_price", "bar.open"))
     quantity = F.col("quantity").cast("double")

@@ -104,9 +104,9 @@ def briefing_notes(view: DataFrame, summary: DataFrame, today: dt.date) -> DataF
     stale = view.filter(F.datediff(F.lit(today), "price_date") > STALE_PRICE_DAYS).select(
         "account_id", "symbol", F.concat(F.lit("latest price "), F.col("price_date").cast("string"), F.lit(" is stale")).alias("note"))
     flags = F.array_compact(F.array(
-        F.when(F.col("cash").isNull(), "cash not derivable from positions"),
-        F.when(F.col("currencies") > 1, "mixed currencies: market values summed raw"),
-        F.when(F.col("has_cash"), "cash positions excluded from day P&L")))
+        F.when(F.col("cash").isNull(), "no cash position is reported"),
+        F.when(F.col("currencies") > 1, "market values of several currencies are added without conversion"),
+        F.when(F.col("has_cash"), "the day's P&L leaves cash out")))
     account = summary.select("account_id", F.lit(None).cast("string").alias("symbol"), F.explode(flags).alias("note"))
     return stale.unionByName(account)
 

@@ -366,18 +366,54 @@ def w17_ratio_history(wh):
     return df.select("symbol", F.size("multiples").alias("years"), F.size(pe).alias("pe_points"))
 
 
-@query("r1_research_bundles", """
-select u.symbol, n.c as news_count, s.c as statements, v.c as valuations, t.year as transcript_year, p.sector from {universe} u
-left join (select symbol, cast(least(count(*), 10) as int) as c from {news_items} group by symbol) n on u.symbol = n.symbol
-left join (select symbol, cast(least(count(*), 5) as int) as c from {income_statement} group by symbol) s on u.symbol = s.symbol
-left join (select symbol, cast(count(distinct model_type) as int) as c from {valuation_snapshots} group by symbol) v on u.symbol = v.symbol
-left join (select symbol, max(year) as year from {transcripts} group by symbol) t on u.symbol = t.symbol
-left join {profiles} p on u.symbol = p.symbol""", share=BASE)
+def _top(table: str, order: str, n: int, text: str, where: str = "true", agg: str | None = None) -> str:
+    """(symbol, c, t) as SQL: how many of the first n rows there are, and their text in order."""
+    return f"""(select symbol, cast(count(*) as int) as c, string_agg({text}, ' ' order by {agg or order}) as t
+      from (select *, row_number() over (partition by symbol order by {order}) as rn from {{{table}}} where {where}) z where rn <= {n} group by symbol)"""
+
+
+def _cents(c: str) -> str:
+    return f"cast(cast(floor({c} * 100 + 0.50013) as bigint) as varchar)"
+
+
+_BY_PERIOD = "fiscal_date desc, period"
+
+
+@query("r1_research_bundles", f"""
+select u.symbol, p.company_name, p.sector, p.industry, px.trade_date as price_date, {s4('px.close', 'latest_close')}, ra.fiscal_date as ratio_date, {s4('ra.pe_ratio', 'pe_ratio')}, {s6('ra.return_on_equity', 'return_on_equity')},
+  i.t as income, b.t as balance, k.t as cash, e.t as forward, v.t as valuations, h.c as history_years, least(px.n, 252) as technical_bars, tx.n as insider_transactions, tr.t as insider_recent,
+  sh.settlement_date as short_date, {s2('sh.short_interest', 'short_interest')}, n.t as news, t.year as transcript_year, t.quarter as transcript_quarter
+from {{universe}} u left join {{profiles}} p on u.symbol = p.symbol
+left join (select symbol, max(trade_date) as trade_date, max_by(close, trade_date) as close, cast(count(*) as int) as n from {{daily_prices}} group by symbol) px on u.symbol = px.symbol
+left join {_newest('financial_ratios')} ra on u.symbol = ra.symbol
+left join {_top('income_statement', _BY_PERIOD, 5, f"concat_ws(':', period, cast(fiscal_date as varchar), {_cents('revenue')})")} i on u.symbol = i.symbol
+left join {_top('balance_sheet', _BY_PERIOD, 5, f"concat_ws(':', period, cast(fiscal_date as varchar), {_cents('total_assets')})")} b on u.symbol = b.symbol
+left join {_top('cash_flow', _BY_PERIOD, 5, f"concat_ws(':', period, cast(fiscal_date as varchar), {_cents('free_cash_flow')})")} k on u.symbol = k.symbol
+left join {_top('analyst_estimates', 'fiscal_date, period', 4, f"concat_ws(':', period, cast(fiscal_date as varchar), {_cents('eps_avg')})", "fiscal_date >= date '1999-06-30'")} e on u.symbol = e.symbol
+left join (select symbol, string_agg(concat_ws(':', model_type, cast(as_of as varchar), {_cents('fair_value_per_share')}), ' ' order by model_type) as t from (
+  select *, row_number() over (partition by symbol, model_type order by created_at desc) as rn from {{valuation_snapshots}}) z where rn = 1 group by symbol) v on u.symbol = v.symbol
+left join (select symbol, cast(least(count(*), 10) as int) as c from {{financial_ratios}} where period = 'FY' group by symbol) h on u.symbol = h.symbol
+left join (select symbol, cast(count(*) as bigint) as n from {{insider_transactions}} where transaction_date >= date '1999-06-30' - 180 group by symbol) tx on u.symbol = tx.symbol
+left join {_top('insider_transactions', 'transaction_date desc, accession_no, line_no', 8, "concat_ws(':', cast(transaction_date as varchar), code)", "transaction_date >= date '1999-06-30' - 180")} tr on u.symbol = tr.symbol
+left join (select * from (select *, row_number() over (partition by symbol order by settlement_date desc) as rn from {{short_interest}}) z where rn = 1) sh on u.symbol = sh.symbol
+left join {_top('news_items', 'published_at desc, url', 10, "url")} n on u.symbol = n.symbol
+left join (select * from (select *, row_number() over (partition by symbol order by year desc, quarter desc) as rn from {{transcripts}}) z where rn = 1) t on u.symbol = t.symbol""", share=BASE)
 def r1_research_bundles(wh):
+    """Sections with their values, lists as text; the technical, score and quality sections are compared in full under w16, r2 and f7-f10."""
     df = research.research_bundles(wh, AS_OF)
+
+    def text(column: str, *fields: str, cents: str | None = None):
+        last = lambda x: [F.floor(x[cents] * 100 + 0.50013).cast("bigint").cast("string")] if cents else []
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields], *last(x))), " ")
+
     return df.select(
-        "symbol", F.size("news").alias("news_count"), F.size("income_statement_recent").alias("statements"), F.size("valuation_snapshots").alias("valuations"),
-        F.col("transcript.year").alias("transcript_year"), "profile.sector")
+        "symbol", "profile.company_name", "profile.sector", "profile.industry", F.col("latest_price.trade_date").alias("price_date"), r4("latest_price.close", "latest_close"), F.col("ratios_latest_annual.fiscal_date").alias("ratio_date"),
+        r4("ratios_latest_annual.pe_ratio", "pe_ratio"), r6("ratios_latest_annual.return_on_equity", "return_on_equity"), text("income_statement_recent", "period", "fiscal_date", cents="revenue").alias("income"),
+        text("balance_sheet_recent", "period", "fiscal_date", cents="total_assets").alias("balance"), text("cash_flow_recent", "period", "fiscal_date", cents="free_cash_flow").alias("cash"),
+        text("estimates_forward", "period", "fiscal_date", cents="eps_avg").alias("forward"), text("valuation_snapshots", "model_type", "as_of", cents="fair_value_per_share").alias("valuations"),
+        F.size("ratio_history.multiples").alias("history_years"), F.col("technical.bars").alias("technical_bars"), F.col("insider.transactions").alias("insider_transactions"),
+        text("insider.recent", "transaction_date", "code").alias("insider_recent"), F.col("short_interest.settlement_date").alias("short_date"), r2("short_interest.short_interest", "short_interest"), text("news", "url").alias("news"),
+        F.col("transcript.year").alias("transcript_year"), F.col("transcript.quarter").alias("transcript_quarter"))
 
 
 @query("r1_bundle_holdings", """

@@ -193,15 +193,45 @@ def a11_coverage(wh):
     return df.select("kind", "n_rebalance_dates", "n_dates_with_ic", r6("avg_ranked"), "min_ranked", "max_ranked", "universe_size", "distinct_observations", "quasi_static")
 
 
-@query("r9_run_signal", f"""
-select i.mean_ic, i.n_dates, q.spread from
-  (select {s6('avg(ic)', 'mean_ic')}, cast(count(*) as bigint) as n_dates from {{ics}} where horizon = '1m') i,
-  (select {s6('max(case when bucket = 5 then mean_return end) - max(case when bucket = 1 then mean_return end)', 'spread')} from {{qr}}) q""",
-       {**_FUND, **_RET, **_STATS, **_QUANT}, share=BASE)
+_COVERED = """select * from (select avg(c) as avg_ranked, min(c) as min_ranked, max(c) as max_ranked, count(*) as n_rebalance_dates from (select r.d, count(p.d) as c from {rd} r left join
+      (select f.d from {fac} f join {fwd} w on f.symbol = w.symbol and f.d = w.d where w.horizon = '1m' and f.factor is not null and w.r is not null) p on r.d = p.d group by r.d) q) a,
+  (select count(*) as universe_size, sum(c) as distinct_observations from (select symbol, count(distinct factor) as c from {fac} group by symbol) z) c, (select count(*) as n_dates from {ics} where horizon = '1m') i"""
+_SIX = {"mean_ic": "avg(ic)", "ic_std": "stddev_samp(ic)", "ic_ir": "avg(ic) / nullif(stddev_samp(ic), 0)", "t_stat": "avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*))", "hit_rate": "sum(case when ic > 0 then 1 else 0 end) * 1.0 / count(*)", "n_dates": "count(*)"}
+_ENDS = "max(case when bucket = 5 then mean_return end) - max(case when bucket = 1 then mean_return end)"
+_WIDE = ("avg_ranked", "min_ranked", "max_ranked", "n_rebalance_dates", "universe_size", "distinct_observations")
+
+
+@query("r9_run_signal", " union all ".join([
+    *[f"select 'summary' as section, '{k}' as item, {s6(v, 'value')} from {{ics}} where horizon = '1m' having count(*) > 0" for k, v in _SIX.items()],
+    *[f"select 'quantile', cast(bucket as varchar) || ' {k}', {s6(k)} from {{qr}}" for k in ("mean_return", "c")],
+    f"select 'spread', 'raw', {s6(_ENDS)} from {{qr}}", f"select 'spread', 'aligned', {s6(_ENDS)} from {{qr}}",
+    f"select 'spread', 'monotonicity', {s6('corr(bucket, rk)')} from (select *, rank() over (order by mean_return) as rk from {{qr}}) x",
+    f"select 'decay', h.horizon || ' mean_ic', {s6('avg(ic)')} from {{hz}} h left join {{ics}} i on h.horizon = i.horizon group by h.horizon",
+    "select 'decay', h.horizon || ' n_dates', cast(count(ic) as double) from {hz} h left join {ics} i on h.horizon = i.horizon group by h.horizon",
+    *[f"select 'coverage', '{k}', {s6(k)} from {{cov}}" for k in _WIDE],
+    "select 'warning', w, cast(null as double) from (select unnest([case when distinct_observations * 1.0 / universe_size < 3 then 'quasi-static factor: few distinct filings, t-stat overstated' end, "
+    "case when n_dates < 6 then 'only ' || cast(n_dates as varchar) || ' usable dates' end, case when avg_ranked < 10 then 'thin cross-section' end]) as w from {cov}) x where w is not null"]),
+       {**_FUND, **_RET, **_STATS, **_QUANT, "cov": _COVERED}, share=BASE)
 def r9_run_signal(wh):
+    """Every number and warning of the report: summary, buckets, spread, decay, coverage."""
     run = factors.run_signal(wh, "roe")
-    spread = run.spread.select(r6("long_short_spread", "spread"))
-    return run.summary.select(r6("mean_ic"), "n_dates").join(F.broadcast(spread))
+
+    def long_form(df, section, items):
+        pairs = F.array(*[F.struct(name.alias("item"), r6(value.cast("double"), "value").alias("value")) for name, value in items])
+        return df.select(F.lit(section).alias("section"), F.explode(pairs).alias("p")).select("section", "p.item", "p.value")
+
+    named = lambda *names: [(F.lit(n), F.col(n)) for n in names]
+    label = lambda c, n: F.concat_ws(" ", F.col(c).cast("string"), F.lit(n))
+    parts = [
+        long_form(run.summary, "summary", named(*_SIX)), long_form(run.quantiles, "quantile", [(label("bucket", "mean_return"), F.col("mean_return")), (label("bucket", "c"), F.col("count"))]),
+        long_form(run.spread, "spread", [(F.lit("raw"), F.col("long_short_spread")), (F.lit("aligned"), F.col("long_short_spread_aligned")), (F.lit("monotonicity"), F.col("monotonicity"))]),
+        long_form(run.decay, "decay", [(label("horizon", "mean_ic"), F.col("mean_ic")), (label("horizon", "n_dates"), F.col("n_dates"))]),
+        long_form(run.coverage, "coverage", named(*_WIDE)),
+        run.coverage.select(F.lit("warning").alias("section"), F.explode("warnings").alias("item"), F.lit(None).cast("double").alias("value"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("u2_custom_factor", f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from equilake.plans import ledger, portfolio
 from equilake.queries.registry import query, r2, r4, r6, s2, s4, s6
-from equilake.session import cut_lineage
+from equilake.session import store
 
 TODAY = dt.date(2001, 11, 5)
 
@@ -16,7 +16,7 @@ TODAY = dt.date(2001, 11, 5)
 def decisions(wh):
     tagged = wh.decision_base.withColumn("tags", F.when(F.col("tag_list") != "", F.split("tag_list", ","))).drop("tag_list")
     # Recorded decisions are a stored table.
-    return cut_lineage(ledger.record_decisions(tagged, wh.all_prices, wh.profiles)[0])
+    return store(ledger.record_decisions(tagged, wh.all_prices, wh.profiles)[0], "decisions")
 
 
 def tracking(wh, decided=None):
@@ -86,13 +86,19 @@ def j9_decisions_with_tracking(wh):
     return df.select("decision_id", "side", "horizon", r6("return_pct"))
 
 
-@query("j14_decision_detail", "select d.decision_id, cast(count(t.horizon) as int) as rows_tracked, string_agg(t.horizon, ',' order by t.td) as horizons "
-       "from {dec} d left join {trk} t on d.decision_id = t.decision_id group by d.decision_id", _X, share=("px_walk", "px_daily"))
+_CENTI = "cast(cast(floor({0} * 10000 + 0.50013) as bigint) as varchar)"
+
+
+@query("j14_decision_detail", f"""
+select d.decision_id, cast(count(t.horizon) as int) as rows_tracked,
+  string_agg(t.horizon || ':' || cast(t.td as varchar) || ':' || coalesce({_CENTI.format('t.r')}, '-') || ':' || coalesce({_CENTI.format('t.alpha')}, '-'), ',' order by t.td) as tracking
+from {{dec}} d left join {{trk}} t on d.decision_id = t.decision_id group by d.decision_id""", _X, share=("px_walk", "px_daily"))
 def j14_decision_detail(wh):
     decided = decisions(wh)
     df = ledger.decision_detail(decided, tracking(wh, decided))
-    names = F.array_join(F.transform("tracking", lambda t: t["horizon"]), ",")
-    return df.select("decision_id", F.coalesce(F.size("tracking"), F.lit(0)).alias("rows_tracked"), names.alias("horizons"))
+    part = lambda x: F.coalesce(F.floor(x * 10000 + 0.50013).cast("bigint").cast("string"), F.lit("-"))
+    rows = F.transform("tracking", lambda t: F.concat_ws(":", t["horizon"], t["tracked_at"].cast("string"), part(t["return_pct"]), part(t["alpha_pct"])))
+    return df.select("decision_id", F.coalesce(F.size("tracking"), F.lit(0)).alias("rows_tracked"), F.array_join(rows, ",").alias("tracking"))
 
 
 def _card(group: str, source: str) -> str:
@@ -154,7 +160,8 @@ _V = {"pref": _PREF, "vw": _VIEW}
 
 
 def _view(wh):
-    return portfolio.holdings_view(wh, decisions(wh))
+    # These queries use which decision is newest, not its price at the open.
+    return portfolio.holdings_view(wh, wh.decision_base.withColumn("price_at_open", F.lit(None).cast("double")))
 
 
 @query("j15_preferred_valuation", "select symbol, model_type, as_of from {pref}", {"pref": _PREF})
@@ -206,16 +213,23 @@ def l3_movers(wh):
 
 
 @query("r4_morning_call", """
-select account_id, cast(sum(stale) as bigint) as stale_notes, cast(max(mixed) as bigint) as account_notes from (
-  select account_id, case when date '2001-11-05' - price_date > 3 then 1 else 0 end as stale,
-    (case when count(distinct currency) over (partition by account_id) > 1 then 1 else 0 end) + (case when max(case when asset_category = 'CASH' then 1 else 0 end) over (partition by account_id) = 1 then 1 else 1 end) as mixed
-  from {vw}) x group by account_id""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
+select account_id, symbol, 'latest price ' || cast(price_date as varchar) || ' is stale' as note from {vw} where date '2001-11-05' - price_date > 3
+union all
+select account_id, null, note from (select account_id, unnest([case when max(case when asset_category = 'CASH' then 1 else 0 end) = 0 then 'no cash position is reported' end,
+    case when count(distinct currency) > 1 then 'market values of several currencies are added without conversion' end,
+    case when max(case when asset_category = 'CASH' then 1 else 0 end) = 1 then 'the day''s P&L leaves cash out' end]) as note from {vw} group by account_id) x where note is not null""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
 def r4_morning_call(wh):
-    call = portfolio.morning_call(wh, decisions(wh), TODAY)
-    notes = call["notes"].groupBy("account_id").agg(
-        F.count("symbol").alias("stale_notes"), (F.count(F.lit(1)) - F.count("symbol")).alias("account_notes"))
-    return call["summary"].select("account_id").join(notes, "account_id", "left").select(
-        "account_id", F.coalesce("stale_notes", F.lit(0)).cast("bigint").alias("stale_notes"), F.coalesce("account_notes", F.lit(0)).cast("bigint").alias("account_notes"))
+    """Every note of the briefing; its other tables are compared under j10, a5, a6, l3 and r4_contributors."""
+    return portfolio.morning_call(wh, decisions(wh), TODAY)["notes"]
+
+
+@query("r4_contributors", f"""
+select account_id, symbol, list, cast(rank as int) as rank, {s2('day_pnl', 'day_pnl')}, {s4('market_value', 'market_value')} from (
+  select *, 'top' as list, row_number() over (partition by account_id order by day_pnl desc, symbol) as rank from {{vw}} where day_pnl is not null
+  union all select *, 'bottom', row_number() over (partition by account_id order by day_pnl, symbol desc) from {{vw}} where day_pnl is not null) x where rank <= 3""", _V, share=("px_daily", "px_walk", "fin", "holdings"))
+def r4_contributors(wh):
+    df = portfolio.movers(_view(wh), "day_pnl")
+    return df.select("account_id", "symbol", "list", F.col("rank").cast("int").alias("rank"), r2("day_pnl"), r4("market_value"))
 
 
 _LOTS = """select account_id as a, symbol as s, last_day(trade_date) as d, ib_exec_id as x, quantity as q, m * cast(quantity as bigint) as v, m from (

@@ -67,12 +67,6 @@ def one_machine(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a derived table that is read several times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a wide table once to the shared folder and read it back as Parquet, so that readers
     still prune columns."""

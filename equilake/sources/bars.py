@@ -45,7 +45,7 @@ def price_series(prices: DataFrame) -> DataFrame:
 def rebalance_dates(prices: DataFrame, freq: str = "monthly") -> DataFrame:
     """Month ends or Fridays inside the span of all prices: one row per date."""
     if freq not in ("monthly", "weekly"):
-        raise ValueError(f"unknown rebalance frequency {freq!r} (valid: monthly, weekly)")
+        raise ValueError(f"portfolios are rebalanced monthly or weekly, not {freq!r}")
     span = prices.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).filter("a is not null")
     if freq == "monthly":
         months = F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))

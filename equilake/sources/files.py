@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equilake.functions.scalars import as_date, as_double, as_long
+from equilake.operators.prefix import affine_scan, lag_scan, numbered, sum_scan
 
 HOLDING_REQUIRED = ("account_id", "symbol", "quantity", "as_of_date")
 HOLDING_NUMERIC = ("avg_cost", "mark_price", "market_value")
@@ -18,27 +19,62 @@ class SourceError(ValueError):
     """A file that cannot be read at all (a missing header, for instance)."""
 
 
+#: A quoted text after its opening quote; doubled quotes stand for one.
+_QUOTED = r'(?:[^"]++|"")*+"'
+
+
+def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """file, file_name, value, block, n: the records of delimited files, in the order (block, n) within a file.
+
+    A record is a line, unless a cell's quotes hold line breaks. Whether a line begins inside quotes depends on all lines before it; each line is a map of
+    that state (0 or 1) to the state at its end, and the maps are composed by a prefix scan, so one long file is split over many tasks.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("n", F.monotonically_increasing_id())
+
+    def opens(text: Column) -> Column:
+        closed = F.regexp_replace(text, sep + r'[ \t]*+"' + _QUOTED, sep.replace("\\", ""))
+        return closed.rlike(sep + r'[ \t]*+"').cast("double")
+
+    outside = opens(F.concat(F.lit(sep.replace("\\", "")), F.col("value")))
+    if lines.where(outside == 1).isEmpty():
+        return lines
+    rest = F.regexp_replace("value", "^" + _QUOTED, "")
+    inside = F.when(F.col("value").rlike("^" + _QUOTED), opens(rest)).otherwise(1.0)
+    rows, most = numbered(lines.withColumns({"_a": inside - outside, "_b1": outside}), ["file"], ["block", "n"])
+    rows = affine_scan(rows, ["file"], most, "_a", "_b1")
+    # A file begins outside quotes: B is the state after a line.
+    rows = lag_scan(rows, ["file"], most, "B", "_before").withColumn("_starts", F.when(F.coalesce("_before", F.lit(0.0)) == 0, 1).otherwise(0))
+    rows = sum_scan(rows, ["file"], most, {"record": "_starts"})
+    whole = rows.groupBy("file", "file_name", "record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return whole.select("file", "file_name", "value", F.lit(0).cast("bigint").alias("block"), F.col("record").alias("n"))
+
+
 def _by_name(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """The rows of delimited files as a map from each file's own header names (trimmed, lower case) to texts.
 
-    Files of one folder may have their columns in any order. A file's header is its first line; headers are a row per file,
-    joined by the file name, which AQE broadcasts where they are few. Quoted values may not hold a line break.
+    Files of one folder may have their columns in any order. A file's header is its first record that is not blank; headers are a row per file,
+    joined by the file name, which AQE broadcasts where they are few. Of columns with the same name the first counts. Quoted cells may hold separators, doubled quotes and
+    line breaks. Cells are cut in one pass over a record.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"))
-    lines = lines.withColumn("n", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    # The first line is the one of the file's first block with the least number.
-    heads = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("n", "value")).alias("head"))
+    sep = "\\|" if sep == "|" else sep
+    rows = _records(spark, path, sep).filter(F.trim("value") != "")
+    # The first record is the one of the file's first block with the least number.
+    heads = rows.filter("block = 0").groupBy("file").agg(F.min(F.struct("n", "value")).alias("head"))
 
     def split(c: Column) -> Column:
-        # Separators outside quotes; doubled quotes stand for one.
-        parts = F.split(c, ("\\|" if sep == "|" else sep) + r"(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1)
-        return F.transform(parts, lambda x: F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+        cells = F.regexp_extract_all(F.concat(F.lit(sep.replace("\\", "")), c), F.lit(sep + r'[ \t]*+"' + _QUOTED + f"[^{sep}]*+|{sep}[^{sep}]*+"), F.lit(0))
+        trimmed = F.transform(cells, lambda x: F.trim(F.substr(x, F.lit(2))))
+        return F.transform(trimmed, lambda x: F.when(x.rlike(r'(?s)^".*"$'), F.replace(F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(x))
 
-    rows = lines.join(heads, "file").filter(F.col("n") > F.col("head.n"))
+    # Names are cut once a file; where none repeats (found in linear time) no cell is looked up among them.
     names = F.transform(split(F.regexp_replace("head.value", "^\ufeff", "")), lambda x: F.lower(F.trim(x)))
-    values = split(F.col("value"))
-    keyed = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda e: e["k"].isNotNull() & (e["k"] != ""))
-    return rows.select("file_name", names.alias("names"), F.map_from_entries(F.transform(keyed, lambda e: F.struct(e["k"], e["v"]))).alias("cells"))
+    heads = heads.select("file", F.col("head.n").alias("head_n"), names.alias("names")).withColumn("plain", F.size(F.array_distinct("names")) == F.size("names"))
+    rows = rows.join(heads, "file").filter((F.col("block") > 0) | (F.col("n") > F.col("head_n"))).withColumn("texts", split(F.col("value")))
+    zipped = F.arrays_zip(F.col("names").alias("k"), F.col("texts").alias("v"))
+    named = lambda e: e["k"].isNotNull() & (e["k"] != "")
+    keyed = F.when(F.col("plain"), F.filter(zipped, named)).otherwise(F.filter(zipped, lambda e, i: named(e) & (F.array_position("names", e["k"]) == i + 1)))
+    return rows.select("file_name", "names", F.map_from_entries(F.transform(keyed, lambda e: F.struct(e["k"], e["v"]))).alias("cells"))
 
 
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -98,13 +98,15 @@ def resolve_signals(signals: DataFrame, quotes: DataFrame, now: dt.datetime | No
     expires_at, status, closed_at. ``quotes``: symbol, ts, price. A stop wins over a target at the
     same instant; a signal expires once the clock of its symbol (or ``now``) passes its horizon.
 
-    Quotes are first reduced to the extremes of each minute, so a symbol that holds most of the
-    ticks joins as one row per minute; only the first relevant minute of a signal is examined tick by tick.
+    A signal is looked up by the days of its life: extremes of a day tell the first day that can close it, those of the minutes the first minute,
+    and only that minute is examined tick by tick. All joins are by (symbol, day) or (symbol, minute), so a symbol with most
+    ticks and most signals is spread over its days, and a signal meets a row a day and the minutes of two days.
     """
     minute = quotes.withColumn("minute", F.date_trunc("minute", "ts")).groupBy("symbol", "minute").agg(
-        F.max("price").alias("hi"), F.min("price").alias("lo"), F.max("ts").alias("last_ts"))
-    clock = minute.groupBy("symbol").agg(F.max("last_ts").alias("clock"))
-    active = signals.filter("status = 'open'")
+        F.max("price").alias("hi"), F.min("price").alias("lo"), F.max("ts").alias("last_ts")).withColumn("day", F.to_date("minute"))
+    day = minute.groupBy("symbol", "day").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("last_ts").alias("last_ts"))
+    clock = day.groupBy("symbol").agg(F.max("last_ts").alias("clock"))
+    active = signals.filter("status = 'open' and created_at <= expires_at")
     buy = F.col("direction") == "buy"
 
     def stopped(low, high):
@@ -113,15 +115,20 @@ def resolve_signals(signals: DataFrame, quotes: DataFrame, now: dt.datetime | No
     def reached(low, high):
         return F.coalesce(F.when(buy, high >= F.col("target_price")).otherwise(low <= F.col("target_price")), F.lit(False))
 
-    in_life = (F.col("minute") >= F.date_trunc("minute", "created_at")) & (F.col("minute") <= F.col("expires_at"))
+    touches = stopped(F.col("lo"), F.col("hi")) | reached(F.col("lo"), F.col("hi"))
     keys = ["signal_id", "symbol", "direction", "target_price", "stop_loss", "created_at", "expires_at"]
-    touched = active.select(*keys).join(minute, "symbol").filter(in_life & (stopped(F.col("lo"), F.col("hi")) | reached(F.col("lo"), F.col("hi"))))
-    # The creation and expiry minutes may hold ticks outside the signal's life, so the first touched
-    # minute beyond the creation minute is kept next to the creation minute itself.
+
+    def first_two(touched: DataFrame, unit: str, start: Column) -> DataFrame:
+        """Of the units a signal is touched in: the one it is made in, and the first one after. Both may hold ticks outside its life: the first at its
+        beginning, the second if it is its last; any other is certain to hold a hit."""
+        picked = touched.groupBy(*keys).agg(F.min(F.when(F.col(unit) > start, F.col(unit))).alias("u1"), F.min(F.when(F.col(unit) == start, F.col(unit))).alias("u0"))
+        return picked.select(*keys, F.explode(F.array_compact(F.array("u0", "u1"))).alias(unit))
+
+    lives = active.select(*keys, F.explode(F.sequence(F.to_date("created_at"), F.to_date("expires_at"))).alias("day"))
+    days = first_two(lives.join(day.drop("last_ts"), ["symbol", "day"]).filter(touches), "day", F.to_date("created_at"))
     start = F.date_trunc("minute", "created_at")
-    picked = touched.groupBy(*keys).agg(
-        F.min(F.when(F.col("minute") > start, F.col("minute"))).alias("m1"), F.min(F.when(F.col("minute") == start, F.col("minute"))).alias("m0"))
-    spans = picked.select(*keys, F.explode(F.array_compact(F.array("m0", "m1"))).alias("minute"))
+    in_life = (F.col("minute") >= start) & (F.col("minute") <= F.col("expires_at"))
+    spans = first_two(days.join(minute.drop("last_ts"), ["symbol", "day"]).filter(in_life & touches), "minute", start)
     ticks = quotes.withColumn("minute", F.date_trunc("minute", "ts"))
     alive = (F.col("ts") >= F.col("created_at")) & (F.col("ts") <= F.col("expires_at"))
     px = F.col("price")

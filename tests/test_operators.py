@@ -201,3 +201,67 @@ def test_runs_share_one_id_and_nan_becomes_null(spark):
     assert sorted(r.x is None for r in clean_doubles(df).collect()) == [False, True, True]
     stamped = append_run(df, "signal", {"a": "1"}, " x ", None).select("run_id", "expr_hash").distinct().collect()
     assert len(stamped) == 1
+
+
+def test_crowded_values_keep_exact_ranks(spark, monkeypatch):
+    """Half of all values within one percent, in one group: the cells are full and the values are cut by range."""
+    import random
+
+    from equilake.operators import prefix, ranks
+
+    monkeypatch.setattr(ranks, "CROWDED", 20)
+    monkeypatch.setattr(prefix, "SUM_BITS", 4)
+    rng = random.Random(2)
+    rows = [("g", 100.0 + rng.randrange(400) / 400) for _ in range(600)] + [("g", rng.uniform(-500, 500)) for _ in range(500)] + [("h", float(i % 3)) for i in range(50)] + [("g", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {(r.g, r.v): (r.ties, r.before, r.n) for r in ranks.value_positions(df, ["g"], "v").collect()}
+    for g in "gh":
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for v in set(values):
+            assert got[g, v] == (values.count(v), sum(x < v for x in values), len(values))
+    assert len(got) == len({(g, v) for g, v in rows if g and v is not None})
+    medians = {r.g: r.m for r in ranks.group_median(df, ["g"], "v", "m").collect()}
+    import statistics
+
+    assert all(medians[g] == pytest.approx(statistics.median([v for k, v in rows if k == g and v is not None])) for g in "gh")
+
+
+def test_runs_are_compared_in_one_plan(spark):
+    from equilake.operators.screen import diff_runs
+
+    runs = spark.createDataFrame([("a", "X"), ("a", "Y"), ("b", "Y"), ("b", "Z"), ("b", "Y"), ("empty", None)], "run_id string, symbol string")
+    status = lambda x, y: {r.symbol: r.status for r in diff_runs(runs, x, y).collect()}
+    assert status("a", "b") == {"X": "removed", "Y": "kept", "Z": "added"}
+    assert status("empty", "a") == {"X": "added", "Y": "added"} and status("a", "empty") == {"X": "removed", "Y": "removed"} and status("empty", "empty") == {}
+    with pytest.raises(Exception, match="no stored run has the id gone"):
+        diff_runs(runs, "a", "gone").collect()
+
+
+def test_tables_of_the_catalog(spark):
+    from equilake.operators.upsert import table_status
+
+    spark.range(3).createOrReplaceTempView("daily_prices")
+    assert {r.table: r.present for r in table_status(spark, ["daily_prices", "holdings"]).collect()} == {"daily_prices": True, "holdings": False}
+    spark.catalog.dropTempView("daily_prices")
+
+
+def test_a_benchmark_is_one_series(spark):
+    from equilake.plans import metrics
+
+    day = D0
+    equity = spark.createDataFrame([("r", day + dt.timedelta(i), 100.0 + i) for i in range(5)], "run_id string, trade_date date, equity double")
+    bench = spark.createDataFrame([(day + dt.timedelta(i), 50.0 + i) for i in range(5)], "trade_date date, close double")
+    assert metrics.relative_metrics(equity, bench, ["run_id"]).first().benchmark_return == pytest.approx(4 / 50)
+    with pytest.raises(Exception, match="one series"):
+        metrics.relative_metrics(equity, bench.union(bench), ["run_id"]).collect()
+
+
+def test_normal_distribution_function(spark):
+    import math
+
+    from equilake.plans.metrics import normal_cdf
+
+    xs = [-40.0, -8.0, -5.0, -1.5, -1e-9, 0.0, 0.3, 2.0, 6.0, 8.4, 40.0]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in xs], "x double").select(normal_cdf(F.col("x")).alias("p")).collect()]
+    assert got == pytest.approx([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=1e-14)
+    assert spark.range(1).select(normal_cdf(F.lit(None).cast("double")).alias("p")).first().p is None

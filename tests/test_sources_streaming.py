@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,33 @@ def test_readers_map_each_file_by_its_own_header(spark, tmp_path):
     assert {r.symbol: (r.quantity, r.description) for r in good.collect()} == {"A": (5.0, 'a, "b"'), "B": (7.0, None)} and bad.count() == 0
 
 
+def test_quoted_line_breaks_and_repeated_names(spark, tmp_path, monkeypatch):
+    """Records over several lines, quotes inside plain cells, doubled quotes at the edges, names that repeat: as the csv module reads them."""
+    import csv
+    import io
+
+    from equilake.operators import prefix
+    from equilake.sources.files import _by_name
+
+    monkeypatch.setattr(prefix, "SUM_BITS", 3)
+    body = "a,b, A ,c\n" + "".join(
+        f'{i},"line {i}\nnext ""x"",\n\n{"end" if i % 3 else ""}",second,{"5 inch" if i % 2 else "7"}\n' if i % 4 == 0 else f'{i},plain 3" pipe,"x,y",\n' if i % 4 == 1 else f'{i},"""all""","a ""b""\n""c""",z\n' if i % 4 == 2 else f"{i},,,\n"
+        for i in range(60))
+    (tmp_path / "one.csv").write_text(body)
+    (tmp_path / "two.csv").write_text("b,a\nx,1000\n")
+    want = sorted((r[0], r[1], r[3]) for r in list(csv.reader(io.StringIO(body)))[1:]) + [("1000", "x", None)]
+    got = [(r.cells["a"], r.cells["b"], r.cells.get("c")) for r in _by_name(spark, str(tmp_path / "*.csv")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_long_line_is_read_in_linear_time(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("Account_ID,Symbol,Quantity,As_Of_Date," + ",".join(f"c{i}" for i in range(20_000)) + "\n" + "U1,X,5,2024-01-31," + ",".join(f'"v,{i}"' for i in range(20_000)) + "\n")
+    start = time.perf_counter()
+    good, _ = files.read_holdings_csv(spark, str(tmp_path / "wide.csv"))
+    assert [(r.account_id, r.quantity) for r in good.collect()] == [("U1", 5.0)]
+    assert time.perf_counter() - start < 60
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     from equilake.session import one_machine
 

@@ -76,6 +76,32 @@ def test_signal_stream_equals_batch(spark, tmp_path, state_store):
     assert rows == [(1, "target_hit", at(4)), (2, "stopped_out", at(3)), (3, "expired", at(2)), (5, "expired", at(50)), (6, "stopped_out", at(3))]
 
 
+def test_signals_of_a_hot_symbol_equal_a_loop(spark):
+    """Most ticks and most signals on one symbol; lives of minutes to many days, hits at their edges."""
+    import random
+
+    rng = random.Random(6)
+    quotes = [("HOT", at(rng.randrange(0, 20_000)) + dt.timedelta(seconds=rng.randrange(60)), round(rng.uniform(90, 110), 1)) for _ in range(1500)] + [("B", at(i * 500), 100.0 + i) for i in range(20)]
+    signals = []
+    for i in range(300):
+        made = at(rng.randrange(0, 15_000)) + dt.timedelta(seconds=rng.randrange(60))
+        side = rng.choice(["buy", "sell"])
+        levels = rng.choice([(108.5, 91.0), (104.0, 89.0), (150.0, 50.0), (None, 95.0)])
+        signals.append((i, "HOT" if i % 10 else "B", side, *(levels if side == "buy" else (levels[1], levels[0])), made, made + dt.timedelta(minutes=rng.choice([0, 3, 200, 9000])), "open", None))
+    got = {r.signal_id: (r.status, r.closed_at) for r in jobs.resolve_signals(spark.createDataFrame(signals, SIGNALS), spark.createDataFrame(quotes, "symbol string, ts timestamp, price double")).collect()}
+    for i, symbol, side, target, stop, made, ends, *_ in signals:
+        seen = sorted((t, p) for s, t, p in quotes if s == symbol)
+        hits = []
+        for t, p in seen:
+            if made <= t <= ends:
+                if stop is not None and (p <= stop if side == "buy" else p >= stop):
+                    hits.append((t, 0))
+                if target is not None and (p >= target if side == "buy" else p <= target):
+                    hits.append((t, 1))
+        want = (("stopped_out", "target_hit")[min(hits)[1]], min(hits)[0]) if hits else ("expired", ends) if seen[-1][0] > ends else ("open", None)
+        assert got[i] == want, i
+
+
 # -- month tables ------------------------------------------------------------------------------
 
 def day(n):
