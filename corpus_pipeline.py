@@ -17,6 +17,7 @@ from equilake.llm.minhash_dedup import near_duplicates
 from equilake.llm.nbest_pieces import segment
 from equilake.llm.queries import table, vocabulary
 from equilake.llm.surrogates import replace_entities
+from equilake.operators.prefix import numbered
 from equilake.session import store
 
 
@@ -26,10 +27,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least doc_id. Of rows that share that id the one whose
-    text has the least hash stays. Rows with a null id all stay: they are linked with nothing."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    """One document of each near-duplicate group, the one with the least doc_id. Rows that share a doc_id are documents of their own if their texts differ (in
+    the order of the texts' hashes); of equal rows one stays. Rows with a null id all stay: they are linked with nothing."""
+    named = docs.where("doc_id is not null").withColumn("__h", F.xxhash64("text"))
+    texts = named.groupBy("doc_id").agg(F.min("__h").alias("low"), F.max("__h").alias("high"))
+    if texts.where("low <> high").isEmpty():
+        kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+        kept = named.join(kept, "doc_id", "left_semi")
+    else:
+        keys, _ = numbered(named.select(F.lit(0).alias("one"), "doc_id", F.col("__h").alias("hash")).distinct(), ["one"], ["doc_id", "hash"])
+        keys = keys.select(F.col("doc_id").alias("__d"), F.col("hash").alias("__k"), F.col("place").alias("__place"))
+        own = named.join(keys, (F.col("doc_id") == F.col("__d")) & (F.col("__h") == F.col("__k"))).drop("__d", "__k")
+        least = near_duplicates(own.select(F.col("__place").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("__place")).distinct()
+        kept = own.join(least, "__place", "left_semi")
+    one = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy("__h")))
     return one.where("__n = 1").select(docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -13,7 +13,8 @@ exact join by value. Neither the bitmap nor anything else broadcast grows with e
 
 Defined cases: null, empty and blank texts and items hold nothing. An item of one to four words is one shingle and is found
 in a document that is exactly those words. Repeated item ids and doc ids are kept apart by row and reported once a pair.
-Rows with a null id are searched and reported with a null id. Other columns are ignored.
+Rows with a null id are searched and reported with a null id. Other columns are ignored. A row is taken out for its own text only: rows that
+share an id, or have none, are judged one by one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equilake.llm import text as T
@@ -95,12 +96,22 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (x, xat), (y, yat) = T.shingle_sets(part.column("item_text")), T.shingle_sets(part.column("text"))
             shared = np.array([len(np.intersect1d(x[xat[i] : xat[i + 1]], y[yat[i] : yat[i + 1]], assume_unique=True)) for i in range(last - first)], dtype=np.int64)
             n = np.diff(xat)
-            out = pa.RecordBatch.from_arrays([part.column("item_id"), part.column("doc_id"), pa.array(n), pa.array(shared)], names=["item_id", "doc_id", "n_item_shingles", "n_shared"])
+            out = pa.RecordBatch.from_arrays([part.column("item_id"), part.column("doc_id"), pa.array(n), pa.array(shared), part.column("text_hash"), part.column("text_size")], names=["item_id", "doc_id", "n_item_shingles", "n_shared", "text_hash", "text_size"])
             yield out.filter(pa.array((shared > 0) & (100 * shared >= 75 * n)))
 
 
+def _text_key() -> list[Column]:
+    """What tells a text from others of the same doc_id."""
+    return [F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("text_size")]
+
+
 def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id, n_item_shingles, n_shared: the items (item_id, text) that lie in docs (doc_id, text)."""
+    return _contained(docs, items).select("item_id", "doc_id", "n_item_shingles", "n_shared").distinct()
+
+
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """contained_items with the key of the document's text."""
     spark = docs.sparkSession
     wanted = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     sketches = store(wanted.mapInArrow(_items, _ITEM_SCHEMA).where("n > 0").withColumn("item_row", F.monotonically_increasing_id()), "item_sketches")
@@ -116,11 +127,12 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     values = sketches.select("item_row", "need", F.explode("value").alias("value"))
     hits = found.select("row", F.explode("hits").alias("value"))
     candidates = hits.join(values, "value").groupBy("row", "item_row").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need").select("row", "item_row")
-    pairs = candidates.join(found.select("row", "doc_id", "text"), "row").join(sketches.select("item_row", "item_id", "item_text"), "item_row")
-    return pairs.select("item_id", "doc_id", "item_text", "text").mapInArrow(_exact, "item_id bigint, doc_id bigint, n_item_shingles bigint, n_shared bigint").distinct()
+    pairs = candidates.join(found.select("row", "doc_id", "text", *_text_key()), "row").join(sketches.select("item_row", "item_id", "item_text"), "item_row")
+    return pairs.select("item_id", "doc_id", "item_text", "text", "text_hash", "text_size").mapInArrow(_exact, "item_id bigint, doc_id bigint, n_item_shingles bigint, n_shared bigint, text_hash bigint, text_size int")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold an item. Rows with a null doc_id stay if their text holds none of them either."""
-    held = contained_items(docs, items)
-    return docs.join(held.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(held["doc_id"]), "left_anti")
+    """docs without the rows whose text holds an item."""
+    held = _contained(docs, items).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("text_size").alias("__n")).distinct()
+    hash_, size = F.xxhash64(F.col("text").cast("string")), F.octet_length(F.col("text").cast("string"))
+    return docs.join(held, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")) & (hash_ == F.col("__h")) & (size == F.col("__n")), "left_anti")

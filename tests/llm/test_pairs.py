@@ -125,7 +125,9 @@ def test_decontamination_equals_brute_force(spark, documents, odd, nothing):
         got = decontaminate.contained_items(docs, found)
         assert {tuple(r) for r in got.collect()} == brute_items(plain, [(r.item_id, r.text) for r in found.collect()])
     kept = decontaminate.decontaminated(odd, more)
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {1, 2, 3, 4, 10, 11} and kept.columns == odd.columns
+    # The other text under the id 6 holds nothing, so it stays.
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {1, 2, 3, 4, 6, 10, 11} and kept.columns == odd.columns
+    assert [r.text for r in kept.where("doc_id = 6").select("text").collect()] == ["another text under the same id it is"]
 
 
 def test_least_hits_never_exclude_an_item():
@@ -138,3 +140,12 @@ def test_least_hits_never_exclude_an_item():
 def test_kept_count_follows_the_classes(documents):
     out = minhash_dedup.near_duplicates(documents)
     assert out.where("kept").count() == out.select(F.countDistinct("component_id")).first()[0]
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, "a clean text without an id"), (None, f"before {item} after"), (7, "a clean text of the same id"), (7, f"then {item}"), (8, f"{item} again"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(1) for c in ("row", "hits", "text_hash", "text_size", "item_id")}).repartition(3)
+    got = decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([rows[0], rows[2], rows[5], rows[6]], key=repr)
