@@ -172,10 +172,11 @@ def decode_segment(data: bytes, only: list[int] | None = None) -> np.ndarray:
 # -- tokenizer -----------------------------------------------------------------------------------------------------
 
 class _Encoder:
-    """Ids of units from the tokenizers library.
+    """Ids of units from the tokenizers library, as it is: an added token in a text (like an end mark) gets its own id.
 
     Units that begin with white space and end with a word are joined to long texts, since pre-tokens never
-    cross their ends; others go alone. Ids are dealt back to units by the byte lengths of the tokens.
+    cross their ends; others go alone. Added tokens hold no white space, so each lies in one unit; a vocabulary in which one takes
+    the white space beside it is refused. Ids are dealt back to units by the byte lengths of the tokens.
     """
 
     def __init__(self, path: str):
@@ -183,9 +184,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
+        for i, added in self.tokenizer.get_added_tokens_decoder().items():
+            if added.lstrip or added.rstrip or added.single_word or set(added.content) & set(" \t\n\x0b\x0c\r"):
+                raise ValueError(f"added token {added.content!r} depends on what stands beside it")
+            self.width[i] = len(added.content.encode())
 
     def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts, held, size = [], [], 0
