@@ -8,8 +8,8 @@ large and frequent: they make up the host's template. In a page a class is valid
 do not overlap another class without being nested in it; valid classes are nested, and what lies between their tokens are the slots. Vectors are over the
 distinct page contents of a host, so that copies of a page are one page there; a class that holds most of a page's text is no template of that page.
 
-The article is what the template's <article> or <main> tags enclose (of several alike, all; else the one with most text); without these, the enclosing element whose slots
-hold most text outside links. Inside it, blocks all of whose text the template fixes are left out; removed are also the parts that are not article by their element (menus, headers and footers of the page, sidebars,
+The article is what the template's <article> or <main> tags enclose (of several alike, all; else the one with most text), unless they are a teaser beside far more paragraph text; without these, the element whose slots
+hold most text outside links, with the elements around it that have paragraphs of their own. Inside it, blocks all of whose text the template fixes are left out; removed are also the parts that are not article by their element (menus, headers and footers of the page, sidebars,
 forms, scripts, styles, ...) or by the names in their class, id or role (adverts, cookie notices, comments, ...); a form or a name removes nothing that holds most of the
 page's paragraph text.
 
@@ -51,6 +51,7 @@ _CLOSED_BY = {"p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "td": {"td",
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _BLANK = re.compile(r"\s+")
 
 
@@ -106,11 +107,14 @@ def tokens(page: str) -> list[Token]:
         names = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m.group(3))) if m.group(3) else ""
         key = xxhash.xxh64_intdigest(f"{name} {names}", stack[-1][1] & 0xFFFFFFFF) & ~1
         out.append(Token("open", name, names, key, len(stack)))
-        if name in RAW:
+        if name in ("svg", "math") and _CLOSED.search(m.group(3)):
+            # Elements of XML may close themselves.
+            out.append(Token("close", name, "", key ^ 1, len(stack)))
+        elif name in RAW:
             done = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = done.end() if done else end
             out.append(Token("close", name, "", key ^ 1, len(stack)))
-        elif name not in VOID and not m.group(3).endswith("/"):
+        elif name not in VOID and not _CLOSED.search(m.group(3)):
             stack.append((name, key))
     close(1)
     return out
@@ -176,18 +180,19 @@ def valid_classes(page: list[Token], classes: dict[int, int]) -> dict[int, list[
         order = list(dict.fromkeys(page[k].key for k in at))
         if len(at) % len(order) == 0 and all(page[k].key == order[j % len(order)] for j, k in enumerate(at)):
             out[c] = at
-    # Nested: between two neighbours of one class the other has all or none of a repetition.
-    spans = sorted(((at[0], -at[-1], c) for c, at in out.items()))
-    open_: list[tuple[int, int]] = []
-    for first, last, c in spans:
-        last = -last
-        while open_ and open_[-1][1] < first:
-            open_.pop()
-        if open_ and last > open_[-1][1]:
-            out.pop(c)
-            continue
-        open_.append((first, last))
-    return out
+    # Nested: each repetition of one of two classes lies between two neighbouring tokens of the other. Larger classes come first.
+    kept: dict[int, np.ndarray] = {}
+    for c in sorted(out, key=lambda c: (-len(out[c]), out[c][0])):
+        at = np.array(out[c]).reshape(-1, len({page[k].key for k in out[c]}))
+        if all(_within(at, other) or _within(other, at) for other in kept.values()):
+            kept[c] = at
+    return {c: out[c] for c in out if c in kept}
+
+
+def _within(inner: np.ndarray, outer: np.ndarray) -> bool:
+    """Each row of inner (a repetition) lies in one gap between the tokens of outer."""
+    gap = np.searchsorted(outer.ravel(), inner)
+    return bool((gap == gap[:, :1]).all())
 
 
 # -- text of a page -------------------------------------------------------------------------------------------------------
@@ -279,13 +284,30 @@ def _slots(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[li
         # The template's own element before one that only this page has; of several the one with most text, and those under the same path and names.
         known = [k for k in heads if k in fixed] or heads
         spans = [(k, _end(run, k)) for k in known]
-        begin, end = max(spans, key=lambda s: (sum(len(t.name) for t in run[s[0] : s[1]] if t.kind == "text"), -s[0]))
+        held = {k: sum(len(t.name) for t in run[k:e] if t.kind == "text") for k, e in spans}
+        begin, _ = max(spans, key=lambda s: (held[s[0]], -s[0]))
         alike = [(k + 1, e) for k, e in spans if run[k].key == run[begin].key and run[k].depth == run[begin].depth]
+        # A teaser: an element outside holds far more paragraph text than all of them.
+        inside = sum(held[k - 1] for k, _ in alike)
+        if paragraphs[-1] - sum(paragraphs[e] - paragraphs[k] for k, e in alike) > 2 * inside:
+            best, end = _heaviest(run, fixed, paragraphs)
+            if paragraphs[end] - paragraphs[best] > 2 * inside:
+                return [(best, end)], False
         return alike, True
-    # Text in paragraphs counts for the element around them, text in links against it.
+    return [_heaviest(run, fixed, paragraphs)], False
+
+
+def _heaviest(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[int, int]:
+    """(first, last) of the tokens inside the outermost element that is mostly text around the one with most text.
+
+    Text in paragraphs counts for the element around them, text in links against it.
+    """
     mass: dict[int, int] = defaultdict(int)
+    above: dict[int, list[int]] = {}
+    flow = [0] * (len(run) + 1)
     stack, skip, link = [-1], 0, 0
     for k, t in enumerate(run):
+        flow[k + 1] = flow[k]
         if t.kind == "open" and t.name not in VOID:
             skip += bool(skip) or t.name in RAW or _chrome(run, k, False, paragraphs)
             link += t.name == "a"
@@ -296,10 +318,20 @@ def _slots(run: list[Token], fixed: set[int], paragraphs: list[int]) -> tuple[li
             stack.pop()
         elif t.kind == "text" and not skip and k not in fixed and len(t.name.strip()) > 1:
             block = next((i for i in range(len(stack) - 1, 0, -1) if run[stack[i]].name in BLOCKS), 0)
-            target = stack[max(block - 1, 0)] if run[stack[block]].name in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") else stack[block]
-            mass[target] += -len(t.name) if link else len(t.name)
+            place = max(block - 1, 0) if run[stack[block]].name in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") else block
+            size = -len(t.name) if link else len(t.name)
+            mass[stack[place]] += size
+            above.setdefault(stack[place], stack[:place])
+            flow[k + 1] += size
     best = max(mass, key=lambda k: (mass[k], -k), default=-1)
-    return [(best + 1, _end(run, best)) if best >= 0 else (0, len(run))], False
+    if best < 0:
+        return 0, len(run)
+    # An element around it that has paragraphs of its own belongs to the article, unless links outweigh what it adds.
+    chosen = best
+    for k in reversed(above[best][1:]):
+        if mass[k] > 0 and flow[_end(run, k)] - flow[k] > flow[_end(run, chosen)] - flow[chosen]:
+            chosen = k
+    return chosen + 1, _end(run, chosen)
 
 
 def _end(run: list[Token], k: int) -> int:
