@@ -2,7 +2,7 @@
 
 Base kinds (fixed patterns): assign, access, hex. Every value found is hashed, and the hashes are counted over the corpus by distinct
 repositories and distinct owners, in two steps (owner and repository, then value), so that a value copied a million times is combined
-before it moves. A value with WIDELY or more owners is a copied example; a value of fewer owners that is random enough (LIVE_LENGTH
+before it moves. A value with WIDELY or more owners, or FIXTURE or more repositories (a fixture that one owner copies about), is a copied example; any other that is random enough (LIVE_LENGTH
 characters and LIVE_BITS bits a character) is live-looking; the rest is unsure. A live-looking value is then searched in all texts as a bare token (a
 run of BARE_LENGTH or more of the characters of a value, one digit at least, without points at its ends) outside the base spans: those spans are added with the kind bare.
 
@@ -27,6 +27,7 @@ from equilake.llm import text as T
 from equilake.session import store
 
 WIDELY = 3
+FIXTURE = 20
 LIVE_LENGTH = 16
 LIVE_BITS = 3.0
 BARE_LENGTH = 16
@@ -119,19 +120,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "repository", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "spans"])
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", widely: int = WIDELY) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans, and n_live, n_example, n_added for every row of docs."""
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", widely: int = WIDELY, fixture: int = FIXTURE) -> DataFrame:
+    """doc_id, counts of the base kinds, base_sha256, spans, n_live, n_example, n_added, and the most repositories and owners that share one of the
+    row's values, for every row of docs."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{repository}`").cast("string").alias("repository"), F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("owner"), F.col("text").cast("string").alias("text"))
     found = store(rows.mapInArrow(_scan, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "secret_rows")
     spans = found.where(F.size("spans") > 0).select("row", "owner", "repository", F.explode("spans").alias("s")).select("row", "owner", "repository", "s.*")
     owned = spans.where("rank < 3").groupBy("value", "owner", "repository").agg(F.max("strong").alias("strong"))
     owned = owned.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.max("strong").alias("strong"))
     values = owned.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.max("strong").alias("strong"))
-    values = values.select("value", F.when(F.col("owners") >= widely, "example").when(F.col("strong"), "live").otherwise("unsure").alias("verdict"))
+    # Held by many owners, or by many repositories of few owners (a shared fixture): widely copied. Else it is somebody's own.
+    copied = (F.col("owners") >= widely) | (F.col("repositories") >= fixture)
+    values = values.select("value", "repositories", "owners", F.when(copied, "example").when(F.col("strong"), "live").otherwise("unsure").alias("verdict"))
     judged = spans.join(values, "value").where("rank < 3 or verdict = 'live'")
     added = F.when(F.col("rank") == 3, F.struct("start", "rank", "end"))
     own = judged.groupBy("row").agg(
-        F.sum((F.col("verdict") == "live").cast("bigint")).alias("n_live"), F.sum((F.col("verdict") == "example").cast("bigint")).alias("n_example"), F.collect_list(added).alias("added"))
+        F.sum((F.col("verdict") == "live").cast("bigint")).alias("n_live"), F.sum((F.col("verdict") == "example").cast("bigint")).alias("n_example"), F.collect_list(added).alias("added"),
+        F.max("repositories").alias("most_repositories"), F.max("owners").alias("most_owners"))
     joined = found.join(own, "row", "left")
     base = F.transform(F.filter("spans", lambda s: s["rank"] < 3), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     every = F.sort_array(F.concat(base, F.col("added")))
@@ -139,4 +144,5 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", wid
     text = F.array_join(F.transform(every, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"])), ",")
     return joined.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.when(F.size("added") > 0, text).otherwise(F.col("base")).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("bigint").alias("n_added"))
+        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.when(F.col("added").isNull(), 0).otherwise(F.size("added")).cast("bigint").alias("n_added"),
+        F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"))
