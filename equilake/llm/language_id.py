@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equilake.llm import text as T
@@ -189,8 +189,23 @@ def _fuse(batches: Iterator[pa.RecordBatch], model: TextModel, declared: dict, m
 
 
 def identify(docs: DataFrame, declared: str | None = "lang", host: str | None = "source", url: str | None = None, fit_rows: int = FIT_ROWS, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """docs (text, and the named columns) with language, posterior and accepted."""
-    docs = docs.drop("language", "posterior", "accepted", "__scores")
+    """docs (text, and the named columns) with language, posterior and accepted; columns of these three names are replaced, all others are kept."""
+    hidden = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in _OWN}
+    shown = lambda c: hidden.get(c, c)
+    out = _identify(docs.drop("language", "posterior", "accepted").withColumnsRenamed(hidden), shown(declared), shown(host), shown(url), fit_rows, min_posterior)
+    return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+
+def markup_language(html: str) -> Column:
+    """The language that a page's markup declares: the lang attribute of its html element, without the region."""
+    tag = F.regexp_extract(html, r"(?i)<html\b([^>]*)>", 1)
+    return F.nullif(F.lower(F.regexp_extract(tag, r"(?i)\blang\s*=\s*[\"']?([a-z]+)", 1)), F.lit(""))
+
+
+_OWN = {"__declared", "__host", "__suffix", "__prior", "__scores"}
+
+
+def _identify(docs: DataFrame, declared: str | None, host: str | None, url: str | None, fit_rows: int, min_posterior: float) -> DataFrame:
     null = F.lit(None).cast("string")
     said = F.lower(F.col(declared).cast("string")) if declared else null
     address = F.lower(F.regexp_extract(F.col(url).cast("string"), r"^(?:[a-zA-Z]+://)?([^/?#:]*)", 1)) if url else null

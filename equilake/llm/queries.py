@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from equilake.llm.decontaminate import contained_items
 from equilake.llm.host_rules import judge
 from equilake.llm.interpolated_lm import score
-from equilake.llm.language_id import identify
+from equilake.llm.language_id import identify, markup_language
 from equilake.llm.merkle import manifest
 from equilake.llm.minhash_dedup import near_duplicates
 from equilake.llm.nbest_pieces import segment
@@ -144,6 +144,15 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
     return identify(table(spark, root, "documents")).select("doc_id", F.col("lang").alias("declared"), "language", "posterior", F.col("accepted").alias("kept"))
 
 
+@query("languages_of_pages")
+def languages_of_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The same evidence with all of its sources: text without its tags, the markup's language, the address suffix, the host."""
+    pages = table(spark, root, "pages")
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    found = identify(pages.select("page_id", "url", text.alias("text"), markup_language("html").alias("markup")), "markup", None, "url")
+    return found.select("page_id", "url", "markup", "language", "posterior", F.col("accepted").alias("kept"))
+
+
 @query("op9_decontamination", _CONTAINED)
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return contained_items(table(spark, root, "documents"), table(spark, root, "benchmark"))
