@@ -7,11 +7,12 @@ layout of the mention.
 
 A surrogate is a keyed permutation of the numbers or letters the entity is made of: a Feistel network over the mixed-radix number
 of its free characters, walked until the result is in range. Letters keep their case and alphabet, digits stay digits; a card keeps its
-first digit and its check stays valid, an IBAN its country and valid check digits, an address its class, a telephone number its country code. A given name comes from a list by
-gender and alphabet (from the title), a family name is made of syllables of its alphabet.
+first digit and its check stays valid, an IBAN its country and valid check digits, an address its class, a telephone number its country code. A given name begins with a stem by
+gender and alphabet (from the title), on later attempts lengthened by syllables; a family name is made of syllables of its alphabet.
+A family name that follows a title is found in the rest of its text without one too.
 
-Collision check: all distinct entities of the corpus get a surrogate by (key, kind, canonical, attempt 0). While two entities of a kind share a surrogate, or a
-surrogate equals an entity that occurs, all but the least of them go on to the next attempt. So distinct entities stay distinct.
+Collision check: all distinct entities of the corpus get a surrogate by (key, kind, canonical, attempt 0). Of the entities of a kind that share one the least keeps it,
+unless it is an entity that occurs or is kept already; the others, and only they, go on to the next attempt. So distinct entities stay distinct.
 
 Only rows with an entity are stored, joined and rewritten; other rows pass through the scan unchanged.
 
@@ -39,6 +40,8 @@ from equilake.session import store
 
 KEY = b"equilake surrogates"
 MOST_ATTEMPTS = 200
+#: Characters of a family name that is looked for without its title.
+LEAST_NAME = 3
 
 # Titles by gender, given names by gender and alphabet, syllables by alphabet.
 TITLES = {
@@ -106,6 +109,11 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
             for start, end, name, canonical in _entities(kind, m):
                 if all(end <= s or e <= start for s, e, *_ in found):
                     found.append((start, end, name, canonical))
+    # The same family names without a title, in the spelling seen after one.
+    for name in sorted({text[s:e] for s, e, kind, _ in found if kind == "family" and e - s >= LEAST_NAME}):
+        for m in re.finditer(rf"(?<![\w'’-]){re.escape(name)}(?![\w’-])", text):
+            if all(m.end() <= s or e <= m.start() for s, e, *_ in found):
+                found.append((m.start(), m.end(), "family", name.lower()))
     return sorted(found)
 
 
@@ -252,7 +260,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
     if kind.startswith("given_"):
         names = GIVEN[kind[-1], script]
         picks = _pick(key, f"{label}|{canonical}", len(names))
-        return "-".join([names[picks[0]], *(names[k] for k in picks[1 : 1 + attempt])]).lower()
+        ends = _pick(key, f"{label}|{canonical}|end", len(SYLLABLES[script]))
+        return names[picks[0]].lower() + "".join(SYLLABLES[script][k] for k in ends[: min((attempt + 1) // 2, 20)])
     n = SYLLABLES[script]
     return "".join(n[k] for k in _pick(key, f"{label}|{canonical}", len(n))[: 4 + min(attempt, 20)])
 
@@ -329,21 +338,26 @@ def distinct_surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     # All kinds of given names share one space, so that two people's names stay apart.
     space = F.regexp_replace("kind", "^given_.$", "given")
-    real = entities.select(space.alias("space"), F.col("canonical").alias("surrogate")).distinct()
-    now = store(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "canonical", "attempt")), "surrogates")
-    for _ in range(MOST_ATTEMPTS):
-        spaced = now.withColumn("space", space)
-        first = spaced.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("first"), F.count("*").alias("n"))
-        clash = first.where("n > 1").select("space", "surrogate", "first")
-        taken = real.withColumn("taken", F.lit(True))
-        judged = spaced.join(clash, ["space", "surrogate"], "left").join(taken, ["space", "surrogate"], "left")
-        moves = F.coalesce("taken", F.lit(False)) | F.coalesce(F.col("first") != F.struct("attempt", "kind", "canonical"), F.lit(False))
-        judged = judged.select("kind", "canonical", F.when(moves, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), F.col("surrogate").alias("old"), moves.alias("moves"))
-        judged = store(judged, "surrogates")
-        if judged.where("moves").isEmpty():
-            return judged.select("kind", "canonical", F.col("old").alias("surrogate"))
-        drawn = judged.where("moves").withColumn("surrogate", draw("kind", "canonical", "attempt")).select("kind", "canonical", "attempt", "surrogate")
-        now = store(judged.where("not moves").select("kind", "canonical", "attempt", F.col("old").alias("surrogate")).union(drawn), "surrogates")
+    real = store(entities.select(space.alias("space"), F.col("canonical").alias("surrogate")).distinct(), "real_entities")
+    moving, kept = entities.select("kind", "canonical"), []
+    for attempt in range(MOST_ATTEMPTS):
+        drawn = store(moving.withColumn("space", space).withColumn("surrogate", draw("kind", "canonical", F.lit(attempt))), "surrogates")
+        # Only what could meet the newly drawn ones is compared with them.
+        asked = drawn.select("space", "surrogate").distinct()
+        taken = real.join(asked, ["space", "surrogate"], "left_semi")
+        for part in kept:
+            taken = taken.unionByName(part.select("space", "surrogate").join(asked, ["space", "surrogate"], "left_semi"))
+        free = drawn.join(taken, ["space", "surrogate"], "left_anti")
+        first = free.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "canonical")).alias("first"))
+        judged = drawn.join(first, ["space", "surrogate"], "left")
+        judged = store(judged.select("space", "surrogate", "kind", "canonical", F.coalesce(F.col("first") == F.struct("kind", "canonical"), F.lit(False)).alias("keeps")), "surrogates")
+        kept.append(judged.where("keeps"))
+        moving = judged.where("not keeps").select("kind", "canonical")
+        if moving.isEmpty():
+            out = kept[0]
+            for part in kept[1:]:
+                out = out.unionByName(part)
+            return out.select("kind", "canonical", "surrogate")
     raise RuntimeError("surrogates still collide; a kind has too few of them for its entities")
 
 
