@@ -133,9 +133,9 @@ def fold(digest: bytes, proof: tuple | None) -> tuple[bytes, bytes]:
 
 # -- all blocks ----------------------------------------------------------------------------------------------------
 
-def _blocks(nodes: DataFrame, *columns: str) -> DataFrame:
+def _blocks(nodes: DataFrame, bits: int, *columns: str) -> DataFrame:
     """nodes (key, place, size, digest, ...) shuffled by block and sorted by place."""
-    nodes = nodes.withColumn("block", F.shiftright("place", BLOCK_BITS)).withColumn("run", F.concat(F.col("block").cast("string"), F.lit(":"), F.col("key")))
+    nodes = nodes.withColumn("block", F.shiftright("place", bits)).withColumn("run", F.concat(F.col("block").cast("string"), F.lit(":"), F.col("key")))
     return nodes.repartition("run").sortWithinPartitions("run", "place").select("run", "key", "block", "size", "digest", *columns)
 
 
@@ -143,44 +143,44 @@ def _hex(column: pa.ChunkedArray) -> list[bytes]:
     return [d.hex().encode() for d in column.to_pylist()]
 
 
-def _tree(block: pa.Table) -> list[list[bytes]]:
-    return sweep_up(_hex(block.column("digest")), levels(block.column("size")[0].as_py(), BLOCK_BITS))
+def _tree(block: pa.Table, bits: int) -> list[list[bytes]]:
+    return sweep_up(_hex(block.column("digest")), levels(block.column("size")[0].as_py(), bits))
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tops(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for block in runs(batches, "run"):
         size = block.column("size")[0].as_py()
         yield pa.RecordBatch.from_pydict({
             "key": block.column("key").slice(0, 1).combine_chunks(), "place": block.column("block").slice(0, 1).combine_chunks(),
-            "size": pa.array([-(-size >> BLOCK_BITS) if size else 0], pa.int64()), "digest": pa.array([bytes.fromhex(_tree(block)[-1][0].decode())], pa.binary())})
+            "size": pa.array([-(-size >> bits)], pa.int64()), "digest": pa.array([bytes.fromhex(_tree(block, bits)[-1][0].decode())], pa.binary())})
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffixes(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for block in runs(batches, "run"):
-        proofs = sweep_down(_tree(block), unpack(block.column("suffix")[0].as_py()))
+        proofs = sweep_down(_tree(block, bits), unpack(block.column("suffix")[0].as_py()))
         yield pa.RecordBatch.from_pydict({"key": block.column("key").combine_chunks(), "place": block.column("place").combine_chunks(), "suffix": pa.array([pack(p) for p in proofs], pa.binary())})
 
 
-def climb(nodes: DataFrame, largest: int, name: str) -> list[DataFrame]:
+def climb(nodes: DataFrame, largest: int, bits: int, name: str) -> list[DataFrame]:
     """Tiers of nodes (key, place, size, digest) of all keys: the given ones, then the tops of their blocks, and so on; one node a key in the last."""
     tiers = [nodes]
     while largest > 1 or len(tiers) == 1:
-        tops = _blocks(tiers[-1]).mapInArrow(_tops, "key string, place bigint, size bigint, digest binary")
+        tops = _blocks(tiers[-1], bits).mapInArrow(lambda batches: _tops(batches, bits), "key string, place bigint, size bigint, digest binary")
         tiers.append(store(tops, name))
-        largest = -(-largest >> BLOCK_BITS)
+        largest = -(-largest >> bits)
     return tiers
 
 
-def _with_suffix(nodes: DataFrame, suffixes: DataFrame) -> DataFrame:
+def _with_suffix(nodes: DataFrame, suffixes: DataFrame, bits: int) -> DataFrame:
     """nodes with the suffix of their block's top: suffixes (key, place, suffix), one for each block."""
     above = suffixes.select("key", F.col("place").alias("__block"), "suffix")
-    return nodes.withColumn("__block", F.shiftright("place", BLOCK_BITS)).join(above, ["key", "__block"]).drop("__block")
+    return nodes.withColumn("__block", F.shiftright("place", bits)).join(above, ["key", "__block"]).drop("__block")
 
 
-def descend(tiers: list[DataFrame], suffixes: DataFrame, name: str) -> DataFrame:
+def descend(tiers: list[DataFrame], suffixes: DataFrame, bits: int, name: str) -> DataFrame:
     """Suffixes (key, place, suffix) for the tops of the lowest blocks, from those of the highest (key, place 0, suffix)."""
     for tier in reversed(tiers[1:-1]):
-        down = _blocks(_with_suffix(tier, suffixes), "place", "suffix").mapInArrow(_suffixes, "key string, place bigint, suffix binary")
+        down = _blocks(_with_suffix(tier, suffixes, bits), bits, "place", "suffix").mapInArrow(lambda batches: _suffixes(batches, bits), "key string, place bigint, suffix binary")
         suffixes = store(down, name)
     return suffixes
 
@@ -188,9 +188,9 @@ def descend(tiers: list[DataFrame], suffixes: DataFrame, name: str) -> DataFrame
 _OUT = "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verdicts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for block in runs(batches, "run"):
-        tree = _tree(block)
+        tree = _tree(block, bits)
         proofs = sweep_down(tree, unpack(block.column("suffix")[0].as_py()))
         subroot, root = block.column("subroot")[0].as_py().hex(), block.column("root")[0].as_py().hex()
         folded = [fold(shown.hex().encode() if shown else own, proof) for own, shown, proof in zip(tree[0], block.column("shown").to_pylist(), proofs, strict=True)]
@@ -200,7 +200,7 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "proof_sha256": pa.array([p.decode() for _, p in folded]), "folded_root": pa.array([r.decode() for r, _ in folded]), "verified": pa.array([r.decode() == root for r, _ in folded])})
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root (from the row as shown: every row whose id's crc32 7 divides is shown with
     a changed n_chars) and verified (it equals the root), a row for each row of docs."""
     spark = docs.sparkSession
@@ -209,20 +209,20 @@ def manifest(docs: DataFrame) -> DataFrame:
     largest = rows.agg(F.max("size")).first()[0]
     if largest is None:
         return spark.createDataFrame([], _OUT)
-    tiers = climb(nodes, largest, "tops")
+    tiers = climb(nodes, largest, block_bits, "tops")
     subroots = tiers[-1].select("key", F.col("digest").alias("subroot"))
     # The languages' own tree, over all subroots in order.
     langs = numbered(subroots.select(F.lit("").alias("key"), F.col("key").alias("lang"), F.col("subroot").alias("digest")), "key", ["lang"], "subroots")
     langs = store(langs, "subroots-numbered")
-    above = climb(langs.select("key", "place", "size", "digest"), langs.count(), "roots")
+    above = climb(langs.select("key", "place", "size", "digest"), langs.count(), block_bits, "roots")
     top = above[-1]
     start = top.select("key", F.lit(0).cast("bigint").alias("place"), F.lit(b"").alias("suffix"))
-    down = descend(above, start, "root-suffixes")
-    last = _blocks(_with_suffix(langs.select("key", "place", "size", "digest"), down), "place", "suffix").mapInArrow(_suffixes, "key string, place bigint, suffix binary")
+    down = descend(above, start, block_bits, "root-suffixes")
+    last = _blocks(_with_suffix(langs.select("key", "place", "size", "digest"), down, block_bits), block_bits, "place", "suffix").mapInArrow(lambda batches: _suffixes(batches, block_bits), "key string, place bigint, suffix binary")
     suffixes = last.join(langs.select("key", "place", "lang"), ["key", "place"]).select(F.col("lang").alias("key"), F.lit(0).cast("bigint").alias("place"), "suffix")
-    blocks = descend(tiers, store(suffixes, "suffixes"), "suffixes")
+    blocks = descend(tiers, store(suffixes, "suffixes"), block_bits, "suffixes")
     # One row a block: its suffix, subroot and the root (a single row).
     blocks = blocks.join(subroots, "key").crossJoin(F.broadcast(top.select(F.col("digest").alias("root"))))
-    joined = _with_suffix(rows.withColumnRenamed("leaf", "digest"), blocks.select("key", "place", F.struct("suffix", "subroot", "root").alias("suffix")))
+    joined = _with_suffix(rows.withColumnRenamed("leaf", "digest"), blocks.select("key", "place", F.struct("suffix", "subroot", "root").alias("suffix")), block_bits)
     joined = joined.select("key", "place", "size", "digest", "doc_id", "shown", "suffix.*")
-    return _blocks(joined, "doc_id", "shown", "suffix", "subroot", "root").mapInArrow(_verdicts, _OUT)
+    return _blocks(joined, block_bits, "doc_id", "shown", "suffix", "subroot", "root").mapInArrow(lambda batches: _verdicts(batches, block_bits), _OUT)
