@@ -6,6 +6,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from equilake.llm import nbest_pieces, token_shards
 from equilake.llm.queries import vocabulary
@@ -79,8 +80,10 @@ def test_token_files_round_trip(spark, documents, odd, nothing, tmp_path, monkey
 
     path = vocabulary("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    hard = ["a  b", "a  b　 c", "tabs\t\tand\n\n lines \r\n", "<|endoftext|> x", " lead", "trail  ", "it's é'll 12 34", "\x1c a\x1f b", "𝕏 𝕐"]
+    mark = "<|endoftext|>"
+    assert tokenizer.encode(f"hello {mark} world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    marked = [mark, f"{mark} start", f"{mark}start", f"end {mark}", f"end{mark}", f"in the {mark} middle", f"in{mark}{mark}side", f"two  {mark}  blanks", f"\n{mark}\n\t{mark} ", f"{mark} " * 50]
+    hard = [*marked, "a  b", "a  b　 c", "tabs\t\tand\n\n lines \r\n", "<|endoftext|> x", " lead", "trail  ", "it's é'll 12 34", "\x1c a\x1f b", "𝕏 𝕐"]
     docs = documents.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id is null or doc_id < 6 or doc_id > 6")).union(spark.createDataFrame([(2000 + i, t) for i, t in enumerate(hard)], "doc_id bigint, text string"))
     rows = {}
     for r in docs.collect():
@@ -124,3 +127,48 @@ def test_pipeline_stages(spark, documents):
         if name != "sentencepiece":
             assert docs.columns == documents.columns
     assert all(words(t) for t in after.values())
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, documents, nothing):
+    """Dedup of rows with null, shared and repeated ids; a run over an empty table and with columns whose names operators use."""
+    import corpus_pipeline
+
+    one, two = documents.where("length(text) > 400").select("text").limit(2).collect()
+    rows = [(5, one.text, "en", "a", 1), (5, two.text, "en", "a", 2), (5, two.text, "en", "a", 2), (9, one.text, "en", "b", 3), (None, one.text, "en", "b", 3), (None, one.text, "en", "b", 3)]
+    docs = spark.createDataFrame(rows, documents.schema).withColumns({c: F.lit("clash") for c in ("place", "kept", "component_id", "hash")})
+    got = corpus_pipeline.near_dedup(spark, docs, ROOT)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(5, one.text), (5, two.text), (None, one.text), (None, one.text)], key=repr)
+    left = nothing
+    for name, stage in corpus_pipeline.STAGES:
+        left = corpus_pipeline.store(stage(spark, left, ROOT), name)
+    assert left.count() == 0
+
+
+@pytest.mark.parametrize("make", [lambda r: "".join(r.choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(3000)), lambda r: "".join(r.choice("abcab") for _ in range(400)), lambda r: "𝕏é" * 90, lambda r: "a" * 150])
+def test_units_without_blanks_fall_apart_exactly(make):
+    """Cut at the places that no edge crosses, a long unit has the same best score as when it is searched whole."""
+    import random
+
+    pieces = nbest_pieces.Pieces(vocabulary("piece_bpe_32k.model"))
+    unit = b" " + make(random.Random(4)).encode()
+    edges = pieces.edges_of(unit)
+    crossed = {p for end, e in enumerate(edges) for start, *_ in e for p in range(start + 1, end)}
+    cuts = pieces.cuts(np.frombuffer(unit, np.uint8)).tolist()
+    assert cuts == [p for p in range(1, len(unit)) if p not in crossed]
+    parts = [unit[a:b] for a, b in pairwise([0, *cuts, len(unit)])]
+    assert sum(nbest_pieces.forward(pieces.edges_of(p))[-1] for p in parts) == pytest.approx(nbest_pieces.forward(edges)[-1])
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(nbest_pieces, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(nbest_pieces, "LIST_BYTES", 5_000)
+    monkeypatch.setattr(nbest_pieces, "LATTICE_BYTES", 200)
+    small, large = nbest_pieces.Segmenter(vocabulary("piece_bpe_32k.model")), None
+    texts = pa.array([" ".join(f"word{i * k % 997}x" for i in range(300)) for k in range(1, 9)])
+    got = [list(small.encode(texts.slice(i, 1), 3)) for i in range(len(texts))]
+    assert small.list_bytes <= 5_000 and small.cache.size < 200_000
+    monkeypatch.undo()
+    large = nbest_pieces.Segmenter(vocabulary("piece_bpe_32k.model"))
+    for (ids, scores, changes, exact), (ids2, scores2, changes2, exact2) in zip([g[0] for g in got], large.encode(texts, 3), strict=True):
+        assert (ids == ids2).all() and scores == pytest.approx(scores2) and changes == changes2 and exact and exact2
