@@ -12,6 +12,9 @@ that lose least can differ among its N best segmentations; on those the N-best s
 lattice, with the forward Viterbi scores, which are exact, as heuristic, so paths come out in order of their scores. The lists of
 the units are then merged. Ties in score are resolved in favour of the longer last piece, and of the earlier unit.
 
+A unit longer than LONG_UNIT bytes (a text without blanks) falls apart further, at the places that no edge crosses: every path goes through them, so
+they cut the lattice exactly. What is kept of units, and the units worked on at once, are bounded by bytes.
+
 Defined cases: a null or empty text has no pieces, the score 0 and one segmentation. Repeated rows are kept. Units of any length are searched whole.
 """
 
@@ -30,6 +33,8 @@ from equilake.llm import text as T
 N_BEST = 3
 BYTE_SCORE = -12.0
 LONG_UNIT = 64
+#: Bytes of units whose lattices are held at once (an edge takes about 100 bytes), and bytes of a worker's caches.
+LATTICE_BYTES, CACHE_BYTES, LIST_BYTES = 64 << 10, 32 << 20, 16 << 20
 _NONE = -1e300
 
 
@@ -83,6 +88,28 @@ class Pieces:
         ok = self.keys[at] == h
         return ok, np.where(ok, self.ids[at], -1)
 
+    def cuts(self, unit: np.ndarray) -> np.ndarray:
+        """The inner places of a unit that no edge crosses."""
+        crossed = np.zeros(len(unit) + 1, dtype=np.int32)
+        heads = np.flatnonzero((unit & 0xC0) != 0x80)
+        np.add.at(crossed, heads + 1, 1)
+        np.add.at(crossed, np.append(heads[1:], len(unit)), -1)
+        for base in range(0, len(unit), LATTICE_BYTES):
+            alive = np.arange(base, min(base + LATTICE_BYTES, len(unit)))
+            h = np.zeros(len(alive), dtype=np.uint64)
+            for n in range(self.longest):
+                inside = alive + n < len(unit)
+                alive, h = alive[inside], h[inside]
+                if not len(alive):
+                    break
+                h = (h + self.code[unit[alive + n]]) * self.base
+                ok, found = self.find(h)
+                hit = alive[found >= 0]
+                np.add.at(crossed, hit + 1, 1)
+                np.add.at(crossed, hit + n + 1, -1)
+                alive, h = alive[ok], h[ok]
+        return np.flatnonzero(np.cumsum(crossed)[1:-1] == 0) + 1
+
     def edges_of(self, unit: bytes) -> list[list[tuple[int, int, float]]]:
         """For each end in a unit the edges (start, id or -1 for byte pieces, score), longest first."""
         out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(unit) + 1)]
@@ -156,8 +183,8 @@ def best_paths(pieces: Pieces, units: list[bytes]) -> tuple[np.ndarray, np.ndarr
             held[k], scores[k] = paths[0][1], paths[0][0]
             if len(paths) > 1:
                 losses[k] = paths[0][0] - paths[1][0]
-    for at in range(0, len(short), 50_000):
-        part = short[at : at + 50_000]
+    groups = np.cumsum([len(units[k]) for k in short], dtype=np.int64) // LATTICE_BYTES
+    for part in np.split(np.array(short, dtype=np.int64), np.flatnonzero(np.diff(groups)) + 1) if short else []:
         for k, (ids, score, loss) in zip(part, _many([units[k] for k in part], pieces), strict=True):
             held[k], scores[k], losses[k] = ids, score, loss
     for k, ids in enumerate(held):
@@ -277,8 +304,9 @@ class Segmenter:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.scores, self.losses = np.zeros(0), np.zeros(0)
-        self.cache = T.UnitCache(self._encode, most=800_000)
+        self.cache = T.UnitCache(self._encode, most_bytes=CACHE_BYTES)
         self.lists: dict[bytes, list[tuple[float, list[int]]]] = {}
+        self.list_bytes = 0
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts, scores, losses = best_paths(self.pieces, units)
@@ -288,11 +316,15 @@ class Segmenter:
         return ids, counts
 
     def n_best(self, unit: bytes, n: int) -> list[tuple[float, list[int]]]:
-        if len(self.lists) > 20_000:
-            self.lists.clear()
-        if unit not in self.lists:
-            self.lists[unit] = a_star(self.pieces, unit, n)
-        return self.lists[unit]
+        paths = self.lists.get(unit)
+        if paths is None:
+            paths = a_star(self.pieces, unit, n)
+            self.list_bytes += 200 + len(unit) + sum(100 + 40 * len(p) for _, p in paths)
+            if self.list_bytes > LIST_BYTES:
+                self.lists.clear()
+                self.list_bytes = 0
+            self.lists[unit] = paths
+        return paths
 
     def encode(self, column: pa.Array, n: int) -> Iterator[tuple]:
         """(ids of each row, scores of the n best of each row, changes of each alternative, decoded bytes equal the text)."""
@@ -301,6 +333,12 @@ class Segmenter:
         led = np.insert(raw, offsets[full], 32)
         led_at = offsets + np.concatenate(([0], np.cumsum(np.diff(offsets) > 0)))
         starts, ends, at = T.unit_spans(led, led_at, blanks_only=True)
+        long = np.flatnonzero(ends - starts > LONG_UNIT)
+        if len(long):
+            more = [starts[k] + self.pieces.cuts(led[starts[k] : ends[k]]) for k in long]
+            starts = np.sort(np.concatenate((starts, *more)))
+            ends = np.append(starts[1:], len(led))
+            at = np.searchsorted(starts, led_at).astype(np.int64)
         if len(starts):
             codes, slot = self.cache.slots(led, starts, ends)
             lengths, begins = self.cache.lengths[slot][codes], self.cache.begins[slot][codes]

@@ -6,12 +6,15 @@ UTF-8 bytes equals cutting the characters. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
-SLICE_BYTES = 2 << 20
+#: Text worked on at a time: the arrays of a slice take about 50 times as much.
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _WORD_BYTE = np.ones(256, dtype=bool)
@@ -49,15 +52,30 @@ def _powers(n: int) -> np.ndarray:
     return _POWER
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text, one row at least, so that memory stays bounded."""
+def _trim() -> None:
+    """Inside a task, give freed memory back to the system: an executor's workers are reused by all stages, and Arrow's own
+    pools and the C library keep freed pages."""
+    if TaskContext.get() is None:
+        return
+    if pa.default_memory_pool().backend_name != "system":
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `size` bytes of text, one row at least, so that memory stays bounded."""
     sizes = np.cumsum(np.diff(byte_view(column)[1]))
     first = 0
     while first < len(column):
         done = sizes[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(sizes, done + size, "right")))
         yield first, last
         first = last
+    _trim()
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,14 +197,19 @@ def unit_spans(raw: np.ndarray, offsets: np.ndarray, blanks_only: bool = False)
 class UnitCache:
     """What a function of a unit has given so far, kept by 64-bit hash for a worker's life.
 
-    encode(list of byte strings) returns (flat values, lengths). The cache is emptied when it holds `most` units; that
-    changes only the speed.
+    encode(list of byte strings) returns (flat values, lengths). The cache is emptied when it holds `most` units or
+    `most_bytes` bytes; that changes only the speed.
     """
 
-    def __init__(self, encode, most: int = 1_500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 1_500_000, most_bytes: int = 128 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self._clear()
 
+    @property
+    def size(self) -> int:
+        """Bytes held."""
+        return 32 * len(self.keys) + (0 if self.values is None else self.values.nbytes)
+
     def _clear(self) -> None:
         self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.lengths, self.begins = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -197,7 +220,7 @@ class UnitCache:
         import pandas as pd
 
         codes, unique = pd.factorize(hash_spans(raw, starts, ends))
-        if len(self.keys) + len(unique) > self.most:
+        if len(self.keys) + len(unique) > self.most or self.size > self.most_bytes:
             self._clear()
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), dtype=bool)
