@@ -187,11 +187,11 @@ def brute_manifest(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bits", [1, 2, 14])
+@pytest.mark.parametrize("bits", [1, 14])
 def test_manifest_equals_brute_force(odd, documents, nothing, bits):
     """Small blocks give many tiers; a single language over many blocks; null languages and ids; repeated rows."""
     hot = documents.limit(70).withColumn("lang", F.lit("one"))
-    for docs in (odd, hot.unionByName(odd.select(hot.columns)), hot.limit(1)):
+    for docs in (hot.unionByName(odd.select(hot.columns)), hot.limit(1)) if bits == 1 else (odd,):
         docs = docs.cache()
         rows = docs.collect()
         got = rows_of(merkle.manifest(docs, bits))
