@@ -32,6 +32,8 @@ from equilake.session import store
 
 WINDOW = 13
 GRAM = 7
+#: Text whose documents answer for each other before anything is shuffled.
+SLICE_BYTES = 2 << 20
 #: Places carry the number of the row among those of its doc_id above this many bits.
 PLACE_BITS = 40
 _JOIN = T.stream(6, 41)
@@ -62,7 +64,7 @@ def windows(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, edges, anchors, row of each window, place of each window, row offsets among the windows) of bounded slices."""
     column = batch.column("text")
-    for first, last in T.slices(column):
+    for first, last in T.slices(column, SLICE_BYTES):
         word, at = T.words(*T.byte_view(column.slice(first, last - first)), lower=False)
         edge, anchor = windows(word)
         count = np.maximum(np.diff(at) - WINDOW + 1, 0)
@@ -267,10 +269,11 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     """Paths (doc, place, n windows, src, src_place) of docs (doc_id, text, variant): the windows that an earlier document holds."""
     named = docs.where("doc_id is not null")
     asks = named.select("doc_id", "text").mapInArrow(_anchors, "a bigint, doc bigint, role bigint")
-    asks = asks.repartition(F.when(F.col("role") == KNOWN, F.col("doc")).otherwise(F.col("a"))).sortWithinPartitions("a", "doc")
+    # What is known already is only passed on, so it may go anywhere: not to one task for a long document.
+    asks = asks.repartition(F.when(F.col("role") == KNOWN, F.xxhash64("doc", "a")).otherwise(F.col("a"))).sortWithinPartitions("a", "doc")
     anchors = store(asks.mapInArrow(_repeated, "doc bigint, a bigint").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("a").alias("anchors")), "anchors")
     edges = named.join(anchors, "doc_id").select("doc_id", "variant", "text", "anchors").mapInArrow(_edges, _EDGES)
-    edges = edges.repartition(F.when(F.col("n") > 0, F.col("doc")).otherwise(F.col("e"))).sortWithinPartitions("e", "doc", "place")
+    edges = edges.repartition(F.when(F.col("n") > 0, F.xxhash64("doc", "place")).otherwise(F.col("e"))).sortWithinPartitions("e", "doc", "place")
     found = edges.mapInArrow(_sources, _PATHS)
     return found.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(_compacted, _PATHS)
 
