@@ -48,6 +48,8 @@ _PAIR = T.stream(2, 31)
 #: Kinds of events: both words frequent; rare word in a frequent context; both rare; frequent word in a rare context.
 _FREQUENT, _WORD, _BOTH, _CONTEXT = 0, 1, 2, 3
 SORTED_ROWS = 500_000
+#: Events that a task packs at a time, and that it reads at most on average.
+PACK_EVENTS, TASK_EVENTS = 1_500_000, 2_000_000
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -74,30 +76,36 @@ def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return T.mix(context * _PAIR[0] + T.mix(token ^ _PAIR[1]))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens, contexts) of slices, gathered to about CHUNK_TOKENS."""
-    held, size = [], 0
+    held: list[tuple] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        out = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        held.clear()
+        return out
+
     for batch in batches:
         for first, last in T.slices(batch.column("text")):
             token, context, _ = _tokens(batch.column("text").slice(first, last - first))
             held.append((token, context))
             size += len(token)
             if size >= CHUNK_TOKENS:
-                yield held
-                held, size = [], 0
+                yield joined()
+                size = 0
     if held:
-        yield held
+        yield joined()
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and pairs that have their share in a chunk, and the number of tokens (pair null, key null)."""
-    for held in _chunks(batches):
-        token = np.concatenate([h[0] for h in held])
-        context = np.concatenate([h[1] for h in held])
+    for token, context in _chunks(batches):
         out = []
-        for pair, values, share in ((False, token, WORD_SHARE), (True, _pair(context, token), PAIR_SHARE)):
-            codes, unique = pd.factorize(values)
+        for pair, share in ((False, WORD_SHARE), (True, PAIR_SHARE)):
+            codes, unique = pd.factorize(_pair(context, token) if pair else token)
             n = np.bincount(codes, minlength=len(unique))
+            del codes
             keep = n >= share * len(token)
             out.append((np.full(int(keep.sum()), pair), unique[keep].view(np.int64), n[keep]))
         pairs, keys, n = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -194,12 +202,40 @@ def _uncell(cell: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarra
     return cell >> 26, p((cell >> 13) & 8191), p(cell & 8191)
 
 
-def _events(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _packed(key: np.ndarray, x: np.ndarray, d: np.ndarray) -> bytes:
+    """Events sorted by key as bytes: the keys' differences, x and d, each laid out byte by byte of its value, then zstd."""
+    columns = np.stack([np.diff(key.view(np.uint64), prepend=np.uint64(0)), x.view(np.uint64), d.view(np.uint64)])
+    planes = columns.view(np.uint8).reshape(3, len(key), 8).transpose(0, 2, 1)
+    return np.int64(len(key)).tobytes() + pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data[:8], np.int64)[0])
+    planes = np.frombuffer(pa.decompress(data[8:], 24 * n, codec="zstd"), np.uint8).reshape(3, 8, n)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(3, n)
+    return np.cumsum(columns[0], dtype=np.uint64).view(np.int64), columns[1].view(np.int64), columns[2].view(np.int64)
+
+
+def _events(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
     """Occurrences that are not dense: (key, x, d). The key is the rare word (both indexes if none is); x holds the other side (an index, or 60 bits
-    of a rare context's hash), the kind and the fold."""
+    of a rare context's hash), the kind and the fold. Those of PACK_EVENTS or more are sorted and packed to a row for each bucket of keys."""
     f: Frequent = shared.value
+    held: list[tuple] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        key, x, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        bucket = (T.mix(key.view(np.uint64)) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+        order = np.lexsort((key.view(np.uint64), bucket))
+        bucket, key, x, d = bucket[order], key[order], x[order], d[order]
+        del order
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(key))
+        rows = [_packed(key[a:b], x[a:b], d[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+
     for batch in batches:
-        fold, d = batch.column("fold").to_numpy().astype(np.int64), batch.column("d").to_numpy()
+        fold, row_key = batch.column("fold").to_numpy().astype(np.int64), batch.column("d").to_numpy()
         for first, last in T.slices(batch.column("text")):
             token, context, row = _tokens(batch.column("text").slice(first, last - first))
             w, v, dense = f.place(token, context)
@@ -208,7 +244,13 @@ def _events(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             kind = np.where(w >= 0, np.where(v >= 0, _FREQUENT, _CONTEXT), np.where(v >= 0, _WORD, _BOTH))
             key = np.choose(kind, ((v << 32) | w, token, token, context))
             other = np.choose(kind, (np.zeros_like(v), v << 4, context & ~15, w << 4))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other | (kind << 2) | fold[row]), pa.array(d[row])], names=["key", "x", "d"])
+            held.append((key, other | (kind << 2) | fold[row], row_key[row]))
+            size += len(key)
+            if size >= PACK_EVENTS:
+                yield packed()
+                size = 0
+    if size:
+        yield packed()
 
 
 def _group(values: np.ndarray) -> np.ndarray:
@@ -257,7 +299,7 @@ def _estimates(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordB
     coarser cell; a row for each pair of rare words (v: the context), with its counts, those of its word and its events; a row for each rare word (v) with
     its counts; and the number of rare words of the training rows (n alone)."""
     model: Model = shared.value
-    parts = [(b.column("key").to_numpy(), b.column("x").to_numpy(), b.column("d").to_numpy()) for b in batches]
+    parts = [_unpacked(payload.as_py()) for b in batches for payload in b.column("payload")]
     if not parts:
         return
     all_keys, all_x, all_d = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -405,7 +447,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     counted = spark.sparkContext.broadcast(model)
     tokens, tokens_fit = int(model.tokens.sum()), int(model.tokens[FIT])
-    events = rows.select("text", "fold", "d").mapInArrow(lambda b: _events(b, shared), "key bigint, x bigint, d bigint").repartition("key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * FOLDS / (FOLDS - 1)) // TASK_EVENTS))
+    events = rows.select("text", "fold", "d").mapInArrow(lambda b: _events(b, shared, 8 * parts), "bucket bigint, payload binary").repartition(parts, "bucket")
     first = _freed(events.mapInArrow(lambda b: _estimates(b, counted), _EVENT_FIELDS), "events")
     again = first.where("v is not null").repartition("v").mapInArrow(lambda b: _rare_contexts(b, tokens, tokens_fit), _EVENT_FIELDS)
     events = first.where("v is null").select("cell", "c", "d", "gone", "n").union(_freed(again.select("cell", "c", "d", "gone", "n"), "context_events"))
