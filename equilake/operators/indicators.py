@@ -115,13 +115,24 @@ def previous_close(prices: DataFrame) -> DataFrame:
     )
 
 
-def cross_flag(a: str, b: str, direction: str, *keys: str) -> Column:
-    """True on bars where ``a`` moves from at-or-below to above ``b`` (``up``), or the reverse."""
+# Means from running sums that differ by less than this share are equal; means of prices in tenths of a cent differ by far more.
+SMA_ROUNDING = 1e-10
+
+
+def cross_flag(a: str, b: str, direction: str, *keys: str, rounding: float = 0.0) -> Column:
+    """True on bars where ``a`` moves from at-or-below to above ``b`` (``up``), or the reverse.
+
+    Values that differ by no more than the share ``rounding`` count as equal, so a tie does not hang on the order of a sum.
+    """
     w = by_date(*keys)
     pa, pb = F.lag(a).over(w), F.lag(b).over(w)
+
+    def above(x: Column, y: Column) -> Column:
+        return x - y > F.greatest(F.abs(x), F.abs(y)) * rounding if rounding else x > y
+
     if direction == "up":
-        return F.coalesce((pa <= pb) & (F.col(a) > F.col(b)), F.lit(False))
-    return F.coalesce((pa >= pb) & (F.col(a) < F.col(b)), F.lit(False))
+        return F.coalesce(~above(pa, pb) & above(F.col(a), F.col(b)), F.lit(False))
+    return F.coalesce(~above(pb, pa) & above(F.col(b), F.col(a)), F.lit(False))
 
 
 def with_age(df: DataFrame, *keys: str) -> DataFrame:
@@ -129,9 +140,9 @@ def with_age(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumn("age", F.row_number().over(Window.partitionBy(*(keys or ("symbol",))).orderBy(F.desc("trade_date"))))
 
 
-def last_crosses(df: DataFrame, a: str, b: str, lookback: int | None, *keys: str) -> DataFrame:
+def last_crosses(df: DataFrame, a: str, b: str, lookback: int | None, *keys: str, rounding: float = 0.0) -> DataFrame:
     """Newest up and down cross per symbol within ``lookback`` bars, and the later of the two (ties: up)."""
-    flags = with_age(df, *keys).withColumns({"_up": cross_flag(a, b, "up", *keys), "_down": cross_flag(a, b, "down", *keys)})
+    flags = with_age(df, *keys).withColumns({"_up": cross_flag(a, b, "up", *keys, rounding=rounding), "_down": cross_flag(a, b, "down", *keys, rounding=rounding)})
     recent = F.lit(True) if lookback is None else F.col("age") <= lookback
     out = flags.groupBy(*(keys or ("symbol",))).agg(
         F.max(F.when(recent & F.col("_up"), F.col("trade_date"))).alias("up_date"),

@@ -118,7 +118,8 @@ def sma_crossover(bars: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
     # Both means come from the last ``slow`` closes, so neither exists before that many bars.
     df = ind.with_sma(ind.with_bar_index(bars), "close", {"_f": fast, "_s": slow})
     df = df.withColumn("_f", F.when(F.col("bar_idx") >= slow, F.col("_f")))
-    return _flags(df, ind.cross_flag("_f", "_s", "up"), ind.cross_flag("_f", "_s", "down"), ("_f", "_s", "bar_idx"))
+    up, down = (ind.cross_flag("_f", "_s", d, rounding=ind.SMA_ROUNDING) for d in ("up", "down"))
+    return _flags(df, up, down, ("_f", "_s", "bar_idx"))
 
 
 def macd_crossover(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, above_zero_only: bool = False) -> DataFrame:

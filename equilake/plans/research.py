@@ -161,8 +161,8 @@ def technical_snapshot(prices: DataFrame, window: int = TECHNICAL_WINDOW) -> Dat
     df = ind.with_sma(df, "vol", {"avg_volume": 20})
     df = ind.with_drawdown(df, "px")
     df = df.withColumns({
-        "up_20_50": ind.cross_flag("sma20", "sma50", "up"), "down_20_50": ind.cross_flag("sma20", "sma50", "down"),
-        "up_50_200": ind.cross_flag("sma50", "sma200", "up"), "down_50_200": ind.cross_flag("sma50", "sma200", "down"),
+        "up_20_50": ind.cross_flag("sma20", "sma50", "up", rounding=ind.SMA_ROUNDING), "down_20_50": ind.cross_flag("sma20", "sma50", "down", rounding=ind.SMA_ROUNDING),
+        "up_50_200": ind.cross_flag("sma50", "sma200", "up", rounding=ind.SMA_ROUNDING), "down_50_200": ind.cross_flag("sma50", "sma200", "down", rounding=ind.SMA_ROUNDING),
         "up_macd": ind.cross_flag("macd_line", "macd_signal", "up"), "down_macd": ind.cross_flag("macd_line", "macd_signal", "down"),
         "peak_date": F.min("trade_date").over(Window.partitionBy("symbol", "peak")),
         "bar_no": F.col("bars") - F.col("age") + 1,

@@ -193,7 +193,7 @@ from (select symbol, max(case when age <= 60 and pf <= ps and f > s then trade_d
                   from {{daily_prices}}) a) b group by symbol) c""")
 def w12_crosses(wh):
     df = ind.with_sma(wh.daily_prices, "close", {"sma20": 20, "sma50": 50})
-    return ind.last_crosses(df, "sma20", "sma50", 60)
+    return ind.last_crosses(df, "sma20", "sma50", 60, rounding=ind.SMA_ROUNDING)
 
 
 @query("w13_zone_days", f"""
