@@ -3,7 +3,8 @@
 A long/flat strategy of fixed size needs no event loop. Entry is ignored while in a position and
 exit while flat, so the decided position is the last of entry and exit; orders fill at the next
 bar's open, so the held position is the decided one a bar later, and a fill is a change in it.
-All steps are windows over (symbol, run), which the exchange by symbol already satisfies.
+Rows of given signals take windows over (symbol, run). A grid takes windows over symbol with the runs' columns side by side,
+so the bars are sorted once whatever the number of runs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from equilake.operators import indicators as ind
 from equilake.operators.prefix import affine_scan, lag_scan, numbered, sum_scan
+from equilake.session import store
 
 RUN = ("symbol", "run_id")
 
@@ -189,15 +191,24 @@ def strategy_signals(bars: DataFrame, runs: Sequence[Run]) -> DataFrame:
     The signals of all runs are computed side by side over one exchange and sort of the bars and
     then unfolded, so a grid costs rows only where it needs them.
     """
+    return _unfolded(_side_by_side(bars, runs), bars.columns, runs, ["entry", "exit"])
+
+
+def _side_by_side(bars: DataFrame, runs: Sequence[Run]) -> DataFrame:
+    """The bars with ``entry{i}`` and ``exit{i}`` of the i-th run."""
     if len({r.run_id for r in runs}) != len(runs):
         raise BacktestError("run ids must be unique")
     df = bars
-    cells = []
     for i, run in enumerate(runs):
-        df = strategy(run.strategy)(df, **run.params).withColumnsRenamed({"entry": f"_e{i}", "exit": f"_x{i}"})
-        cells.append(F.struct(
-            F.lit(run.run_id).alias("run_id"), F.lit(run.size).alias("size"), F.col(f"_e{i}").alias("entry"), F.col(f"_x{i}").alias("exit")))
-    return df.select(*bars.columns, F.explode(F.array(*cells)).alias("r")).select(*bars.columns, "r.run_id", "r.size", "r.entry", "r.exit")
+        df = strategy(run.strategy)(df, **run.params).withColumnsRenamed({"entry": f"entry{i}", "exit": f"exit{i}"})
+    return df
+
+
+def _unfolded(wide: DataFrame, kept: Sequence[str], runs: Sequence[Run], columns: Sequence[str]) -> DataFrame:
+    """A row a bar and run: the ``kept`` columns, run_id, size and the run's own ``columns``."""
+    cells = [
+        F.struct(F.lit(run.run_id).alias("run_id"), F.lit(run.size).alias("size"), *[F.col(f"{c}{i}").alias(c) for c in columns]) for i, run in enumerate(runs)]
+    return wide.select(*kept, F.explode(F.array(*cells)).alias("r")).select(*kept, *[f"r.{c}" for c in ("run_id", "size", *columns)])
 
 
 # ----- positions, fills, equity ---------------------------------------------------------------
@@ -231,6 +242,86 @@ def equity_curve(positions: DataFrame, cash: float = 100_000.0) -> DataFrame:
     return df.withColumn("equity", F.col("cash") + F.col("market_value"))
 
 
+_POSITION = ("position", "fill_qty", "fill_price", "commission")
+ACCOUNT = ("market_value", "equity", "last_equity", "last_value")
+_CURVE = (*_POSITION, "market_value", "equity", "bar_no", "last_equity", "last_value", "ret", "peak", "drawdown")
+
+
+def grid_positions(bars: DataFrame, runs: Sequence[Run], fee: Fee | None = None, slippage: Slippage | None = None) -> DataFrame:
+    """``positions_from_signals`` of all runs: the windows of all runs share one sort of the bars, and rows are unfolded last."""
+    return _unfolded(_grid(bars, runs, fee, slippage), ("symbol", "trade_date"), runs, _POSITION)
+
+
+def grid_curves(
+    bars: DataFrame, runs: Sequence[Run], cash: float = 100_000.0, fee: Fee | None = None, slippage: Slippage | None = None, columns: Sequence[str] = _CURVE,
+) -> DataFrame:
+    """``equity_curve`` of all runs, with bar_no, ret, peak and drawdown of the curve and equity and market value of the bar before (null on the first).
+
+    A sort by (symbol, run) would hold a row a bar and run; here every window of every run works on the sorted bars, and the rows are unfolded
+    where they are combined. ``columns`` are those that are unfolded.
+    """
+    df = _grid(bars, runs, fee, slippage)
+    sofar, w, every = ind.running(), ind.by_date(), range(len(runs))
+    flow = {i: F.coalesce(F.col(f"fill_qty{i}") * F.col(f"fill_price{i}"), F.lit(0.0)) + F.col(f"commission{i}") for i in every}
+    df = df.withColumns({f"cash{i}": F.lit(cash) - F.sum(flow[i]).over(sofar) for i in every})
+    df = df.withColumns({f"market_value{i}": F.col(f"position{i}") * F.col("close") for i in every})
+    df = df.withColumns({f"equity{i}": F.col(f"cash{i}") + F.col(f"market_value{i}") for i in every})
+    made: dict[str, Column] = {}
+    for i in every:
+        made |= {
+            f"last_equity{i}": F.lag(f"equity{i}").over(w), f"last_value{i}": F.lag(f"market_value{i}").over(w), f"peak{i}": F.max(f"equity{i}").over(sofar),
+            f"bar_no{i}": F.row_number().over(w)}
+    df = df.withColumns(made)
+    made = {}
+    for i in every:
+        equity, peak = F.col(f"equity{i}"), F.col(f"peak{i}")
+        made |= {f"ret{i}": F.try_divide(equity, f"last_equity{i}") - 1, f"drawdown{i}": F.try_divide(equity - peak, peak)}
+    return _unfolded(df.withColumns(made), ("symbol", "trade_date"), runs, columns)
+
+
+def _grid(bars: DataFrame, runs: Sequence[Run], fee: Fee | None, slippage: Slippage | None) -> DataFrame:
+    """The bars with position, fill, price and commission of every run side by side; see ``positions_from_signals``."""
+    fee, slippage = fee or fee_per_share(), slippage or slippage_fixed()
+    w, every = ind.by_date(), range(len(runs))
+    df = _side_by_side(bars, runs)
+    decided = {f"_d{i}": F.last(F.when(F.col(f"entry{i}"), 1).when(F.col(f"exit{i}"), 0), ignorenulls=True).over(ind.running()) for i in every}
+    df = df.withColumns(decided)
+    held = lambda i, n: F.coalesce(F.lag(f"_d{i}", n).over(w), F.lit(0)) * F.lit(runs[i].size)
+    moves: dict[str, Column] = {}
+    for i in every:
+        moves |= {f"position{i}": held(i, 1), f"_from{i}": held(i, 2)}
+    df = df.withColumns(moves).withColumns({f"fill_qty{i}": F.col(f"position{i}") - F.col(f"_from{i}") for i in every})
+    for made in ("fill_price", "commission"):
+        columns: dict[str, Column] = {}
+        for i in every:
+            moved = F.col(f"fill_qty{i}")
+            quantity = F.abs(moved).cast("double")
+            if made == "fill_price":
+                columns[f"fill_price{i}"] = F.when(moved != 0, slippage(F.col("open"), F.signum(moved.cast("double")), quantity, F.col("volume")))
+            else:
+                columns[f"commission{i}"] = F.when(moved != 0, fee(F.col(f"fill_price{i}"), quantity)).otherwise(0.0)
+        df = df.withColumns(columns)
+    return df
+
+
+def account_days(curves: DataFrame, keys: Sequence[str] = ("run_id",), cash: float = 100_000.0, one_account: bool = False) -> DataFrame:
+    """``portfolio_curve`` and ``exposure_turnover`` of the rows of ``grid_curves`` in one pass: keys, trade_date, equity, long_exposure, short_exposure, turnover."""
+    steps = F.sum(F.col("equity") - F.coalesce("last_equity", F.lit(cash)))
+    value, last = F.col("market_value"), F.coalesce("last_value", F.lit(0.0))
+    long_, short = (lambda x: F.greatest(x, F.lit(0.0))), (lambda x: F.least(x, F.lit(0.0)))
+    days = curves.groupBy(*keys, "trade_date").agg(
+        steps.alias("_step"), F.count_if(F.col("last_equity").isNull()).alias("_first"), F.sum(long_(value) - long_(last)).alias("_long"),
+        F.sum(short(value) - short(last)).alias("_short"), F.sum(F.abs(value - last)).alias("_moved"))
+    every = Window.partitionBy(*keys)
+    sofar = every.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.lit(cash) if one_account else F.sum("_first").over(every) * F.lit(cash)
+    out = days.withColumns({"equity": start + F.sum("_step").over(sofar), "_long": F.sum("_long").over(sofar), "_short": F.sum("_short").over(sofar)})
+    positive = F.when(F.col("equity") > 0, F.col("equity"))
+    return out.select(
+        *keys, "trade_date", "equity", (F.col("_long") / positive).alias("long_exposure"), (F.col("_short") / positive).alias("short_exposure"),
+        (F.col("_moved") / (positive * 2)).alias("turnover"))
+
+
 def portfolio_curve(equity: DataFrame, keys: Sequence[str] = ("run_id",), cash: float = 100_000.0, one_account: bool = False) -> DataFrame:
     """keys, trade_date, equity of all symbols of a run together: an account of ``cash`` for each symbol, or ``one_account`` of ``cash`` for all.
 
@@ -238,7 +329,7 @@ def portfolio_curve(equity: DataFrame, keys: Sequence[str] = ("run_id",), cash:
     all changes up to the date, so nothing is filled in: a row a bar is combined by date, then summed along the calendar.
     """
     w = Window.partitionBy(*keys, "symbol").orderBy("trade_date")
-    before = F.lag("equity").over(w)
+    before = F.col("last_equity") if "last_equity" in equity.columns else F.lag("equity").over(w)
     steps = equity.select(*keys, "trade_date", (F.col("equity") - F.coalesce(before, F.lit(cash))).alias("_step"), before.isNull().cast("bigint").alias("_first"))
     days = steps.groupBy(*keys, "trade_date").agg(F.sum("_step").alias("_step"), F.sum("_first").alias("_first"))
     every = Window.partitionBy(*keys)
@@ -331,10 +422,13 @@ def run_backtests(
     """Equity, trades and metrics of every (symbol, run). ``benchmark`` has trade_date and close."""
     from equilake.plans import metrics
 
-    positions = positions_from_signals(strategy_signals(bars, runs), fee, slippage)
-    equity = equity_curve(positions, cash)
+    positions = grid_positions(bars, runs, fee, slippage)
+    equity = grid_curves(bars, runs, cash, fee, slippage)
     trades = round_trips(positions)
-    perf = metrics.performance_metrics(equity, RUN, risk_free)
+    # A long/flat run closes one trip with each selling fill.
+    sold = F.when(F.col("fill_qty") < 0, F.col("trade_date"))
+    curves = grid_curves(bars, runs, cash, fee, slippage, (*metrics.CURVE, "fill_qty"))
+    perf = metrics.performance_metrics(curves, RUN, risk_free, {"last_exit": F.max(sold), "closed_trades": F.count(sold)})
     if benchmark is not None:
         perf = perf.join(metrics.relative_metrics(equity, benchmark, RUN, risk_free), list(RUN), "left")
     return {"positions": positions, "equity": equity, "trades": trades, "metrics": perf, "trade_summary": metrics.trade_summary(trades, RUN)}
@@ -349,14 +443,13 @@ def run_accounts(
     """
     from equilake.plans import metrics
 
-    positions = positions_from_signals(strategy_signals(bars, runs), fee, slippage)
-    single = equity_curve(positions, cash)
-    equity = portfolio_curve(single, ("run_id",), cash, one_account=True)
-    trades = round_trips(positions)
+    days = store(account_days(grid_curves(bars, runs, cash, fee, slippage, ACCOUNT), ("run_id",), cash, one_account=True), "account")
+    equity = days.select("run_id", "trade_date", "equity")
+    trades = round_trips(grid_positions(bars, runs, fee, slippage))
     perf = metrics.performance_metrics(equity, ("run_id",), risk_free)
     if benchmark is not None:
         perf = perf.join(metrics.relative_metrics(equity, benchmark, ("run_id",), risk_free), "run_id", "left")
-    exposure = metrics.exposure_turnover(single.select("run_id", "symbol", "trade_date", "market_value"), equity, ["run_id"])
+    exposure = days.filter("equity > 0").drop("equity")
     return {"equity": equity, "exposure": exposure, "trades": trades, "metrics": perf, "trade_summary": metrics.trade_summary(trades, ("run_id",))}
 
 

@@ -52,14 +52,24 @@ def _or_zero(condition: Column, value: Column) -> Column:
     return F.when(condition, value).otherwise(F.lit(0.0))
 
 
-def performance_metrics(equity: DataFrame, keys: Sequence[str], risk_free: float = 0.0) -> DataFrame:
+CURVE = ("equity", "bar_no", "ret", "peak", "drawdown")
+
+
+def with_curve(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The returns and drawdown of a curve, unless it brings them (``grid_curves``)."""
+    if {"ret", "bar_no", "drawdown"} <= set(equity.columns):
+        return equity
+    return ind.with_drawdown(with_returns(equity, keys), "equity", *keys)
+
+
+def performance_metrics(equity: DataFrame, keys: Sequence[str], risk_free: float = 0.0, extra: dict[str, Column] | None = None) -> DataFrame:
     """Returns, drawdown, Sharpe, Sortino, Calmar, PSR, expectancy; population deviations throughout.
 
-    Runs with fewer than two points give no row.
+    Runs with fewer than two points give no row. ``extra``: more aggregates of the curve's rows.
     """
     daily_rf = (1 + risk_free) ** (1 / YEAR) - 1
-    df = with_returns(equity, keys)
-    df = ind.with_drawdown(df, "equity", *keys)
+    df = with_curve(equity, keys)
+    extra = extra or {}
     below = F.when(F.col("ret") < daily_rf, F.col("ret") - daily_rf)
     agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_points"), F.count("ret").alias("_n"), F.min_by("equity", "trade_date").alias("initial_equity"),
@@ -67,6 +77,7 @@ def performance_metrics(equity: DataFrame, keys: Sequence[str], risk_free: float
         F.min("drawdown").alias("max_drawdown"), F.avg("ret").alias("_mean"), F.stddev_pop("ret").alias("_sd"), F.count(below).alias("_down_n"),
         F.stddev_pop(below).alias("_down_sd"), F.count_if(F.col("ret") > 0).alias("_wins"), F.avg(F.when(F.col("ret") > 0, F.col("ret"))).alias("_avg_win"),
         F.avg(F.when(F.col("ret") < 0, F.col("ret"))).alias("_avg_loss"), F.skewness("ret").alias("_skew"), F.kurtosis("ret").alias("_kurt"),
+        *[c.alias(n) for n, c in extra.items()],
     ).filter("_points >= 2")
     growth = F.try_divide("final_equity", "initial_equity")
     annual = F.when(F.col("_days") <= 0, 0.0).when(growth > 0, F.pow(growth, F.try_divide(F.lit(365.0), F.col("_days").cast("double"))) - 1).otherwise(-1.0)
@@ -86,7 +97,7 @@ def performance_metrics(equity: DataFrame, keys: Sequence[str], risk_free: float
     out = out.withColumn("psr", F.coalesce(normal_cdf(F.col("psr_score")), F.lit(0.0)))
     return out.select(
         *keys, "total_return", "cagr", "max_drawdown", "sharpe", "sortino", "calmar", "psr_score", "psr", "expectancy", "win_rate",
-        F.col("_n").alias("trading_days"), "initial_equity", "final_equity", "volatility")
+        F.col("_n").alias("trading_days"), "initial_equity", "final_equity", "volatility", *extra)
 
 
 def relative_metrics(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str], risk_free: float = 0.0) -> DataFrame:
@@ -101,14 +112,14 @@ def relative_metrics(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str
     bench = benchmark.groupBy("trade_date").agg(one.cast("double").alias("b")).withColumns({
         "bar_no": F.row_number().over(w), "bret": F.try_divide("b", F.lag("b").over(w)) - 1})
     ends = bench.agg(F.min_by("b", "trade_date").alias("b0"), F.max_by("b", "trade_date").alias("b1"))
-    df = with_returns(equity, keys)
-    whole = df.groupBy(*keys).agg(
-        F.min_by("equity", "trade_date").alias("e0"), F.max_by("equity", "trade_date").alias("e1"), F.datediff(F.max("trade_date"), F.min("trade_date")).alias("days"))
-    paired = df.join(F.broadcast(bench.select("bar_no", "bret")), "bar_no").filter("ret is not null and bret is not null")
-    gap = F.col("ret") - F.col("bret")
-    stats = paired.groupBy(*keys).agg(
-        F.covar_samp("ret", "bret").alias("cov"), F.var_samp("bret").alias("var"), F.avg(gap).alias("gap"), F.stddev_pop(gap).alias("gap_sd"))
-    out = stats.join(whole, list(keys)).join(F.broadcast(ends))
+    df = with_curve(equity, keys).join(F.broadcast(bench.select("bar_no", "bret")), "bar_no", "left")
+    # One pass: the curve's ends from all rows, the rest from those with both returns.
+    both = F.col("ret").isNotNull() & F.col("bret").isNotNull()
+    ret, bret, gap = F.when(both, F.col("ret")), F.when(both, F.col("bret")), F.when(both, F.col("ret") - F.col("bret"))
+    out = df.groupBy(*keys).agg(
+        F.min_by("equity", "trade_date").alias("e0"), F.max_by("equity", "trade_date").alias("e1"), F.datediff(F.max("trade_date"), F.min("trade_date")).alias("days"),
+        F.count(gap).alias("_both"), F.covar_samp(ret, bret).alias("cov"), F.var_samp(bret).alias("var"), F.avg(gap).alias("gap"), F.stddev_pop(gap).alias("gap_sd"),
+    ).filter("_both > 0").join(F.broadcast(ends))
     growth = F.try_divide("e1", "e0")
     annual = F.when(F.col("days") <= 0, 0.0).when(growth > 0, F.pow(growth, F.try_divide(F.lit(365.0), F.col("days").cast("double"))) - 1).otherwise(-1.0)
     out = out.withColumns({

@@ -312,6 +312,13 @@ def drawdown_breaker(equity: DataFrame, keys: Sequence[str], limit: float = 0.20
     return df.withColumn("tripped", F.max(F.coalesce(F.col("drawdown") >= limit, F.lit(False))).over(w))
 
 
+def tripped_on(curves: DataFrame, keys: Sequence[str], limit: float = 0.20) -> DataFrame:
+    """The first date on which the breaker has tripped, for the keys where it has; ``curves`` bring the running peak of their equity."""
+    peak = F.greatest("peak", F.lit(0.0))
+    fallen = F.when(peak > 0, safe_div(peak - F.col("equity"), peak)) >= limit
+    return curves.filter(fallen).groupBy(*keys).agg(F.min("trade_date").alias("tripped_on"))
+
+
 def liquidation_orders(breaker: DataFrame, positions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Closing orders for everything held on the first tripped date of each key."""
     first = breaker.filter("tripped").groupBy(*keys).agg(F.min("trade_date").alias("trade_date"))

@@ -31,3 +31,31 @@ def test_equal_means_do_not_cross(spark):
     means = ind.with_sma(df, "close", {"f": 2, "s": 4})
     crosses = ind.last_crosses(means, "f", "s", 100, rounding=ind.SMA_ROUNDING).first()
     assert crosses.up_date is None and crosses.down_date is None
+
+
+@pytest.fixture(scope="module")
+def prices(spark):
+    return bars(spark, walk("a", 120)).unionByName(bars(spark, walk("b", 90), "B").filter("day(trade_date) <> 7")).cache()
+
+
+def test_runs_side_by_side_equal_single_curves(spark, prices):
+    want = metrics.with_returns(bt.equity_curve(bt.positions_from_signals(bt.strategy_signals(prices, RUNS))), bt.RUN)
+    want = ind.with_drawdown(want, "equity", *bt.RUN)
+    columns = ["symbol", "run_id", "trade_date", "size", "position", "fill_qty", "fill_price", "commission", "market_value", "equity", "bar_no", "ret", "peak", "drawdown"]
+    got = bt.grid_curves(prices, RUNS)
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert "run_id" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in x)
+
+
+def test_days_of_accounts_in_one_pass(spark, prices):
+    single = bt.equity_curve(bt.positions_from_signals(bt.strategy_signals(prices, RUNS)))
+    curve = bt.portfolio_curve(single)
+    want = metrics.exposure_turnover(single.select("run_id", "symbol", "trade_date", "market_value"), curve, ["run_id"]).join(curve, ["run_id", "trade_date"])
+    key = lambda r: (r.run_id, r.trade_date)
+    got = bt.account_days(bt.grid_curves(prices, RUNS, columns=bt.ACCOUNT))
+    pairs = list(zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True))
+    for c in ("equity", "long_exposure", "short_exposure", "turnover"):
+        assert [a[c] for a, _ in pairs] == pytest.approx([b[c] for _, b in pairs], abs=1e-9)
+    trips = orders.drawdown_breaker(single, bt.RUN, 0.002).filter("tripped").groupBy(*bt.RUN).agg(F.min("trade_date").alias("d"))
+    got = {(r.symbol, r.run_id): r.tripped_on for r in orders.tripped_on(bt.grid_curves(prices, RUNS, columns=("equity", "peak")), bt.RUN, 0.002).collect()}
+    assert got and got == {(r.symbol, r.run_id): r.d for r in trips.collect()}
