@@ -269,11 +269,11 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     """Paths (doc, place, n windows, src, src_place) of docs (doc_id, text, variant): the windows that an earlier document holds."""
     named = docs.where("doc_id is not null")
     asks = named.select("doc_id", "text").mapInArrow(_anchors, "a bigint, doc bigint, role bigint")
-    # What is known already is only passed on, so it may go anywhere: not to one task for a long document.
-    asks = asks.repartition(F.when(F.col("role") == KNOWN, F.xxhash64("doc", "a")).otherwise(F.col("a"))).sortWithinPartitions("a", "doc")
+    # What is known already is only passed on. It goes by document, a document's rows side by side: dealt out singly they fill far more of the disk.
+    asks = asks.repartition(F.when(F.col("role") == KNOWN, F.col("doc")).otherwise(F.col("a"))).sortWithinPartitions("a", "doc")
     anchors = store(asks.mapInArrow(_repeated, "doc bigint, a bigint").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("a").alias("anchors")), "anchors")
     edges = named.join(anchors, "doc_id").select("doc_id", "variant", "text", "anchors").mapInArrow(_edges, _EDGES)
-    edges = edges.repartition(F.when(F.col("n") > 0, F.xxhash64("doc", "place")).otherwise(F.col("e"))).sortWithinPartitions("e", "doc", "place")
+    edges = edges.repartition(F.when(F.col("n") > 0, F.col("doc")).otherwise(F.col("e"))).sortWithinPartitions("e", "doc", "place")
     found = edges.mapInArrow(_sources, _PATHS)
     return found.repartition("doc").sortWithinPartitions("doc", "place").mapInArrow(_compacted, _PATHS)
 
