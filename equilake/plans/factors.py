@@ -14,7 +14,7 @@ from equilake.functions.scalars import safe_div
 from equilake.operators.asof import HORIZON_DAYS, asof_price, asof_value, known_value
 from equilake.operators.indicators import with_price_factors
 from equilake.operators.ranks import rank_correlation, with_quantile_bucket
-from equilake.session import store
+from equilake.session import spread, store
 from equilake.sources.bars import price_series, rebalance_dates
 
 
@@ -69,10 +69,10 @@ def universe_dates(universe: DataFrame, dates: DataFrame) -> DataFrame:
     """Every symbol on every rebalance date, so a missing value stays a row.
 
     The dates (a few hundred) are gathered into one array that rides on each symbol row: one
-    expansion per symbol, no join of two unbounded sides.
+    expansion per symbol, no join of two unbounded sides. The symbols are spread over all tasks first.
     """
     calendar = dates.agg(F.collect_set("rebalance_date").alias("_dates"))
-    members = universe.select("symbol").distinct()
+    members = spread(universe.select("symbol").distinct(), "symbol")
     return members.join(F.broadcast(calendar)).select("symbol", F.explode("_dates").alias("rebalance_date"))
 
 

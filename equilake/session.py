@@ -67,6 +67,11 @@ def one_machine(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by ``keys`` over all shuffle partitions. Before rows are multiplied: by its size alone a short table would be merged into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a wide table once to the shared folder and read it back as Parquet, so that readers
     still prune columns."""

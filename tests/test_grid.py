@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from equilake.operators import indicators as ind
 from equilake.plans import backtest as bt
-from equilake.plans import metrics, orders
+from equilake.plans import factors, metrics, orders
 from test_operators import bars
 
 RUNS = [bt.Run("sma", "sma_crossover", {"fast": 3, "slow": 8}), bt.Run("rsi", "rsi_reversion", {"period": 5}, size=70), bt.Run("hold", "buy_and_hold")]
@@ -59,3 +59,11 @@ def test_days_of_accounts_in_one_pass(spark, prices):
     trips = orders.drawdown_breaker(single, bt.RUN, 0.002).filter("tripped").groupBy(*bt.RUN).agg(F.min("trade_date").alias("d"))
     got = {(r.symbol, r.run_id): r.tripped_on for r in orders.tripped_on(bt.grid_curves(prices, RUNS, columns=("equity", "peak")), bt.RUN, 0.002).collect()}
     assert got and got == {(r.symbol, r.run_id): r.d for r in trips.collect()}
+
+
+def test_symbols_are_spread_before_dates_multiply_them(spark):
+    symbols = spark.range(200).select(F.format_string("S%d", "id").alias("symbol"))
+    dates = spark.range(50).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("rebalance_date"))
+    tasks = factors.universe_dates(symbols, dates).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in tasks) == 10_000
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 5_000
