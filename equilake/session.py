@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sorted dates and repeated keys take up to 40 times the room in a task that they take in a shuffle, and small shuffle partitions
+    # can be merged later but large ones not be cut: many, merged up to a size that leaves room for several sorts in a task.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # A hot group is split during the shuffle read of AQE-inserted rebalances too.
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

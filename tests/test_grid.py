@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equilake.operators import indicators as ind
 from equilake.plans import backtest as bt
 from equilake.plans import factors, metrics, orders
+from equilake.session import pin_session
 from test_operators import bars
 
 RUNS = [bt.Run("sma", "sma_crossover", {"fast": 3, "slow": 8}), bt.Run("rsi", "rsi_reversion", {"period": 5}, size=70), bt.Run("hold", "buy_and_hold")]
@@ -67,3 +68,11 @@ def test_symbols_are_spread_before_dates_multiply_them(spark):
     tasks = factors.universe_dates(symbols, dates).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in tasks) == 10_000
     assert len(tasks) == 4 and max(r["count"] for r in tasks) < 5_000
+
+
+def test_partitions_are_many_and_merged_to_a_small_size(spark):
+    pin_session(spark)
+    # 3 million short rows: well below the usual 64 MB in a shuffle, far more than one task should sort.
+    dealt = spark.range(3_000_000).select("id", F.concat(F.lit("account "), (F.col("id") % 7).cast("string")).alias("k")).repartition("id")
+    assert dealt.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] <= 3_000_000 / 2
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 400
