@@ -7,6 +7,7 @@ only the peer medians need another aggregation.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -38,6 +39,34 @@ class ValuationError(ValueError):
     """Unknown model or assumption."""
 
 
+# ----- powers ---------------------------------------------------------------------------------
+
+
+def _power(x: float, y: float) -> float:
+    if math.isnan(x) or math.isnan(y):
+        return math.nan
+    try:
+        return math.pow(x, y)
+    except (OverflowError, ValueError):
+        with np.errstate(all="ignore"):
+            return float(np.float64(x) ** np.float64(y))
+
+
+@F.pandas_udf(T.DoubleType())
+def power(x: pd.Series, y: pd.Series) -> pd.Series:
+    """x to the y by the C library, whose last bit is right but for very rare cases.
+
+    The JVM's power is off in its last bit in about 7 of 100 cases, and values of 1e10 and more show that bit in their cents.
+    """
+    return pd.Series([_power(a, b) for a, b in zip(x, y)], dtype="float64")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def powers(x: pd.Series, n: pd.Series) -> pd.Series:
+    """x to the 1, 2 ... n; see ``power``."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) else [_power(a, float(t)) for t in range(1, int(b) + 1)] for a, b in zip(x, n)], dtype="object")
+
+
 # ----- inputs ---------------------------------------------------------------------------------
 
 
@@ -66,7 +95,7 @@ def fcf_cagr(history: Column | str = "history", floor: float = -0.10, cap: float
     h = col(history)
     first, last = F.try_element_at(h, F.lit(1)), F.try_element_at(h, F.lit(-1))
     usable = (F.size(h) >= 2) & (first > 0) & (last > 0)
-    growth = F.pow(safe_div(last, first), safe_div(F.lit(1.0), (F.size(h) - 1).cast("double"))) - 1
+    growth = power(safe_div(last, first), safe_div(F.lit(1.0), (F.size(h) - 1).cast("double"))) - 1
     return F.when(usable, F.greatest(F.lit(floor), F.least(F.lit(cap), growth)))
 
 
@@ -78,7 +107,7 @@ def forward_eps_growth(estimates: DataFrame, as_of: dt.date, n: int = 3) -> Data
         F.count(F.lit(1)).alias("n"), F.min_by("eps_avg", "fiscal_date").alias("e0"), F.max_by("eps_avg", "fiscal_date").alias("e1"),
         F.datediff(F.max("fiscal_date"), F.min("fiscal_date")).alias("days"))
     usable = (F.col("n") >= 2) & (F.col("e0") > 0) & (F.col("e1") > 0) & (F.col("days") > 0)
-    growth = F.pow(safe_div("e1", "e0"), safe_div(F.lit(365.25), F.col("days").cast("double"))) - 1
+    growth = power(safe_div("e1", "e0"), safe_div(F.lit(365.25), F.col("days").cast("double"))) - 1
     return ends.select("symbol", F.when(usable, growth).alias("forward_growth"))
 
 
@@ -88,7 +117,7 @@ def earnings_growth(income: DataFrame, n: int = 5) -> DataFrame:
     ends = rows.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("net_income", "fiscal_date").alias("e0"), F.max_by("net_income", "fiscal_date").alias("e1"))
     usable = (F.col("n") >= 2) & (F.col("e0") > 0) & (F.col("e1") > 0)
-    growth = F.pow(safe_div("e1", "e0"), safe_div(F.lit(1.0), (F.col("n") - 1).cast("double"))) - 1
+    growth = power(safe_div("e1", "e0"), safe_div(F.lit(1.0), (F.col("n") - 1).cast("double"))) - 1
     return ends.select("symbol", F.when(usable, growth).alias("earnings_growth"))
 
 
@@ -184,11 +213,11 @@ def with_assumptions(inputs: DataFrame, overrides: DataFrame | None = None) -> D
 def dcf(base, growth, terminal, rate, years, debt, shares) -> Column:
     """Struct of the growing-perpetuity DCF; NULL when undefined (no positive base, rate <= terminal growth)."""
     base, growth, terminal, rate, years, debt, shares = map(col, (base, growth, terminal, rate, years, debt, shares))
-    ages = F.sequence(F.lit(1), years)
-    flows = F.transform(ages, lambda t: base * F.pow(1 + growth, t))
-    present = F.transform(ages, lambda t: base * F.pow(1 + growth, t) / F.pow(1 + rate, t))
-    end = safe_div(base * F.pow(1 + growth, years) * (1 + terminal), rate - terminal)
-    end_pv = end / F.pow(1 + rate, years)
+    grown, discount = powers(1 + growth, years), powers(1 + rate, years)
+    flows = F.transform(grown, lambda p: base * p)
+    present = F.zip_with(grown, discount, lambda p, q: base * p / q)
+    end = safe_div(base * F.try_element_at(grown, F.lit(-1)) * (1 + terminal), rate - terminal)
+    end_pv = end / F.try_element_at(discount, F.lit(-1))
     value = F.aggregate(present, F.lit(0.0), lambda a, x: a + x) + end_pv
     equity = value - debt
     per_share = F.when(shares > 0, safe_div(equity, shares))
