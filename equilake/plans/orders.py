@@ -5,7 +5,7 @@ order with every later bar. Orders go down a pyramid of extremes: a row a symbol
 its months, a row a month that holds its bars. On each level the order's own unit and the first later one that can hold the answer are
 opened, so an order meets one row, then two, then two or three, whatever the length of the history. Only a stop-limit order opens every unit that spans both
 its prices, since the two may be met on different days. Nothing is cut off: an order that fills years later is still found.
-Stops are decided on monthly extremes in the same spirit.
+Stops meet their symbol's whole history in one join and walk along its months in the same spirit.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from equilake.functions.scalars import safe_div
 from equilake.plans.backtest import Fee, Slippage, fee_per_share, slippage_fixed
+from equilake.session import store
 
 LONG, SHORT = "LONG", "SHORT"
 
@@ -85,6 +86,18 @@ def match_orders(orders: DataFrame, bars: DataFrame, fee: Fee | None = None, sli
     return out.withColumn("commission", F.when(filled, fee(F.col("fill_price"), quantity))).drop("bar")
 
 
+def _histories(bars: DataFrame) -> DataFrame:
+    """A row a symbol: its ``months`` in order, each with its high, low and ``bars`` in order. Stored, so that it meets positions in a plain join that AQE may split."""
+    priced = bars.select("symbol", _block("trade_date").alias("block"), "trade_date", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
+    # By symbol from the start: both groupings work on that one exchange.
+    months = priced.repartition("symbol").groupBy("symbol", "block").agg(
+        F.max("high").alias("high"), F.min("low").alias("low"), F.sort_array(F.collect_list(F.struct("trade_date", "high", "low"))).alias("bars"))
+    return store(months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "high", "low", "bars"))).alias("months")), "histories")
+
+
+_HIT = "struct<trade_date:date,reason:string,level:double>"
+
+
 def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     """First bar after entry on which a stop or target is touched, and the order it submits.
 
@@ -92,97 +105,68 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     take_profit, trail_pct, trail_points, entry_price (start of the trailing extreme; may be NULL).
     A stop wins over a target on one bar; the trailing extreme is moved by the bar before the
     test. The hit submits a STOP or LIMIT order; filling it is ``match_orders`` on a later bar.
+
+    A position meets its symbol's history in one join and walks along the months, carrying the best price so far. The bars of a
+    month are looked at only where its extremes could touch a level, and nothing after the hit.
     """
     names = set(positions.columns)
-    df = positions.withColumns({
-        c: F.col(c).cast("double") if c in names else F.lit(None).cast("double") for c in ("stop_loss", "take_profit", "trail_pct", "trail_points", "entry_price")})
-    df = df.withColumn("own", _block("entry_date"))
+    levels = ("stop_loss", "take_profit", "trail_pct", "trail_points", "entry_price")
+    df = positions.withColumns({f"_{c}": F.col(c).cast("double") if c in names else F.lit(None).cast("double") for c in levels})
+    stop_loss, take_profit, trail_pct, trail_points, entry_price = (F.col(f"_{c}") for c in levels)
     up = F.when(_is_long(), F.lit(1.0)).otherwise(F.lit(-1.0))
-    # Shorts are longs on mirrored prices: with p -> -p highs and lows change places.
-    priced = bars.select("symbol", "trade_date", "high", "low", _block("trade_date").alias("block"))
-    months = _month_extremes(priced)
+    own = _block("entry_date")
+    trailing = trail_pct.isNotNull() | trail_points.isNotNull()
+
+    # Shorts are longs on mirrored prices: the best price is the low. Signed prices rise with what is better.
+    def best(x: Column) -> Column:
+        return F.when(_is_long(), x["high"]).otherwise(x["low"])
 
-    trailing = F.col("trail_pct").isNotNull() | F.col("trail_points").isNotNull()
-    best, worst = F.when(_is_long(), F.col("high")).otherwise(F.col("low")), F.when(_is_long(), F.col("low")).otherwise(F.col("high"))
+    def worst(x: Column) -> Column:
+        return F.when(_is_long(), x["low"]).otherwise(x["high"])
 
-    def beyond(level: Column, price: Column) -> Column:
+    def touched(level: Column, price: Column) -> Column:
         """The adverse price has reached the level."""
         return F.coalesce(up * price <= up * level, F.lit(False))
 
-    def trail_level(extreme: Column) -> Column:
-        by_pct = extreme * (1 - up * F.col("trail_pct"))
-        return F.when(F.col("trail_pct").isNotNull(), by_pct).otherwise(extreme - up * F.col("trail_points"))
-
-    start = F.when(F.col("entry_price") > 0, F.col("entry_price"))
-
-    # The own month bar by bar.
-    w = Window.partitionBy("position_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    key = ["position_id", "symbol", "entry_date", "direction", "stop_loss", "take_profit", "trail_pct", "trail_points", "entry_price", "own"]
-
-    def extreme_of(value: Column, carried: Column) -> Column:
-        """Running best price including what was carried in."""
-        signed = F.max(up * value).over(w)
-        return up * F.greatest(signed, up * carried)
-
-    def test(scan: DataFrame, carried: Column) -> DataFrame:
-        scan = scan.withColumn("trail_stop", F.when(trailing, trail_level(extreme_of(best, carried))))
-        stop = beyond(F.col("stop_loss"), worst)
-        target = F.coalesce(up * best >= up * F.col("take_profit"), F.lit(False))
-        trail = beyond(F.col("trail_stop"), worst)
-        reason = F.when(stop, "stop_loss").when(target, "take_profit").when(trail, "trailing")
-        price = F.when(stop, F.col("stop_loss")).when(target, F.col("take_profit")).when(trail, F.col("trail_stop"))
-        found = scan.withColumns({"reason": reason, "level": price}).filter("reason is not null")
-        return found.groupBy("position_id").agg(F.min_by(F.struct("trade_date", "reason", "level"), "trade_date").alias("hit"))
-
-    own_scan = df.select(*key).join(priced.withColumnRenamed("block", "own"), ["symbol", "own"]).filter("trade_date > entry_date")
-    own_hit = test(own_scan, start)
-    own_best = own_scan.groupBy("position_id").agg(F.max(up * best).alias("own_best"))
-
-    # Later months from their extremes, carrying the best price so far.
-    open_ = df.select(*key).join(own_hit.select("position_id"), "position_id", "left_anti").join(own_best, "position_id", "left")
-    carried0 = F.greatest(F.col("own_best"), up * start)
-    months_w = Window.partitionBy("position_id").orderBy("block")
-    later = open_.withColumn("carried0", carried0).join(months, "symbol").filter("block > own")
-    month_best = F.when(_is_long(), F.col("m_high")).otherwise(F.col("m_low"))
-    month_worst = F.when(_is_long(), F.col("m_low")).otherwise(F.col("m_high"))
-    before = F.max(up * month_best).over(months_w.rowsBetween(Window.unboundedPreceding, -1))
-    later = later.withColumn("carried", up * F.greatest(before, F.col("carried0")))
-    drop_pct = F.when(_is_long(), F.col("fall_pct")).otherwise(F.col("rise_pct"))
-    drop_pts = F.when(_is_long(), F.col("fall_pts")).otherwise(F.col("rise_pts"))
-
-    def inside(slack: float) -> Column:
-        """The fall inside the month reaches the trail, give or take a rounding."""
-        by_pct = drop_pct >= F.col("trail_pct") + slack
-        return F.coalesce(trailing & F.when(F.col("trail_pct").isNotNull(), by_pct).otherwise(drop_pts >= F.col("trail_points") + slack * F.greatest(F.abs(month_best), F.lit(1.0))), F.lit(False))
-
-    # A month is certain to hold a hit, or near enough to look at its bars. Every near month up to the first
-    # certain one is looked at, and the earliest bar that passes the one test of a bar counts.
-    certain = (
-        beyond(F.col("stop_loss"), month_worst) | F.coalesce(up * month_best >= up * F.col("take_profit"), F.lit(False))
-        | F.coalesce(trailing & beyond(trail_level(F.col("carried")), month_worst), F.lit(False)) | inside(1e-9))
-    near = later.withColumns({"certain": certain, "near": certain | inside(-1e-9)}).filter("near")
-    sure = near.filter("certain").groupBy("position_id").agg(F.min("block").alias("first_certain"))
-    candidate = near.join(sure, "position_id", "left").filter("block <= coalesce(first_certain, block)").select("position_id", "block", "carried")
-    month_scan = open_.join(candidate, "position_id").join(priced, ["symbol", "block"])
-    month_hit = test(month_scan, F.col("carried"))
-    hits = own_hit.unionByName(month_hit)
-    out = positions.join(hits, "position_id", "left")
+    def trail_level(signed: Column) -> Column:
+        extreme = up * signed
+        return F.when(trail_pct.isNotNull(), extreme * (1 - up * trail_pct)).otherwise(extreme - up * trail_points)
+
+    def state(carried: Column, hit: Column) -> Column:
+        return F.struct(carried.alias("carried"), hit.cast(_HIT).alias("hit"))
+
+    def bar(acc: Column, b: Column) -> Column:
+        carried = F.greatest(acc["carried"], up * best(b))
+        trail = F.when(trailing, trail_level(carried))
+        stop = touched(stop_loss, worst(b))
+        target = F.coalesce(up * best(b) >= up * take_profit, F.lit(False))
+
+        def found(reason: str, level: Column) -> Column:
+            return F.struct(b["trade_date"].alias("trade_date"), F.lit(reason).alias("reason"), level.alias("level"))
+
+        hit = F.when(stop, found("stop_loss", stop_loss)).when(target, found("take_profit", take_profit)).when(touched(trail, worst(b)), found("trailing", trail))
+        return F.when(acc["hit"].isNotNull(), acc).otherwise(state(carried, hit))
+
+    # A trail below zero falls as the extreme rises, so a month's extremes do not bound it.
+    unbounded = F.coalesce(1 - up * trail_pct < 0, F.lit(False))
+
+    def month(acc: Column, m: Column) -> Column:
+        carried = F.greatest(acc["carried"], up * best(m))
+        could = (
+            (m["block"] == own) | touched(stop_loss, worst(m)) | F.coalesce(up * best(m) >= up * take_profit, F.lit(False))
+            | (trailing & (unbounded | touched(trail_level(carried), worst(m)))))
+        seen = F.when(m["block"] == own, F.filter(m["bars"], lambda b: b["trade_date"] > F.col("entry_date"))).otherwise(m["bars"])
+        return F.when(acc["hit"].isNotNull(), acc).when(could, F.aggregate(seen, acc, bar)).otherwise(state(carried, F.lit(None)))
+
+    start = state(up * F.when(entry_price > 0, entry_price), F.lit(None))
+    walk = F.aggregate(F.filter("months", lambda m: m["block"] >= own), start, month, lambda acc: acc["hit"])
+    out = df.join(_histories(bars), "symbol", "left").select(*positions.columns, walk.alias("hit"))
     order = F.when(F.col("hit.reason") == "take_profit", "LIMIT").when(F.col("hit").isNotNull(), "STOP")
     return out.withColumns({
         "hit_date": F.col("hit.trade_date"), "hit_reason": F.col("hit.reason"), "level": F.col("hit.level"), "exit_order_type": order,
         "exit_direction": F.when(F.col("hit").isNotNull(), F.when(_is_long(), SHORT).otherwise(LONG))}).drop("hit")
 
 
-def _month_extremes(priced: DataFrame) -> DataFrame:
-    """Per (symbol, month): high, low, and the largest fall from a running high and rise from a running low."""
-    w = Window.partitionBy("symbol", "block").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    df = priced.withColumns({"_h": F.max("high").over(w), "_l": F.min("low").over(w)})
-    return df.groupBy("symbol", "block").agg(
-        F.max("high").alias("m_high"), F.min("low").alias("m_low"),
-        F.max(safe_div(F.col("_h") - F.col("low"), "_h")).alias("fall_pct"), F.max(F.col("_h") - F.col("low")).alias("fall_pts"),
-        F.max(safe_div(F.col("high") - F.col("_l"), "_l")).alias("rise_pct"), F.max(F.col("high") - F.col("_l")).alias("rise_pts"))
-
-
 def slice_orders(orders: DataFrame, n: int) -> DataFrame:
     """n near-equal child orders, the first ones one larger; unchanged when the quantity is at most n."""
     n = max(1, n)

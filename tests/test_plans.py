@@ -249,6 +249,19 @@ def test_trailing_stops_equal_a_loop_on_cent_prices(spark):
     assert got == want and sum(d is not None for d in want.values()) > 400
 
 
+def test_stops_make_no_row_a_position_and_month(spark):
+    days = [dt.date(2020, 1, 30) + dt.timedelta(days=k) for k in range(90)]
+    px = spark.createDataFrame([("S", d, 101.0 + (d == days[60]) * 20, 99.0 - (d == days[70]) * 20) for d in days], "symbol string, trade_date date, high double, low double")
+    held = spark.createDataFrame(
+        [(1, "S", days[0], "LONG", 90.0, 115.0), (2, "S", days[0], "SHORT", 130.0, 85.0), (3, "S", days[65], "LONG", 90.0, 115.0), (4, "S", days[75], "LONG", 90.0, 115.0), (5, "X", days[0], "LONG", 90.0, 115.0)],
+        "position_id int, symbol string, entry_date date, direction string, stop_loss double, take_profit double")
+    out = orders.stop_hits(held, px)
+    assert {r.position_id: (r.hit_date, r.hit_reason, r.level) for r in out.collect()} == {
+        1: (days[60], "take_profit", 115.0), 2: (days[70], "take_profit", 85.0), 3: (days[70], "stop_loss", 90.0), 4: (None, None, None), 5: (None, None, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
+
+
 def test_exposure_counts_the_last_value_on_days_without_a_bar(spark):
     days = [D0 + dt.timedelta(days=k) for k in range(3)]
     held = spark.createDataFrame([("r", "A", d, 100.0) for d in days] + [("r", "B", days[0], 100.0), ("r", "B", days[2], 100.0)], "run_id string, symbol string, trade_date date, market_value double")
