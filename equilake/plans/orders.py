@@ -5,7 +5,7 @@ order with every later bar. Orders go down a pyramid of extremes: a row a symbol
 its months, a row a month that holds its bars. On each level the order's own unit and the first later one that can hold the answer are
 opened, so an order meets one row, then two, then two or three, whatever the length of the history. Only a stop-limit order opens every unit that spans both
 its prices, since the two may be met on different days. Nothing is cut off: an order that fills years later is still found.
-Stops meet their symbol's whole history in one join and walk along its months in the same spirit.
+Stops meet their symbol's whole history in one join and walk along its years, months and bars in the same spirit.
 """
 
 from __future__ import annotations
@@ -87,12 +87,16 @@ def match_orders(orders: DataFrame, bars: DataFrame, fee: Fee | None = None, sli
 
 
 def _histories(bars: DataFrame) -> DataFrame:
-    """A row a symbol: its ``months`` in order, each with its high, low and ``bars`` in order. Stored, so that it meets positions in a plain join that AQE may split."""
+    """A row a symbol: its ``years`` in order, each with its high, low and its months as ``parts``, and those with theirs and their bars.
+
+    Stored, so that it meets positions in a plain join that AQE may split.
+    """
     priced = bars.select("symbol", _block("trade_date").alias("block"), "trade_date", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
-    # By symbol from the start: both groupings work on that one exchange.
-    months = priced.repartition("symbol").groupBy("symbol", "block").agg(
-        F.max("high").alias("high"), F.min("low").alias("low"), F.sort_array(F.collect_list(F.struct("trade_date", "high", "low"))).alias("bars"))
-    return store(months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "high", "low", "bars"))).alias("months")), "histories")
+    extremes = [F.max("high").alias("high"), F.min("low").alias("low")]
+    # By symbol from the start: all groupings work on that one exchange.
+    months = priced.repartition("symbol").groupBy("symbol", "block").agg(*extremes, F.sort_array(F.collect_list(F.struct("trade_date", "high", "low"))).alias("parts"))
+    years = months.groupBy("symbol", F.trunc("block", "year").alias("year")).agg(*extremes, F.sort_array(F.collect_list(F.struct(F.col("block").alias("start"), "high", "low", "parts"))).alias("parts"))
+    return store(years.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.col("year").alias("start"), "high", "low", "parts"))).alias("years")), "histories")
 
 
 _HIT = "struct<trade_date:date,reason:string,level:double>"
@@ -106,23 +110,26 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
     A stop wins over a target on one bar; the trailing extreme is moved by the bar before the
     test. The hit submits a STOP or LIMIT order; filling it is ``match_orders`` on a later bar.
 
-    A position meets its symbol's history in one join and walks along the months, carrying the best price so far. The bars of a
-    month are looked at only where its extremes could touch a level, and nothing after the hit.
+    A position meets its symbol's history in one join and walks along the years, carrying the best price so far. The months of a year
+    and the bars of a month are looked at only where its extremes could touch a level, and nothing after the hit.
     """
     names = set(positions.columns)
     levels = ("stop_loss", "take_profit", "trail_pct", "trail_points", "entry_price")
     df = positions.withColumns({f"_{c}": F.col(c).cast("double") if c in names else F.lit(None).cast("double") for c in levels})
-    stop_loss, take_profit, trail_pct, trail_points, entry_price = (F.col(f"_{c}") for c in levels)
+    # Computed once a position, not once a month.
     up = F.when(_is_long(), F.lit(1.0)).otherwise(F.lit(-1.0))
-    own = _block("entry_date")
-    trailing = trail_pct.isNotNull() | trail_points.isNotNull()
+    df = df.withColumns({
+        "_up": up, "_long": _is_long(), "_own": _block("entry_date"), "_own_year": F.trunc("entry_date", "year"), "_share": 1 - up * F.col("_trail_pct"),
+        "_trailing": F.col("_trail_pct").isNotNull() | F.col("_trail_points").isNotNull(), "_by_pct": F.col("_trail_pct").isNotNull()})
+    stop_loss, take_profit, trail_points, entry_price, up, share, trailing = (
+        F.col(f"_{c}") for c in ("stop_loss", "take_profit", "trail_points", "entry_price", "up", "share", "trailing"))
 
     # Shorts are longs on mirrored prices: the best price is the low. Signed prices rise with what is better.
     def best(x: Column) -> Column:
-        return F.when(_is_long(), x["high"]).otherwise(x["low"])
+        return F.when(F.col("_long"), x["high"]).otherwise(x["low"])
 
     def worst(x: Column) -> Column:
-        return F.when(_is_long(), x["low"]).otherwise(x["high"])
+        return F.when(F.col("_long"), x["low"]).otherwise(x["high"])
 
     def touched(level: Column, price: Column) -> Column:
         """The adverse price has reached the level."""
@@ -130,7 +137,7 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
 
     def trail_level(signed: Column) -> Column:
         extreme = up * signed
-        return F.when(trail_pct.isNotNull(), extreme * (1 - up * trail_pct)).otherwise(extreme - up * trail_points)
+        return F.when(F.col("_by_pct"), extreme * share).otherwise(extreme - up * trail_points)
 
     def state(carried: Column, hit: Column) -> Column:
         return F.struct(carried.alias("carried"), hit.cast(_HIT).alias("hit"))
@@ -148,18 +155,24 @@ def stop_hits(positions: DataFrame, bars: DataFrame) -> DataFrame:
         return F.when(acc["hit"].isNotNull(), acc).otherwise(state(carried, hit))
 
     # A trail below zero falls as the extreme rises, so a month's extremes do not bound it.
-    unbounded = F.coalesce(1 - up * trail_pct < 0, F.lit(False))
-
-    def month(acc: Column, m: Column) -> Column:
-        carried = F.greatest(acc["carried"], up * best(m))
-        could = (
-            (m["block"] == own) | touched(stop_loss, worst(m)) | F.coalesce(up * best(m) >= up * take_profit, F.lit(False))
-            | (trailing & (unbounded | touched(trail_level(carried), worst(m)))))
-        seen = F.when(m["block"] == own, F.filter(m["bars"], lambda b: b["trade_date"] > F.col("entry_date"))).otherwise(m["bars"])
-        return F.when(acc["hit"].isNotNull(), acc).when(could, F.aggregate(seen, acc, bar)).otherwise(state(carried, F.lit(None)))
-
+    unbounded = F.coalesce(share < 0, F.lit(False))
+
+    def unit(own: str, after: Callable[[Column], Column], inner: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        """The step over a month or year: into its parts (in the own one those after the entry) where a level could be touched, else past it."""
+        def step(acc: Column, x: Column) -> Column:
+            carried = F.greatest(acc["carried"], up * best(x))
+            could = (
+                (x["start"] == F.col(own)) | touched(stop_loss, worst(x)) | F.coalesce(up * best(x) >= up * take_profit, F.lit(False))
+                | (trailing & (unbounded | touched(trail_level(carried), worst(x)))))
+            parts = F.when(x["start"] == F.col(own), F.filter(x["parts"], after)).otherwise(x["parts"])
+            return F.when(acc["hit"].isNotNull(), acc).when(could, F.aggregate(parts, acc, inner)).otherwise(state(carried, F.lit(None)))
+
+        return step
+
+    month = unit("_own", lambda b: b["trade_date"] > F.col("entry_date"), bar)
+    year = unit("_own_year", lambda m: m["start"] >= F.col("_own"), month)
     start = state(up * F.when(entry_price > 0, entry_price), F.lit(None))
-    walk = F.aggregate(F.filter("months", lambda m: m["block"] >= own), start, month, lambda acc: acc["hit"])
+    walk = F.aggregate(F.filter("years", lambda y: y["start"] >= F.col("_own_year")), start, year, lambda acc: acc["hit"])
     out = df.join(_histories(bars), "symbol", "left").select(*positions.columns, walk.alias("hit"))
     order = F.when(F.col("hit.reason") == "take_profit", "LIMIT").when(F.col("hit").isNotNull(), "STOP")
     return out.withColumns({
