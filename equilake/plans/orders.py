@@ -1,11 +1,8 @@
 """Order matching, stops, margin, sizing and risk limits as table jobs.
 
-"First later bar on which a condition holds" is answered in two steps instead of pairing every
-order with every later bar. Orders go down a pyramid of extremes: a row a symbol that holds its years, a row a year that holds
-its months, a row a month that holds its bars. On each level the order's own unit and the first later one that can hold the answer are
-opened, so an order meets one row, then two, then two or three, whatever the length of the history. Only a stop-limit order opens every unit that spans both
-its prices, since the two may be met on different days. Nothing is cut off: an order that fills years later is still found.
-Stops meet their symbol's whole history in one join and walk along its years, months and bars in the same spirit.
+"First later bar on which a condition holds" is answered without pairing every order with every later bar. A symbol's
+history is one row that holds its years, those their months and those their bars, each with its extremes. An order or position meets it in one
+join and opens only the units whose extremes could answer, up to the first answer. Nothing is cut off: an order that fills years later is still found.
 """
 
 from __future__ import annotations
@@ -53,27 +50,22 @@ def match_orders(orders: DataFrame, bars: DataFrame, fee: Fee | None = None, sli
     open, with slippage; a stop-limit has to trigger again on the bar that fills it.
     """
     fee, slippage = fee or fee_per_share(), slippage or slippage_fixed()
-    extremes = [F.max("high").alias("high"), F.min("low").alias("low")]
-    priced = bars.select("symbol", "trade_date", "open", "high", "low", "volume", _block("trade_date").alias("block"))
-    months = priced.groupBy("symbol", "block").agg(*extremes, F.collect_list(F.struct("trade_date", "open", "volume", "high", "low")).alias("bars"))
-    spans = months.select("symbol", F.col("block"), F.trunc("block", "year").alias("year"), "high", "low")
-    years = spans.groupBy("symbol", "year").agg(*extremes, F.collect_list(F.struct(F.col("block").alias("unit"), "high", "low")).alias("months"))
-    symbols = years.groupBy("symbol").agg(F.collect_list(F.struct(F.col("year").alias("unit"), "high", "low")).alias("years"))
     last_day = F.date_add("order_date", expiry_days) if expiry_days is not None else F.lit(dt.date(9999, 12, 31))
-    df = orders.withColumns({"own": _block("order_date"), "own_year": F.trunc("order_date", "year"), "last_day": last_day})
-
-    def opened(units: str, own: str) -> Column:
-        """The own unit and the later ones to open: the first that can fill the order, or every one for a stop-limit."""
-        fit = F.filter(units, lambda u: (u["unit"] > F.col(own)) & (u["unit"] <= F.col("last_day")) & _fills(u["high"], u["low"]))
-        later = F.transform(fit, lambda u: u["unit"])
-        return F.array_distinct(F.array_compact(F.concat(F.array(F.col(own)), F.when(F.col("order_type") == "STOP_LIMIT", later).otherwise(F.array(F.array_min(later))))))
-
-    in_years = df.join(symbols, "symbol").withColumn("year", F.explode(opened("years", "own_year"))).drop("years")
-    in_months = in_years.join(years.select("symbol", "year", "months"), ["symbol", "year"]).withColumn("block", F.explode(opened("months", "own"))).drop("months", "year", "own_year")
-    inside = F.filter("bars", lambda b: (b["trade_date"] > F.col("order_date")) & (b["trade_date"] <= F.col("last_day")) & _fills(b["high"], b["low"]))
-    scan = in_months.dropDuplicates(["order_id", "block"]).join(months.select("symbol", "block", "bars"), ["symbol", "block"]).withColumn("inside", inside).filter(F.size("inside") > 0)
-    hit = scan.groupBy("order_id").agg(F.min(F.array_min("inside")).alias("bar"))
-    out = orders.join(hit, "order_id", "left")
+    df = orders.withColumns({"_own": _block("order_date"), "_own_year": F.trunc("order_date", "year"), "_last_day": last_day})
+    bar_type = f"struct<trade_date:date,high:double,low:double,{','.join(f'{c}:{bars.schema[c].dataType.simpleString()}' for c in ('open', 'volume'))}>"
+    none = F.lit(None).cast(bar_type)
+
+    def fits(x: Column, own: str) -> Column:
+        return (x["start"] >= F.col(own)) & (x["start"] <= F.col("_last_day")) & _fills(x["high"], x["low"])
+
+    def in_month(acc: Column, m: Column) -> Column:
+        inside = F.filter(m["parts"], lambda b: (b["trade_date"] > F.col("order_date")) & (b["trade_date"] <= F.col("_last_day")) & _fills(b["high"], b["low"]))
+        return F.when(acc.isNotNull(), acc).when(fits(m, "_own"), F.try_element_at(inside, F.lit(1)).cast(bar_type)).otherwise(none)
+
+    def in_year(acc: Column, y: Column) -> Column:
+        return F.when(acc.isNotNull(), acc).when(fits(y, "_own_year"), F.aggregate(y["parts"], none, in_month)).otherwise(none)
+
+    out = df.join(_histories(bars, ("open", "volume")), "symbol", "left").select(*orders.columns, F.aggregate("years", none, in_year).alias("bar"))
     limit = F.when(_is_long(), F.least("limit_price", "bar.open")).otherwise(F.greatest("limit_price", "bar.open"))
     stop = F.when(_is_long(), F.greatest("stop_price", "bar.open")).otherwise(F.least("stop_price", "bar.open"))
     quantity = F.col("quantity").cast("double")
@@ -86,15 +78,15 @@ def match_orders(orders: DataFrame, bars: DataFrame, fee: Fee | None = None, sli
     return out.withColumn("commission", F.when(filled, fee(F.col("fill_price"), quantity))).drop("bar")
 
 
-def _histories(bars: DataFrame) -> DataFrame:
+def _histories(bars: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """A row a symbol: its ``years`` in order, each with its high, low and its months as ``parts``, and those with theirs and their bars.
 
     Stored, so that it meets positions in a plain join that AQE may split.
     """
-    priced = bars.select("symbol", _block("trade_date").alias("block"), "trade_date", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
+    priced = bars.select("symbol", _block("trade_date").alias("block"), "trade_date", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"), *more)
     extremes = [F.max("high").alias("high"), F.min("low").alias("low")]
     # By symbol from the start: all groupings work on that one exchange.
-    months = priced.repartition("symbol").groupBy("symbol", "block").agg(*extremes, F.sort_array(F.collect_list(F.struct("trade_date", "high", "low"))).alias("parts"))
+    months = priced.repartition("symbol").groupBy("symbol", "block").agg(*extremes, F.sort_array(F.collect_list(F.struct("trade_date", "high", "low", *more))).alias("parts"))
     years = months.groupBy("symbol", F.trunc("block", "year").alias("year")).agg(*extremes, F.sort_array(F.collect_list(F.struct(F.col("block").alias("start"), "high", "low", "parts"))).alias("parts"))
     return store(years.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.col("year").alias("start"), "high", "low", "parts"))).alias("years")), "histories")
 

@@ -262,6 +262,19 @@ def test_stops_make_no_row_a_position_and_month(spark):
     assert plan.count("Join") == 1 and "Window" not in plan
 
 
+def test_orders_meet_the_history_in_one_join(spark):
+    days = [dt.date(2020, 12, 30) + dt.timedelta(days=30 * k) for k in range(30)]
+    px = spark.createDataFrame([("S", d, 100.0, 101.0 + (d == days[20]) * 20, 99.0 - (d == days[10]) * 20, 1000) for d in days], "symbol string, trade_date date, open double, high double, low double, volume bigint")
+    book = spark.createDataFrame(
+        [(1, "S", days[0], "LONG", 10, "LIMIT", 85.0, None), (2, "S", days[10], "LONG", 10, "LIMIT", 85.0, None), (3, "S", days[0], "LONG", 10, "STOP_LIMIT", 90.0, 110.0),
+         (4, "S", days[0], "LONG", 10, "STOP_LIMIT", 112.0, 110.0), (5, "X", days[0], "LONG", 10, "MARKET", None, None)],
+        "order_id int, symbol string, order_date date, direction string, quantity int, order_type string, limit_price double, stop_price double")
+    out = orders.match_orders(book, px)
+    # The third order's stop and limit are met on different days.
+    assert {r.order_id: r.fill_date for r in out.collect()} == {1: days[10], 2: None, 3: None, 4: days[20], 5: None}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_exposure_counts_the_last_value_on_days_without_a_bar(spark):
     days = [D0 + dt.timedelta(days=k) for k in range(3)]
     held = spark.createDataFrame([("r", "A", d, 100.0) for d in days] + [("r", "B", days[0], 100.0), ("r", "B", days[2], 100.0)], "run_id string, symbol string, trade_date date, market_value double")
