@@ -13,6 +13,7 @@ from equilake.functions.scalars import as_double, nonzero, pct, pct_change, safe
 from equilake.operators.indicators import previous_close
 from equilake.operators.latest import latest_row, top_n_per_key
 from equilake.operators.state import latest_holdings
+from equilake.session import store
 
 STALE_PRICE_DAYS = 3
 
@@ -28,16 +29,17 @@ def symbol_facts(warehouse, decisions: DataFrame, symbols: DataFrame) -> DataFra
     """Everything a holding row needs about its symbol, one row for each of ``symbols`` (distinct).
 
     Every source is cut to those symbols before it is sorted or combined, so asking for one account reads the market
-    once and shuffles little of it.
+    once and shuffles little of it. Each part is grouped by symbol at its end, so Spark sees that it can't multiply rows
+    and leaves out the parts whose columns nobody asks for.
     """
     def asked(name: str) -> DataFrame:
         return warehouse[name].join(symbols, "symbol", "left_semi")
 
     prices = previous_close(asked("daily_prices"))
-    ratios = latest_row(asked("financial_ratios").filter("period = 'FY'"), ["symbol"], ["fiscal_date"]).select(
-        "symbol", "pe_ratio", "peg_ratio", "return_on_equity", "net_margin")
-    value = preferred_valuation(asked("valuation_snapshots")).select(
-        "symbol", F.struct("model_type", "as_of", "fair_value_per_share", "upside_pct").alias("valuation"))
+    ratios = asked("financial_ratios").filter("period = 'FY'").groupBy("symbol").agg(
+        F.max(F.struct("fiscal_date", "pe_ratio", "peg_ratio", "return_on_equity", "net_margin")).alias("_r")).select("symbol", "_r.*").drop("fiscal_date")
+    value = preferred_valuation(asked("valuation_snapshots")).groupBy("symbol").agg(
+        F.max(F.struct("model_type", "as_of", "fair_value_per_share", "upside_pct")).alias("valuation"))
     news = asked("news_items").groupBy("symbol").agg(
         F.max(F.struct("published_at", "url", "headline")).alias("latest_news"))
     decided = decisions.join(symbols, "symbol", "left_semi").groupBy("symbol").agg(F.max(
@@ -50,8 +52,10 @@ def symbol_facts(warehouse, decisions: DataFrame, symbols: DataFrame) -> DataFra
 
 def holdings_view(warehouse, decisions: DataFrame, account: str | None = None, as_of: dt.date | None = None) -> DataFrame:
     """One row per current holding with market data, P&L and research context."""
-    held = latest_holdings(warehouse["holdings"], account, as_of)
-    df = held.join(symbol_facts(warehouse, decisions, held.select("symbol").distinct()), "symbol", "left")
+    # Read by the rows, the totals and the list of symbols that cuts every source.
+    held = store(latest_holdings(warehouse["holdings"], account, as_of), "held")
+    symbols = store(held.select("symbol").distinct(), "symbols")
+    df = held.join(symbol_facts(warehouse, decisions, symbols), "symbol", "left")
     df = df.withColumn("unrealized", unrealized())
     df = df.withColumns({
         "cost": cost_basis(), "day_change_pct": pct_change("latest_close", "prev_close"), "day_pnl": day_pnl(), "prev_value": prev_value()})

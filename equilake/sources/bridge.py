@@ -342,6 +342,41 @@ select account_id, 'CASH' as symbol, make_date(year(d), 12, 31) as as_of_date, '
 from {trade_marks} group by account_id, year(d)
 """
 
+# One pass over the trades for everything that holdings need of them; stored by the queries that read it along several paths.
+TABLES["account_years"] = """
+select account_id, k, year(d) as y, sum(cast(quantity as bigint)) as dq,
+       sum(case when quantity > 0 then m * cast(quantity as bigint) else 0 end) as bm,
+       sum(case when quantity > 0 then cast(quantity as bigint) else 0 end) as bq, sum(cents) as cents
+from {trade_marks} group by account_id, k, year(d)
+"""
+
+# The newest row of each (account, symbol) of ``holdings``, from totals instead of running sums whose earlier years nobody reads.
+TABLES["current_holdings"] = f"""
+select h.account_id, {_sym('h.k')} as symbol, make_date(h.y, 12, 31) as as_of_date,
+       case when h.k % 25 = 0 then 'OPT' else 'STK' end as asset_category,
+       cast(h.qty as double) as quantity,
+       cast(p.m as double) / 1000 as mark_price,
+       cast(h.qty as double) * cast(p.m as double) / 1000 * case when h.k % 25 = 0 then 100 else 1 end as market_value,
+       cast(h.cost_m as double) / 1000 / nullif(cast(h.cost_q as double), 0) as avg_cost,
+       case when h.k % 3 = 0 then cast(null as double)
+            else cast(h.cost_m as double) / 1000 / nullif(cast(h.cost_q as double), 0) * cast(h.qty as double)
+                 * case when h.k % 25 = 0 then 100 else 1 end end as cost_basis_total,
+       case when h.k % 5 = 0 then cast(null as double)
+            else (cast(p.m as double) / 1000 - cast(h.cost_m as double) / 1000 / nullif(cast(h.cost_q as double), 0))
+                 * cast(h.qty as double) * case when h.k % 25 = 0 then 100 else 1 end end as unrealized_pnl,
+       case when h.qty < 0 then 'Short' else 'Long' end as side,
+       case when h.k % 10 = 7 then 'EUR' else 'USD' end as currency, 'statement' as source
+from (select account_id, k, max(y) as y, sum(dq) as qty, sum(bm) as cost_m, sum(bq) as cost_q from {{account_years}} group by account_id, k) h
+left join {{px_period}} p on h.k = p.k and h.y = p.y and p.period = 'FY'
+union all
+select account_id, 'CASH' as symbol, make_date(max(y), 12, 31) as as_of_date, 'CASH' as asset_category,
+       cast(max_by(cents, y) as double) / 1000 as quantity, cast(1 as double) as mark_price,
+       cast(max_by(cents, y) as double) / 1000 as market_value, cast(null as double) as avg_cost,
+       cast(null as double) as cost_basis_total, cast(null as double) as unrealized_pnl,
+       'Long' as side, 'USD' as currency, 'statement' as source
+from (select account_id, y, sum(cents) as cents from {{account_years}} group by account_id, y) c group by account_id
+"""
+
 # ----- decisions, filings, text ---------------------------------------------------------------
 
 TABLES["decision_base"] = f"""

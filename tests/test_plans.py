@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from equilake.operators import prefix
 from equilake.plans import backtest as bt
 from equilake.plans import metrics, orders, portfolio, valuation
+from equilake.operators.state import latest_holdings
 from equilake.plans.ledger import LedgerError, scorecard
+from equilake.warehouse import Warehouse
 from test_operators import D0, bars
 
 
@@ -298,3 +300,19 @@ def test_own_margin_model_and_rule(spark):
     assert [(r.slice_quantity, r.reason) for r in out] == [(15, None), (0, "too small")]
     with pytest.raises(orders.RiskError):
         orders.margin_model("none such")
+
+
+def test_current_holdings_are_the_newest_holdings(spark):
+    wh = Warehouse.from_star_schema(spark, "/root/testdata/sf0.001")
+    want = latest_holdings(wh.holdings)
+    got = wh.current_holdings.select(*want.columns)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+
+
+def test_holdings_view_leaves_out_facts_that_nobody_asks_for(spark):
+    wh = Warehouse.from_star_schema(spark, "/root/testdata/sf0.001")
+    view = portfolio.holdings_view(wh, wh.decision_base.withColumn("price_at_open", F.lit(None).cast("double")))
+    plan = lambda *c: view.select("account_id", *c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FY" in plan("pe_ratio") and "FY" in plan("valuation") and "o_orderkey" in plan("decision")
+    assert "FY" not in plan("cost") and "o_orderkey" not in plan("cost")
