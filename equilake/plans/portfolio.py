@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilake.functions.portfolio import cost_basis, day_pnl, is_cash, prev_value, unrealized
@@ -142,29 +142,29 @@ def collapse_lots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     A declared SUMMARY row is kept; else a row whose position and money both equal the sum of the
     other rows; else the lots are added up. ``order`` is a total order that decides "first".
 
-    Totals come from aggregates and a join, not from a window over the group, so a position split
-    into very many lots is still combined map-side. The lots themselves stay in ``rows``.
+    A row is moved once, as it came, to the task of its group. The totals are a window's, which keeps a large group on disk and no
+    array of it; the aggregate reads the window's order. The lots themselves stay in ``rows``.
     """
-    keys = [F.coalesce(F.col(k), F.lit("")).alias(f"_k{i}") for i, k in enumerate(LOT_KEY)]
+    keys = [F.coalesce(F.col(k), F.lit("")) for k in LOT_KEY]
     names = [f"_k{i}" for i in range(len(LOT_KEY))]
     fields = rows.columns
     numeric = ("position", *_MONEY, "fifoPnlUnrealized", "percentOfNAV", "costBasisPrice")
-    df = rows.select(*keys, "*", *[as_double(c).alias(f"n_{c}") for c in numeric])
+    # Numbers and keys are derived after the shuffle, so they take no room in it.
+    df = rows.repartition(*keys).select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], "*", *[as_double(c).alias(f"n_{c}") for c in numeric])
     whole, at = F.struct(*fields), F.struct(*order)
     is_summary = F.upper(F.coalesce("levelOfDetail", F.lit(""))) == "SUMMARY"
     weighted = F.col("n_position") * F.col("n_costBasisPrice")
-    totals = df.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("lots"), F.min_by(whole, at).alias("head"),
-        F.min_by(whole, F.when(is_summary, at)).alias("summary"), F.max(is_summary).alias("has_summary"),
-        *[F.sum(f"n_{c}").alias(f"t_{c}") for c in numeric], *[F.count(f"n_{c}").alias(f"c_{c}") for c in ("position", *_MONEY)],
-        F.sum(weighted).alias("t_weighted"), F.sum(F.when(weighted.isNotNull(), F.col("n_position"))).alias("t_weight"))
-    open_groups = totals.filter("lots > 1 and not has_summary and c_position = lots")
-    match = _doubles_half(F.col("n_position"), F.col("t_position"))
+    totals = {
+        "lots": F.count(F.lit(1)), "has_summary": F.max(is_summary), **{f"t_{c}": F.sum(f"n_{c}") for c in numeric},
+        "t_weighted": F.sum(weighted), "t_weight": F.sum(F.when(weighted.isNotNull(), F.col("n_position")))}
+    group = Window.partitionBy(*names)
+    df = df.withColumns({n: c.over(group) for n, c in {**totals, **{f"c_{c}": F.count(f"n_{c}") for c in ("position", *_MONEY)}}.items()})
+    match = (F.col("lots") > 1) & ~F.col("has_summary") & (F.col("c_position") == F.col("lots")) & _doubles_half(F.col("n_position"), F.col("t_position"))
     for c in _MONEY:
         match = match & ((F.col(f"c_{c}") < F.col("lots")) | _doubles_half(F.col(f"n_{c}"), F.col(f"t_{c}")))
-    implicit = df.join(open_groups.select(*names, "lots", *[f"t_{c}" for c in numeric], *[f"c_{c}" for c in ("position", *_MONEY)]), names)
-    implicit = implicit.filter(match).groupBy(*names).agg(F.min_by(whole, at).alias("implicit"))
-    df = totals.join(implicit, names, "left")
+    df = df.groupBy(*names).agg(
+        F.min_by(whole, at).alias("head"), F.min_by(whole, F.when(is_summary, at)).alias("summary"), F.min_by(whole, F.when(match, at)).alias("implicit"),
+        *[F.max(n).alias(n) for n in totals])
     quantity = F.coalesce("t_position", F.lit(0.0))
     average = F.coalesce(
         F.when(quantity != 0, safe_div("t_costBasisMoney", quantity)),

@@ -316,3 +316,9 @@ def test_holdings_view_leaves_out_facts_that_nobody_asks_for(spark):
     plan = lambda *c: view.select("account_id", *c)._jdf.queryExecution().optimizedPlan().toString()
     assert "FY" in plan("pe_ratio") and "FY" in plan("valuation") and "o_orderkey" in plan("decision")
     assert "FY" not in plan("cost") and "o_orderkey" not in plan("cost")
+
+
+def test_collapse_lots_moves_a_row_once(spark):
+    rows = [("10", "100", "90", "9", None), ("20", "200", "185", "9", None), ("30", "310", "270", "9", None)]
+    plan = portfolio.collapse_lots(lots(spark, rows), ["lot"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
