@@ -13,6 +13,9 @@ Hot edges (a line in a third of all documents): a slice of a few hundred documen
 the shuffle, which is sorted by the JVM and read as a stream, so no group is held. Hashes are 64-bit; step 4 raises an error if two different windows were
 taken for one, so a collision can't remove a word.
 
+Texts are what fills the disk: step 4 sends only those of documents that are a source or hold a path. A bitmap of fixed size (2**BITMAP_BITS bits, broadcast; it has
+no false negatives) of their ids thins the scan, the exact join follows; a document outside it is finished where it is read.
+
 Defined cases: a null text has no words. Rows without doc_id have no order: nothing is removed from them, and they remove nothing. Rows that share a
 doc_id do not remove from each other, each keeps its own places. Repeated rows give repeated results. Extra columns are ignored.
 """
@@ -36,6 +39,7 @@ GRAM = 7
 SLICE_BYTES = 2 << 20
 #: Places carry the number of the row among those of its doc_id above this many bits.
 PLACE_BITS = 40
+BITMAP_BITS = 26
 _JOIN = T.stream(6, 41)
 
 
@@ -240,7 +244,8 @@ def _source_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple[int, int, str]] = []
-        for text, paths in zip(batch.column("text"), batch.column("paths"), strict=True):
+        lists = batch.column("paths") if "paths" in batch.schema.names else pa.nulls(batch.num_rows)
+        for text, paths in zip(batch.column("text"), lists, strict=True):
             words = (text.as_py() or "").encode().split()
             gone = bytearray(len(words))
             for path in paths.as_py() or []:
@@ -254,6 +259,40 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+# -- which documents a table names ---------------------------------------------------------------------------------
+
+def _slot(ids: pa.Array) -> np.ndarray:
+    return T.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64((1 << BITMAP_BITS) - 1)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slot = np.unique(_slot(batch.column("doc_id")))
+        yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+
+def _bitmap(named: DataFrame):
+    """The doc_ids of named as a broadcast bitmap: 2**(BITMAP_BITS - 6) words, whatever their number."""
+    words = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    for word, bits in named.select("doc_id").mapInArrow(_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        words[word] = bits
+    return named.sparkSession.sparkContext.broadcast(words.tobytes())
+
+
+def _in_bitmap(batches: Iterator[pa.RecordBatch], bitmap, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id the bitmap has (all that are named, few others), or all other rows; null is not named."""
+    bits = np.frombuffer(bitmap.value, np.uint8)
+    for batch in batches:
+        ids = batch.column("doc_id")
+        slot = _slot(ids)
+        hit = ((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(hit == wanted))
+
+
+def _named(docs: DataFrame, bitmap) -> DataFrame:
+    return docs.mapInArrow(lambda batches: _in_bitmap(batches, bitmap, True), "doc_id bigint, text string, variant bigint")
+
+
 def _with_variant(docs: DataFrame) -> DataFrame:
     """docs with the number of a row's text among the texts of its doc_id (0 for nearly all)."""
     keys = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
@@ -283,7 +322,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = _with_variant(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     paths = store(repeated_paths(docs), "paths")
     asked = paths.select("src", "src_place", "n").distinct().groupBy(F.col("src").alias("doc_id"), F.shiftright("src_place", PLACE_BITS).alias("variant")).agg(F.collect_list(F.struct("src_place", "n")).alias("asked"))
-    hashes = docs.join(store(asked, "asked"), ["doc_id", "variant"]).select("doc_id", "text", "asked").mapInArrow(_source_hashes, "src bigint, src_place bigint, n bigint, hash binary").distinct()
+    asked = store(asked, "asked")
+    hashes = _named(docs, _bitmap(asked)).join(asked, ["doc_id", "variant"]).select("doc_id", "text", "asked").mapInArrow(_source_hashes, "src bigint, src_place bigint, n bigint, hash binary").distinct()
     verified = paths.join(store(hashes, "hashes"), ["src", "src_place", "n"])
     lists = verified.groupBy(F.col("doc").alias("doc_id"), F.shiftright("place", PLACE_BITS).alias("variant")).agg(F.collect_list(F.struct("place", "n", "hash")).alias("paths"))
-    return docs.join(store(lists, "verified"), ["doc_id", "variant"], "left").select("doc_id", "text", "paths").mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    lists = store(lists, "verified")
+    bitmap = _bitmap(lists)
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    cut = _named(docs, bitmap).join(lists, ["doc_id", "variant"], "left").select("doc_id", "text", "paths").mapInArrow(_kept, schema)
+    return cut.unionByName(docs.mapInArrow(lambda batches: _kept(_in_bitmap(batches, bitmap, False)), schema))
