@@ -86,10 +86,12 @@ def nan_to_null(c: Column | str) -> Column:
 def r_dec(c: Column | str, places: int) -> Column:
     """Round by floor; agrees across engines where ``round`` does not.
 
-    The offset is a little over one half, so an exact half never hangs on the last bit of a sum.
+    The offset is a little over one half, so an exact half never hangs on the last bit of a sum. ``floor`` gives a bigint, which ends at
+    9.2e18; doubles from 2^53 on have no fraction and stay as they are, infinity and NaN too.
     """
     scale = float(10**places)
-    return F.floor(col(c) * scale + 0.50013) / scale
+    value = col(c) * scale + 0.50013
+    return F.when(F.abs(value) < 2.0**53, F.floor(value)).otherwise(value) / scale
 
 
 # ----- vendor JSON ----------------------------------------------------------------------------

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,13 @@ def test_guarded_ratios_keep_the_sign_of_the_numerator(spark):
     assert one(spark, fs.safe_return(F.lit(0.0), F.lit(90.0))) is None
 
 
+def test_rounding_has_no_largest_value(spark):
+    rounded = lambda x: one(spark, fs.r_dec(F.lit(x), 4))
+    assert rounded(8374559242195912.0) == 8374559242195912.0 and rounded(-1e17) == -1e17 and rounded(float("inf")) == float("inf")
+    assert (rounded(1.23456), rounded(-1.23456), rounded(0.00005)) == (1.2346, -1.2346, 0.0001)
+    assert math.isnan(rounded(float("nan"))) and one(spark, fs.r_dec(F.lit(None).cast("double"), 4)) is None
+
+
 def test_bank_classification_and_net_revenue(spark):
     assert one(spark, fs.stock_type(F.lit("Financial Services"), F.lit(" Banks - Regional "))) == "bank"
     assert one(spark, fs.stock_type(F.lit("Financial Services"), F.lit("Private Banking"))) == "bank"
