@@ -15,6 +15,7 @@ from equilake.session import store
 
 SUM_BITS = 12
 MAP_BITS = 5
+HASH_BITS = 17
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
@@ -34,6 +35,26 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[
     return placed.withColumn("place", F.col("_before") + F.col("_at") - F.col("_low")).drop("_at", "_part", "_low", "_before"), most
 
 
+def rows_of_a_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """The most rows of a key, or a bound of them that is no more than a window holds.
+
+    Counts by ``2 ** HASH_BITS`` values of the keys' hash are bounds and small; only if one of them is too large are the keys counted.
+    """
+    counted = df.select(*keys).groupBy(F.pmod(F.xxhash64(*keys), F.lit(1 << HASH_BITS)).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    most = counted.agg(F.max("_n")).first()[0] or 0
+    if most > 1 << SUM_BITS:
+        most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return most
+
+
+def numbered_in_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
+    """``numbered`` for keys that are mostly small: without a key of more than ``2 ** SUM_BITS`` rows the rows are shuffled once, by key, and the scans that follow keep to it."""
+    most = rows_of_a_key(df, keys)
+    if most > 1 << SUM_BITS:
+        return numbered(df, keys, order)
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1), most
+
+
 def _block(bits: int) -> Column:
     return F.shiftright("place", bits)
 
@@ -57,9 +78,9 @@ def sum_scan(rows: DataFrame, keys: Sequence[str], most: int, sums: dict[str, st
 def lag_scan(rows: DataFrame, keys: Sequence[str], most: int, column: str, name: str) -> DataFrame:
     """Adds the column's value in the key's row before; null in the first."""
     keys = list(keys)
-    rows = rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys, _block(SUM_BITS)).orderBy("place")))
     if most <= 1 << SUM_BITS:
-        return rows
+        return rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy("place")))
+    rows = rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys, _block(SUM_BITS)).orderBy("place")))
     # The first row of a block follows the last one of the block before.
     ends = rows.where(F.pmod(F.col("place") + 1, F.lit(1 << SUM_BITS)) == 0).select(*keys, (F.col("place") + 1).alias("place"), F.col(column).alias("_last"))
     return rows.join(ends, [*keys, "place"], "left").withColumn(name, F.when(F.pmod("place", F.lit(1 << SUM_BITS)) == 0, F.col("_last")).otherwise(F.col(name))).drop("_last")
@@ -69,16 +90,25 @@ def affine_scan(rows: DataFrame, keys: Sequence[str], most: int, a: str = "a", b
     """Adds ``A``, ``B``: the map x -> A x + B that the maps x -> a x + b of a key give one after another, up to each row.
 
     Blocks of 32 rows are composed inside the row's window, the blocks' maps in the same way above them, and so on: the sizes of a key's
-    levels are 1, 1/32, 1/1024 ... of its rows, and no array holds more than 32 maps.
+    levels are 1, 1/32, 1/1024 ... of its rows, and no array holds more than 32 maps. Where a key fits a window, the maps of the blocks
+    before a row's own are collected in it (at most 128 of them) and nothing is joined.
     """
     keys = list(keys)
     rows = rows.withColumn("_b", _block(MAP_BITS))
     w = Window.partitionBy(*keys, "_b").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    maps = F.collect_list(F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))).over(w)
-    rows = rows.withColumn("_m", F.aggregate(maps, one, lambda p, x: F.struct((x["a"] * p["a"]).alias("a"), (x["a"] * p["b"] + x["b"]).alias("b"))))
+
+    def composed(maps: Column) -> Column:
+        return F.aggregate(maps, one, lambda p, x: F.struct((x["a"] * p["a"]).alias("a"), (x["a"] * p["b"] + x["b"]).alias("b")))
+
+    rows = rows.withColumn("_m", composed(F.collect_list(F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))).over(w)))
     if most <= 1 << MAP_BITS:
         return rows.withColumns({"A": F.col("_m.a"), "B": F.col("_m.b")}).drop("_b", "_m")
+    if most <= 1 << SUM_BITS:
+        before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        ends = F.when(F.pmod(F.col("place") + 1, F.lit(1 << MAP_BITS)) == 0, F.col("_m"))
+        rows = rows.withColumn("_p", composed(F.collect_list(ends).over(before)))
+        return rows.withColumns({"A": F.col("_m.a") * F.col("_p.a"), "B": F.col("_m.a") * F.col("_p.b") + F.col("_m.b")}).drop("_b", "_m", "_p")
     tops = rows.groupBy(*keys, "_b").agg(F.max_by("_m", "place").alias("_m")).select(*keys, F.col("_b").alias("place"), "_m.a", "_m.b")
     above = affine_scan(tops, keys, (most >> MAP_BITS) + 1)
     carry = above.select(*keys, (F.col("place") + 1).alias("_b"), F.col("A").alias("_pa"), F.col("B").alias("_pb"))

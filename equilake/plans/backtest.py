@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equilake.operators import indicators as ind
-from equilake.operators.prefix import affine_scan, lag_scan, numbered, sum_scan
+from equilake.operators import prefix
+from equilake.operators.prefix import affine_scan, lag_scan, numbered, numbered_in_windows, sum_scan
 from equilake.session import store
 
 RUN = ("symbol", "run_id")
@@ -363,10 +364,15 @@ def position_ledger(fills: DataFrame, keys: Sequence[str], order: Sequence[str])
     Input: ``keys`` (not null), ``order`` columns (a total order within the keys), ``quantity`` (signed), ``price``, ``commission``.
 
     Positions are a running sum. Average cost is a linear recurrence c' = a c + b whose a and b depend only on the positions
-    around a fill, so both are prefix scans over blocks of fills: a key may hold half of all fills, and nothing leaves the JVM.
+    around a fill, so both are prefix scans: windows over keys of a few thousand fills, else blocks of fills, so a key may hold half of
+    all fills. Nothing leaves the JVM.
     """
-    keys = list(keys)
-    rows, most = numbered(fills, keys, list(order))
+    return _ledger(fills, list(keys), list(order))[0]
+
+
+def _ledger(fills: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, int]:
+    """``position_ledger``, and the most fills of a key or a bound of them."""
+    rows, most = numbered_in_windows(fills, keys, order)
     df = sum_scan(rows, keys, most, {"position": "quantity"})
     held = F.col("position") - F.col("quantity")
     same = F.signum(held) == F.signum(F.col("quantity"))
@@ -380,13 +386,20 @@ def position_ledger(fills: DataFrame, keys: Sequence[str], order: Sequence[str])
     closes = (F.col("_held") != 0) & ~F.col("_adds") & (F.col("quantity") != 0)
     closed = F.least(F.abs("quantity"), F.abs("_held"))
     gross = F.when(closes, closed * (F.col("price") - F.col("_prior")) * F.signum("_held")).otherwise(0.0)
-    return df.withColumns({
+    df = df.withColumns({
         "closed_qty": F.when(closes, closed).otherwise(0.0), "entry_cost": F.when(closes, F.col("_prior")), "realized_pnl": gross - F.col("commission"),
     }).drop("_held", "_adds", "_starts", "_a", "_b0", "A", "_prior")
+    return df, most
+
+
+def closing_trades_of(fills: DataFrame, keys: Sequence[str], order: Sequence[str], date: str = "trade_date") -> DataFrame:
+    """``closing_trades`` of the position ledger of the fills; see there and ``position_ledger``."""
+    ledger, most = _ledger(fills, list(keys), list(order))
+    return closing_trades(ledger, keys, date, most)
 
 
-def closing_trades(ledger: DataFrame, keys: Sequence[str], date: str = "trade_date") -> DataFrame:
-    """Round trips from a position ledger: a row for each fill that closes something, fully or in part.
+def closing_trades(ledger: DataFrame, keys: Sequence[str], date: str = "trade_date", most: int | None = None) -> DataFrame:
+    """Round trips from a position ledger: a row for each fill that closes something, fully or in part. ``most``: the most fills of a key, if known.
 
     entry_time is the fill that opened the position (or turned it round). The fees of the opening and of all additions since the last closing fill, with the
     closing fill's own, are the trip's commission; what is left of a position starts with none. quantity is what was closed, held what was open.
@@ -396,13 +409,21 @@ def closing_trades(ledger: DataFrame, keys: Sequence[str], date: str = "trade_da
     closes = F.col("closed_qty") > 0
     starts = (F.col("quantity") != 0) & (F.signum("position") != F.signum(held)) & (F.col("position") != 0)
     rows = ledger.withColumns({"_closes": closes.cast("bigint"), "_starts": starts.cast("bigint")})
-    most = rows.agg(F.max("place")).first()[0]
-    rows = sum_scan(rows, keys, (most or 0) + 1, {"_trip": "_closes", "_leg": "_starts"})
-    rows = rows.withColumns({"_trip": F.col("_trip") - F.col("_closes"), "_before": F.col("_leg") - F.col("_starts")})
-    # A trip's fees are summed by its number and a position's opening is found by its number: groups, not windows.
-    fees = rows.groupBy(*keys, "_trip").agg(F.sum("commission").alias("_fees"))
-    opened = rows.where("_starts = 1").select(*keys, F.col("_leg").alias("_before"), F.col(date).alias("entry_time"))
-    done = rows.where("_closes = 1").join(fees, [*keys, "_trip"]).join(opened, [*keys, "_before"], "left")
+    if most is None:
+        most = (rows.agg(F.max("place")).first()[0] or 0) + 1
+    if most <= 1 << prefix.SUM_BITS:
+        # The fills of a key are together already: the trip's number and the last opening before a fill, then the trip's fees.
+        sofar = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({
+            "_trip": F.coalesce(F.sum("_closes").over(sofar), F.lit(0)), "entry_time": F.last(F.when(F.col("_starts") == 1, F.col(date)), ignorenulls=True).over(sofar)})
+        done = rows.withColumn("_fees", F.sum("commission").over(Window.partitionBy(*keys, "_trip"))).where("_closes = 1")
+    else:
+        rows = sum_scan(rows, keys, most, {"_trip": "_closes", "_leg": "_starts"})
+        rows = rows.withColumns({"_trip": F.col("_trip") - F.col("_closes"), "_before": F.col("_leg") - F.col("_starts")})
+        # A trip's fees are summed by its number and a position's opening is found by its number: groups, not windows.
+        fees = rows.groupBy(*keys, "_trip").agg(F.sum("commission").alias("_fees"))
+        opened = rows.where("_starts = 1").select(*keys, F.col("_leg").alias("_before"), F.col(date).alias("entry_time"))
+        done = rows.where("_closes = 1").join(fees, [*keys, "_trip"]).join(opened, [*keys, "_before"], "left")
     long = held > 0
     pnl = F.col("closed_qty") * (F.col("price") - F.col("entry_cost")) * F.signum(held)
     back = F.when(F.col("entry_cost") == 0, 0.0).otherwise(F.when(long, F.try_divide("price", "entry_cost")).otherwise(F.try_divide("entry_cost", "price")) - 1)

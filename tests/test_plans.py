@@ -167,6 +167,20 @@ def test_ledger_and_trips_of_a_hot_key(spark, monkeypatch, bits):
         assert r.return_pct == pytest.approx((exit_ / entry if r.direction == "LONG" else entry / exit_) - 1)
 
 
+def test_small_keys_are_shuffled_once_and_large_ones_give_the_same_trips(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("U", f"S{k}", D0 + dt.timedelta(days=i // 2), i, float(rng.choice([-20, -10, 10, 30])), rng.uniform(50, 150), 1.0) for k in range(12) for i in range(5 + 9 * k)]
+    df = spark.createDataFrame(rows, "account_id string, symbol string, trade_date date, n int, quantity double, price double, commission double").repartition(7)
+    trades = lambda: bt.closing_trades_of(df, ["account_id", "symbol"], ["trade_date", "n"])
+    plan = trades()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    rounded = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    small = rounded(trades().collect())
+    monkeypatch.setattr(prefix, "SUM_BITS", 3)
+    monkeypatch.setattr(prefix, "HASH_BITS", 1)
+    assert small == rounded(trades().collect()) and len(small) > 100
+
+
 def test_tiered_fees_of_a_hot_account_day(spark, monkeypatch):
     """An account with half of all fills in one day: its volume is summed over blocks of four fills."""
     monkeypatch.setattr(prefix, "SUM_BITS", 2)
