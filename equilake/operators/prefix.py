@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from equilake.session import store
@@ -48,22 +48,28 @@ def rows_of_a_key(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def numbered_in_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
-    """``numbered`` for keys that are mostly small: without a key of more than ``2 ** SUM_BITS`` rows the rows are shuffled once, by key, and the scans that follow keep to it."""
+    """``numbered`` for keys that are mostly small: without a key of more than ``2 ** SUM_BITS`` rows the rows are shuffled once, by key, and the scans that follow keep to it (also by ``_block``, which the caller drops)."""
     most = rows_of_a_key(df, keys)
     if most > 1 << SUM_BITS:
         return numbered(df, keys, order)
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1), most
+    placed = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
+    return placed.withColumn("_block", _block(MAP_BITS)), most
 
 
 def _block(bits: int) -> Column:
     return F.shiftright("place", bits)
 
 
+def in_key(rows: DataFrame, keys: Sequence[str]) -> WindowSpec:
+    """The rows of a key by place. With the blocks of ``numbered_in_windows`` first, the order in which their maps are composed: all scans share one sort then."""
+    return Window.partitionBy(*keys).orderBy(*["_block"] * ("_block" in rows.columns), "place")
+
+
 def sum_scan(rows: DataFrame, keys: Sequence[str], most: int, sums: dict[str, str | Column]) -> DataFrame:
     """Adds running sums by place within keys, each row included; ``sums``: new column -> summed column (never null)."""
     keys = list(keys)
     if most <= 1 << SUM_BITS:
-        w = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        w = in_key(rows, keys).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
     rows = rows.withColumn("_b", _block(SUM_BITS))
     totals = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
@@ -79,7 +85,7 @@ def lag_scan(rows: DataFrame, keys: Sequence[str], most: int, column: str, name:
     """Adds the column's value in the key's row before; null in the first."""
     keys = list(keys)
     if most <= 1 << SUM_BITS:
-        return rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys).orderBy("place")))
+        return rows.withColumn(name, F.lag(column).over(in_key(rows, keys)))
     rows = rows.withColumn(name, F.lag(column).over(Window.partitionBy(*keys, _block(SUM_BITS)).orderBy("place")))
     # The first row of a block follows the last one of the block before.
     ends = rows.where(F.pmod(F.col("place") + 1, F.lit(1 << SUM_BITS)) == 0).select(*keys, (F.col("place") + 1).alias("place"), F.col(column).alias("_last"))
@@ -95,7 +101,7 @@ def affine_scan(rows: DataFrame, keys: Sequence[str], most: int, a: str = "a", b
     """
     keys = list(keys)
     rows = rows.withColumn("_b", _block(MAP_BITS))
-    w = Window.partitionBy(*keys, "_b").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_block" if "_block" in rows.columns else "_b").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
 
     def composed(maps: Column) -> Column:
@@ -105,7 +111,7 @@ def affine_scan(rows: DataFrame, keys: Sequence[str], most: int, a: str = "a", b
     if most <= 1 << MAP_BITS:
         return rows.withColumns({"A": F.col("_m.a"), "B": F.col("_m.b")}).drop("_b", "_m")
     if most <= 1 << SUM_BITS:
-        before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        before = in_key(rows, keys).rowsBetween(Window.unboundedPreceding, -1)
         ends = F.when(F.pmod(F.col("place") + 1, F.lit(1 << MAP_BITS)) == 0, F.col("_m"))
         rows = rows.withColumn("_p", composed(F.collect_list(ends).over(before)))
         return rows.withColumns({"A": F.col("_m.a") * F.col("_p.a"), "B": F.col("_m.a") * F.col("_p.b") + F.col("_m.b")}).drop("_b", "_m", "_p")

@@ -367,7 +367,7 @@ def position_ledger(fills: DataFrame, keys: Sequence[str], order: Sequence[str])
     around a fill, so both are prefix scans: windows over keys of a few thousand fills, else blocks of fills, so a key may hold half of
     all fills. Nothing leaves the JVM.
     """
-    return _ledger(fills, list(keys), list(order))[0]
+    return _ledger(fills, list(keys), list(order))[0].drop("_block")
 
 
 def _ledger(fills: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, int]:
@@ -413,7 +413,7 @@ def closing_trades(ledger: DataFrame, keys: Sequence[str], date: str = "trade_da
         most = (rows.agg(F.max("place")).first()[0] or 0) + 1
     if most <= 1 << prefix.SUM_BITS:
         # The fills of a key are together already: the trip's number and the last opening before a fill, then the trip's fees.
-        sofar = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        sofar = prefix.in_key(rows, keys).rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumns({
             "_trip": F.coalesce(F.sum("_closes").over(sofar), F.lit(0)), "entry_time": F.last(F.when(F.col("_starts") == 1, F.col(date)), ignorenulls=True).over(sofar)})
         done = rows.withColumn("_fees", F.sum("commission").over(Window.partitionBy(*keys, "_trip"))).where("_closes = 1")
